@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import op1_token_planes, op3_bpe
+from . import op1_token_planes, op3_bpe, op7_minhash, op8_secrets, op10_mixing
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,10 +24,26 @@ def op3_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op7_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op10_mixing.schedule(docs, op10_mixing.source_shares(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_planes": op1_token_planes_query,
         "op3_bpe": op3_bpe_query,
+        "op7_minhash": op7_minhash_query,
+        "op8_secrets": op8_secrets_query,
+        "op10_mixing": op10_mixing_query,
     }
 
 
