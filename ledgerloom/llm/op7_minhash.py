@@ -14,7 +14,7 @@ sets compared, and links leave as a spanning forest, never as all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -164,17 +164,24 @@ def groups(posted: DataFrame) -> DataFrame:
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, sig, shingles) for the texts that wanted (id, th, cls) names."""
+    """(leader, i, j, cls, sig, shingles): the sets of the texts that wanted (id, th, cls, met) names, in each group of met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in text_slices(batches):
             sets = distinct_sets(*shingle_hashes(data, at))
             n = np.array([len(s) for s in sets], np.int64)
-            sig = minima(np.concatenate(sets), np.cumsum(n) - n)
-            yield pa.RecordBatch.from_arrays([rows.column("cls"), _fixed(8 * COORDINATES, sig), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "sig", "shingles"])
+            sig = _fixed(8 * COORDINATES, minima(np.concatenate(sets), np.cumsum(n) - n))
+            met = rows.column("met")
+            owner = pa.array(np.repeat(np.arange(len(sets)), met.value_lengths().to_numpy()))
+            places = met.flatten()
+            shingles = pa.array([s.tobytes() for s in sets], pa.large_binary())
+            whole = pa.Table.from_arrays([*(places.field(k) for k in range(3)), rows.column("cls").take(owner), sig.take(owner)], ["leader", "i", "j", "cls", "sig"])
+            for k in range(0, whole.num_rows, 256):  # a set in many groups is written out many times
+                part = whole.slice(k, 256).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*part.columns, shingles.take(owner.slice(k, 256)).cast(pa.binary())], ["leader", "i", "j", "cls", "sig", "shingles"])
 
-    texts = docs.select(*_key(), "text").join(wanted, ["id", "th"]).select("cls", "text")
-    return texts.mapInArrow(run, "cls binary, sig binary, shingles binary")
+    texts = docs.select(*_key(), "text").join(wanted, ["id", "th"]).select("cls", "met", "text")
+    return texts.mapInArrow(run, "leader binary, i long, j long, cls binary, sig binary, shingles binary")
 
 
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -236,35 +243,61 @@ def group_links(names: list[bytes], sigs: list[bytes], sets: list[bytes]) -> lis
     return [(names[some[a]], names[some[b]]) for a, b in enumerate(roots(linked).tolist()) if a != b]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group -> links; holds one group, whose size is bounded."""
-    key, held = None, ([], [], [])
+def retained(names: list[bytes], sigs: list[bytes], sizes: list[int]) -> list[bytes]:
+    """The classes that agree with another in MATCHES coordinates and might in size."""
+    if len(names) < 2:
+        return []
+    met = shared_counts(list(tokens(np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, COORDINATES)))) >= MATCHES
+    np.fill_diagonal(met, False)
+    n = np.array(sizes, np.int64)
+    met &= SIMILAR[1] * np.minimum(n[:, None], n[None, :]) >= SIMILAR[0] * np.maximum(n[:, None], n[None, :])
+    return [names[k] for k in np.flatnonzero(met.any(1)).tolist()]
 
-    def out(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.binary()), pa.array([b for _, b in pairs], pa.binary())], ["a", "b"])
 
+def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], solve: Callable[..., list], pack: Callable[[list], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (leader, i, j): what solve finds in each group; holds one group, whose size is bounded."""
+    key, held = None, [[] for _ in columns]
     for batch in batches:
-        found: list[tuple[bytes, bytes]] = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", "cls", "sig", "shingles")), strict=True):
+        found: list = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("leader", "i", "j", *columns)), strict=True):
             if row[:3] != key:
-                found += group_links(*held)
-                key, held = row[:3], ([], [], [])
+                found += [(key, x) for x in solve(*held)]
+                key, held = row[:3], [[] for _ in columns]
             for col, v in zip(held, row[3:], strict=True):
                 col.append(v)
-        yield out(found)
-    yield out(group_links(*held))
+        yield pack(found)
+    yield pack([(key, x) for x in solve(*held)])
+
+
+def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(found: list) -> pa.RecordBatch:
+        cols = [[k[0] for k, _ in found], [k[1] for k, _ in found], [k[2] for k, _ in found], [c for _, c in found]]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["leader", "i", "j", "cls"])
+
+    return _by_group(batches, ("cls", "sig", "n"), retained, pack)
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([a for _, (a, _) in found], pa.binary()), pa.array([b for _, (_, b) in found], pa.binary())], ["a", "b"])
+
+    return _by_group(batches, ("cls", "sig", "shingles"), group_links, pack)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """id, th, n, root (16 bytes naming the component; null without shingles) of each row."""
     sigs = materialize(signatures(docs))
     posted = postings(sigs, hot_tokens(sigs, sigs.count()))
+    place = ("leader", "i", "j")
     met = materialize(groups(posted))
-    wanted = met.select("cls").distinct()
-    one = sigs.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("one")).join(wanted, "cls").select("one.id", "one.th", "cls")
-    sets = materialize(set_rows(docs, one).dropDuplicates(["cls"]))
-    placed = met.join(sets, "cls").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    linked = components(materialize(placed.select("leader", "i", "j", "cls", "sig", "shingles").mapInArrow(_links, "a binary, b binary")))
+    one = sigs.join(met.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
+    met = met.join(one, "cls").repartition(*place).sortWithinPartitions(*place)
+    met = materialize(met.select(*place, "cls", "sig", "n").mapInArrow(_retained, "leader binary, i long, j long, cls binary"))
+    wanted = met.groupBy("cls").agg(F.collect_list(F.struct(*place)).alias("met"))
+    first = sigs.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("one"))
+    wanted = materialize(wanted.join(first, "cls").select("one.id", "one.th", "cls", "met"))
+    placed = set_rows(docs, wanted).repartition(*place).sortWithinPartitions(*place)
+    linked = components(materialize(placed.mapInArrow(_links, "a binary, b binary")))
     named = linked.select(F.col("node").alias("cls"), "component")
     return sigs.select("id", "th", "n", "cls").join(named, "cls", "left").select("id", "th", "n", F.coalesce("component", "cls").alias("root"))
 
