@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_planes, op3_bpe, op7_minhash, op8_secrets, op10_mixing
+from . import op1_token_planes, op3_bpe, op4_pivots, op7_minhash, op8_secrets, op9_caps, op10_mixing
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -24,6 +24,10 @@ def op3_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_pivots_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_pivots.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op8_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_caps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_caps.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return op10_mixing.schedule(docs, op10_mixing.source_shares(docs))
@@ -41,11 +49,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_planes": op1_token_planes_query,
         "op3_bpe": op3_bpe_query,
+        "op4_pivots": op4_pivots_query,
         "op7_minhash": op7_minhash_query,
         "op8_secrets": op8_secrets_query,
+        "op9_caps": op9_caps_query,
         "op10_mixing": op10_mixing_query,
     }
 
 
+OP4_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+    from v q join v c on q.vec_id <> c.vec_id
+    where q.vec_id % 100 = 0
+), ranked as (
+    select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored
+)
+select query_id, cast(r as integer) as rank, vec_id, score from ranked where r <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_pivots": OP4_SQL}
