@@ -139,7 +139,7 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame
     shared = rows.sparkSession.sparkContext.broadcast((pivot_ids, unpacked([bytes(r["v"]) for r in chosen], np.int64) if chosen else np.zeros((0, 1), np.int64)))
     candidates = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(slabs)).alias("slab"), F.lit(False).alias("asks"), "vec_id", "v")
     queries = rows.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).cast("long").alias("slab"), F.lit(True).alias("asks"), "vec_id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slabs - 1).cast("long"))).alias("slab"), F.lit(True).alias("asks"), "vec_id", "v")
     met = candidates.unionByName(asked).repartition("slab").sortWithinPartitions("slab", "asks")
     found = met.mapInArrow(lambda batches: _search(batches, *shared.value, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
