@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_token_planes, op3_bpe, op4_pivots, op7_minhash, op8_secrets, op9_caps, op10_mixing
+from . import op1_token_planes, op2_quality, op3_bpe, op4_pivots, op5_substrings, op6_language, op7_minhash, op8_secrets, op9_caps, op10_mixing
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,6 +20,10 @@ def op1_token_planes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_token_planes.token_planes(spark, table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op2_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_bpe.encode_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -28,6 +32,14 @@ def op4_pivots_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_pivots.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op5_substrings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_substrings.digests(table(spark, sf_dir, "documents"))
+
+
+def op6_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_language.identify(table(spark, sf_dir, "documents")).drop("th")
+
+
 def op7_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -48,8 +60,11 @@ def op10_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_planes": op1_token_planes_query,
+        "op2_quality": op2_quality_query,
         "op3_bpe": op3_bpe_query,
         "op4_pivots": op4_pivots_query,
+        "op5_substrings": op5_substrings_query,
+        "op6_language": op6_language_query,
         "op7_minhash": op7_minhash_query,
         "op8_secrets": op8_secrets_query,
         "op9_caps": op9_caps_query,
@@ -59,11 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP4_SQL = """
 with v as (
-    select vec_id, list_transform(embedding, x -> cast(floor(1024 * cast(x as double)) as bigint)) as v
+    select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
     from embeddings
-    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-    select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) as bigint) as score
+    select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
     from v q join v c on q.vec_id <> c.vec_id
     where q.vec_id % 100 = 0
 ), ranked as (
