@@ -9,7 +9,8 @@ surroundings (LEFT bytes before, SPAN after) form a class; a class of two or mor
 has several classes, one text of each is fetched and refined: positions start in buckets of 25 bytes, are sorted by
 their own bucket and the bucket 25, 50 and 100 bytes on, and the pointers of each round serve the next, until
 buckets mean 200 bytes. A window whose bucket has two classes repeats. Buckets of more than BUCKET classes are
-refined window by window in a grouped aggregation instead, so that no task holds one.
+first split by what the windows of each of some ranges have in common; parts that are still too large are refined
+window by window in a grouped aggregation, so that no task holds one.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SPAN, GRAM = 200, 64
 LEFT = SPAN - GRAM
 STEPS = (25, 50, 100)
 BUCKET = 4096
+#: Windows in a range, where a large bucket is split.
+RANGE = 17
 #: Surroundings that a task refines at once.
 TOGETHER = 4096
 
@@ -166,17 +169,17 @@ def refine(texts: list[bytes], left: np.ndarray, bucket: np.ndarray) -> tuple[np
 
 
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h -> (h, c, lo, hi); holds whole buckets up to about TOGETHER rows and one bucket more."""
+    """Rows sorted by bucket -> (h, c, lo, hi); holds whole buckets up to about TOGETHER rows and one bucket more."""
     held: list[tuple] = []
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        h = np.array([r[0] for r in rows], np.int64)
-        lo, hi = refine([r[3] for r in rows], np.array([r[2] for r in rows], np.int64), np.unique(h, return_inverse=True)[1].astype(np.int64)) if rows else (h, h)
+        bucket, h, c, left = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        lo, hi = refine([r[4] for r in rows], left, np.unique(bucket, return_inverse=True)[1].astype(np.int64)) if rows else (h, h)
         found = np.flatnonzero(lo >= 0)
-        return pa.RecordBatch.from_arrays([pa.array(h[found]), pa.array(np.array([r[1] for r in rows], np.int64)[found]), pa.array(lo[found]), pa.array(hi[found])], ["h", "c", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (h, c, lo, hi)], ["h", "c", "lo", "hi"])
 
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("h", "c", "left", "bytes")), strict=True):
+        for row in zip(*(batch.column(n).to_pylist() for n in ("bucket", "h", "c", "left", "bytes")), strict=True):
             if len(held) >= TOGETHER and row[0] != held[-1][0]:
                 yield solve(held)
                 held = []
@@ -184,8 +187,30 @@ def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield solve(held)
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, h, c, left, bytes): surroundings cut to each range of windows; bucket names h and what the range has in common."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            texts, left = part.column("bytes").to_pylist(), part.column("left").to_numpy()
+            size = np.array([len(t) for t in texts], np.int64)
+            begin = np.cumsum(size) - size
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            for low in range(0, LEFT + 1, RANGE):
+                high = min(low + RANGE - 1, LEFT)
+                has = np.flatnonzero((left >= low) & (size - left >= SPAN - high))
+                anchor = begin[has] + left[has]
+                core = span_hashes(data, anchor - low, anchor - high + SPAN)
+                bucket = mix(core ^ part.column("h").to_numpy()[has].view(np.uint64) ^ mix(np.array([low], np.uint64)))
+                before = np.minimum(left[has], high)
+                end = np.minimum(anchor - low + SPAN, begin[has] + size[has])
+                cut = [data[a:b].tobytes() for a, b in zip((anchor - before).tolist(), end.tolist(), strict=True)]
+                take = pa.array(has)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), part.column("h").take(take), part.column("c").take(take), pa.array(before), pa.array(cut, pa.binary())], ["bucket", "h", "c", "left", "bytes"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c, before, w): the hash of each window of each surrounding."""
+    """(bucket, h, c, before, w): the hash of each window."""
     for batch in batches:
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
@@ -196,7 +221,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shift = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
             hashes = gram_hashes(np.frombuffer(b"".join(texts), np.uint8), SPAN)[(np.cumsum(size) - size)[owner] + shift] if len(owner) else np.zeros(0, np.uint64)
             spread = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([part.column("h").take(spread), part.column("c").take(spread), pa.array(part.column("left").to_numpy()[owner] - shift), pa.array(hashes.view(np.int64))], ["h", "c", "before", "w"])
+            yield pa.RecordBatch.from_arrays([*(part.column(n).take(spread) for n in ("bucket", "h", "c")), pa.array(part.column("left").to_numpy()[owner] - shift), pa.array(hashes.view(np.int64))], ["bucket", "h", "c", "before", "w"])
 
 
 def covered(docs: DataFrame) -> DataFrame:
@@ -209,10 +234,16 @@ def covered(docs: DataFrame) -> DataFrame:
     wanted = mixed.groupBy("k").agg(F.collect_list(F.struct("h", "c", "p", "big")).alias("met"))  # as many as the text has anchors
     around = materialize(surroundings(docs, wanted))
     kind = "h long, c long, lo long, hi long"
-    small = around.where("not big").select("h", "c", "left", "bytes").repartition("h").sortWithinPartitions("h").mapInArrow(_refined, kind)
-    each = around.where("big").select("h", "c", "left", "bytes").mapInArrow(_windows, "h long, c long, before long, w long")
-    twice = each.groupBy("h", "before", "w").agg(F.count("*").alias("n")).where("n > 1").select("h", "before", "w")
-    large = each.join(twice, ["h", "before", "w"]).groupBy("h", "c").agg(F.max("before").alias("lo"), (SPAN - F.min("before")).alias("hi"))
+    row = "bucket long, h long, c long, left long, bytes binary"
+    plain = around.where("not big").select(F.col("h").alias("bucket"), "h", "c", "left", "bytes")
+    split = around.where("big").select("h", "c", "left", "bytes").mapInArrow(_ranges, row)
+    sizes = split.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    split = materialize(split.join(sizes, "bucket"))
+    together = plain.unionByName(split.where(F.col("n") <= BUCKET).drop("n"))
+    small = together.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined, kind)
+    each = split.where(F.col("n") > BUCKET).drop("n").mapInArrow(_windows, "bucket long, h long, c long, before long, w long")
+    twice = each.groupBy("bucket", "before", "w").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "before", "w")
+    large = each.join(twice, ["bucket", "before", "w"]).groupBy("h", "c").agg(F.max("before").alias("lo"), (SPAN - F.min("before")).alias("hi"))
     whole = classes.where("n > 1").select("h", "c", F.expr(_PARTS["left"]).alias("lo"), F.expr(_PARTS["right"]).alias("hi")).where(F.col("lo") + F.col("hi") >= SPAN)
     extent = whole.unionByName(small).unionByName(large).groupBy("h", "c").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     runs = repeated.join(extent, ["h", "c"]).select("k", (F.expr(_PARTS["place"]) - F.col("lo")).alias("s"), (F.expr(_PARTS["place"]) + F.col("hi")).alias("e"))
