@@ -21,8 +21,8 @@ from .common import materialize
 from .vectors import matrices, packed, unpacked
 
 SCALE, K, QUERY_STEP = 1024, 10, 100
-#: Rows that serve as pivots (all are sent to every task), rows of a slab, rows of a chunk.
-PIVOTS, SLAB, CHUNK = 48, 1 << 16, 128
+#: Rows that serve as pivots (all are sent to every task), least and most rows of a slab, rows of a chunk.
+PIVOTS, SLAB, CHUNK = 48, (1 << 13, 1 << 16), 128
 #: Sums of whole numbers below this are exact in double precision.
 _EXACT = float(1 << 53)
 
@@ -133,7 +133,7 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP) -> DataFrame
     common = rows.groupBy("dims").count().orderBy(F.desc("count"), "dims").first()
     rows = rows.where(F.col("dims") == (common["dims"] if common else 0))
     n = rows.count()
-    slabs = max(1, -(-n // SLAB))
+    slabs = max(1, -(-n // min(SLAB[1], max(SLAB[0], n // 64))))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "v").limit(PIVOTS).collect()
     pivot_ids = np.array([r["vec_id"] for r in chosen], np.int64)
     shared = rows.sparkSession.sparkContext.broadcast((pivot_ids, unpacked([bytes(r["v"]) for r in chosen], np.int64) if chosen else np.zeros((0, 1), np.int64)))
