@@ -28,7 +28,7 @@ from .common import BYTE_KEYS, _powers, materialize, mix, span_hashes, text_slic
 SPAN, GRAM = 200, 64
 LEFT = SPAN - GRAM
 STEPS = (25, 50, 100)
-BUCKET = 4096
+BUCKET = 512
 #: Windows in a range, where a large bucket is split.
 RANGE = 17
 #: Surroundings that a task refines at once.
