@@ -1,15 +1,477 @@
-"""All registered queries of the library."""
+"""All registered queries of the library, each beside the SQL it equals."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import dates, numbers, text
+from ..operators import changes, documents, lookup, order, purchase, state, tax
+from ..sources.files import scan, table
+from .proxies import LINES_SQL, headers, lines
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Header sums and modes for the oracle; whole numbers of ten-thousandths keep sums exact.
+HEADERS_SQL = f"""with {LINES_SQL}, sums as (
+  select invoice, sum(cast(qty * price as decimal(20,4)) * cast(pct as decimal(6,2))) as v, sum(base) as b, count(*) as filled,
+    sum(case when pct > 0 then 1 else 0 end) as rated,
+    sum(case when vat > 0 then cast(vat as decimal(24,6)) else cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2)) end) as e
+  from amounts group by invoice
+), h as (
+  select o_orderkey as invoice, b, coalesce(filled, 0) as filled, coalesce(rated, 0) as rated, coalesce(e, 0) as e, coalesce(b, 0) as bases,
+    cast(round(cast(v as decimal(30,6)) * case o_orderkey % 4 when 0 then cast(1 as decimal(6,4)) when 1 then cast(1.0005 as decimal(6,4)) when 2 then cast(1.05 as decimal(6,4)) end * cast(0.01 as decimal(3,2)), 2) as decimal(18,2)) as hv,
+    case when o_orderkey % 5 <> 0 then cast(round(b, 2) as decimal(18,2)) end as sub
+  from orders left join sums on o_orderkey = invoice
+), m as (
+  select *, case when coalesce(hv, 0) <= 0 and rated = 0 then 'header' when coalesce(hv, 0) <= 0 then 'line' when rated = 0 then 'header'
+    when abs(e - hv) <= greatest(0.02, hv * 0.001) then 'line' when filled = 1 then 'header' else 'mixed' end as mode from h
+), rates as (
+  select invoice, pct, sum(cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2))) as s,
+    sum(case when vat > 0 then cast(vat as decimal(24,6)) else cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2)) end) as e
+  from amounts where pct > 0 group by all
+), split as (
+  select r.invoice, r.pct, cast(round(case when m.mode = 'line' then r.e when m.hv > 0 and count(*) over (partition by r.invoice) = 1 then m.hv else r.s end, 2) as decimal(18,2)) as amount
+  from rates r join m on r.invoice = m.invoice
+)"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _doubles(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.col(n).cast("double") for n in names})
+
+
+# Taxes and totals
+
+
+@query("invoice_totals", HEADERS_SQL + """ select m.invoice, m.mode, cast(tb as double) as base, cast(tv as double) as vat, cast(tb + tv as double) as total,
+  cast(round(coalesce(case when sub > 0 then cast(sub as decimal(24,4)) end, bases) + coalesce(hv, 0), 2) as double) as total_stated,
+  m.mode <> 'header' and coalesce(sub, 0) > 0 and abs(sub - bases) > greatest(0.02, sub * 0.001) as base_differs
+from (select m.*, cast(round(case when mode = 'header' and coalesce(sub, 0) > 0 then sub else bases end, 2) as decimal(18,2)) as tb,
+  cast(case when mode = 'line' then round(e, 2) else coalesce(a, hv, 0) end as decimal(18,2)) as tv
+  from m left join (select invoice, sum(amount) as a from split group by 1) x on m.invoice = x.invoice) m""")
+def invoice_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _doubles(tax.totals(lines(spark, d), headers(spark, d)), "base", "vat", "total", "total_stated")
+
+
+@query("tax_mode_counts", HEADERS_SQL + " select mode, count(*) as invoices from m group by mode")
+def tax_mode_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tax.modes(lines(spark, d), headers(spark, d)).groupBy("mode").agg(F.count("*").alias("invoices"))
+
+
+@query("vat_breakdown_by_rate", HEADERS_SQL + " select invoice, cast(pct as double) as pct, cast(amount as double) as amount from split")
+def vat_breakdown_by_rate(spark: SparkSession, d: str) -> DataFrame:
+    return _doubles(tax.breakdown(lines(spark, d), headers(spark, d)), "pct", "amount")
+
+
+@query("inflated_amount_repair", f"""with {LINES_SQL}, h as (select invoice, cast(round(max(price), 2) as decimal(18,2)) as sub from lines group by 1)
+select l.invoice, l.pos, cast(case when qty * price > cap and price <= cap then 1 when qty * price > cap and qty > cap then null else qty end as double) as new_qty,
+  cast(case when qty * price > cap and price > cap and qty <= cap then round(sub / qty, 2) when qty * price > cap and price > cap then null else price end as double) as new_price
+from (select l.*, sub, cast(sub * 1.001 + 0.02 as decimal(24,6)) as cap from lines l join h on l.invoice = h.invoice) l""")
+def inflated_amount_repair(spark: SparkSession, d: str) -> DataFrame:
+    li = lines(spark, d)
+    made = tax.repair_inflated(li, li.groupBy("invoice").agg(F.max("price").cast("decimal(18,2)").alias("subtotal")))
+    return _doubles(made.select("invoice", "pos", "new_qty", "new_price"), "new_qty", "new_price")
+
+
+@query("invoice_collapse", f"with {LINES_SQL} select invoice, 1 as qty, cast(sum(base) as double) as price, count(*) as collapsed from amounts group by invoice")
+def invoice_collapse(spark: SparkSession, d: str) -> DataFrame:
+    made = tax.line_amounts(lines(spark, d)).groupBy("invoice").agg(F.lit(1).alias("qty"), F.sum("base").cast("double").alias("price"), F.count("*").alias("collapsed"))
+    return made
+
+
+@query("qty_price_derivation", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(case when l_linenumber % 3 = 2 then 1 else l_quantity end as double) as qty,
+  case when l_linenumber % 3 <> 1 then l_extendedprice else (2 * 10000 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint)) // (2 * cast(l_quantity as bigint)) / 1000000.0 end as price from lineitem""")
+def qty_price_derivation(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem")
+    k = F.col("l_linenumber") % 3
+    net = F.col("l_extendedprice").cast("decimal(20,2)")
+    qty, price = numbers.quantity_and_price(F.when(k != 2, F.col("l_quantity").cast("decimal(20,2)")), F.when(k == 0, net), net)
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", qty.cast("double").alias("qty"), price.cast("double").alias("price"))
+
+
+# Numbers, dates and texts
+
+_STYLES = """case l_orderkey % 3 when 0 then {v} when 1 then replace({v}, '.', ',')
+  else concat(cast(floor(l_extendedprice / 1000) as bigint), '.', lpad(cast(cast(floor(l_extendedprice) as bigint) % 1000 as string), 3, '0'), ',', substring({v}, length({v}) - 1, 2)) end"""
+
+
+@query("amount_parse_loose", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice as amount from lineitem where l_extendedprice >= 1000")
+def amount_parse_loose(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "lineitem").where("l_extendedprice >= 1000")
+    shown = F.expr(_STYLES.format(v="cast(cast(l_extendedprice as decimal(12,2)) as string)"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", numbers.loose_amount(shown).cast("double").alias("amount"))
+
+
+@query("amount_parse", "select o_orderkey, case when o_orderkey % 7 = 0 then null else o_totalprice end as amount from orders")
+def amount_parse(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.replace(F.col("o_totalprice").cast("decimal(14,2)").cast("string"), F.lit("."), F.lit(","))
+    return table(spark, d, "orders").select("o_orderkey", numbers.amount(F.when(F.col("o_orderkey") % 7 == 0, F.concat(shown, F.lit("x"))).otherwise(shown)).cast("double").alias("amount"))
+
+
+@query("amount_format", """select o_orderkey, replace(regexp_replace(regexp_replace(cast(cast(o_totalprice as decimal(14,2)) as varchar), '0+$', ''), '\\.$', ''), '.', ',') as screen,
+  cast(cast(o_totalprice as decimal(14,2)) as varchar) as csv from orders""")
+def amount_format(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("o_totalprice").cast("decimal(14,2)")
+    return table(spark, d, "orders").select("o_orderkey", numbers.for_screen(v).alias("screen"), numbers.for_csv(v, True).alias("csv"))
+
+
+@query("vat_rate", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_tax, 4) as double) + 0.0 as rate from lineitem where l_tax > 0")
+def vat_rate(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.concat(F.replace((F.col("l_tax") * 100).cast("decimal(6,1)").cast("string"), F.lit("."), F.lit(",")), F.lit(" %"))
+    return table(spark, d, "lineitem").where("l_tax > 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(numbers.rate(shown).cast("double"), 4).alias("rate"))
+
+
+@query("date_normalise", "select o_orderkey, case when o_orderkey % 5 = 4 then '31/02/2020' else strftime(o_orderdate, '%d/%m/%Y') end as screen, case when o_orderkey % 5 = 4 then null else strftime(o_orderdate, '%Y-%m-%d') end as iso from orders")
+def date_normalise(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 5
+    shown = F.when(k == 0, F.date_format("o_orderdate", "d/M/yyyy")).when(k == 1, F.date_format("o_orderdate", "dd-MM-yyyy")).when(k == 4, "31/02/2020").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, d, "orders").select("o_orderkey", dates.for_screen(shown).alias("screen"), dates.iso(shown).alias("iso"))
+
+
+@query("docnum_normalise", "select o_orderkey, lpad(cast(o_orderkey % 90000 as varchar), 5, '0') || '-' || lpad(cast(o_orderkey as varchar), 8, '0') as number from orders")
+def docnum_normalise(spark: SparkSession, d: str) -> DataFrame:
+    a, b = (F.col("o_orderkey") % 90000).cast("string"), F.col("o_orderkey").cast("string")
+    shown = F.when(F.col("o_orderkey") % 2 == 0, F.concat(a, F.lit(" - "), b)).otherwise(F.concat(F.lpad(a, 5, "0"), F.lpad(b, 8, "0")))
+    return table(spark, d, "orders").select("o_orderkey", text.document_number(shown).alias("number"))
+
+
+@query("doctype_label", "select o_orderkey, case o_orderkey % 4 when 0 then 'FACTURAS A' when 1 then 'FACTURAS B' when 2 then 'FACTURAS C' else 'OC-X' end as label from orders")
+def doctype_label(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    return table(spark, d, "orders").select("o_orderkey", text.document_type(F.when(k == 0, " factura  a").when(k == 1, "Facturas B").when(k == 2, "c").otherwise("remito")).alias("label"))
+
+
+@query("text_normalise", """select doc_id, coalesce(trim(regexp_replace(text, '[\\s\\v\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g')), '') as clean from documents""")
+def text_normalise(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("clean"))
+
+
+@query("digits_only", "select c_custkey, regexp_replace(c_name, '[^0-9]', '', 'g') as digits, upper(c_mktsegment) as folded from customer")
+def digits_only(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", text.digits(F.col("c_name")).alias("digits"), text.accent_fold(F.translate("c_mktsegment", "AEIOU", "ÁÉÍÓÚ")).alias("folded"))
+
+
+@query("qty_um_from_text", "select p_partkey, cast(p_size as varchar) || '.5' as qty, case p_partkey % 3 when 0 then 'kg' when 1 then 'l' else 'un' end as unit from part")
+def qty_um_from_text(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.concat(F.lit("Caja x "), F.col("p_size").cast("string"), F.lit(",5 "), F.when(F.col("p_partkey") % 3 == 0, "Kilos").when(F.col("p_partkey") % 3 == 1, "lts").otherwise("unidades"), F.lit(" de "), F.col("p_name"))
+    qty, unit = text.quantity_and_unit(shown)
+    return table(spark, d, "part").select("p_partkey", qty.alias("qty"), unit.alias("unit"))
+
+
+@query("ocr_repair", "select p_partkey, upper(p_name) as name from part")
+def ocr_repair(spark: SparkSession, d: str) -> DataFrame:
+    spoiled = F.array_join(F.transform(F.split(F.upper("p_name"), " "), lambda w: F.when((F.length(w) >= 4) & w.rlike("^[A-Z]+$"), F.regexp_replace(w, "^([^O]*)O([^O]*)$", "$10$2")).otherwise(w)), " ")
+    return table(spark, d, "part").select("p_partkey", text.repair_scan(spoiled).alias("name"))
+
+
+@query("desc_tokens", "select p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(upper(p_name || '/' || p_type), '[\\s/\\-]+'), lambda w: length(w) >= 3))), ' ') as tokens from part")
+def desc_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.array_sort(text.tokens(F.concat_ws("/", "p_name", "p_type"))), " ").alias("tokens"))
+
+
+# Order
+
+
+@query("line_running_number", f"with {LINES_SQL} select invoice, pos, l_partkey, l_suppkey from lines")
+def line_running_number(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).select("invoice", "pos", "l_partkey", "l_suppkey")
+
+
+@query("first_content_line", f"with {LINES_SQL} select invoice, min(pos) as first_pos from lines where l_returnflag <> 'N' group by invoice")
+def first_content_line(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).where("l_returnflag <> 'N'").groupBy("invoice").agg(F.min("pos").alias("first_pos"))
+
+
+_MASKED = f"with {LINES_SQL}, masked as (select invoice, pos, case when pos % 3 = 1 then cast(l_suppkey as varchar) else '' end as partner, case when pos = 0 then cast(invoice as varchar) else '' end as number from lines)"
+
+
+def _masked(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).select("invoice", "pos", F.when(F.col("pos") % 3 == 1, F.col("l_suppkey").cast("string")).otherwise("").alias("partner"), F.when(F.col("pos") == 0, F.col("invoice").cast("string")).otherwise("").alias("number"))
+
+
+@query("fill_prev", _MASKED + " select invoice, pos, coalesce(last_value(nullif(partner, '') ignore nulls) over (partition by invoice order by pos rows unbounded preceding), '') as partner from masked")
+def fill_prev(spark: SparkSession, d: str) -> DataFrame:
+    m = _masked(spark, d).withColumn("part", F.col("invoice"))
+    return order.fill_from_previous(m, ["partner"], "invoice", "number", ["part"], ["pos"]).select("invoice", "pos", "partner")
+
+
+@query("fill_first", _MASKED + " select invoice, pos, coalesce(nullif(number, ''), first_value(number) over (partition by invoice order by pos), '') as number from masked")
+def fill_first(spark: SparkSession, d: str) -> DataFrame:
+    return order.fill_from_first(_masked(spark, d), ["number"], ["invoice"], ["pos"]).select("invoice", "pos", "number")
+
+
+@query("fill_any", _MASKED + ", one as (select invoice, arg_min(partner, pos) as p from masked where partner <> '' group by invoice) select m.invoice, m.pos, coalesce(p, '') as partner from masked m left join one on m.invoice = one.invoice")
+def fill_any(spark: SparkSession, d: str) -> DataFrame:
+    return order.spread_first_filled(_masked(spark, d), ["partner"], ["invoice"], ["pos"]).select("invoice", "pos", "partner")
+
+
+@query("islands", """with f as (select *, case when lag(event_type) over w = event_type then 0 else 1 end as fresh from events window w as (partition by user_id order by ts, event_id))
+select event_id, user_id, event_type, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as island from f""")
+def islands(spark: SparkSession, d: str) -> DataFrame:
+    return order.islands(table(spark, d, "events"), "event_type", ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "event_type", "island")
+
+
+@query("greedy_one_to_one", f"with {LINES_SQL} select invoice, pos, case when row_number() over (partition by invoice, l_suppkey % 3 order by pos) = 1 then l_suppkey % 3 end as target from lines")
+def greedy_one_to_one(spark: SparkSession, d: str) -> DataFrame:
+    li = lines(spark, d).select("invoice", "pos", (F.col("l_suppkey") % 3).alias("target"))
+    return order.one_to_one(li, "target", ["invoice"], ["pos"])
+
+
+@query("registry_latest_per_partner", "select o_custkey, o_orderkey, o_orderdate, n_name from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where r = 1")
+def registry_latest_per_partner(spark: SparkSession, d: str) -> DataFrame:
+    one = order.first_per_key(table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+    named = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return one.join(named, F.col("o_custkey") == F.col("c_custkey")).select("o_custkey", "o_orderkey", "o_orderdate", "n_name")
+
+
+# Lookups
+
+
+@query("lookup_first_wins", "select s_suppkey, (select min(c_custkey) from customer where c_nationkey = s_nationkey) as found from supplier")
+def lookup_first_wins(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("k"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("k"))
+    return lookup.exact(s, c, "k", {"c_custkey": "found"}, ["c_custkey"]).select("s_suppkey", "found")
+
+
+@query("lookup_last_wins", "select s_suppkey, (select max(c_custkey) from customer where c_nationkey = s_nationkey) as found from supplier")
+def lookup_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("k"))
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("k"))
+    return lookup.exact(s, c, "k", {"c_custkey": "found"}, [F.desc("c_custkey")]).select("s_suppkey", "found")
+
+
+@query("account_resolution", """with a as (select distinct 1000 + cast(regexp_extract(p_brand, '[0-9]+') as integer) as id, regexp_extract(p_brand, '[0-9]+') as code, upper(p_brand) as name from part)
+select p_partkey, coalesce((select max(id) from a where name = upper(p_brand)), (select max(id) from a where code = cast(p_size as varchar))) as account_id from part""")
+def account_resolution(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    code = F.regexp_extract("p_brand", "[0-9]+", 0)
+    accounts = p.select((code.cast("int") + 1000).alias("id"), code.alias("code"), F.col("p_brand").alias("name")).distinct()
+    probe = p.select("p_partkey", F.concat_ws(" ", F.col("p_size").cast("string"), "p_brand").alias("label"))
+    return lookup.account(probe, "label", accounts).select("p_partkey", "account_id")
+
+
+@query("fuzzy_top1", """with t as (select n_nationkey as id, upper(n_name) as r from nation), q as (select n_nationkey as key, upper(n_name) || 'X' as q from nation),
+s as (select key, id, round(100.0 * (1 - levenshtein(q, r) / cast(greatest(length(q), length(r)) as double)), 4) as score from q, t)
+select key, id, score from s where score >= 65 qualify row_number() over (partition by key order by score desc, id) = 1""")
+def fuzzy_top1(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "nation")
+    probe = n.select(F.col("n_nationkey").alias("key"), F.concat("n_name", F.lit("x")).alias("name"))
+    return lookup.best_match(probe, "key", "name", n, "n_nationkey", "n_name", 65.0, block=0)
+
+
+@query("partner_hierarchy", "select c_custkey, r_name as head from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey")
+def partner_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    region = table(spark, d, "region").select("r_regionkey", F.col("r_name").alias("head"))
+    up = table(spark, d, "nation").join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    return table(spark, d, "customer").join(up, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "head")
+
+
+# Process documents
+
+_USED = "o_orderkey % 10 <> 3"
+
+
+def _processes(spark: SparkSession, d: str) -> DataFrame:
+    item = F.struct(F.col("l_returnflag").alias("descripcion"), F.col("qty").cast("string").alias("cantidad"), F.col("price").cast("string").alias("precio_unitario"))
+    items = lines(spark, d).groupBy("invoice").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("i")))), lambda x: x["i"]).alias("items"))
+    j = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("invoice"), "left")
+    f = F.struct(F.struct(F.struct(F.col("o_orderkey").cast("string").alias("numero_factura"), F.struct(F.col("o_custkey").cast("string").alias("cuit")).alias("proveedor"), F.coalesce("items", F.array().cast("array<struct<descripcion:string,cantidad:string,precio_unitario:string>>")).alias("items")).alias("factura")).alias("json"))
+    doc = F.to_json(F.struct(F.array(f).alias("facturas")))
+    k = F.col("o_orderkey") % 10
+    twice = F.regexp_extract(F.to_json(F.struct(doc.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return j.select(F.col("o_orderkey").alias("process"), F.when(k == 1, twice).when((k == 3) & (F.col("o_orderkey") % 20 == 3), " ").when(k == 3, '["x"').otherwise(doc).alias("json_data"))
+
+
+@query("process_json_lines", f"""with {LINES_SQL} select o_orderkey as process, 0 as invoice, cast(coalesce(pos, 0) as integer) as line, cast(o_orderkey as varchar) as number, cast(o_custkey as varchar) as cuit, l_returnflag as description,
+  cast(qty as varchar) as quantity, cast(price as varchar) as price from orders left join lines on lines.invoice = o_orderkey where {_USED}""")
+def process_json_lines(spark: SparkSession, d: str) -> DataFrame:
+    return documents.lines(_processes(spark, d))
+
+
+@query("json_rejects", "select o_orderkey as process, case when o_orderkey % 20 = 3 then 'blank' else 'not an object' end as reason from orders where o_orderkey % 10 = 3")
+def json_rejects(spark: SparkSession, d: str) -> DataFrame:
+    return documents.rejects(_processes(spark, d))
+
+
+@query("json_props", "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("event_id", F.from_json("props", "k BIGINT")["k"].alias("k"))
+
+
+# Purchase orders
+
+
+@query("po_recent_lines", "with o as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as r from orders) select o_custkey as partner, o_orderkey as \"order\", l_linenumber, l_partkey, l_suppkey, l_quantity from o join lineitem on l_orderkey = o_orderkey where r <= 12")
+def po_recent_lines(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("partner"), F.col("o_orderdate").alias("date"))
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("order"), "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return purchase.recent_lines(o, li).select("partner", "order", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+
+
+@query("po_basket_rank", """with n as (select l_orderkey as o, l_suppkey as partner, p_name as name, row_number() over (partition by l_orderkey, l_suppkey order by l_partkey, l_linenumber, l_extendedprice, l_shipdate) as line from lineitem join part on p_partkey = l_partkey where l_suppkey <= 40),
+met as (select i.o as invoice, p.o as po, i.line, max(round(100.0 * (1 - levenshtein(upper(i.name), upper(p.name)) / cast(greatest(length(i.name), length(p.name)) as double)), 4)) as s from n i join n p on i.partner = p.partner where i.o % 40 = 0 and p.o % 40 = 1 group by 1, 2, 3),
+e as (select invoice, po, sum(case when s >= 70 then 1 else 0 end) as matched, cast(round(coalesce(sum(case when s >= 70 then cast(s as decimal(12,4)) end), 0), 1) as double) as score from met group by 1, 2)
+select invoice, po as "order", cast(matched as bigint) as matched, score, row_number() over (partition by invoice order by matched desc, score desc, po) as nth from e""")
+def po_basket_rank(spark: SparkSession, d: str) -> DataFrame:
+    li = table(spark, d, "lineitem").where("l_suppkey <= 40").join(table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("name")), F.col("p_partkey") == F.col("l_partkey"))
+    li = order.numbered(li, ["l_orderkey", "l_suppkey"], ["l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate"], "line", 1)
+    invoices = li.where("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("invoice"), F.col("l_suppkey").alias("partner"), "line", "name")
+    orders = li.where("l_orderkey % 40 = 1").select(F.col("l_orderkey").alias("order"), F.col("l_suppkey").alias("partner"), F.col("line").alias("po_line"), "name")
+    return purchase.basket_rank(invoices, orders)
+
+
+@query("uom_convert", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_linenumber % 3 when 0 then l_quantity * 1000 when 1 then l_quantity / 1000 end as converted from lineitem")
+def uom_convert(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_linenumber") % 3
+    f, t = F.when(k == 1, 1000).otherwise(1).cast("decimal(8,2)"), F.when(k == 0, 1000).otherwise(1).cast("decimal(8,2)")
+    made = purchase.converted(F.col("l_quantity").cast("decimal(12,2)"), f, t, F.lit("weight"), F.when(k == 2, "volume").otherwise("weight"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", made.cast("double").alias("converted"))
+
+
+# Plans of changes
+
+
+@query("positional_join", f"with {LINES_SQL}, o as (select *, row_number() over (partition by invoice order by l_suppkey, pos) - 1 as r from lines where l_returnflag <> 'N') select l.invoice, l.pos, l.l_partkey as have, o.l_partkey as want from lines l join o on o.invoice = l.invoice and o.r = l.pos")
+def positional_join(spark: SparkSession, d: str) -> DataFrame:
+    li = lines(spark, d).select("invoice", "pos", "l_partkey", "l_suppkey", "l_returnflag").withColumnRenamed("pos", "at")
+    want = li.where("l_returnflag <> 'N'").select("invoice", "at", "l_suppkey", F.col("l_partkey").alias("want"))
+    return changes.by_position(li.select("invoice", "at", F.col("l_partkey").alias("have")), want, ["invoice"], [F.col("at")], ["l_suppkey", "at"]).select("invoice", "pos", "have", "want")
+
+
+@query("tax_line_diff", f"with {LINES_SQL}, w as (select invoice, pct, sum(base) as v from amounts group by all), p as (select invoice, pct, sum(case when pos = 0 then base - 1 else base end) as v from amounts group by all) select w.invoice, cast(w.pct as double) as pct, cast(w.v as double) as amount, cast(p.v as double) as present from w join p on w.invoice = p.invoice and w.pct = p.pct where abs(w.v - p.v) > 0.02")
+def tax_line_diff(spark: SparkSession, d: str) -> DataFrame:
+    li = tax.line_amounts(lines(spark, d))
+    want = li.groupBy("invoice", "pct").agg(F.sum("base").alias("amount"))
+    have = li.groupBy("invoice", "pct").agg(F.sum(F.when(F.col("pos") == 0, F.col("base") - 1).otherwise(F.col("base"))).alias("amount"))
+    return _doubles(changes.differing(want, have, ["invoice", "pct"], "amount", "0.02"), "pct", "amount", "present")
+
+
+@query("missing_tax_lines", f"with {LINES_SQL} select distinct invoice, cast(pct as double) as pct from lines where (invoice, pct) not in (select (invoice, pct) from lines where pos < 2)")
+def missing_tax_lines(spark: SparkSession, d: str) -> DataFrame:
+    li = lines(spark, d)
+    return _doubles(changes.missing(li.select("invoice", "pct").distinct(), li.where("pos < 2"), ["invoice", "pct"]), "pct")
+
+
+@query("anti_repair", "select o_orderkey, case when c_custkey is not null then o_custkey end as partner, c_custkey is null as cleared from orders left join (select c_custkey from customer where c_acctbal > 0) on c_custkey = o_custkey")
+def anti_repair(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("partner"))
+    return changes.clear_unknown(o, "partner", scan(table(spark, d, "customer"), [("c_acctbal", ">", 0)], ["c_custkey"]), "c_custkey").select("o_orderkey", "partner", "cleared")
+
+
+@query("source_diff", "select coalesce(c, s) as nation, case when c is null then 'right' when s is null then 'left' else 'both' end as side from (select distinct c_nationkey as c from customer where c_nationkey < 20) full join (select distinct s_nationkey as s from supplier where s_nationkey > 4) on c = s")
+def source_diff(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("nation"))
+    b = table(spark, d, "supplier").where("s_nationkey > 4").select(F.col("s_nationkey").alias("nation"))
+    return changes.key_sets(a, b, "nation")
+
+
+@query("header_diff_plan", "select o_orderkey, case when o_orderkey % 3 = 0 then 'F' || o_orderstatus end as status, case when o_orderkey % 4 = 0 then o_custkey + 1 end as partner from orders where o_orderkey % 3 = 0 or o_orderkey % 4 = 0")
+def header_diff_plan(spark: SparkSession, d: str) -> DataFrame:
+    k, s, c = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_custkey")
+    pairs = {"status": (F.when(k % 3 == 0, F.concat(F.lit("F"), s)).otherwise(s), s), "partner": (F.when(k % 4 == 0, c + 1).otherwise(c), c)}
+    return changes.changed_fields(table(spark, d, "orders"), pairs).select("o_orderkey", "status", "partner")
+
+
+@query("merge_changes", "select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, coalesce(a.o_totalprice, b.o_totalprice + 1) as price, coalesce(a.o_custkey, b.o_custkey) as partner from (select * from orders where o_orderkey % 2 = 0) a full join (select * from orders where o_orderkey % 3 = 0) b on a.o_orderkey = b.o_orderkey")
+def merge_changes(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    a = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("partner"))
+    b = o.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("price"), F.col("o_custkey").alias("partner"))
+    return changes.merged(a, b, "o_orderkey", ["price", "partner"])
+
+
+@query("origin_concat", f"with {LINES_SQL}, d as (select invoice, l_returnflag as f, min(pos) as p from lines group by 1, 2) select invoice, string_agg(f, ', ' order by p) as origin from d group by invoice")
+def origin_concat(spark: SparkSession, d: str) -> DataFrame:
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("pos", "l_returnflag"))), lambda x: x["l_returnflag"])
+    return lines(spark, d).groupBy("invoice").agg(F.array_join(F.array_distinct(seen), ", ").alias("origin"))
+
+
+@query("row_violations", f"with {LINES_SQL} select invoice, arg_min(e, pos) as error from (select invoice, pos, case when pct = 0 then 'no rate' when qty > 49 then 'quantity' when vat is not null then 'explicit tax' end as e from lines) where e is not null group by invoice")
+def row_violations(spark: SparkSession, d: str) -> DataFrame:
+    rules = [("no rate", F.col("pct") == 0), ("quantity", F.col("qty") > 49), ("explicit tax", F.col("vat").isNotNull())]
+    found = lines(spark, d).withColumn("error", F.coalesce(*[F.when(bad, name) for name, bad in rules])).where("error is not null")
+    return found.groupBy("invoice").agg(F.min_by("error", "pos").alias("error"))
+
+
+# State
+
+_LATEST = "select user_id, event_type, event_id, value from events {where} qualify row_number() over (partition by user_id, event_type order by ts desc, event_id desc) = 1"
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").select("user_id", "event_type", "event_id", "value", "ts")
+
+
+@query("latest_conversion", _LATEST.format(where=""))
+def latest_conversion(spark: SparkSession, d: str) -> DataFrame:
+    return state.latest(_events(spark, d), ["user_id", "event_type"], "ts", "event_id").drop("ts")
+
+
+@query("upsert_state", _LATEST.format(where="where event_id % 5 <> 0"))
+def upsert_state(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return state.upsert(e.where("event_id % 5 = 1"), e.where("event_id % 5 > 1"), ["user_id", "event_type"], "ts", "event_id").drop("ts")
+
+
+@query("delete_state", "select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'error' and event_id % 97 = 0)")
+def delete_state(spark: SparkSession, d: str) -> DataFrame:
+    e = _events(spark, d)
+    return state.delete(e, e.where("event_type = 'error' and event_id % 97 = 0"), ["user_id"]).select("event_id", "user_id")
+
+
+@query("insert_if_absent", "select c_custkey as id from customer union select s_suppkey from supplier")
+def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
+    return state.insert_absent(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), ["id"])
+
+
+@query("autosave_sessions", """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 1 hour then 0 else 1 end as fresh from events),
+s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as n from g)
+select user_id, max(ts) + interval 1 hour as saved_at, count(*) as edits, arg_max(value, (ts, event_id)) as value from s group by user_id, n""")
+def autosave_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return state.quiet_sessions(_events(spark, d), "user_id", "ts", "1 hour", "value", "event_id")
+
+
+# Catalogues
+
+
+@query("catalog_clean", "select distinct p_name as name, p_brand as brand from part where trim(p_name) <> ''")
+def catalog_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")).where("trim(name) <> ''").distinct()
+
+
+@query("option_search", "select p_partkey, p_name from part where lower(p_name) like '%a%' order by p_partkey limit 50")
+def option_search(spark: SparkSession, d: str) -> DataFrame:
+    return scan(table(spark, d, "part"), [("p_name", "like", "a")], ["p_partkey", "p_name"]).orderBy("p_partkey").limit(50)
+
+
+@query("count_distinct_registry", "select count(*) as n, count(distinct trim(p_name)) as names, count(distinct p_brand) as brands from part")
+def count_distinct_registry(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").agg(F.count("*").alias("n"), F.countDistinct(F.trim("p_name")).alias("names"), F.countDistinct("p_brand").alias("brands"))
+
+
+@query("csv_projection", f"with {LINES_SQL} select case when pos = 0 then cast(invoice as varchar) else '' end as number, cast(qty as varchar) as quantity, cast(price as varchar) as price, invoice, pos from lines")
+def csv_projection(spark: SparkSession, d: str) -> DataFrame:
+    return lines(spark, d).select(F.when(F.col("pos") == 0, F.col("invoice").cast("string")).otherwise("").alias("number"), F.col("qty").cast("string").alias("quantity"), numbers.for_csv(F.col("price"), True).alias("price"), "invoice", "pos")
