@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
@@ -149,3 +149,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns; extra columns, whatever they are called, play no part."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """All columns in one, so that columns beside it may have any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, whole_rows
 
 #: Sources with a target of their own; all others share one pool, so that what the driver holds is bounded.
 MAX_SOURCES = 64
@@ -133,5 +133,5 @@ def _plan(spark: SparkSession, rows: list) -> DataFrame:
 def mix(docs: DataFrame, shares: Mapping[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The rows of docs, all columns, range-partitioned and sorted in the order of the schedule."""
     shares = source_shares(docs) if shares is None else shares
-    placed = _placed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), shares, block_docs, "source")
+    placed = _placed(docs, whole_rows(docs), shares, block_docs, "source")
     return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("whole.*")

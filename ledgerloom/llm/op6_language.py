@@ -8,14 +8,14 @@ and the priors are counted over all documents by grouped aggregation; no labels
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, mix, text_slices
+from .common import LOWER, materialize, mix, text_slices, whole_rows
 
 SLOTS = 1 << 14
 #: Languages told apart: the most declared ones; what the driver holds is this times SLOTS counts.
@@ -43,7 +43,7 @@ def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mix(code[place]) % np.uint64(SLOTS)).astype(np.int64), np.searchsorted(place, at)
 
 
-def evidence(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> DataFrame:
+def evidence(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", extra: Sequence[str] = ()) -> DataFrame:
     """id, th, text, declared (a language code or ''), host and suffix of each row."""
     said = F.coalesce(F.regexp_extract(F.lower(F.col(declared)), "^ *([a-z]{2,3})([^a-z].*)?$", 1), F.lit("")) if declared else F.lit("")
     name = F.coalesce(F.lower(F.col(host)), F.lit("")) if host else F.lit("")
@@ -54,6 +54,7 @@ def evidence(docs: DataFrame, text: str = "text", declared: str | None = "lang",
         said.alias("declared"),
         name.alias("host"),
         F.when(name.contains("."), F.substring_index(name, ".", -1)).otherwise(F.lit("")).alias("suffix"),
+        *extra,
     )
 
 
@@ -98,7 +99,7 @@ def text_models(rows: DataFrame, names: list[str]) -> np.ndarray:
 
 
 def scored(rows: DataFrame, names: list[str], models: np.ndarray) -> DataFrame:
-    """id, th, declared, host, suffix, n (trigrams), text_score (array by language) and best (place; null without text)."""
+    """id, th, declared, host, suffix, n (letters), text_score (array by language) and best (place; null without trigrams)."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +113,11 @@ def scored(rows: DataFrame, names: list[str], models: np.ndarray) -> DataFrame:
                 begin = first[:-1][full]
                 for k, model in enumerate(table):
                     score[full, k] = np.add.reduceat(model[slots], begin) / n[full] * np.minimum(n[full], WEIGHT)
+            upto = np.concatenate([[0], np.cumsum(_LETTER[data])])
+            letters = upto[at[1:]] - upto[at[:-1]]
             best = pa.array(score.argmax(1) if len(table) else np.zeros(len(n), np.int64), mask=~full)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(table)), pa.array(score.ravel()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "th", "declared", "host", "suffix")), pa.array(n), lists, best], ["id", "th", "declared", "host", "suffix", "n", "text_score", "best"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "th", "declared", "host", "suffix")), pa.array(letters), lists, best], ["id", "th", "declared", "host", "suffix", "n", "text_score", "best"])
 
     return rows.mapInArrow(run, "id long, th long, declared string, host string, suffix string, n long, text_score array<double>, best long")
 
@@ -130,8 +133,7 @@ def _shares(counts: list[Column], above: list[Column]) -> Column:
 
 def host_priors(rows: DataFrame, n: int) -> DataFrame:
     """host, suffix and prior (array by language)."""
-    known = rows.where("best is not null")
-    own = known.groupBy("host", "suffix").agg(*_counts(n))
+    own = rows.groupBy("host", "suffix").agg(*_counts(n))
     suffixes = own.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(n)])
     all_counts = suffixes.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(n)]).first()
     total = sum(all_counts[k] or 0 for k in range(n)) + n
@@ -153,7 +155,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     """doc_id, th (hash of the text), lang, confidence, declared and kept of each row of docs.
 
     A text without a letter, empty or null ones among them, has no language and is rejected; so is one whose
-    likeliest language has a posterior below LEAST. A null or unusable declaration is none; a null host is ''.
+    likeliest language has a posterior below LEAST. One or two letters have no trigrams: the other evidence decides. A null or unusable declaration is none; a null host is ''.
     Null and repeated ids keep a row each; other columns are not read; an empty table gives no rows. If nothing is
     declared anywhere there are no languages to tell apart and all rows are rejected.
     """
@@ -175,9 +177,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected, unchanged but for lang, which is now the language found."""
-    found = identify(docs).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("th").alias("__th"), F.col("lang").alias("__lang"), F.col("declared").alias("__said"))
-    found = found.dropDuplicates(["__id", "__th", "__said"])
-    said = F.coalesce(F.regexp_extract(F.lower(F.col("lang")), "^ *([a-z]{2,3})([^a-z].*)?$", 1), F.lit(""))
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) == F.col("__id")) & (F.xxhash64("text") == F.col("__th")) & (said == F.col("__said"))
-    joined = docs.join(found, on)
-    return joined.select(*[F.col("__lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    found = identify(docs).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "th", "declared", F.col("lang").alias("found"))
+    rows = evidence(docs.select("doc_id", "text", "lang", "source", whole_rows(docs).alias("whole")), extra=["whole"]).drop("text")
+    joined = rows.join(found.dropDuplicates(["id", "th", "declared"]), ["id", "th", "declared"])
+    return joined.select(*[F.col("found").alias("lang") if c == "lang" else F.col(f"whole.`{c}`") for c in docs.columns])

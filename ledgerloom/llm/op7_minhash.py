@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_hashes, text_slices
+from .common import materialize, mix, shingle_hashes, text_slices, whole_rows
 from .components import components
 
 COORDINATES, MATCHES = 48, 16
@@ -323,8 +323,6 @@ def _named(found: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs that are first, by id and text hash, in their component; repeated rows count once."""
-    first = _named(classes(docs)).where("root is null or struct(id, th) = first").select(F.col("id").alias("__id"), F.col("th").alias("__th")).distinct()
-    key, th = _key()
-    keyed = docs.withColumn("__i", key).withColumn("__t", th)
-    stay = keyed.join(first, (F.col("__i") == F.col("__id")) & (F.col("__t") == F.col("__th")), "left_semi")
-    return stay.dropDuplicates(["__i", "__t"]).select(*[f"`{c}`" for c in docs.columns])
+    first = _named(classes(docs)).where("root is null or struct(id, th) = first").select("id", "th").distinct()
+    stay = docs.select(*_key(), whole_rows(docs).alias("whole")).join(first, ["id", "th"], "left_semi")
+    return stay.dropDuplicates(["id", "th"]).select("whole.*")
