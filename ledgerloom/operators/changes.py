@@ -59,3 +59,33 @@ def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key).distinct().withColumn("l", F.lit(1)), right.select(key).distinct().withColumn("r", F.lit(1))
     side = F.when(F.col("l").isNull(), "right").when(F.col("r").isNull(), "left").otherwise("both")
     return a.join(b, key, "full_outer").select(key, side.alias("side"))
+
+
+def same_bill(bills: DataFrame, present: DataFrame) -> DataFrame:
+    """bill and found: the newest present bill of the partner with the same document number, exactly or but for zeros.
+
+    bills: bill, partner, number; present: id, partner, number, ref. A match of ref comes before one of the number.
+    """
+
+    def bare(c: Column) -> Column:
+        return F.array_join(F.transform(F.split(c, "-"), lambda x: F.regexp_replace(F.trim(x), "^0+(?=.)", "")), "-")
+
+    p = present.select(F.col("id").alias("found"), "partner", F.col("number").alias("__n"), F.col("ref").alias("__r"))
+    rank = F.when(F.col("number") == F.col("__r"), 0).when(bare(F.col("number")) == bare(F.col("__n")), 1)
+    return first_per_key(bills.join(p, "partner").withColumn("rank", rank).where("rank is not null"), ["bill"], ["rank", F.desc("found")]).select("bill", "found", "rank")
+
+
+def missing_maturity(move_lines: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Lines on payable and receivable accounts without a due date; due is their invoice's date."""
+    kinds = accounts.where(F.col("kind").isin("payable", "receivable")).select("account")
+    return move_lines.where("due is null").join(kinds, "account", "left_semi").withColumn("due", F.col("date"))
+
+
+def valid_only(df: DataFrame, reference: str, known: DataFrame, known_id: str) -> DataFrame:
+    return df.join(known.select(F.col(known_id).alias(reference)).distinct(), reference, "left_semi")
+
+
+def ordered_union(first: DataFrame, second: DataFrame, key: str, order: list) -> DataFrame:
+    """Rows of both, one per key; the first table's before the second's, then by order."""
+    both = first.withColumn("__s", F.lit(0)).unionByName(second.withColumn("__s", F.lit(1)))
+    return first_per_key(both, [key], ["__s", *order]).drop("__s")

@@ -80,3 +80,25 @@ def repair_inflated(lines: DataFrame, headers: DataFrame) -> DataFrame:
     qty = F.when(over & (F.col("price") <= cap), F.lit(1)).when(over & (F.col("qty") > cap), None).otherwise(F.col("qty"))
     price = F.when(over & (F.col("price") > cap) & (F.col("qty") <= cap), F.round(F.col("subtotal") / F.col("qty"), 2)).when(over & (F.col("price") > cap), None).otherwise(F.col("price"))
     return j.withColumn("new_qty", qty.cast("decimal(20,2)")).withColumn("new_price", price.cast("decimal(20,2)"))
+
+
+def slot_rows(rows: DataFrame, key: list[str], slots: str) -> DataFrame:
+    """key, slot (from 1), label and amount of the used slots of an array of (label, amount)."""
+    e = rows.select(*key, F.posexplode(slots).alias("p", "x"))
+    return e.select(*key, (F.col("p") + 1).alias("slot"), F.col("x.label").alias("label"), F.col("x.amount").alias("amount")).where("amount > 0")
+
+
+def id_list(*ids: Column) -> Column:
+    """Ids in order, each once, nulls left out, joined by commas."""
+    return F.array_join(F.array_distinct(F.array_compact(F.concat(*ids))), ",")
+
+
+def expected_by_id(lines: DataFrame, headers: DataFrame, slots: DataFrame, rate_ids: DataFrame, label_ids: DataFrame) -> DataFrame:
+    """invoice, tax_id, amount: tax by rate and the slots' amounts under their tax ids, summed, positive ones.
+
+    rate_ids: pct, tax_id; label_ids: label, tax_id; slots: invoice, label, amount. Unknown labels fall away.
+    """
+    by_rate = breakdown(lines, headers).join(rate_ids, "pct").select("invoice", "tax_id", "amount")
+    by_slot = slots.join(label_ids, "label").select("invoice", "tax_id", F.col("amount").cast(D).alias("amount"))
+    both = by_rate.unionByName(by_slot).groupBy("invoice", "tax_id").agg(F.sum("amount").alias("amount"))
+    return both.where("amount > 0")

@@ -475,3 +475,81 @@ def count_distinct_registry(spark: SparkSession, d: str) -> DataFrame:
 @query("csv_projection", f"with {LINES_SQL} select case when pos = 0 then cast(invoice as varchar) else '' end as number, cast(qty as varchar) as quantity, cast(price as varchar) as price, invoice, pos from lines")
 def csv_projection(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select(F.when(F.col("pos") == 0, F.col("invoice").cast("string")).otherwise("").alias("number"), F.col("qty").cast("string").alias("quantity"), numbers.for_csv(F.col("price"), True).alias("price"), "invoice", "pos")
+
+
+# Tax ids and slots
+
+
+def _slots(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("invoice"))
+    one = lambda label, n: F.struct(F.lit(label).alias("label"), (F.col("invoice") % n).cast("decimal(12,2)").alias("amount"))
+    return tax.slot_rows(o.withColumn("slots", F.array(one("P. IIBB CABA", 3), one("P. IVA", 5), one("unknown", 2))), ["invoice"], "slots")
+
+
+_SLOTS_SQL = """slots as (select o_orderkey as invoice, 1 as slot, 'P. IIBB CABA' as label, o_orderkey % 3 as amount from orders where o_orderkey % 3 > 0
+  union all select o_orderkey, 2, 'P. IVA', o_orderkey % 5 from orders where o_orderkey % 5 > 0
+  union all select o_orderkey, 3, 'unknown', o_orderkey % 2 from orders where o_orderkey % 2 > 0)"""
+
+
+@query("other_tax_slots", f"with {_SLOTS_SQL} select invoice, slot, label, cast(amount as double) as amount from slots")
+def other_tax_slots(spark: SparkSession, d: str) -> DataFrame:
+    return _doubles(_slots(spark, d), "amount")
+
+
+@query("used_slots", f"with {_SLOTS_SQL} select slot, count(*) as invoices, cast(sum(amount) as double) as amount from slots group by slot")
+def used_slots(spark: SparkSession, d: str) -> DataFrame:
+    return _slots(spark, d).groupBy("slot").agg(F.count("*").alias("invoices"), F.sum("amount").cast("double").alias("amount"))
+
+
+@query("expected_tax_by_id", HEADERS_SQL + f""", {_SLOTS_SQL}, u as (select invoice, case pct when 10.5 then 62 when 21 then 63 else 65 end as tax_id, amount from split
+  union all select invoice, case label when 'P. IVA' then 63 else 70 end, cast(amount as decimal(18,2)) from slots where label <> 'unknown')
+select invoice, tax_id, cast(sum(amount) as double) as amount from u group by 1, 2 having sum(amount) > 0""")
+def expected_tax_by_id(spark: SparkSession, d: str) -> DataFrame:
+    rates = spark.createDataFrame([("10.5", 62), ("21", 63), ("27", 65)], "pct string, tax_id int").withColumn("pct", F.col("pct").cast("decimal(6,2)"))
+    labels = spark.createDataFrame([("P. IIBB CABA", 70), ("P. IVA", 63)], "label string, tax_id int")
+    return _doubles(tax.expected_by_id(lines(spark, d), headers(spark, d), _slots(spark, d), rates, labels), "amount")
+
+
+@query("tax_id_list", "select o_orderkey, case when o_orderkey % 3 = 0 then '63,70' when o_orderkey % 3 = 1 then '62,63,70' else '63,62,70' end as ids from orders")
+def tax_id_list(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    primary = F.array(F.when(k == 0, F.lit(None).cast("int")).when(k == 1, 62).otherwise(63))
+    ids = tax.id_list(primary, F.when(k == 0, F.array(F.lit(63))).otherwise(F.array(F.lit(63), F.lit(62))), F.array(F.lit(70), F.lit(63)))
+    return table(spark, d, "orders").select("o_orderkey", ids.alias("ids"))
+
+
+# More plans
+
+
+@query("existing_bill_lookup", """with w as (select o_orderkey as bill, o_custkey as partner, o_orderkey % 50 as n from orders where o_orderkey % 2 = 0),
+p as (select o_orderkey as id, o_custkey as partner, o_orderkey % 50 as n, o_orderkey % 4 = 1 as exact from orders where o_orderkey % 2 = 1),
+m as (select bill, id as found, case when exact then 0 else 1 end as rank from w join p on w.partner = p.partner and w.n = p.n - 1)
+select bill, found, rank from m qualify row_number() over (partition by bill order by rank, found desc) = 1""")
+def existing_bill_lookup(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("partner"))
+    n = F.col("id") % 50
+    bills = o.where("id % 2 = 0").select(F.col("id").alias("bill"), "partner", F.concat(F.lit("00001-"), F.lpad(n.cast("string"), 8, "0")).alias("number"))
+    m = (n - 1).cast("string")
+    present = o.where("id % 2 = 1").select("id", "partner", F.concat(F.lit("1-"), m).alias("number"), F.when(F.col("id") % 4 == 1, F.concat(F.lit("00001-"), F.lpad(m, 8, "0"))).alias("ref"))
+    return changes.same_bill(bills, present)
+
+
+@query("maturity_plan", "select o_orderkey as id, o_orderdate as due from orders where o_orderkey % 3 = 0 and o_custkey % 4 < 2")
+def maturity_plan(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    moves = o.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4).alias("account"), F.col("o_orderdate").alias("date"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate")).alias("due"))
+    accounts = spark.createDataFrame([(0, "payable"), (1, "receivable"), (2, "expense"), (3, None)], "account long, kind string")
+    return changes.missing_maturity(moves, accounts).select("id", "due")
+
+
+@query("semi_valid", "select o_orderkey, o_custkey from orders where o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')")
+def semi_valid(spark: SparkSession, d: str) -> DataFrame:
+    known = scan(table(spark, d, "customer"), [("c_mktsegment", "=", "BUILDING")], ["c_custkey"])
+    return changes.valid_only(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", known, "c_custkey").select("o_orderkey", "o_custkey")
+
+
+@query("option_union", "select coalesce(c_custkey, s_suppkey) as id, coalesce(c_name, s_name) as name from customer full join supplier on c_custkey = s_suppkey")
+def option_union(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return changes.ordered_union(c, s, "id", ["name"])
