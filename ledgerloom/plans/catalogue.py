@@ -117,9 +117,9 @@ _STYLES = """case l_orderkey % 3 when 0 then {v} when 1 then replace({v}, '.', '
   else concat(cast(floor(l_extendedprice / 1000) as bigint), '.', lpad(cast(cast(floor(l_extendedprice) as bigint) % 1000 as string), 3, '0'), ',', substring({v}, length({v}) - 1, 2)) end"""
 
 
-@query("amount_parse_loose", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice as amount from lineitem where l_extendedprice >= 1000")
+@query("amount_parse_loose", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice as amount from lineitem")
 def amount_parse_loose(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "lineitem").where("l_extendedprice >= 1000")
+    t = table(spark, d, "lineitem")
     shown = F.expr(_STYLES.format(v="cast(cast(l_extendedprice as decimal(12,2)) as string)"))
     return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", numbers.loose_amount(shown).cast("double").alias("amount"))
 
@@ -137,10 +137,10 @@ def amount_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", numbers.for_screen(v).alias("screen"), numbers.for_csv(v, True).alias("csv"))
 
 
-@query("vat_rate", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_tax, 4) as double) + 0.0 as rate from lineitem where l_tax > 0")
+@query("vat_rate", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(round(l_tax, 4) as double) + 0.0 as rate from lineitem")
 def vat_rate(spark: SparkSession, d: str) -> DataFrame:
     shown = F.concat(F.replace((F.col("l_tax") * 100).cast("decimal(6,1)").cast("string"), F.lit("."), F.lit(",")), F.lit(" %"))
-    return table(spark, d, "lineitem").where("l_tax > 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(numbers.rate(shown).cast("double"), 4).alias("rate"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(numbers.rate(shown).cast("double"), 4).alias("rate"))
 
 
 @query("date_normalise", "select o_orderkey, case when o_orderkey % 5 = 4 then '31/02/2020' else strftime(o_orderdate, '%d/%m/%Y') end as screen, case when o_orderkey % 5 = 4 then null else strftime(o_orderdate, '%Y-%m-%d') end as iso from orders")
@@ -331,16 +331,29 @@ def po_recent_lines(spark: SparkSession, d: str) -> DataFrame:
     return purchase.recent_lines(o, li).select("partner", "order", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
-@query("po_basket_rank", """with n as (select l_orderkey as o, l_suppkey as partner, p_name as name, row_number() over (partition by l_orderkey, l_suppkey order by l_partkey, l_linenumber, l_extendedprice, l_shipdate) as line from lineitem join part on p_partkey = l_partkey where l_suppkey <= 40),
-met as (select i.o as invoice, p.o as po, i.line, max(round(100.0 * (1 - levenshtein(upper(i.name), upper(p.name)) / cast(greatest(length(i.name), length(p.name)) as double)), 4)) as s from n i join n p on i.partner = p.partner where i.o % 40 = 0 and p.o % 40 = 1 group by 1, 2, 3),
+#: A finished order is an invoice, any other one a purchase order; each partner's latest twelve take part.
+_BASKET_SQL = """with n as (select l_orderkey as o, o_custkey as partner, o_orderstatus as st, o_orderdate as dt, upper(p_name) as name, row_number() over (partition by l_orderkey order by l_partkey, l_suppkey, l_linenumber, l_extendedprice, l_shipdate) as line
+  from lineitem join orders on o_orderkey = l_orderkey join part on p_partkey = l_partkey),
+last as (select o_orderkey from orders where o_orderstatus <> 'F' qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) <= 12),
+met as (select i.o as invoice, p.o as po, i.line, max(round(100.0 * (1 - levenshtein(i.name, p.name) / cast(greatest(length(i.name), length(p.name)) as double)), 4)) as s
+  from n i join n p on i.partner = p.partner where i.st = 'F' and p.o in (select o_orderkey from last) group by 1, 2, 3),
 e as (select invoice, po, sum(case when s >= 70 then 1 else 0 end) as matched, cast(round(coalesce(sum(case when s >= 70 then cast(s as decimal(12,4)) end), 0), 1) as double) as score from met group by 1, 2)
-select invoice, po as "order", cast(matched as bigint) as matched, score, row_number() over (partition by invoice order by matched desc, score desc, po) as nth from e""")
+"""
+
+
+def _baskets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("partner"), F.col("o_orderdate").alias("date"), "o_orderstatus")
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("name")), F.col("p_partkey") == F.col("l_partkey"))
+    li = order.numbered(li, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"], "line", 1)
+    li = li.select(F.col("l_orderkey").alias("order"), "line", "name", F.col("l_quantity").alias("qty"))
+    invoices = o.where("o_orderstatus = 'F'").select("order", "partner").join(li, "order").withColumnRenamed("order", "invoice")
+    return invoices, purchase.recent_lines(o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), li.withColumnRenamed("line", "po_line")).drop("date")
+
+
+@query("po_basket_rank", _BASKET_SQL + """select invoice, po as "order", cast(matched as bigint) as matched, score, row_number() over (partition by invoice order by matched desc, score desc, po) as nth from e""")
 def po_basket_rank(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").where("l_suppkey <= 40").join(table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("name")), F.col("p_partkey") == F.col("l_partkey"))
-    li = order.numbered(li, ["l_orderkey", "l_suppkey"], ["l_partkey", "l_linenumber", "l_extendedprice", "l_shipdate"], "line", 1)
-    invoices = li.where("l_orderkey % 40 = 0").select(F.col("l_orderkey").alias("invoice"), F.col("l_suppkey").alias("partner"), "line", "name")
-    orders = li.where("l_orderkey % 40 = 1").select(F.col("l_orderkey").alias("order"), F.col("l_suppkey").alias("partner"), F.col("line").alias("po_line"), "name")
-    return purchase.basket_rank(invoices, orders)
+    invoices, orders = _baskets(spark, d)
+    return purchase.basket_rank(invoices.drop("qty"), orders.drop("qty"))
 
 
 @query("uom_convert", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_linenumber % 3 when 0 then l_quantity * 1000 when 1 then l_quantity / 1000 end as converted from lineitem")
@@ -381,11 +394,10 @@ def anti_repair(spark: SparkSession, d: str) -> DataFrame:
     return changes.clear_unknown(o, "partner", scan(table(spark, d, "customer"), [("c_acctbal", ">", 0)], ["c_custkey"]), "c_custkey").select("o_orderkey", "partner", "cleared")
 
 
-@query("source_diff", "select coalesce(c, s) as nation, case when c is null then 'right' when s is null then 'left' else 'both' end as side from (select distinct c_nationkey as c from customer where c_nationkey < 20) full join (select distinct s_nationkey as s from supplier where s_nationkey > 4) on c = s")
+@query("source_diff", "select coalesce(c, u) as key, case when c is null then 'right' when u is null then 'left' else 'both' end as side from (select distinct c_custkey as c from customer) full join (select distinct user_id as u from events) on c = u")
 def source_diff(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "customer").where("c_nationkey < 20").select(F.col("c_nationkey").alias("nation"))
-    b = table(spark, d, "supplier").where("s_nationkey > 4").select(F.col("s_nationkey").alias("nation"))
-    return changes.key_sets(a, b, "nation")
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return changes.key_sets(a, table(spark, d, "events").select(F.col("user_id").alias("key")), "key")
 
 
 @query("header_diff_plan", "select o_orderkey, case when o_orderkey % 3 = 0 then 'F' || o_orderstatus end as status, case when o_orderkey % 4 = 0 then o_custkey + 1 end as partner from orders where o_orderkey % 3 = 0 or o_orderkey % 4 = 0")
@@ -395,11 +407,11 @@ def header_diff_plan(spark: SparkSession, d: str) -> DataFrame:
     return changes.changed_fields(table(spark, d, "orders"), pairs).select("o_orderkey", "status", "partner")
 
 
-@query("merge_changes", "select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, coalesce(a.o_totalprice, b.o_totalprice + 1) as price, coalesce(a.o_custkey, b.o_custkey) as partner from (select * from orders where o_orderkey % 2 = 0) a full join (select * from orders where o_orderkey % 3 = 0) b on a.o_orderkey = b.o_orderkey")
+@query("merge_changes", "select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, coalesce(a.o_totalprice, b.o_totalprice + 1) as price, coalesce(a.o_custkey, b.o_custkey) as partner from (select * from orders where o_orderstatus <> 'F') a full join (select * from orders where o_orderstatus <> 'O') b on a.o_orderkey = b.o_orderkey")
 def merge_changes(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    a = o.where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("partner"))
-    b = o.where("o_orderkey % 3 = 0").select("o_orderkey", (F.col("o_totalprice") + 1).alias("price"), F.col("o_custkey").alias("partner"))
+    a = o.where("o_orderstatus <> 'F'").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("partner"))
+    b = o.where("o_orderstatus <> 'O'").select("o_orderkey", (F.col("o_totalprice") + 1).alias("price"), F.col("o_custkey").alias("partner"))
     return changes.merged(a, b, "o_orderkey", ["price", "partner"])
 
 
@@ -430,16 +442,16 @@ def latest_conversion(spark: SparkSession, d: str) -> DataFrame:
     return state.latest(_events(spark, d), ["user_id", "event_type"], "ts", "event_id").drop("ts")
 
 
-@query("upsert_state", _LATEST.format(where="where event_id % 5 <> 0"))
+@query("upsert_state", _LATEST.format(where=""))
 def upsert_state(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    return state.upsert(e.where("event_id % 5 = 1"), e.where("event_id % 5 > 1"), ["user_id", "event_type"], "ts", "event_id").drop("ts")
+    return state.upsert(e.where("event_type <> 'click'"), e.where("event_type = 'click'"), ["user_id", "event_type"], "ts", "event_id").drop("ts")
 
 
-@query("delete_state", "select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'error' and event_id % 97 = 0)")
+@query("delete_state", "select event_id, user_id from events where user_id not in (select user_id from events where event_type = 'error' and value > 250)")
 def delete_state(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d)
-    return state.delete(e, e.where("event_type = 'error' and event_id % 97 = 0"), ["user_id"]).select("event_id", "user_id")
+    return state.delete(e, e.where("event_type = 'error' and value > 250"), ["user_id"]).select("event_id", "user_id")
 
 
 @query("insert_if_absent", "select c_custkey as id from customer union select s_suppkey from supplier")
