@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Spellings of units and the unit they mean.
-UNIT_ALIASES = {"un": "un", "u": "un", "unid": "un", "unidad": "un", "unidades": "un", "kg": "kg", "kgs": "kg", "kilo": "kg", "kilos": "kg", "g": "g", "gr": "g", "grs": "g", "l": "l", "lt": "l", "lts": "l", "litro": "l", "litros": "l", "ml": "ml", "cc": "ml"}
+UNIT_ALIASES = {"UN": "Units", "U": "Units", "UNIDAD": "Units", "UNIDADES": "Units", "UNIDAD(ES)": "Units", "UNIT": "Units", "UNITS": "Units", "PIEZA": "Units", "PIEZAS": "Units", "KG": "kg", "KGS": "kg", "KILO": "kg", "KILOS": "kg", "GR": "g", "GRS": "g", "G": "g", "LT": "L", "L": "L", "LTS": "L", "LITRO": "L", "LITROS": "L", "ML": "ml", "M": "m", "MT": "m", "M2": "m²", "MES": "Units"}
 ACCENTS = ("ÁÉÍÓÚÜÑ", "AEIOUUN")
 
 
@@ -59,15 +59,15 @@ def account_parts(c: Column) -> tuple[Column, Column]:
 
 
 def unit(c: Column) -> Column:
-    """The unit a spelling means, or the spelling in lower case."""
-    t = F.regexp_replace(F.lower(normalize(c)), r"\.", "")
+    """The unit a spelling means, or the spelling in capitals; empty for 'nan', 'none' and 'null'."""
+    t = label_key(c)
     table = F.create_map(*[F.lit(x) for pair in UNIT_ALIASES.items() for x in pair])
-    return F.coalesce(F.get(F.array(table[t]), F.lit(0)), t)
+    return F.when(t.isin("NAN", "NONE", "NULL"), "").otherwise(F.coalesce(table[t], t))
 
 
 def quantity_and_unit(c: Column) -> tuple[Column, Column]:
     """The first quantity with a unit in a description: '12,5 kg' -> ('12.5', 'kg')."""
-    pattern = r"(?i)(\d+(?:[.,]\d+)?)\s*(kgs?|kilos?|grs?|g|lts?|l|litros?|ml|cc|un|unid|unidades|u)\b"
+    pattern = r"(?i)(\d+(?:[.,]\d+)?)\s*(kgs?|kilos?|grs?|g|l|lt|litros?|un|unid(?:ades?)?)\b"
     t = normalize(c)
     return F.replace(F.regexp_extract(t, pattern, 1), F.lit(","), F.lit(".")), unit(F.regexp_extract(t, pattern, 2))
 

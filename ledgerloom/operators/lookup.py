@@ -54,17 +54,37 @@ def account(probe: DataFrame, label: str, accounts: DataFrame) -> DataFrame:
 
 
 #: Jurisdictions of the gross-income tax and the suffix of their tax names.
-JURISDICTIONS = {"BUENOS AIRES": "ARBA", "CAPITAL FEDERAL": "CABA", "CORDOBA": "CBA", "SANTA FE": "SF", "MENDOZA": "MZA"}
+JURISDICTIONS = {
+    "CABA": "CABA", "ARBA": "BA", "CATAMARCA": "CTS", "CORDOBA": "CBA", "CORRIENTES": "C", "ENTRE RIOS": "ER",
+    "JUJUY": "J", "MENDOZA": "MZA", "LA RIOJA": "LR", "SALTA": "S", "SAN JUAN": "SJ", "SAN LUIS": "SL",
+    "SANTA FE": "SF", "SANTIAGO DEL ESTERO": "SE", "TUCUMAN": "T", "CHACO": "CHO", "CHUBUT": "CHT", "FORMOSA": "F",
+    "MISIONES": "MS", "NEUQUEN": "N", "LA PAMPA": "LP", "RIO NEGRO": "RN", "SANTA CRUZ": "SC", "TIERRA DEL FUEGO": "TAIS",
+}
 
 
 def jurisdiction_tax(probe: DataFrame, label: str, taxes: DataFrame) -> DataFrame:
-    """Adds tax_id: 'P. IIBB x' by exact name, else the first tax that contains IIBB and ends with 'IIBB x'."""
-    where = F.create_map(*[F.lit(x) for pair in JURISDICTIONS.items() for x in pair])
+    """Adds tax_id: 'P. IIBB x' by exact name, else the first tax that ends with 'IIBB x'; x is the jurisdiction's suffix.
+
+    A label is '[Percepción] IIBB place Sufrida' or 'Aplicada', or 'IIBB place'. Unknown places find nothing.
+    """
+    suffixes = F.create_map(*[F.lit(x) for pair in JURISDICTIONS.items() for x in pair])
     t = text.accent_fold(F.col(label))
-    p = probe.withColumn("__s", F.coalesce(F.get(F.array(where[F.trim(F.regexp_replace(t, "^.*IIBB", ""))]), F.lit(0)), F.trim(F.regexp_replace(t, "^.*IIBB", ""))))
-    p = p.withColumn("__s", F.when(t.contains("IIBB"), F.col("__s")))
-    x = F.broadcast(taxes.select(F.col("id").alias("__id"), text.accent_fold(F.col("name")).alias("__t")))
-    met = p.select("__s").distinct().join(x, F.col("__t").endswith(F.concat(F.lit("IIBB "), F.col("__s"))))
-    rank = F.when(F.col("__t") == F.concat(F.lit("P. IIBB "), F.col("__s")), 0).otherwise(1)
-    one = first_per_key(met.withColumn("__r", rank), ["__s"], ["__r", "__id"]).select(F.col("__s").alias("__k"), F.col("__id").alias("tax_id"))
-    return p.join(one, F.col("__s") == F.col("__k"), "left").drop("__s", "__k")
+    long, short = F.regexp_extract(t, "^(?:PERCEPCION )?IIBB (.+?) (?:SUFRIDA|APLICADA)$", 1), F.regexp_extract(t, "^IIBB (.+)$", 1)
+    p = probe.withColumn("__s", suffixes[F.when(long != "", long).when(short != "", short)])
+    n = text.accent_fold(F.col("name"))
+    x = taxes.where(n.contains("IIBB ")).select(F.substring_index(n, "IIBB ", -1).alias("__k"), F.when(n.startswith("P. IIBB "), 0).otherwise(1).alias("__r"), F.col("id").alias("tax_id"))
+    return p.join(first_per_key(x, ["__k"], ["__r", "tax_id"]).drop("__r"), F.col("__s") == F.col("__k"), "left").drop("__s", "__k")
+
+
+def heads(nodes: DataFrame, key: str, parent: str, rounds: int = 5) -> DataFrame:
+    """key and head: the topmost row above each one; null where a circle or a chain of more than 2^rounds steps has none.
+
+    Each round follows twice as many steps, so the joins do not grow with the depth. A parent that is missing or null ends a chain.
+    """
+    known = nodes.select(F.col(key).alias("__k"))
+    up = nodes.select(F.col(key).alias("k"), F.col(parent).alias("__p")).join(known, F.col("__p") == F.col("__k"), "left")
+    up = up.select("k", F.coalesce("__k", "k").alias("h"), F.col("__k").isNull().alias("top"))
+    for _ in range(rounds):
+        over = up.select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.col("top").alias("__t"))
+        up = up.join(over, F.col("h") == F.col("__k")).select("k", F.col("__h").alias("h"), F.col("__t").alias("top"))
+    return up.select(F.col("k").alias(key), F.when(F.col("top"), F.col("h")).alias("head"))

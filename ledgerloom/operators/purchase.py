@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import similar, text
 from .lookup import similarity
-from .order import numbered
+from .order import first_per_key, numbered
 
 
 def recent_lines(orders: DataFrame, lines: DataFrame, keep: int = 12) -> DataFrame:
@@ -35,3 +36,85 @@ def converted(qty: Column, from_factor: Column, to_factor: Column, from_category
     """A quantity in another unit of the same category; null where that makes no sense."""
     fits = (from_category == to_category) & (from_factor != 0) & (to_factor != 0)
     return F.when(fits, (qty * to_factor / F.when(from_factor != 0, from_factor)).cast("decimal(20,6)"))
+
+
+def billed_quantity(shown: Column, stated: Column, described: Column) -> Column:
+    """The quantity of a line: what the screen shows, the document states or the description holds, in this order.
+
+    The stated one replaces a shown one that is the size of a package, or a 1 where the description's exceeds it.
+    """
+    near = lambda a, b: F.abs(a - b) < F.lit("0.01").cast("decimal(4,2)")
+    package = near(shown, described) & (F.abs(stated - described) > F.lit("0.01").cast("decimal(4,2)"))
+    cut = (stated > 1) & near(shown, F.lit(1)) & (described > stated)
+    wrong = F.coalesce(stated.isNotNull() & (package | cut), F.lit(False))
+    return F.when(wrong, stated).otherwise(F.coalesce(shown, stated, described))
+
+
+def scaled(lines: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds scaled, factor and note: the quantity in the order's unit, and what was done.
+
+    lines: qty, unit (as the invoice spells it), order_unit; units: unit, factor, category (one row a unit).
+    Notes are those that users know: no unit on the invoice, no such unit, another category, rescaled.
+    """
+    u = first_per_key(units, ["unit"], ["category", "factor"])
+    have = u.select(F.col("unit").alias("__a"), F.col("factor").alias("__af"), F.col("category").alias("__ac"))
+    want = u.select(F.col("unit").alias("__b"), F.col("factor").alias("__bf"), F.col("category").alias("__bc"))
+    spelt = text.unit(F.col("unit"))
+    j = lines.withColumn("__u", spelt).join(have, F.col("__u") == F.col("__a"), "left").join(want, text.unit(F.col("order_unit")) == F.col("__b"), "left")
+    known, same = F.col("__a").isNotNull() & F.col("__b").isNotNull(), F.col("__a") == F.col("__b")
+    new = converted(F.col("qty"), F.col("__af"), F.col("__bf"), F.col("__ac"), F.col("__bc"))
+    differ = (F.col("__u") != "") & (text.normalize(F.col("order_unit")) != "") & (text.label_key(F.col("unit")) != text.label_key(F.col("order_unit")))
+    note = (
+        F.when(F.col("qty").isNull() | (known & same), "")
+        .when(known & new.isNull(), "Categoría UM distinta")
+        .when(known, "Re-escalado")
+        .when((F.col("__u") == "") & F.col("__b").isNotNull(), "Sin UM en factura")
+        .when(differ, "UM sin mapeo")
+        .otherwise("")
+    )
+    factor = F.when(known & same, F.lit(1)).when(known & new.isNotNull() & (F.col("__af") != 0), F.col("__bf") / F.when(F.col("__af") != 0, F.col("__af")))
+    made = j.withColumn("note", note).withColumn("scaled", F.when(F.col("note") == "Re-escalado", new).otherwise(F.col("qty")).cast("decimal(20,6)"))
+    return made.withColumn("factor", F.when(F.col("qty").isNotNull(), factor).cast("decimal(20,6)")).drop("__u", "__a", "__af", "__ac", "__b", "__bf", "__bc")
+
+
+def line_fit(code: Column, description: Column, qty: Column, name: Column, ordered: Column) -> Column:
+    """0 to 100: how well an order's line fits an invoice's line: by its code, else its words, else its letters and quantity.
+
+    A code equal to the name gives 100, one inside the other 92. Words: 80 and more by common words at once, 75 if a word
+    holds another, or the best common run of letters; the description counts as it is and with 0, 1 and 5 read as letters.
+    An equal quantity gives 55 at least where nothing else does. An order's line without a name gives 0.
+    """
+    k, d, n = text.label_key(code), text.label_key(description), text.label_key(name)
+    repaired = text.repair_scan(description)
+    usable = (k != "") & ~k.isin("1", "NO DISPONIBLE", "NONE", "NULL")
+    first, second = similar.token_set(d, n), similar.token_set(repaired, n)
+    words = lambda c: text.tokens(c)
+    holds = F.exists(words(repaired), lambda a: F.exists(words(n), lambda b: a.contains(b) | b.contains(a)))
+    other = F.greatest(first, second, F.when(holds, 75.0).otherwise(0.0), similar.partial(d, n), similar.partial(repaired, n))
+    by_words = F.when(first >= 80, first).when(second >= 80, second).otherwise(other)
+    same = F.coalesce((qty.isNotNull()) & (ordered != 0) & (F.abs(qty - ordered) <= F.lit("0.01").cast("decimal(4,2)")), F.lit(False))
+    return (
+        F.when(n == "", 0.0)
+        .when(usable & (k == n), 100.0)
+        .when(usable & (k.contains(n) | n.contains(k)), 92.0)
+        .when((d != "") & (by_words > 0), by_words)
+        .when(same, 55.0)
+        .otherwise(0.0)
+    )
+
+
+def best_order_line(invoice_lines: DataFrame, order_lines: DataFrame, threshold: float = 70.0, with_code: float = 75.0) -> DataFrame:
+    """invoice, line, order, po_line, score: the best fitting line of the partner's orders, if it fits well enough.
+
+    invoice_lines: invoice, partner, line, code, name, qty; order_lines: order, partner, po_line, name, qty. Ties go to the
+    smaller order and line. Names are compared once each; a line with a code needs with_code.
+    """
+    i = invoice_lines.select("invoice", "partner", "line", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("name", F.lit("")).alias("q"), F.col("qty").alias("__q"))
+    p = order_lines.select("order", "partner", "po_line", F.coalesce("name", F.lit("")).alias("r"), F.col("qty").alias("__r"))
+    met = i.join(p, "partner").withColumn("same", F.coalesce((F.col("__r") != 0) & (F.abs(F.col("__q") - F.col("__r")) <= 0.01), F.lit(False)))
+    quantity = F.when(F.col("same"), 1).cast("decimal(4,2)")
+    scores = met.select("code", "q", "r", "same").distinct().withColumn("score", line_fit(F.col("code"), F.col("q"), quantity, F.col("r"), F.lit(1)))
+    enough = F.when(F.trim("code") != "", with_code).otherwise(threshold)
+    j = met.join(scores, ["code", "q", "r", "same"]).where(F.col("score") >= enough)
+    best = j.groupBy("invoice", "line").agg(F.min(F.struct((-F.col("score")).alias("s"), "order", "po_line")).alias("b"))
+    return best.select("invoice", "line", "b.order", "b.po_line", (-F.col("b.s")).alias("score"))

@@ -1,7 +1,8 @@
 """How an invoice states its tax, and its totals.
 
-Lines: invoice, pos, qty, price, pct (rate in percent), vat (explicit amount or null). Headers: invoice, vat,
-subtotal (either may be null).
+Lines: invoice, pos, qty, price, pct (rate in percent), vat (explicit amount or null); if there, zero (the line says
+exempt or not taxed) and manual (its vat was edited). Headers: invoice, vat, subtotal (either may be null); if there,
+manual. Stated maps: invoice, pct, amount, a row per rate.
 """
 
 from __future__ import annotations
@@ -23,16 +24,23 @@ def line_amounts(lines: DataFrame) -> DataFrame:
     return made.withColumn("effective", F.when(F.col("vat") > 0, F.col("vat")).otherwise(F.col("suggested")).cast("decimal(24,6)"))
 
 
+def _flag(df: DataFrame, name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+
+
 def modes(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """A row per header: invoice, mode (line, header or mixed), header_vat, subtotal, bases, effective."""
     content = (F.col("qty") > 0) | (F.col("price") > 0)
+    off = (F.col("vat") > 0) & (F.col("suggested") > 0) & (F.abs(F.col("vat") - F.col("suggested")) > tolerance(F.col("suggested")))
+    edited = content & (F.col("pct") > 0) & (_flag(lines, "manual") | off)
     sums = line_amounts(lines).groupBy("invoice").agg(
         F.sum("base").alias("bases"),
         F.sum("effective").alias("effective"),
         F.count(F.when(content, 1)).alias("filled"),
         F.count(F.when(content & (F.col("pct") > 0), 1)).alias("rated"),
+        F.count(F.when(edited, 1)).alias("edited"),
     )
-    j = headers.select("invoice", F.col("vat").alias("header_vat"), "subtotal").join(sums, "invoice", "left").na.fill(0, ["filled", "rated"])
+    j = headers.select("invoice", F.col("vat").alias("header_vat"), "subtotal").join(sums, "invoice", "left").na.fill(0, ["filled", "rated", "edited"])
     j = j.withColumns({c: F.coalesce(c, F.lit(0).cast("decimal(24,6)")) for c in ("bases", "effective")})
     h = F.coalesce(F.col("header_vat"), F.lit(0))
     close = F.abs(F.col("effective") - h) <= tolerance(h)
@@ -41,7 +49,8 @@ def modes(lines: DataFrame, headers: DataFrame) -> DataFrame:
         .when(h <= 0, "line")
         .when(F.col("rated") == 0, "header")
         .when(close, "line")
-        .when(F.col("filled") == 1, "header")
+        .when((F.col("filled") == 1) & (F.col("edited") == 0), "header")
+        .when(F.col("filled") == 1, "line")
         .otherwise("mixed")
     )
     return j.withColumn("mode", mode)
@@ -82,6 +91,64 @@ def repair_inflated(lines: DataFrame, headers: DataFrame) -> DataFrame:
     return j.withColumn("new_qty", qty.cast("decimal(20,2)")).withColumn("new_price", price.cast("decimal(20,2)"))
 
 
+def _per_invoice(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
+    """A row per header: modes' columns, maps stated and by_line of (pct, amount) and (pct, suggested, effective), zero, by_hand, fixed."""
+    content = (F.col("qty") > 0) | (F.col("price") > 0)
+    kept = line_amounts(lines.withColumns({"__z": _flag(lines, "zero"), "__m": _flag(lines, "manual")})).where(content)
+    rates = kept.groupBy("invoice", F.when(F.col("pct") > 0, F.col("pct")).alias("pct")).agg(
+        F.sum("suggested").alias("suggested"), F.sum("effective").alias("effective"), F.bool_and("__z").alias("z"), F.bool_or("__m").alias("m")
+    )
+    rate = F.when(F.col("pct").isNotNull(), F.struct("pct", "suggested", "effective"))
+    by_line = rates.groupBy("invoice").agg(F.array_sort(F.collect_list(rate)).alias("by_line"), F.bool_and("z").alias("zero"), F.bool_or("m").alias("by_hand"))
+    positive = stated.where("amount > 0").groupBy("invoice", F.col("pct").cast("decimal(6,2)").alias("pct")).agg(F.sum(F.col("amount").cast(D)).cast(D).alias("amount"))
+    known = positive.groupBy("invoice").agg(F.array_sort(F.collect_list(F.struct("pct", "amount"))).alias("stated"))
+    fixed = headers.select("invoice", _flag(headers, "manual").alias("fixed"))
+    return modes(lines, headers).join(fixed, "invoice").join(by_line, "invoice", "left").join(known, "invoice", "left").na.fill(False, ["zero", "by_hand"])
+
+
+RATES = "array<struct<pct: decimal(6,2), amount: decimal(18,2)>>"
+
+
+def effective_map(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
+    """invoice, pct, amount: the tax by rate that holds for an invoice.
+
+    The stated map, but one stated rate gives way to a header that differs; else the header under the lines' one rate or
+    21; else the lines' suggested tax. Invoices whose lines are all exempt or not taxed have none.
+    """
+    f = _per_invoice(lines, headers, stated)
+    h, s, by_line = F.coalesce("header_vat", F.lit(0)), F.col("stated"), F.col("by_line")
+    total = F.aggregate(s, F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["amount"]).cast("decimal(28,2)"))
+    differs = (h > 0) & (F.abs(total - h) > tolerance(total)) & F.col("mode").isin("header", "mixed") & (F.size(s) == 1)
+    one = lambda pct: F.array(F.struct(pct.cast("decimal(6,2)").alias("pct"), F.round(h, 2).cast(D).alias("amount")))
+    usual = F.coalesce(F.when(F.size(by_line) == 1, F.get(by_line, F.lit(0))["pct"]), F.lit(21).cast("decimal(6,2)"))
+    suggested = F.transform(by_line, lambda x: F.struct(x["pct"].alias("pct"), F.round(x["suggested"], 2).cast(D).alias("amount")))
+    rates = (
+        F.when(F.col("zero"), F.array().cast(RATES))
+        .when(F.size(s) > 0, F.when(differs, one(F.get(s, F.lit(0))["pct"])).otherwise(s))
+        .when((F.col("mode") == "header") & (h > 0), one(usual))
+        .when(F.size(by_line) > 0, suggested)
+        .when(h > 0, one(usual))
+    )
+    return f.select("invoice", F.explode(rates.cast(RATES)).alias("r")).select("invoice", "r.pct", "r.amount")
+
+
+def reconciled(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
+    """invoice, action, vat, rates: what a header and its map become before an import.
+
+    clear where every line is exempt or not taxed; keep where the header was edited, or is not of mode line; lines where the
+    lines' tax replaces both, as it does whenever a line's was edited.
+    """
+    f = _per_invoice(lines, headers, stated)
+    mine = F.filter(F.transform("by_line", lambda x: F.struct(x["pct"].alias("pct"), F.round(x["effective"], 2).cast(D).alias("amount"))), lambda x: x["amount"] > 0)
+    total = F.aggregate("by_line", F.lit(0).cast("decimal(30,6)"), lambda a, x: (a + x["effective"]).cast("decimal(30,6)"))
+    from_lines = (F.col("by_hand") | (F.col("mode") == "line")) & (F.size(mine) > 0)
+    action = F.when(F.col("zero"), "clear").when(F.col("fixed"), "keep").when(from_lines, "lines").otherwise("keep")
+    j = f.withColumn("action", action)
+    vat = F.when(F.col("action") == "lines", F.round(total, 2)).when(F.col("action") == "keep", F.col("header_vat")).cast(D)
+    rates = F.when(F.col("action") == "lines", mine).when(F.col("action") == "keep", F.col("stated")).cast(RATES)
+    return j.select("invoice", "action", vat.alias("vat"), F.coalesce(rates, F.array().cast(RATES)).alias("rates"))
+
+
 def slot_rows(rows: DataFrame, key: list[str], slots: str) -> DataFrame:
     """key, slot (from 1), label and amount of the used slots of an array of (label, amount)."""
     e = rows.select(*key, F.posexplode(slots).alias("p", "x"))

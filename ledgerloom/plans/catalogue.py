@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, numbers, text
-from ..operators import changes, documents, lookup, order, purchase, state, tax
+from ..functions import dates, numbers, similar, text
+from ..operators import changes, doctypes, documents, lookup, order, purchase, state, tax, taxids
 from ..sources.files import scan, table
 from .proxies import LINES_SQL, headers, lines
 
@@ -20,16 +20,17 @@ _SQL: dict[str, str] = {}
 HEADERS_SQL = f"""with {LINES_SQL}, sums as (
   select invoice, sum(cast(qty * price as decimal(20,4)) * cast(pct as decimal(6,2))) as v, sum(base) as b, count(*) as filled,
     sum(case when pct > 0 then 1 else 0 end) as rated,
-    sum(case when vat > 0 then cast(vat as decimal(24,6)) else cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2)) end) as e
+    sum(case when vat > 0 then cast(vat as decimal(24,6)) else cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2)) end) as e,
+    sum(case when pct > 0 and vat > 0 and base > 0 and abs(vat - base * pct / 100) > greatest(0.02, base * pct / 100000) then 1 else 0 end) as edited
   from amounts group by invoice
 ), h as (
-  select o_orderkey as invoice, b, coalesce(filled, 0) as filled, coalesce(rated, 0) as rated, coalesce(e, 0) as e, coalesce(b, 0) as bases,
+  select o_orderkey as invoice, coalesce(edited, 0) as edited, b, coalesce(filled, 0) as filled, coalesce(rated, 0) as rated, coalesce(e, 0) as e, coalesce(b, 0) as bases,
     cast(round(cast(v as decimal(30,6)) * case o_orderkey % 4 when 0 then cast(1 as decimal(6,4)) when 1 then cast(1.0005 as decimal(6,4)) when 2 then cast(1.05 as decimal(6,4)) end * cast(0.01 as decimal(3,2)), 2) as decimal(18,2)) as hv,
     case when o_orderkey % 5 <> 0 then cast(round(b, 2) as decimal(18,2)) end as sub
   from orders left join sums on o_orderkey = invoice
 ), m as (
   select *, case when coalesce(hv, 0) <= 0 and rated = 0 then 'header' when coalesce(hv, 0) <= 0 then 'line' when rated = 0 then 'header'
-    when abs(e - hv) <= greatest(0.02, hv * 0.001) then 'line' when filled = 1 then 'header' else 'mixed' end as mode from h
+    when abs(e - hv) <= greatest(0.02, hv * 0.001) then 'line' when filled = 1 and edited = 0 then 'header' when filled = 1 then 'line' else 'mixed' end as mode from h
 ), rates as (
   select invoice, pct, sum(cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2))) as s,
     sum(case when vat > 0 then cast(vat as decimal(24,6)) else cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2)) end) as e
@@ -173,9 +174,9 @@ def digits_only(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", text.digits(F.col("c_name")).alias("digits"), text.accent_fold(F.translate("c_mktsegment", "AEIOU", "ÁÉÍÓÚ")).alias("folded"))
 
 
-@query("qty_um_from_text", "select p_partkey, cast(p_size as varchar) || '.5' as qty, case p_partkey % 3 when 0 then 'kg' when 1 then 'l' else 'un' end as unit from part")
+@query("qty_um_from_text", "select p_partkey, cast(p_size as varchar) || '.5' as qty, case p_partkey % 3 when 0 then 'kg' when 1 then 'L' else 'Units' end as unit from part")
 def qty_um_from_text(spark: SparkSession, d: str) -> DataFrame:
-    shown = F.concat(F.lit("Caja x "), F.col("p_size").cast("string"), F.lit(",5 "), F.when(F.col("p_partkey") % 3 == 0, "Kilos").when(F.col("p_partkey") % 3 == 1, "lts").otherwise("unidades"), F.lit(" de "), F.col("p_name"))
+    shown = F.concat(F.lit("Caja x "), F.col("p_size").cast("string"), F.lit(",5 "), F.when(F.col("p_partkey") % 3 == 0, "Kilos").when(F.col("p_partkey") % 3 == 1, "litros").otherwise("unidades"), F.lit(" de "), F.col("p_name"))
     qty, unit = text.quantity_and_unit(shown)
     return table(spark, d, "part").select("p_partkey", qty.alias("qty"), unit.alias("unit"))
 
@@ -565,3 +566,47 @@ def option_union(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return changes.ordered_union(c, s, "id", ["name"])
+
+
+# Maps of tax by rate
+
+_STATED_SQL = """, st as (select h.invoice, cast(21 as decimal(6,2)) as pct, cast(case o_orderstatus when 'F' then hv + h.invoice % 2 else hv end as decimal(18,2)) as amount from h join orders on o_orderkey = h.invoice where o_orderstatus <> 'O' and hv > 0
+  union all select h.invoice, 10.5, 1 from h join orders on o_orderkey = h.invoice where o_orderstatus = 'P' and hv > 0),
+sg as (select invoice, sum(amount) as total, max(pct) as pct, count(*) as n from st group by 1),
+own as (select invoice, nullif(pct, 0) as pct, sum(cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2))) as s,
+  sum(case when vat > 0 then cast(vat as decimal(24,6)) else cast(cast(qty * price as decimal(20,4)) * pct as decimal(26,6)) * cast(0.01 as decimal(3,2)) end) as e from amounts group by all),
+og as (select invoice, count(pct) as n, max(pct) as pct, sum(case when pct > 0 then e else 0 end) as e from own group by 1),
+hand as (select distinct invoice from lines where l_returnflag = 'A' and pos = 0),
+f as (select m.*, sg.n as sn, sg.total, sg.pct as spct, coalesce(og.n, 0) as n, og.pct as opct, og.e as oe, coalesce(og.n = 0, false) as zero, hand.invoice is not null as by_hand,
+  o_orderpriority = '1-URGENT' as fixed from m join orders on o_orderkey = m.invoice left join sg on sg.invoice = m.invoice left join og on og.invoice = m.invoice left join hand on hand.invoice = m.invoice)"""
+
+
+def _stated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    li = lines(spark, d)
+    li = li.withColumn("zero", F.col("pct") == 0)
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("invoice"), "o_orderstatus", "o_orderpriority")
+    h = headers(spark, d).join(o, "invoice").withColumn("manual", F.col("o_orderpriority") == "1-URGENT")
+    main = F.when(F.col("o_orderstatus") == "F", F.col("vat") + F.col("invoice") % 2).otherwise(F.col("vat"))
+    entry = lambda pct, amount: F.struct(F.lit(pct).cast("decimal(6,2)").alias("pct"), amount.cast("decimal(18,2)").alias("amount"))
+    entries = F.array(entry("21", main), entry("10.5", F.when(F.col("o_orderstatus") == "P", F.lit(1))))
+    stated = h.where("o_orderstatus <> 'O' and vat > 0").select("invoice", F.explode(entries).alias("x")).select("invoice", "x.pct", "x.amount")
+    return li, h.select("invoice", "vat", "subtotal", "manual"), stated
+
+
+@query("effective_tax_map", HEADERS_SQL + _STATED_SQL + """, pick as (select *, case when zero then 'none' when sn > 0 then case when hv > 0 and abs(total - hv) > greatest(0.02, total * 0.001) and mode <> 'line' and sn = 1 then 'one' else 'stated' end
+  when mode = 'header' and hv > 0 then 'header' when n > 0 then 'own' when hv > 0 then 'header' else 'none' end as how from f)
+select invoice, cast(pct as double) as pct, cast(amount as double) as amount from (
+  select invoice, spct as pct, hv as amount from pick where how = 'one' union all select pick.invoice, st.pct, st.amount from pick join st on st.invoice = pick.invoice where how = 'stated'
+  union all select invoice, case when n = 1 then opct else 21 end, hv from pick where how = 'header'
+  union all select pick.invoice, own.pct, round(own.s, 2) from pick join own on own.invoice = pick.invoice where how = 'own' and own.pct is not null)""")
+def effective_tax_map(spark: SparkSession, d: str) -> DataFrame:
+    return _doubles(tax.effective_map(*_stated(spark, d)), "pct", "amount")
+
+
+@query("footer_reconciled", HEADERS_SQL + _STATED_SQL + """, did as (select *, case when zero then 'clear' when fixed then 'keep' when (by_hand or mode = 'line') and n > 0 then 'lines' else 'keep' end as action from f)
+select invoice, action, cast(case action when 'lines' then round(oe, 2) when 'keep' then hv end as double) as vat, cast(case action when 'lines' then n when 'keep' then coalesce(sn, 0) else 0 end as integer) as rates from did""")
+def footer_reconciled(spark: SparkSession, d: str) -> DataFrame:
+    li, h, stated = _stated(spark, d)
+    li = li.withColumn("manual", (F.col("l_returnflag") == "A") & (F.col("pos") == 0))
+    made = tax.reconciled(li, h, stated)
+    return _doubles(made.select("invoice", "action", "vat", F.size("rates").alias("rates")), "vat")

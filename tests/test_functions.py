@@ -70,9 +70,9 @@ def test_lookups_and_changes(spark):
     accounts = spark.createDataFrame([(183, "1.1", "Stock"), (184, "1.2", "Cash")], "id long, code string, name string")
     probe = spark.createDataFrame([("1.1 Cash",), ("1.1 Other",), ("Stock",), (None,)], "label string")
     assert [r["account_id"] for r in lookup.account(probe, "label", accounts).orderBy(F.col("label").asc_nulls_last()).collect()] == [184, 183, 183, None]
-    taxes = spark.createDataFrame([(1, "Ret IIBB CABA"), (2, "P. IIBB CABA"), (3, "P. IIBB ARBA")], "id long, name string")
-    labels = spark.createDataFrame([("Perc. IIBB Capital Federal",), ("IIBB ARBA",), ("IVA",)], "label string")
-    assert {r["label"]: r["tax_id"] for r in lookup.jurisdiction_tax(labels, "label", taxes).collect()} == {"Perc. IIBB Capital Federal": 2, "IIBB ARBA": 3, "IVA": None}
+    taxes = spark.createDataFrame([(1, "Ret IIBB CABA"), (2, "P. IIBB CABA"), (3, "P. IIBB BA")], "id long, name string")
+    labels = spark.createDataFrame([("Percepción IIBB CABA Sufrida",), ("IIBB ARBA",), ("IVA",), ("IIBB Luna",)], "label string")
+    assert {r["label"]: r["tax_id"] for r in lookup.jurisdiction_tax(labels, "label", taxes).collect()} == {"Percepción IIBB CABA Sufrida": 2, "IIBB ARBA": 3, "IVA": None, "IIBB Luna": None}
     want = spark.createDataFrame([(1, 0, 7), (1, 1, None), (1, 2, 7)], "g int, at int, k int")
     have = spark.createDataFrame([(1, 10, 9), (1, 11, 7)], "g int, id long, k int")
     got = changes.by_key_else_position(want.withColumn("id", F.col("at").cast("long")), have, "g", "k", ["id"])
