@@ -38,7 +38,7 @@ def token_set_ratio(a: str, b: str) -> float:
         return 0.0
     both = " ".join(sorted(x & y))
     left, right = (" ".join(filter(None, (both, " ".join(sorted(s))))) for s in (x - y, y - x))
-    return max(ratio(left, right), *((ratio(both, left), ratio(both, right)) if both else ()))
+    return max([ratio(left, right)] + ([ratio(both, left), ratio(both, right)] if both else []))
 
 
 def partial_ratio(a: str, b: str) -> float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,19 +23,19 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - F.levenshtein(a, b) / longest), 4))
 
 
-def best_match(probe: DataFrame, key: str, name: str, registry: DataFrame, registry_id: str, registry_name: str, threshold: float, block: int = 3) -> DataFrame:
+def best_match(probe: DataFrame, key: str, name: str, registry: DataFrame, registry_id: str, registry_name: str, threshold: float, block: int = 3, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
     """(key, id, score): for each probe the registry row with the most similar name, if the threshold is reached.
 
-    Distinct probe names are compared once. Only names whose length allows the threshold meet, and of those only
-    names that share their first `block` letters; a block of 0 compares all (a registry is small, probes are not).
+    Distinct probe names are compared once, and only names that share their first `block` letters; a block of 0 compares
+    all (a registry is small, probes are not). With edit distance only names whose length allows the threshold meet.
     Ties go to the smaller id.
     """
     names = probe.select(text.label_key(F.col(name)).alias("q")).where("q <> ''").distinct()
     targets = registry.select(F.col(registry_id).alias("id"), text.label_key(F.col(registry_name)).alias("r")).where("r <> ''")
-    near = F.least(F.length("q"), F.length("r")) * 100 >= threshold * F.greatest(F.length("q"), F.length("r"))
+    near = F.lit(True) if score is not similarity else F.least(F.length("q"), F.length("r")) * 100 >= threshold * F.greatest(F.length("q"), F.length("r"))
     met = names.join(targets, near & (F.substring("q", 1, block) == F.substring("r", 1, block)) if block else near)
     by = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = met.withColumn("score", similarity(F.col("q"), F.col("r"))).where(F.col("score") >= threshold).withColumn("n", F.row_number().over(by)).where("n = 1")
+    top = met.withColumn("score", score(F.col("q"), F.col("r"))).where(F.col("score") >= threshold).withColumn("n", F.row_number().over(by)).where("n = 1")
     return probe.select(F.col(key), text.label_key(F.col(name)).alias("q")).join(top.select("q", "id", "score"), "q").select(key, "id", "score")
 
 

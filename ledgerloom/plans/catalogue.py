@@ -610,3 +610,106 @@ def footer_reconciled(spark: SparkSession, d: str) -> DataFrame:
     li = li.withColumn("manual", (F.col("l_returnflag") == "A") & (F.col("pos") == 0))
     made = tax.reconciled(li, h, stated)
     return _doubles(made.select("invoice", "action", "vat", F.size("rates").alias("rates")), "vat")
+
+
+# Kinds of invoices and tax ids of tenants
+
+_KINDS = "case p_partkey % 10 when 0 then 'FACTURAS A' when 1 then 'Factura  B' when 2 then 'Invoices C' when 3 then 'FACTURAS A EXPORT' when 4 then 'FACTURA DE CREDITO ELECTRONICA MiPyMEs (FCE) A' when 5 then 'OC-X' when 6 then 'FACTURA DE SERVICIOS C' when 7 then 'RECIBO' when 8 then 'Credit Notes A' else 'Ticket Invoice M' end"
+_CODES = "case when p_partkey % 10 = 7 and p_partkey % 4 = 3 then '6' when p_partkey % 30 = 9 then '99' else '' end"
+
+
+@query("document_kind_ids", f"""with k as (select p_brand as tenant, p_partkey as id, trim(regexp_replace(upper({_KINDS}), ' +', ' ', 'g')) as n, {_CODES} as c from part),
+s as (select tenant, id, x.l, case when regexp_matches(n, 'CREDIT|TICKET|FCE') then 0 when n in ('FACTURAS ' || x.l, 'INVOICES ' || x.l) then 100 when n in ('FACTURA ' || x.l, 'INVOICE ' || x.l) then 95
+  when c = x.code then 90 when contains(n, 'FACTURAS ' || x.l) then 80 when contains(n, 'FACTURA ' || x.l) then 75 when ends_with(n, ' ' || x.l) and contains(n, 'FACTURA') then 40 else 0 end as fit
+  from k, (values ('A', '1'), ('B', '6'), ('C', '11')) x(l, code)),
+b as (select tenant, 'FACTURAS ' || l as label, id from s where fit > 0 qualify row_number() over (partition by tenant, l order by fit desc, id) = 1),
+o as (select tenant, max(id) as id from k where c in ('OC-X', '99') or n = 'OC-X' group by 1)
+select * from b union all select coalesce(o.tenant, b.tenant), 'OC-X', coalesce(o.id, b.id) from o full join (select * from b where label = 'FACTURAS C') b on b.tenant = o.tenant""")
+def document_kind_ids(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "part").select(F.col("p_brand").alias("tenant"), F.col("p_partkey").alias("id"), F.expr(_KINDS).alias("name"), F.expr(_CODES).alias("code"))
+    return doctypes.by_label(kinds, ["tenant"], ["id"])
+
+
+@query("document_kind_names", """select p_partkey, case p_partkey % 10 when 0 then 'FACTURAS A' when 1 then 'Factura B' when 2 then 'FACTURAS C' when 3 then 'FACTURAS A EXPORT' when 4 then 'FACTURA DE CREDITO ELECTRONICA MiPyMEs (FCE) A'
+  when 5 then 'OC-X' when 6 then 'FACTURA DE SERVICIOS C' when 7 then 'RECIBO' when 8 then 'NOTAS DE CRÉDITO A' else 'TIQUE FACTURA M' end as name from part""")
+def document_kind_names(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", doctypes.spanish(F.expr(_KINDS)).alias("name"))
+
+
+#: Two tenants' catalogues of purchase taxes; ids are not the same, and the second names one rate only in the name.
+TAXES = [("default", 63, "IVA 21%", 21.0, 1), ("default", 61, "IVA 10,5%", 10.5, 2), ("default", 57, "IVA Exento", 0.0, 3), ("default", 53, "IVA No Corresponde", 0.0, 4), ("default", 70, "P. IIBB CABA", 0.0, 5), ("north", 7, "IVA 21% bis", 21.0, 2), ("north", 5, "IVA 21%", 21.0, 1), ("north", 6, "IVA 10.5", 0.0, 3), ("north", 8, "IVA Exen", 0.0, 4), ("north", 9, "Perc Gananc", 0.0, 5)]
+
+
+def _taxes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TAXES, "profile string, id long, name string, amount double, pos int").withColumn("amount", F.col("amount").cast("decimal(12,4)"))
+
+
+_TAX_SLOT = "(array(63, 61, 57, 53, 70))[cast(l_linenumber % 5 as int)]"
+
+
+@query("tax_remap", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, t.tax_id, case when l_returnflag = 'N' then t.same else t.other end as wanted from lineitem
+join (values (0, 63, 63, 5), (1, 61, 61, 6), (2, 57, 57, 8), (3, 53, 53, 53), (4, 70, null, null)) t(n, tax_id, same, other) on t.n = l_linenumber % 5""")
+def tax_remap(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(_TAX_SLOT).cast("long").alias("tax_id"), F.lit("default").alias("source"), F.when(F.col("l_returnflag") == "N", "default").otherwise("north").alias("target"))
+    return taxids.remapped(rows, _taxes(spark), "source", "target", "wanted").drop("source", "target")
+
+
+@query("tax_by_label", """select o_orderkey, case o_orderkey % 4 when 0 then 70 when 1 then 9 when 2 then 63 end as tax_id from orders""")
+def tax_by_label(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    shown = F.when(k == 0, "Percepción IIBB CABA Sufrida").when(k == 1, "Percepción Ganancias Aplicada").when(k == 2, " iva  21%").otherwise("Percepción IIBB Luna Sufrida")
+    return taxids.by_name(table(spark, d, "orders").select("o_orderkey", shown.alias("label")), "label", _taxes(spark).where("id not in (5, 7)")).select("o_orderkey", "tax_id")
+
+
+@query("tax_id_split", """select o_orderkey, case when o_orderkey % 3 = 0 then '61,63' else '61,57' end as vat, '70' as other, case when o_orderkey % 3 = 0 then 63 else 61 end as main from orders""")
+def tax_id_split(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.when(F.col("o_orderkey") % 3 == 0, F.array(*map(F.lit, (61, 70, 63)))).otherwise(F.array(*map(F.lit, (61, 57, 70))))
+    vat, other = taxids.split_ids(ids, F.array(*map(F.lit, (63, 61, 57, 53))))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(vat, ",").alias("vat"), F.array_join(other, ",").alias("other"), taxids.primary_id(vat, F.lit(63)).alias("main"))
+
+
+# Quantities and units of invoices
+
+_UNIT = "case l_linenumber % 5 when 0 then 'Kilos' when 1 then 'grs' when 2 then 'Lts' when 3 then '' else 'cajas' end"
+
+
+@query("unit_notes", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_linenumber % 5 when 1 then 'Re-escalado' when 2 then 'Categoría UM distinta' when 3 then 'Sin UM en factura' when 4 then 'UM sin mapeo' else '' end as note,
+  case l_linenumber % 5 when 1 then l_quantity / 1000 else l_quantity end as scaled, cast(case l_linenumber % 5 when 0 then 1.0 when 1 then 0.001 end as double) as factor from lineitem""")
+def unit_notes(spark: SparkSession, d: str) -> DataFrame:
+    units = spark.createDataFrame([("kg", 1, "weight"), ("g", 1000, "weight"), ("L", 1, "volume"), ("Units", 1, "unit")], "unit string, factor long, category string").withColumn("factor", F.col("factor").cast("decimal(12,4)"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(12,2)").alias("qty"), F.expr(_UNIT).alias("unit"), F.lit("kg").alias("order_unit"))
+    return _doubles(purchase.scaled(li, units).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "note", "scaled", "factor"), "scaled", "factor")
+
+
+@query("billed_quantity", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_linenumber % 4 when 0 then l_quantity when 1 then l_quantity + 1 when 2 then l_quantity when 3 then 500.0 end as qty from lineitem""")
+def billed_quantity(spark: SparkSession, d: str) -> DataFrame:
+    k, q = F.col("l_linenumber") % 4, F.col("l_quantity").cast("decimal(12,2)")
+    size = F.lit(500).cast("decimal(12,2)")
+    made = purchase.billed_quantity(F.when(k == 0, q).when(k == 1, size), F.when(k == 1, q + 1).when(k == 2, q), size)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", made.cast("double").alias("qty"))
+
+
+# Hierarchies and names
+
+
+@query("deep_hierarchy", """with recursive t as (select p_partkey as key, case when p_partkey % 7 = 0 then null else p_partkey // 2 end as up from part),
+r(key, head) as (select key, key from t where up is null union all select t.key, r.head from t join r on t.up = r.key)
+select t.key as p_partkey, r.head from t left join r on r.key = t.key""")
+def deep_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.floor(F.col("p_partkey") / 2)).alias("up"))
+    return lookup.heads(p, "p_partkey", "up")
+
+
+@query("po_line_match")
+def po_line_match(spark: SparkSession, d: str) -> DataFrame:
+    invoices, orders = _baskets(spark, d)
+    seen = F.concat_ws(" ", F.lit("ALM"), F.translate("name", "OI", "01"))
+    return purchase.best_order_line(invoices.withColumn("name", seen).withColumn("code", F.lit("")), orders)
+
+
+@query("fuzzy_words_top1")
+def fuzzy_words_top1(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' segments and nations as typed, reversed, against a registry of nations."""
+    n = table(spark, d, "nation")
+    typed = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("key"), F.concat_ws(" ", "n_name", "c_mktsegment").alias("name"))
+    return lookup.best_match(typed, "key", "name", n, "n_nationkey", "n_name", 72.0, block=0, score=similar.name_score)

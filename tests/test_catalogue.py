@@ -38,4 +38,5 @@ def test_equals_sql(spark, con, name):
 
 
 def test_every_query_has_sql():
-    assert catalogue.queries().keys() == catalogue.oracle_sql().keys()
+    """All but those that need a longest common subsequence, which DuckDB lacks: test_similar holds them to brute force."""
+    assert catalogue.queries().keys() - catalogue.oracle_sql().keys() == {"po_line_match", "fuzzy_words_top1"}
