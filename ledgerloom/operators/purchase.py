@@ -113,8 +113,8 @@ def best_order_line(invoice_lines: DataFrame, order_lines: DataFrame, threshold:
     p = order_lines.select("order", "partner", "po_line", F.coalesce("name", F.lit("")).alias("r"), F.col("qty").alias("__r"))
     met = i.join(p, "partner").withColumn("same", F.coalesce((F.col("__r") != 0) & (F.abs(F.col("__q") - F.col("__r")) <= 0.01), F.lit(False)))
     quantity = F.when(F.col("same"), 1).cast("decimal(4,2)")
-    scores = met.select("code", "q", "r", "same").distinct().withColumn("score", line_fit(F.col("code"), F.col("q"), quantity, F.col("r"), F.lit(1)))
-    enough = F.when(F.trim("code") != "", with_code).otherwise(threshold)
-    j = met.join(scores, ["code", "q", "r", "same"]).where(F.col("score") >= enough)
-    best = j.groupBy("invoice", "line").agg(F.min(F.struct((-F.col("score")).alias("s"), "order", "po_line")).alias("b"))
-    return best.select("invoice", "line", "b.order", "b.po_line", (-F.col("b.s")).alias("score"))
+    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps few but costly pairs apart
+    scores = met.select("code", "q", "r", "same").distinct().repartition(parts).withColumn("score", line_fit(F.col("code"), F.col("q"), quantity, F.col("r"), F.lit(1)))
+    best = met.join(scores, ["code", "q", "r", "same"]).groupBy("invoice", "line", "code").agg(F.min(F.struct((-F.col("score")).alias("s"), "order", "po_line")).alias("b"))
+    enough = F.when(F.trim("code") != "", with_code).otherwise(threshold)  # on the best only: a filter on all pairs would score each
+    return best.select("invoice", "line", "b.order", "b.po_line", (-F.col("b.s")).alias("score"), enough.alias("__e")).where("score >= __e").drop("__e")

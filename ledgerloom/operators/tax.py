@@ -28,20 +28,41 @@ def _flag(df: DataFrame, name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
 
 
-def modes(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """A row per header: invoice, mode (line, header or mixed), header_vat, subtotal, bases, effective."""
+def _facts(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """A row per header: its amounts, sums over its lines, by_line (a list of pct, suggested, effective), zero, by_hand, mode.
+
+    What needs no list uses rates and split (the suggested amounts' sum), so that the list is not built.
+    Lines are summed by invoice and rate first; both groupings and the join share the lines' distribution by invoice.
+    """
     content = (F.col("qty") > 0) | (F.col("price") > 0)
     off = (F.col("vat") > 0) & (F.col("suggested") > 0) & (F.abs(F.col("vat") - F.col("suggested")) > tolerance(F.col("suggested")))
-    edited = content & (F.col("pct") > 0) & (_flag(lines, "manual") | off)
-    sums = line_amounts(lines).groupBy("invoice").agg(
+    rated = content & (F.col("pct") > 0)
+    made = line_amounts(lines.withColumns({"__z": _flag(lines, "zero"), "__m": _flag(lines, "manual")}))
+    rates = made.groupBy("invoice", F.when(rated, F.col("pct").cast("decimal(6,2)")).alias("pct")).agg(
+        F.sum("base").alias("base"),
+        F.sum("suggested").cast("decimal(28,6)").alias("suggested"),
+        F.sum("effective").cast("decimal(28,6)").alias("effective"),
+        F.count(F.when(content, 1)).alias("filled"),
+        F.count(F.when(rated & (F.col("__m") | off), 1)).alias("edited"),
+        F.bool_and(F.when(content, F.col("__z"))).alias("zero"),
+        F.bool_or(F.when(content, F.col("__m"))).alias("by_hand"),
+    )
+    one = F.when(F.col("pct").isNotNull(), F.struct("pct", "suggested", "effective"))
+    sums = rates.groupBy("invoice").agg(
         F.sum("base").alias("bases"),
         F.sum("effective").alias("effective"),
-        F.count(F.when(content, 1)).alias("filled"),
-        F.count(F.when(content & (F.col("pct") > 0), 1)).alias("rated"),
-        F.count(F.when(edited, 1)).alias("edited"),
+        F.sum("filled").alias("filled"),
+        F.sum(F.when(F.col("pct").isNotNull(), F.col("filled"))).alias("rated"),
+        F.sum("edited").alias("edited"),
+        F.bool_and("zero").alias("zero"),
+        F.bool_or("by_hand").alias("by_hand"),
+        F.count("pct").alias("rates"),
+        F.sum(F.when(F.col("pct").isNotNull(), F.round("suggested", 2))).alias("split"),
+        F.array_sort(F.collect_list(one)).alias("by_line"),
     )
-    j = headers.select("invoice", F.col("vat").alias("header_vat"), "subtotal").join(sums, "invoice", "left").na.fill(0, ["filled", "rated", "edited"])
-    j = j.withColumns({c: F.coalesce(c, F.lit(0).cast("decimal(24,6)")) for c in ("bases", "effective")})
+    h = headers.select("invoice", F.col("vat").alias("header_vat"), "subtotal", _flag(headers, "manual").alias("fixed"))
+    j = h.join(sums, "invoice", "left").na.fill(0, ["filled", "rated", "edited"]).na.fill(False, ["zero", "by_hand"])
+    j = j.withColumns({c: F.coalesce(c, F.lit(0)).cast("decimal(30,6)") for c in ("bases", "effective")})
     h = F.coalesce(F.col("header_vat"), F.lit(0))
     close = F.abs(F.col("effective") - h) <= tolerance(h)
     mode = (
@@ -56,25 +77,31 @@ def modes(lines: DataFrame, headers: DataFrame) -> DataFrame:
     return j.withColumn("mode", mode)
 
 
+def modes(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """A row per header: invoice, mode (line, header or mixed), header_vat, subtotal, bases, effective."""
+    return _facts(lines, headers).select("invoice", "mode", "header_vat", "subtotal", "bases", "effective")
+
+
+def _split() -> Column:
+    """A list of pct and amount: suggested amounts, but the header's where it has one rate and does not follow its lines."""
+    alone = (F.col("header_vat") > 0) & (F.size("by_line") == 1)
+    amount = lambda x: F.when(F.col("mode") == "line", x["effective"]).when(alone, F.col("header_vat")).otherwise(x["suggested"])
+    return F.transform("by_line", lambda x: F.struct(x["pct"].alias("pct"), F.round(amount(x), 2).cast(D).alias("amount")))
+
+
 def breakdown(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """invoice, pct, amount: tax by rate; suggested amounts, but the header's where it has one rate and does not follow its lines."""
-    m = modes(lines, headers)
-    by_rate = line_amounts(lines).where("pct > 0").groupBy("invoice", "pct").agg(F.sum("suggested").alias("suggested"), F.sum("effective").alias("effective"))
-    rates = by_rate.groupBy("invoice").agg(F.count("*").alias("rates"))
-    j = by_rate.join(rates, "invoice").join(m.select("invoice", "mode", "header_vat"), "invoice")
-    amount = F.when(F.col("mode") == "line", F.col("effective")).when((F.col("header_vat") > 0) & (F.col("rates") == 1), F.col("header_vat")).otherwise(F.col("suggested"))
-    return j.select("invoice", "pct", F.round(amount, 2).cast(D).alias("amount"))
+    return _facts(lines, headers).select("invoice", F.explode(_split()).alias("x")).select("invoice", "x.pct", "x.amount")
 
 
 def totals(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """invoice, mode, base, vat, total, total_stated and base_differs of each header."""
-    m = modes(lines, headers)
-    split = breakdown(lines, headers).groupBy("invoice").agg(F.sum("amount").alias("split"))
-    j = m.join(split, "invoice", "left")
+    j = _facts(lines, headers)
     h = F.coalesce(F.col("header_vat"), F.lit(0))
     sub = F.coalesce(F.col("subtotal"), F.lit(0))
+    split = F.when((h > 0) & (F.col("rates") == 1), h).otherwise(F.col("split"))
     base = F.when((F.col("mode") == "header") & (sub > 0), sub).otherwise(F.col("bases")).cast("decimal(24,4)")
-    vat = F.when(F.col("mode") == "line", F.round("effective", 2)).otherwise(F.coalesce(F.col("split"), h)).cast(D)
+    vat = F.when(F.col("mode") == "line", F.round("effective", 2)).otherwise(F.coalesce(split, h)).cast(D)
     j = j.withColumn("base", F.round(base, 2).cast(D)).withColumn("tax", vat)
     stated = (F.when(sub > 0, sub).otherwise(F.col("bases")) + h).cast("decimal(24,4)")
     differs = (F.col("mode") != "header") & (sub > 0) & (F.abs(sub - F.col("bases")) > tolerance(sub))
@@ -91,19 +118,11 @@ def repair_inflated(lines: DataFrame, headers: DataFrame) -> DataFrame:
     return j.withColumn("new_qty", qty.cast("decimal(20,2)")).withColumn("new_price", price.cast("decimal(20,2)"))
 
 
-def _per_invoice(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
-    """A row per header: modes' columns, maps stated and by_line of (pct, amount) and (pct, suggested, effective), zero, by_hand, fixed."""
-    content = (F.col("qty") > 0) | (F.col("price") > 0)
-    kept = line_amounts(lines.withColumns({"__z": _flag(lines, "zero"), "__m": _flag(lines, "manual")})).where(content)
-    rates = kept.groupBy("invoice", F.when(F.col("pct") > 0, F.col("pct")).alias("pct")).agg(
-        F.sum("suggested").alias("suggested"), F.sum("effective").alias("effective"), F.bool_and("__z").alias("z"), F.bool_or("__m").alias("m")
-    )
-    rate = F.when(F.col("pct").isNotNull(), F.struct("pct", "suggested", "effective"))
-    by_line = rates.groupBy("invoice").agg(F.array_sort(F.collect_list(rate)).alias("by_line"), F.bool_and("z").alias("zero"), F.bool_or("m").alias("by_hand"))
+def _with_stated(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
+    """The facts of each header and stated, a list of pct and amount of the positive stated amounts."""
     positive = stated.where("amount > 0").groupBy("invoice", F.col("pct").cast("decimal(6,2)").alias("pct")).agg(F.sum(F.col("amount").cast(D)).cast(D).alias("amount"))
     known = positive.groupBy("invoice").agg(F.array_sort(F.collect_list(F.struct("pct", "amount"))).alias("stated"))
-    fixed = headers.select("invoice", _flag(headers, "manual").alias("fixed"))
-    return modes(lines, headers).join(fixed, "invoice").join(by_line, "invoice", "left").join(known, "invoice", "left").na.fill(False, ["zero", "by_hand"])
+    return _facts(lines, headers).join(known, "invoice", "left")
 
 
 RATES = "array<struct<pct: decimal(6,2), amount: decimal(18,2)>>"
@@ -115,7 +134,7 @@ def effective_map(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> Da
     The stated map, but one stated rate gives way to a header that differs; else the header under the lines' one rate or
     21; else the lines' suggested tax. Invoices whose lines are all exempt or not taxed have none.
     """
-    f = _per_invoice(lines, headers, stated)
+    f = _with_stated(lines, headers, stated)
     h, s, by_line = F.coalesce("header_vat", F.lit(0)), F.col("stated"), F.col("by_line")
     total = F.aggregate(s, F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["amount"]).cast("decimal(28,2)"))
     differs = (h > 0) & (F.abs(total - h) > tolerance(total)) & F.col("mode").isin("header", "mixed") & (F.size(s) == 1)
@@ -138,7 +157,7 @@ def reconciled(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataF
     clear where every line is exempt or not taxed; keep where the header was edited, or is not of mode line; lines where the
     lines' tax replaces both, as it does whenever a line's was edited.
     """
-    f = _per_invoice(lines, headers, stated)
+    f = _with_stated(lines, headers, stated)
     mine = F.filter(F.transform("by_line", lambda x: F.struct(x["pct"].alias("pct"), F.round(x["effective"], 2).cast(D).alias("amount"))), lambda x: x["amount"] > 0)
     total = F.aggregate("by_line", F.lit(0).cast("decimal(30,6)"), lambda a, x: (a + x["effective"]).cast("decimal(30,6)"))
     from_lines = (F.col("by_hand") | (F.col("mode") == "line")) & (F.size(mine) > 0)
