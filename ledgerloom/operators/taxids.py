@@ -99,3 +99,21 @@ def split_ids(ids: Column, vat_ids: Column) -> tuple[Column, Column]:
 def primary_id(vat: Column, usual: Column) -> Column:
     """The usual tax's id if it is among them, else the first."""
     return F.when(F.array_contains(vat, usual), usual).otherwise(F.get(vat, F.lit(0)))
+
+
+#: Names of taxes and what the screen shows for them.
+SHOWN = {"INTERNAL TAXES": "Impuestos internos", "OTHER TAXES": "Otros impuestos"}
+
+
+def options(labels: DataFrame, taxes: DataFrame) -> DataFrame:
+    """id, label, pos: what a list of taxes offers, a row per tax; ordered by pos (nulls last), then the label in capitals.
+
+    labels: pos, label; taxes: id, name. A known label stands for the tax it means, the last one with 'Sufrida' before the
+    first of the others; taxes that no label means show their own name, those without a name fall away.
+    """
+    suffered = F.col("label").contains("Sufrida")
+    meant = by_name(labels, "label", taxes).where("tax_id is not null")
+    known = first_per_key(meant, ["tax_id"], [suffered.desc(), F.when(suffered, -F.col("pos")).otherwise(F.col("pos"))]).select(F.col("tax_id").alias("id"), "label", "pos")
+    shown = F.create_map(*[F.lit(x) for pair in SHOWN.items() for x in pair])
+    own = taxes.join(known.select("id"), "id", "left_anti").select("id", F.coalesce(shown[text.accent_fold(F.col("name"))], text.normalize(F.col("name"))).alias("label"), F.lit(None).cast(known.schema["pos"].dataType).alias("pos"))
+    return known.unionByName(own.where("label <> ''"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, similar, text
-from ..operators import changes, doctypes, documents, lookup, order, purchase, state, tax, taxids
+from ..operators import changes, doctypes, documents, lookup, order, purchase, state, tax, taxids, validation
 from ..sources.files import scan, table
-from .proxies import LINES_SQL, headers, lines
+from .proxies import LINE_ORDER, LINES_SQL, headers, lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -713,3 +713,43 @@ def fuzzy_words_top1(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     typed = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("key"), F.concat_ws(" ", "n_name", "c_mktsegment").alias("name"))
     return lookup.best_match(typed, "key", "name", n, "n_nationkey", "n_name", 72.0, block=0, score=similar.name_score)
+
+
+# Checks before sending
+
+_SCREEN = {
+    "rate": "case when l_linenumber = 7 then '' else '21' end",
+    "number": "case when l_orderkey % 11 = 0 then '12x' else '1-23' end",
+    "account": "case when l_returnflag = 'A' then '' else '1.1' end",
+    "quantity": "case when l_quantity = 50 then 'many' else cast(cast(l_quantity as integer) as string) end",
+    "day": "case when l_discount = 0.1 then '31/02/2020' when l_discount = 0 then '' else '1/2/2020' end",
+}
+_FIRST_SQL = ", ".join(f"{sql} as {name}" for name, sql in _SCREEN.items())
+
+
+@query("first_violation", f"""with {LINES_SQL}, s as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) - 1 as pos, {_FIRST_SQL} from lineitem),
+v as (select l_orderkey, pos, 0 as step, 'no rate' as rule, 'rate' as field, rate as value from s where rate = '' union all select l_orderkey, pos, 1, 'document number', 'number', number from s where number = '12x'
+  union all select l_orderkey, pos, 2, 'no number', 'quantity', quantity from s where quantity = 'many' union all select l_orderkey, pos, 3, 'no account', 'account', account from s where account = ''
+  union all select l_orderkey, pos, 4, 'no date', 'day', day from s where day = '31/02/2020')
+select l_orderkey, pos, rule, field, value from v qualify row_number() over (partition by l_orderkey order by step, pos) = 1""")
+def first_violation(spark: SparkSession, d: str) -> DataFrame:
+    t = order.numbered(table(spark, d, "lineitem"), ["l_orderkey"], LINE_ORDER)
+    rows = t.select("l_orderkey", "pos", F.lit("x").alias("name"), *[F.expr(sql).alias(name) for name, sql in _SCREEN.items()])
+    return validation.first_violation(rows, ["l_orderkey"], ["quantity"], ["day"])
+
+
+@query("tax_options", "select * from (values (70, 'Percepción IIBB CABA Sufrida', 1), (9, 'Percepción Ganancias Sufrida', 3), (63, 'IVA 21%', null), (61, 'IVA 10,5%', null), (57, 'IVA Exento', null), (53, 'IVA No Corresponde', null), (6, 'IVA 10.5', null), (8, 'IVA Exen', null)) t(id, label, pos)")
+def tax_options(spark: SparkSession, d: str) -> DataFrame:
+    labels = spark.createDataFrame([(1, "Percepción IIBB CABA Sufrida"), (2, "Percepción Ganancias Aplicada"), (3, "Percepción Ganancias Sufrida"), (4, "Percepción IIBB Salta Sufrida")], "pos int, label string")
+    return taxids.options(labels, _taxes(spark).where("id not in (5, 7)").select("id", "name"))
+
+
+@query("pairing_key_else_place", f"""with {LINES_SQL}, p as (select invoice, 100 - pos as id, l_partkey as k, row_number() over (partition by invoice order by 100 - pos) - 1 as n from lines),
+e as (select invoice, k, min(id) as id from p group by 1, 2),
+t as (select l.invoice, l.pos, coalesce(e.id, p.id) as target from lines l left join e on e.invoice = l.invoice and l.l_returnflag = 'A' and e.k = l.l_partkey left join p on p.invoice = l.invoice and p.n = l.pos)
+select invoice, pos, case when row_number() over (partition by invoice, target order by pos) = 1 then target end as target from t""")
+def pairing_key_else_place(spark: SparkSession, d: str) -> DataFrame:
+    li = lines(spark, d)
+    want = li.select("invoice", F.col("pos").alias("id"), F.when(F.col("l_returnflag") == "A", F.col("l_partkey")).alias("k"))
+    have = li.select("invoice", (100 - F.col("pos")).alias("id"), F.col("l_partkey").alias("k"))
+    return changes.by_key_else_position(want, have, "invoice", "k", ["id"]).select("invoice", "pos", "target")

@@ -66,3 +66,14 @@ def test_maps_of_tax(spark):
     assert made == {1: ("keep", Decimal(25), 1), 2: ("clear", None, 0), 3: ("lines", Decimal("31.50"), 2), 4: ("lines", Decimal(30), 1), 5: ("keep", Decimal(9), 0), 6: ("keep", None, 0)}
     empty = li.limit(0)
     assert tax.effective_map(empty, h.limit(0), stated.limit(0)).count() == 0
+
+
+def test_violations(spark):
+    from ledgerloom.operators import validation
+
+    rows = [(1, 0, "21", "1-2", "a", "x", "1.234,5", "1/2/2020"), (1, 1, "21", None, None, None, None, None), (2, 0, None, None, None, None, None, None), (2, 1, "21", "9x", None, "n", "1,2,3", "31/02/2020"), (3, 0, "0", "", "a", "", "1.23", "")]
+    df = spark.createDataFrame(rows, "g long, pos int, rate string, number string, account string, name string, qty string, day string")
+    got = sorted((r["g"], r["pos"], r["rule"]) for r in validation.violations(df, ["g"], ["qty"], ["day"]).collect())
+    assert got == [(2, 0, "no rate"), (2, 1, "document number"), (2, 1, "no account"), (2, 1, "no date"), (2, 1, "no number")]
+    assert [tuple(r) for r in validation.first_violation(df, ["g"], ["qty"], ["day"]).collect()] == [(2, 0, "no rate", "rate", "")]
+    assert validation.violations(df.limit(0), ["g"], ["qty"], ["day"]).count() == 0
