@@ -3,7 +3,9 @@
 Three kinds of evidence on a document are fused: the likelihood of its text under byte-trigram models, the
 language that it declares (in its markup, or a column), and a prior of its host, smoothed towards the prior of the
 host's address suffix, which is smoothed towards that of all documents. Models, the reliability of declarations
-and the priors are counted over all documents by grouped aggregation; no labels are used.
+and the priors are counted over all documents by grouped aggregation; no labels are used. Beside the languages
+stands a background, none of them, under which all trigram slots are as likely; it has its own priors and
+declarations, and a text that it explains best (random letters, codes, a language without a model) is rejected.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ MAX_LANGUAGES = 32
 WEIGHT = 40
 #: Documents that a prior one level up is worth, and the least posterior that is not rejected.
 SMOOTH, LEAST = 20.0, 0.5
+#: Share of each language's model spread over all slots, so that an unseen trigram counts the same in every language.
+SPREAD = 0.05
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -76,7 +80,7 @@ def languages(rows: DataFrame) -> list[str]:
 
 
 def text_models(rows: DataFrame, names: list[str]) -> np.ndarray:
-    """The logarithm of each trigram slot's share in each language."""
+    """The logarithm of each trigram slot's share in each language over its share in the background, which is the last row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(names), SLOTS), np.int64)
@@ -90,16 +94,17 @@ def text_models(rows: DataFrame, names: list[str]) -> np.ndarray:
         lang, slot = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(slot), pa.array(total[lang, slot])], ["lang", "slot", "n"])
 
-    counts = np.zeros((len(names), SLOTS))
+    counts = np.zeros((len(names) + 1, SLOTS))
     seen = rows.select("declared", "text").mapInArrow(count, "lang long, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     for r in seen.collect():  # len(names) * SLOTS at most
         counts[r["lang"], r["slot"]] = r["n"]
-    counts += 0.5
-    return np.log(counts / counts.sum(1, keepdims=True))
+    shares = counts / np.maximum(1, counts.sum(1, keepdims=True))
+    shares[-1] = 1 / SLOTS
+    return np.log((1 - SPREAD) * shares * SLOTS + SPREAD)
 
 
 def scored(rows: DataFrame, names: list[str], models: np.ndarray) -> DataFrame:
-    """id, th, declared, host, suffix, n (letters), text_score (array by language) and best (place; null without trigrams)."""
+    """id, th, declared, host, suffix, n (letters), text_score (array by language, the background last) and best (place; null without trigrams)."""
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +148,8 @@ def host_priors(rows: DataFrame, n: int) -> DataFrame:
     return joined.select("host", "suffix", _shares([F.col(f"n{k}") for k in range(n)], [F.col("upper")[k] for k in range(n)]).alias("prior"))
 
 
-def declaration_likelihoods(rows: DataFrame, names: list[str]) -> DataFrame:
+def declaration_likelihoods(rows: DataFrame, n: int) -> DataFrame:
     """declared and said (array by language: how likely a document of it declares this, over not declaring it)."""
-    n = len(names)
     table = rows.where("best is not null and declared <> ''").groupBy("declared").agg(*_counts(n))
     totals = table.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(n)]).first()
     return table.select("declared", F.array(*[(F.col(f"n{k}") + 0.5) / ((totals[k] or 0) + 0.5 * n) for k in range(n)]).alias("said"))
@@ -155,7 +159,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     """doc_id, th (hash of the text), lang, confidence, declared and kept of each row of docs.
 
     A text without a letter, empty or null ones among them, has no language and is rejected; so is one whose
-    likeliest language has a posterior below LEAST. One or two letters have no trigrams: the other evidence decides. A null or unusable declaration is none; a null host is ''.
+    likeliest language has a posterior below LEAST, among the languages and the background. One or two letters have no trigrams: the other evidence decides. A null or unusable declaration is none; a null host is ''.
     Null and repeated ids keep a row each; other columns are not read; an empty table gives no rows. If nothing is
     declared anywhere there are no languages to tell apart and all rows are rejected.
     """
@@ -164,12 +168,12 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     real = F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id")
     if not names:
         return rows.select(real, "th", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("kept"))
-    n = len(names)
+    n = len(names) + 1
     found = materialize(scored(rows, names, text_models(rows, names)))
-    joined = found.join(host_priors(found, n), ["host", "suffix"], "left").join(declaration_likelihoods(found, names), "declared", "left")
+    joined = found.join(host_priors(found, n), ["host", "suffix"], "left").join(declaration_likelihoods(found, n), "declared", "left")
     logs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("text_score", k) + F.log(F.coalesce(F.get("prior", k), F.lit(1.0 / n))) + F.log(F.coalesce(F.get("said", k), F.lit(1.0))))
-    fused = joined.withColumn("logs", logs).withColumn("most", F.array_max("logs"))
-    fused = fused.withColumn("confidence", 1.0 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("most"))))
+    fused = joined.withColumn("logs", logs).withColumn("most", F.array_max(F.slice("logs", 1, n - 1))).withColumn("top", F.array_max("logs"))
+    fused = fused.withColumn("confidence", F.exp(F.col("most") - F.col("top")) / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
     lang = F.get(F.array(*[F.lit(s) for s in names]), (F.array_position("logs", F.col("most")) - 1).cast("int"))
     has = F.col("n") > 0
     return fused.select(real, "th", F.when(has, lang).alias("lang"), F.when(has, F.col("confidence")).otherwise(0.0).alias("confidence"), "declared", (has & (F.col("confidence") >= LEAST)).alias("kept"))

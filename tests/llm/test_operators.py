@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -173,6 +174,18 @@ def test_op6_evidence_is_fused(spark):
     assert (got[100], got[101], got[102], got[103]) == ("de", "en", "de", "de")
 
 
+def test_op6_rejects_junk_and_undeclared_languages(spark):
+    rng = random.Random(3)
+    rows = [(i, cases.sentence(rng, cases.GERMAN if i % 2 else cases.WORDS, 60), "de" if i % 2 else "en", f"s{i % 4}") for i in range(120)]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)), rng.randbytes(120).hex(), base64.b64encode(rng.randbytes(150)).decode()]
+    junk += ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Все люди рождаются свободными и равными в своем достоинстве и правах.", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。"]
+    rows += [(1000 + k, t, None, "s1") for k, t in enumerate(junk)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"]: r["lang"] for r in op6.identify(table).where("kept").collect()}
+    assert kept == {i: said for i, _, said, _ in rows if i < 1000}
+    assert {r["doc_id"] for r in op6.keep_identified(table).collect()} == set(kept)
+
+
 def test_op6_reads_pages(spark):
     pages = spark.createDataFrame([(1, "https://x.example.de:80/a?b", '<html lang="de-AT"><script>var a="</p>";</script><p>der Hund</p>')], "page_id long, url string, html string")
     assert tuple(op6.page_documents(pages).first())[2:] == ("de", "x.example.de")
