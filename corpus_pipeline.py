@@ -34,8 +34,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document."""
-    return op3_bpe.encode_documents(docs, WORD_BPE)
+    """Token counts, digests and position in the mix of each document."""
+    return op3_bpe.encode_documents(op10_mixing.positions(docs), WORD_BPE, "position")
 
 
 STAGES = [("language_id", language_id), ("minhash_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("bpe", encoding)]

@@ -10,8 +10,10 @@ There are as many phases as sources at most, and each needs one period of at mos
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,3 +137,26 @@ def mix(docs: DataFrame, shares: Mapping[str, float] | None = None, block_docs:
     shares = source_shares(docs) if shares is None else shares
     placed = _placed(docs, whole_rows(docs), shares, block_docs, "source")
     return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("whole.*")
+
+
+def positions(docs: DataFrame) -> DataFrame:
+    """doc_id, text and position (0 on) of the rows of a mix that was written and read again.
+
+    Scans pack files by size, so the order lies in the numbers of the files, which follow the ranges of the mix,
+    and the rows within them. The driver holds a row per file. A table that is not read from files is written first.
+    """
+    try:
+        rows = _filed(docs)
+    except AnalysisException:
+        rows = _filed(materialize(docs))
+    sizes = [(r["file"], r["n"]) for r in rows.groupBy("file").agg(F.max("row") + 1).toDF("file", "n").collect()]
+    first, starts = 0, []
+    for file, n in sorted(sizes, key=lambda x: (int((re.findall(r"part-(\d+)", x[0]) or [0])[-1]), x[0])):
+        starts.append((file, first))
+        first += n
+    before = docs.sparkSession.createDataFrame(starts, "file string, first long")
+    return rows.join(F.broadcast(before), "file").select("doc_id", "text", (F.col("first") + F.col("row")).alias("position"))
+
+
+def _filed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))

@@ -163,23 +163,27 @@ def loaded(path: str) -> tuple[Bpe, WordTable, Digests]:
     return _LOADED[path]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, place: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and decoded_bytes, one row for each row of docs.
 
+    If place names a column of whole numbers, it is kept as the last column.
+
     A null or empty text has no tokens and the digests of the empty string; null and repeated ids are kept as
     they are; other columns are not read. No shuffle takes place: a task holds one Arrow batch and a bounded
     table of words.
     """
 
+    kept = [place] if place else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, words, digests = loaded(vocabulary)
         for rows, data, at in text_slices(batches):
             ids, first = words.encode(data, at)
             decimal = [hashlib.sha256(x).hexdigest() for x in digests.texts(ids, first, 0)]
             decoded = [(hashlib.sha256(x).hexdigest(), len(x)) for x in digests.texts(ids, first, 1)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(decimal, pa.string()), pa.array([x for x, _ in decoded], pa.string()), pa.array([n for _, n in decoded], pa.int64())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_bytes"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(decimal, pa.string()), pa.array([x for x, _ in decoded], pa.string()), pa.array([n for _, n in decoded], pa.int64()), *(rows.column(c).cast(pa.int64()) for c in kept)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_bytes", *kept])
 
-    return only(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_bytes long")
+    return only(docs, "doc_id", "text", *kept).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_bytes long" + "".join(f", `{c}` long" for c in kept))
 
 
 def encode_rows(docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from ledgerloom.llm import op10_mixing
+from ledgerloom.llm.common import materialize
+
 from . import cases
 
 
@@ -27,3 +30,22 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 100 and "ids_sha256" in out.columns
+
+
+def test_run_follows_the_schedule(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    plan = op10_mixing.schedule(docs, op10_mixing.source_shares(docs)).collect()
+    want = [r["doc_id"] for r in sorted(plan, key=lambda r: (r["slot"], r["place"]))]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.maxPartitionBytes": "20000"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = corpus_pipeline.run(spark, sf_dir).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert [r["position"] for r in sorted(got, key=lambda r: r["position"])] == list(range(len(want)))
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["position"])] == want
