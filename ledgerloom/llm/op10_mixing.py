@@ -2,26 +2,27 @@
 
 Source s has an integer weight a_s, all weights add up to a period W. Its block k (from 0) is released at
 floor(k W / a_s) and due at ceil((k + 1) W / a_s). Earliest deadline first among the released blocks fills one
-slot at a time, so that after t slots source s has had t a_s / W blocks, give or take less than one. The schedule
-repeats after W slots. When a source runs dry, the rest go on with the same weights among themselves: a new phase.
-There are as many phases as sources at most, and each needs one period of at most MAX_PERIOD slots.
+slot at a time, so that after t slots source s has had t a_s / W blocks, give or take less than one. When a source
+runs dry, the rest go on with the same weights among themselves, and releases and deadlines follow. `block_slots`
+makes the whole schedule for any number of sources; `phases` tells a small one by its repeating periods.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Mapping
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping, Sequence
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import materialize, whole_rows
 
-#: Sources with a target of their own; all others share one pool, so that what the driver holds is bounded.
-MAX_SOURCES = 64
 MAX_PERIOD = 1000
 OTHER = "\x00other"
 BLOCK_DOCS = 32
@@ -81,58 +82,130 @@ def phases(weights: Mapping[str, int], blocks: Mapping[str, int]) -> list[tuple[
     return out
 
 
-def source_shares(docs: DataFrame, power: float = 0.7, source: str = "source") -> dict[str, float]:
-    """Target shares from the row counts of the sources, flattened by a power below 1; MAX_SOURCES largest at most."""
-    n = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("s")).count()
-    top = n.orderBy(F.desc("count"), "s").limit(MAX_SOURCES).collect()
-    return {r["s"]: float(r["count"]) ** power for r in top}
+def source_shares(docs: DataFrame, power: float = 0.7, source: str = "source") -> DataFrame:
+    """source and share of every source: its row count, flattened by a power below 1."""
+    n = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).count()
+    return n.select("source", F.pow(F.col("count").cast("double"), F.lit(power)).alias("share"))
 
 
-def _placed(docs: DataFrame, whole: Column, shares: Mapping[str, float], block_docs: int, source: str) -> DataFrame:
+def _whole(shares: Sequence[float]) -> list[int]:
+    """Whole numbers in proportion to the shares."""
+    return list(integer_weights(dict(enumerate(shares))).values())
+
+
+def block_slots(weights: Sequence[int], blocks: Sequence[int]) -> Iterator[tuple[int, int]]:
+    """(source, block) of slot 0, 1, ...; holds a few numbers per source and does a few heap steps per slot.
+
+    Level v is the share of a block per weight that every live source has had: source s has had min(v weights[s],
+    blocks[s]) blocks by then, which is its target, and the targets add up to the slot G(v). Block k of s may lie
+    from slot floor(G(k / a_s)) to before ceil(G((k + 1) / a_s)), which keeps s within less than one block of its
+    target at every slot, also when others have run dry. Unit jobs with whole releases and deadlines that a
+    fluid schedule can meet are met by taking the earliest deadline among the released ones.
+    """
+    alive = sorted((s for s in range(len(weights)) if blocks[s] > 0), key=lambda s: Fraction(blocks[s], weights[s]))
+    dry = [0]  # blocks of the sources that have run dry before each turn, and the weight of the others
+    live = [sum(weights[s] for s in alive)]
+    for s in alive:
+        dry.append(dry[-1] + blocks[s])
+        live.append(live[-1] - weights[s])
+    turns = [blocks[s] / weights[s] for s in alive]
+
+    def at(k: int, w: int) -> tuple[int, int]:
+        """Floor and ceiling of G(k / w)."""
+        i = bisect_right(turns, k / w)
+        while i and blocks[alive[i - 1]] * w > k * weights[alive[i - 1]]:  # the quotients are rounded
+            i -= 1
+        while i < len(alive) and blocks[alive[i]] * w <= k * weights[alive[i]]:
+            i += 1
+        whole, part = divmod(k * live[i], w)
+        return dry[i] + whole, dry[i] + whole + (part > 0)
+
+    waiting = [(0, at(1, weights[s])[1], s, 0, at(1, weights[s])[0]) for s in alive]  # release, deadline, source, block, next release
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []
+    for slot in range(dry[-1]):
+        while waiting and waiting[0][0] <= slot:
+            _, due, s, k, then = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s, k))
+            if k + 1 < blocks[s]:
+                free, due = at(k + 2, weights[s])
+                heapq.heappush(waiting, (then, due, s, k + 1, free))
+        _, s, k = heapq.heappop(ready)
+        yield s, k
+
+
+def _slots(targets: DataFrame) -> DataFrame:
+    """pool, block and slot of every block of targets (pool, share, blocks).
+
+    One task makes them, as each slot depends on those before; it reads a row per source, holds a few numbers per
+    source and sends blocks off as they come. Sources with a share of 0 come after all others, as equals.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("pool", "share", "blocks")), strict=True))
+        slot = 0
+        for part in ([r for r in rows if r[1] > 0], [(p, 1.0, n) for p, share, n in rows if share == 0]):
+            names = pa.array([p for p, _, _ in part], pa.string())
+            made = block_slots(_whole([share for _, share, _ in part]), [n for _, _, n in part])
+            while chunk := list(islice(made, 1 << 16)):
+                place = pa.array([s for s, _ in chunk], pa.int64())
+                yield pa.RecordBatch.from_arrays([names.take(place), pa.array([k for _, k in chunk], pa.int64()), pa.array(range(slot, slot + len(chunk)), pa.int64())], ["pool", "block", "slot"])
+                slot += len(chunk)
+
+    return targets.select("pool", "share", "blocks").coalesce(1).mapInArrow(run, "pool string, block long, slot long")
+
+
+def _table(spark: SparkSession, shares: Mapping[str, float] | DataFrame) -> DataFrame:
+    if isinstance(shares, DataFrame):
+        return materialize(shares.select(F.coalesce("source", F.lit("")).alias("s"), F.col("share").cast("double").alias("share")))
+    return spark.createDataFrame([(s, float(w)) for s, w in shares.items()], "s string, share double")
+
+
+def _placed(docs: DataFrame, whole: Column, shares: Mapping[str, float] | DataFrame, block_docs: int, source: str) -> DataFrame:
     """(whole, pool, block, slot, place) of every row of docs."""
-    if len(shares) > MAX_SOURCES:
-        raise ValueError(f"{len(shares)} sources have a share; {MAX_SOURCES} may")
-    spark = docs.sparkSession
+    given = _table(docs.sparkSession, shares)
+    wrong = given.where("share is null or not (share >= 0 and share < double('Infinity'))").first()
+    if wrong or given.count() > given.select("s").distinct().count():
+        raise ValueError(f"shares must be finite, not negative, and one per source: {wrong}")
+    mean = given.agg(F.avg("share")).first()[0] or 1.0
     buckets = max(1, min(1 << 20, docs.count() // BUCKET_ROWS))
     raw = F.coalesce(F.col(source), F.lit(""))
-    pool = F.when(raw.isin(list(shares)), raw).otherwise(F.lit(OTHER)) if shares else F.lit(OTHER)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     bucket = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * buckets / (1 << 32))
-    sizes = materialize(docs.select(pool.alias("pool"), bucket.alias("bucket")).groupBy("pool", "bucket").agg(F.count("*").alias("n")))
+    known = docs.select(raw.alias("s"), bucket.alias("bucket")).groupBy("s", "bucket").agg(F.count("*").alias("n")).join(given, "s", "left")
+    pool = F.when(F.col("share").isNotNull(), F.col("s")).otherwise(F.lit(OTHER))
+    sizes = materialize(known.groupBy(pool.alias("pool"), "bucket").agg(F.sum("n").alias("n"), F.coalesce(F.max("share"), F.lit(mean)).alias("share")))
     before = Window.partitionBy("pool").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("pool", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    counts = {r["pool"]: -(-r["n"] // block_docs) for r in sizes.groupBy("pool").agg(F.sum("n").alias("n")).collect()}
-    mean = sum(shares.values()) / max(1, len(shares)) or 1.0
-    weights = integer_weights({s: w for s, w in {**shares, OTHER: mean}.items() if s in counts})
-    plan = _plan(spark, phases(weights, counts))
-    rows = docs.select(whole.alias("whole"), pool.alias("pool"), bucket.alias("bucket"), key.alias("key"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    offsets = sizes.select("pool", "bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    targets = sizes.groupBy("pool").agg(F.max("share").alias("share"), F.ceil(F.sum("n") / block_docs).alias("blocks"))
+    low, high = F.floor(F.col("first") / block_docs), F.floor((F.col("first") + F.col("n") - 1) / block_docs)
+    parts = offsets.select("pool", "bucket", "first", low.alias("low"), F.explode(F.sequence(low, high)).alias("block"))
+    ahead = parts.join(_slots(targets), ["pool", "block"]).groupBy("pool", "bucket", "first", "low").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
+    rows = docs.select(whole.alias("whole"), raw.alias("s"), bucket.alias("bucket"), key.alias("key"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    if sizes.where(F.col("pool") == OTHER).isEmpty():
+        rows = rows.withColumnRenamed("s", "pool")
+    else:
+        rows = rows.join(given, "s", "left").withColumn("pool", pool)
     inside = Window.partitionBy("pool", "bucket").orderBy("key", "id", "th")
-    ranked = rows.withColumn("r", F.row_number().over(inside) - 1).join(offsets, ["pool", "bucket"]).withColumn("rank", F.col("first") + F.col("r"))
+    ranked = rows.withColumn("r", F.row_number().over(inside) - 1).join(materialize(ahead), ["pool", "bucket"]).withColumn("rank", F.col("first") + F.col("r"))
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_docs))
-    on = (ranked["pool"] == plan["p"]) & (ranked["block"] >= plan["lo"]) & (ranked["block"] < plan["hi"])
-    placed = ranked.join(F.broadcast(plan), on)  # a row per source and phase: MAX_SOURCES squared at most
-    k, size = F.col("block") - F.col("lo"), F.size("slots")
-    slot = F.col("start") + F.floor(k / size) * F.col("period") + F.element_at("slots", (k % size + 1).cast("int"))
-    return placed.select("whole", F.when(F.col("pool") != OTHER, F.col("pool")).alias("pool"), "block", slot.cast("long").alias("slot"), (F.col("rank") % block_docs).cast("int").alias("place"))
+    slot = F.element_at("slots", (F.col("block") - F.col("low") + 1).cast("int"))  # a source's slots rise with its blocks
+    return ranked.select("whole", F.when(F.col("pool") != OTHER, F.col("pool")).alias("pool"), "block", slot.alias("slot"), (F.col("rank") % block_docs).cast("int").alias("place"))
 
 
-def schedule(docs: DataFrame, shares: Mapping[str, float], block_docs: int = BLOCK_DOCS, source: str = "source") -> DataFrame:
+def schedule(docs: DataFrame, shares: Mapping[str, float] | DataFrame, block_docs: int = BLOCK_DOCS, source: str = "source") -> DataFrame:
     """doc_id, pool, block, slot and place (0 on, dense within its slot) of every row of docs.
 
-    shares names at most MAX_SOURCES sources; rows of any other source, null included (as ''), share one pool
-    (null in the result), weighted like the mean source. In a pool documents lie in order of md5(doc_id), then
-    doc_id and text hash; null ids count as '' there and repeated rows each have a place. An empty table gives no
-    rows; other columns are not read. Ranks are found per bucket of md5, so no pool is sorted in one task.
+    shares gives any number of sources a share, as a mapping or a table (source, share); rows of any other source,
+    null included (as ''), share one pool (null in the result), weighted like the mean source. Sources with a share
+    of 0 come after all others. In a pool documents lie in order of md5(doc_id), then doc_id and text hash; null
+    ids count as '' there and repeated rows each have a place. An empty table gives no rows; other columns are not
+    read. Ranks are found per bucket of md5, so no pool is sorted in one task.
     """
     return _placed(docs, F.col("doc_id"), shares, block_docs, source).withColumnRenamed("whole", "doc_id")
 
 
-def _plan(spark: SparkSession, rows: list) -> DataFrame:
-    kind = T.StructType([T.StructField("p", T.StringType()), *(T.StructField(n, T.LongType()) for n in ("lo", "hi", "start", "period")), T.StructField("slots", T.ArrayType(T.IntegerType()))])
-    return spark.createDataFrame(rows, kind)
-
-
-def mix(docs: DataFrame, shares: Mapping[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def mix(docs: DataFrame, shares: Mapping[str, float] | DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """The rows of docs, all columns, range-partitioned and sorted in the order of the schedule."""
     shares = source_shares(docs) if shares is None else shares
     placed = _placed(docs, whole_rows(docs), shares, block_docs, "source")

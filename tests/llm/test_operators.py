@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -308,6 +309,36 @@ def test_op10_deviates_by_less_than_a_block():
             assert all(abs(done[s] - (t + 1) * weights[s] / total) < 1 for s in live)
 
 
+def test_op10_keeps_every_source_within_a_block():
+    for weights, blocks in (([1] * 90, [5] * 90), ([50, 3, 2, 7, 1, 1], [400, 30, 0, 11, 60, 2]), ([333, 334, 7], [10, 2000, 30])):
+        done, total = [0] * len(weights), sum(blocks)
+        turns = sorted({Fraction(n, w) for n, w in zip(blocks, weights, strict=True)})
+        level = i = 0
+        for t, (s, k) in enumerate(op10.block_slots(weights, blocks), 1):
+            assert k == done[s]
+            done[s] += 1
+            had = lambda v: sum(min(v * w, n) for w, n in zip(weights, blocks, strict=True))
+            while i < len(turns) and had(turns[i]) <= t:
+                level, i = turns[i], i + 1
+            live = sum(w for w, n in zip(weights, blocks, strict=True) if level * w < n)
+            v = level + Fraction(t - had(level), live) if live else level
+            assert all(abs(d - min(v * w, n)) < 1 for d, w, n in zip(done, weights, blocks, strict=True))
+        assert t == total and done == blocks
+
+
+def test_op10_has_a_target_for_every_source(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text", "concat('host', id % 150) as source")
+    got = op10.schedule(docs, op10.source_shares(docs), 2).collect()
+    assert len({r["pool"] for r in got}) == 150 and None not in {r["pool"] for r in got}
+    for s in range(0, 1500, 150):  # equal sources: one block of each in every 150 slots
+        assert len({r["pool"] for r in got if s <= r["slot"] < s + 150}) == 150
+    given = {f"host{i}": 1.0 + i for i in range(100)}
+    some = op10.schedule(docs, given, 2).collect()
+    assert len(some) == 3000 and {r["pool"] for r in some} == {*given, None}
+    none = op10.schedule(docs, {"host0": 0.0, "host1": 1.0}, 2).collect()
+    assert min(r["slot"] for r in none if r["pool"] == "host0") == 1490
+
+
 def test_op10_places_every_row(spark, docs, rows, monkeypatch):
     monkeypatch.setattr(op10, "BUCKET_ROWS", 7)
     got = op10.schedule(docs, op10.source_shares(docs), 4).collect()
