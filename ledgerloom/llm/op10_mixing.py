@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import materialize, whole_rows
 
-MAX_PERIOD = 1000
 OTHER = "\x00other"
 BLOCK_DOCS = 32
 #: Rows of a rank bucket: within a source, documents are ranked bucket by bucket.
@@ -49,10 +48,11 @@ def period_slots(weights: Mapping[str, int]) -> dict[str, list[int]]:
     return out
 
 
-def integer_weights(shares: Mapping[str, float], period: int = MAX_PERIOD) -> dict[str, int]:
-    """Shares scaled to whole numbers of about `period` in all; every source has 1 at least."""
-    total = sum(shares.values())
-    return {s: max(1, round(period * w / total)) for s, w in shares.items()}
+def exact_weights(shares: Sequence[float]) -> list[int]:
+    """Whole numbers exactly in proportion to the shares, none rounded: a finite float is a whole number over a power of two."""
+    ratios = [float(w).as_integer_ratio() for w in shares]
+    common = max((d for _, d in ratios), default=1)
+    return [n * (common // d) for n, d in ratios]
 
 
 def phases(weights: Mapping[str, int], blocks: Mapping[str, int]) -> list[tuple[str, int, int, int, int, list[int]]]:
@@ -88,11 +88,6 @@ def source_shares(docs: DataFrame, power: float = 0.7, source: str = "source") -
     return n.select("source", F.pow(F.col("count").cast("double"), F.lit(power)).alias("share"))
 
 
-def _whole(shares: Sequence[float]) -> list[int]:
-    """Whole numbers in proportion to the shares."""
-    return list(integer_weights(dict(enumerate(shares))).values())
-
-
 def block_slots(weights: Sequence[int], blocks: Sequence[int]) -> Iterator[tuple[int, int]]:
     """(source, block) of slot 0, 1, ...; holds a few numbers per source and does a few heap steps per slot.
 
@@ -146,7 +141,7 @@ def _slots(targets: DataFrame) -> DataFrame:
         slot = 0
         for part in ([r for r in rows if r[1] > 0], [(p, 1.0, n) for p, share, n in rows if share == 0]):
             names = pa.array([p for p, _, _ in part], pa.string())
-            made = block_slots(_whole([share for _, share, _ in part]), [n for _, _, n in part])
+            made = block_slots(exact_weights([share for _, share, _ in part]), [n for _, _, n in part])
             while chunk := list(islice(made, 1 << 16)):
                 place = pa.array([s for s, _ in chunk], pa.int64())
                 yield pa.RecordBatch.from_arrays([names.take(place), pa.array([k for _, k in chunk], pa.int64()), pa.array(range(slot, slot + len(chunk)), pa.int64())], ["pool", "block", "slot"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -326,6 +327,14 @@ def test_op10_keeps_every_source_within_a_block():
         assert t == total and done == blocks
 
 
+def test_op10_keeps_to_the_shares_that_were_asked_for():
+    shares = [1 / 3, 2e-4, 1e-5, *(0.6 / i**1.3 for i in range(1, 61))]
+    n = 200_000
+    taken = np.array([s for s, _ in itertools.islice(op10.block_slots(op10.exact_weights(shares), [10 * n] * len(shares)), n)])
+    for s, share in enumerate(shares):
+        assert np.abs(np.cumsum(taken == s) - np.arange(1, n + 1) * (share / sum(shares))).max() < 1
+
+
 def test_op10_has_a_target_for_every_source(spark):
     docs = spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text", "concat('host', id % 150) as source")
     got = op10.schedule(docs, op10.source_shares(docs), 2).collect()
