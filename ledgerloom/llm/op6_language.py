@@ -14,14 +14,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, materialize, mix, text_slices, whole_rows
 
 SLOTS = 1 << 14
-#: Languages told apart: the most declared ones; what the driver holds is this times SLOTS counts.
-MAX_LANGUAGES = 32
+#: Languages whose trigram counts a task holds in full at a time.
+BLOCK_LANGUAGES = 32
 #: Trigrams whose evidence counts in full: neighbours are not independent, so a long text counts as this many.
 WEIGHT = 40
 #: Documents that a prior one level up is worth, and the least posterior that is not rejected.
@@ -74,85 +74,151 @@ def page_documents(pages: DataFrame) -> DataFrame:
 
 
 def languages(rows: DataFrame) -> list[str]:
-    """The languages that are declared most, MAX_LANGUAGES at most."""
-    n = rows.where("declared <> ''").groupBy("declared").count()
-    return sorted(r["declared"] for r in n.orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect())
+    """All languages that are declared: 26 * 26 + 26 * 26 * 26 codes at most."""
+    return sorted(r["declared"] for r in rows.where("declared <> ''").select("declared").distinct().collect())
 
 
-def text_models(rows: DataFrame, names: list[str]) -> np.ndarray:
-    """The logarithm of each trigram slot's share in each language over its share in the background, which is the last row."""
+def text_counts(rows: DataFrame) -> DataFrame:
+    """declared, slot and n: how often each trigram slot occurs in the texts that declare a language."""
+
+    def table(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+        full = {s: np.flatnonzero(n) for s, n in held.items()}
+        names = pa.array(list(held), pa.string()).take(pa.array(np.repeat(np.arange(len(held)), [len(x) for x in full.values()])))
+        slot = np.concatenate([np.zeros(0, np.int64), *full.values()])
+        return pa.RecordBatch.from_arrays([names, pa.array(slot), pa.array(np.concatenate([np.zeros(0, np.int64), *(held[s][x] for s, x in full.items())]))], ["declared", "slot", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), SLOTS), np.int64)
-        place = {s: k for k, s in enumerate(names)}
+        held: dict[str, np.ndarray] = {}
         for part, data, at in text_slices(batches):
             slots, first = trigrams(data, at)
-            said = np.array([place.get(s, -1) for s in part.column("declared").to_pylist()])
-            owner = np.repeat(said, np.diff(first))
-            known = owner >= 0
-            total += np.bincount(owner[known] * SLOTS + slots[known], minlength=total.size).reshape(total.shape)
-        lang, slot = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(slot), pa.array(total[lang, slot])], ["lang", "slot", "n"])
-
-    counts = np.zeros((len(names) + 1, SLOTS))
-    seen = rows.select("declared", "text").mapInArrow(count, "lang long, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
-    for r in seen.collect():  # len(names) * SLOTS at most
-        counts[r["lang"], r["slot"]] = r["n"]
-    shares = counts / np.maximum(1, counts.sum(1, keepdims=True))
-    shares[-1] = 1 / SLOTS
-    return np.log((1 - SPREAD) * shares * SLOTS + SPREAD)
-
-
-def scored(rows: DataFrame, names: list[str], models: np.ndarray) -> DataFrame:
-    """id, th, declared, host, suffix, n (letters), text_score (array by language, the background last) and best (place; null without trigrams)."""
+            texts: dict[str, list[np.ndarray]] = {}
+            for k, said in enumerate(part.column("declared").to_pylist()):
+                if said:
+                    texts.setdefault(said, []).append(slots[first[k] : first[k + 1]])
+            for said, own in texts.items():
+                if said not in held and len(held) == BLOCK_LANGUAGES:
+                    yield table(held)
+                    held = {}
+                n = np.bincount(np.concatenate(own), minlength=SLOTS)
+                held[said] = held[said] + n if said in held else n
+        yield table(held)
+
+    counted = rows.select("declared", "text").mapInArrow(count, "declared string, slot long, n long")
+    return materialize(counted.groupBy("declared", "slot").agg(F.sum("n").alias("n")))
+
+
+def text_models(rows: DataFrame, names: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each block of languages: places of the trigram slots that occur (language in the block * SLOTS + slot) and their counts."""
+    counts, out = text_counts(rows), []
+    for i in range(0, len(names), BLOCK_LANGUAGES):
+        block = names[i : i + BLOCK_LANGUAGES]
+        seen = counts.where(F.col("declared").isin(block)).toArrow()
+        place = {s: k for k, s in enumerate(block)}
+        lang = np.array([place[s] for s in seen.column("declared").to_pylist()], np.int64)
+        out.append(((lang * SLOTS + seen.column("slot").to_numpy()).astype(np.int32), seen.column("n").to_numpy()))
+    return out
+
+
+def _gain(counts: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+    """The logarithm of trigram slots' shares in a language over their share in the background."""
+    return np.log((1 - SPREAD) * SLOTS * counts / np.maximum(1, total) + SPREAD)
+
+
+def scored(rows: DataFrame, names: list[str], models: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """id, th, declared, host, suffix, n (letters), text_score (array by language, the background last) and best (place; null without trigrams).
+
+    A text is not evidence for the language that it declares itself: its own trigrams are taken out of that model.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(models)
 
+    def dense(model: tuple[np.ndarray, np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts = np.zeros(size * SLOTS)
+        counts[model[0]] = model[1]
+        counts = counts.reshape(size, SLOTS)
+        total = counts.sum(1)
+        return counts, total, _gain(counts, total[:, None])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        where = {s: k for k, s in enumerate(names)}
+        kept: dict[int, tuple] = {}
         for part, data, at in text_slices(batches):
             slots, first = trigrams(data, at)
             n = np.diff(first)
             full = n > 0
-            score = np.zeros((len(n), len(table)))
-            if full.any():
-                begin = first[:-1][full]
-                for k, model in enumerate(table):
-                    score[full, k] = np.add.reduceat(model[slots], begin) / n[full] * np.minimum(n[full], WEIGHT)
+            said = np.array([where.get(s, -1) for s in part.column("declared").to_pylist()], np.int64)
+            weight = np.minimum(n, WEIGHT) / np.maximum(1, n)
+            score = np.zeros((len(n), len(names) + 1))
+            begin = first[:-1][full]
+            for b, model in enumerate(shared.value):
+                low = b * BLOCK_LANGUAGES
+                if b not in kept:
+                    kept = {b: dense(model, min(BLOCK_LANGUAGES, len(names) - low))}
+                counts, total, gain = kept[b]
+                for k in range(len(gain)):
+                    if len(begin):
+                        score[full, low + k] = np.add.reduceat(gain[k][slots], begin) * weight[full]
+                for i in np.flatnonzero(full & (said >= low) & (said < low + len(gain))):
+                    k = said[i] - low
+                    own, times = np.unique(slots[first[i] : first[i + 1]], return_counts=True)
+                    score[i, said[i]] = times @ _gain(counts[k][own] - times, total[k] - n[i]) * weight[i]
             upto = np.concatenate([[0], np.cumsum(_LETTER[data])])
             letters = upto[at[1:]] - upto[at[:-1]]
-            best = pa.array(score.argmax(1) if len(table) else np.zeros(len(n), np.int64), mask=~full)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * len(table)), pa.array(score.ravel()))
+            best = pa.array(score.argmax(1), mask=~full)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * score.shape[1]), pa.array(score.ravel()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "th", "declared", "host", "suffix")), pa.array(letters), lists, best], ["id", "th", "declared", "host", "suffix", "n", "text_score", "best"])
 
     return rows.mapInArrow(run, "id long, th long, declared string, host string, suffix string, n long, text_score array<double>, best long")
 
 
-def _counts(n: int) -> list[Column]:
-    return [F.sum(F.when(F.col("best") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(n)]
+def _tally(rows: DataFrame, *by: str) -> DataFrame:
+    """by and their pairs (best, count): of the languages that occur only."""
+    n = rows.where("best is not null").groupBy(*by, "best").agg(F.count("*").alias("c"))
+    return n.groupBy(*by).agg(F.collect_list(F.struct("best", "c")).alias(f"{by[0]}_n"))
 
 
-def _shares(counts: list[Column], above: list[Column]) -> Column:
-    total = sum(counts[1:], counts[0]) + SMOOTH
-    return F.array(*[(c + SMOOTH * a) / total for c, a in zip(counts, above, strict=True)])
+def _spread(pairs: list[dict] | None, n: int) -> np.ndarray:
+    out = np.zeros(n)
+    for x in pairs or ():
+        out[x["best"]] = x["c"]
+    return out
 
 
-def host_priors(rows: DataFrame, n: int) -> DataFrame:
-    """host, suffix and prior (array by language)."""
-    own = rows.groupBy("host", "suffix").agg(*_counts(n))
-    suffixes = own.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(n)])
-    all_counts = suffixes.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(n)]).first()
-    total = sum(all_counts[k] or 0 for k in range(n)) + n
-    base = [F.lit(((all_counts[k] or 0) + 1) / total) for k in range(n)]
-    upper = suffixes.select("suffix", _shares([F.col(f"n{k}") for k in range(n)], base).alias("upper"))
-    joined = own.join(upper, "suffix")
-    return joined.select("host", "suffix", _shares([F.col(f"n{k}") for k in range(n)], [F.col("upper")[k] for k in range(n)]).alias("prior"))
+def fused(found: DataFrame, names: list[str]) -> DataFrame:
+    """id, th, declared, n, lang (the likeliest language) and confidence (its posterior, among the languages and the background).
 
+    A host's prior is its counts smoothed towards its suffix's, those towards all; a declaration counts by how
+    likely a document of each language makes it. Only the sums over all documents are held by the driver.
+    """
+    n = len(names) + 1
+    sums, said_sums = np.zeros(n), np.zeros(n)
+    for r in found.where("best is not null").groupBy("best").agg(F.count("*").alias("c"), F.count(F.when(F.col("declared") != "", 1)).alias("d")).collect():
+        sums[r["best"]], said_sums[r["best"]] = r["c"], r["d"]
+    base = (sums + 1) / (sums.sum() + n)
+    joined = found.join(_tally(found, "host", "suffix"), ["host", "suffix"], "left").join(_tally(found, "suffix"), "suffix", "left").join(_tally(found.where("declared <> ''"), "declared"), "declared", "left")
 
-def declaration_likelihoods(rows: DataFrame, n: int) -> DataFrame:
-    """declared and said (array by language: how likely a document of it declares this, over not declaring it)."""
-    table = rows.where("best is not null and declared <> ''").groupBy("declared").agg(*_counts(n))
-    totals = table.agg(*[F.sum(f"n{k}").alias(f"n{k}") for k in range(n)]).first()
-    return table.select("declared", F.array(*[(F.col(f"n{k}") + 0.5) / ((totals[k] or 0) + 0.5 * n) for k in range(n)]).alias("said"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (1 << 20) // n)
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                priors, likely = {}, {}
+                logs = part.column("text_score").flatten().to_numpy(zero_copy_only=False).reshape(-1, n).copy()
+                pairs = [part.column(c) for c in ("host_n", "suffix_n", "declared_n")]
+                for k, (host, suffix, said) in enumerate(zip(*(part.column(c).to_pylist() for c in ("host", "suffix", "declared")), strict=True)):
+                    if (host, suffix) not in priors:
+                        own, above = _spread(pairs[0][k].as_py(), n), _spread(pairs[1][k].as_py(), n)
+                        upper = (above + SMOOTH * base) / (above.sum() + SMOOTH)
+                        priors[host, suffix] = np.log((own + SMOOTH * upper) / (own.sum() + SMOOTH))
+                    if said not in likely:
+                        told = pairs[2][k].as_py()
+                        likely[said] = np.log((_spread(told, n) + 0.5) / (said_sums + 0.5 * n)) if told else np.zeros(n)
+                    logs[k] += priors[host, suffix] + likely[said]
+                place = logs[:, :-1].argmax(1)
+                top = logs.max(1)
+                confidence = np.exp(logs[np.arange(len(logs)), place] - top) / np.exp(logs - top[:, None]).sum(1)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "th", "declared", "n")), pa.array(names, pa.string()).take(pa.array(place)), pa.array(confidence)], ["id", "th", "declared", "n", "lang", "confidence"])
+
+    return joined.mapInArrow(run, "id long, th long, declared string, n long, lang string, confidence double")
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source") -> DataFrame:
@@ -168,15 +234,9 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     real = F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id")
     if not names:
         return rows.select(real, "th", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), "declared", F.lit(False).alias("kept"))
-    n = len(names) + 1
     found = materialize(scored(rows, names, text_models(rows, names)))
-    joined = found.join(host_priors(found, n), ["host", "suffix"], "left").join(declaration_likelihoods(found, n), "declared", "left")
-    logs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get("text_score", k) + F.log(F.coalesce(F.get("prior", k), F.lit(1.0 / n))) + F.log(F.coalesce(F.get("said", k), F.lit(1.0))))
-    fused = joined.withColumn("logs", logs).withColumn("most", F.array_max(F.slice("logs", 1, n - 1))).withColumn("top", F.array_max("logs"))
-    fused = fused.withColumn("confidence", F.exp(F.col("most") - F.col("top")) / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
-    lang = F.get(F.array(*[F.lit(s) for s in names]), (F.array_position("logs", F.col("most")) - 1).cast("int"))
     has = F.col("n") > 0
-    return fused.select(real, "th", F.when(has, lang).alias("lang"), F.when(has, F.col("confidence")).otherwise(0.0).alias("confidence"), "declared", (has & (F.col("confidence") >= LEAST)).alias("kept"))
+    return fused(found, names).select(real, "th", F.when(has, F.col("lang")).alias("lang"), F.when(has, F.col("confidence")).otherwise(0.0).alias("confidence"), "declared", (has & (F.col("confidence") >= LEAST)).alias("kept"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

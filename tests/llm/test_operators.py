@@ -188,6 +188,19 @@ def test_op6_rejects_junk_and_undeclared_languages(spark):
     assert {r["doc_id"] for r in op6.keep_identified(table).collect()} == set(kept)
 
 
+def test_op6_knows_every_declared_language(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):  # languages with words of their own, all declared as often
+        words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(25)]
+        rows += [(k * 8 + i, cases.sentence(rng, words, 60), f"q{letters[k // 26]}{letters[k % 26]}", "s0") for i in range(8)]
+    rows += [(9000, "".join(rng.choice(letters) for _ in range(300)), "zz", "s0")]  # a junk declaration on a junk text
+    got = {r["doc_id"]: r for r in op6.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] and got[i]["lang"] == said for i, _, said, _ in rows if i < 9000)
+    assert not got[9000]["kept"]
+
+
 def test_op6_reads_pages(spark):
     pages = spark.createDataFrame([(1, "https://x.example.de:80/a?b", '<html lang="de-AT"><script>var a="</p>";</script><p>der Hund</p>')], "page_id long, url string, html string")
     assert tuple(op6.page_documents(pages).first())[2:] == ("de", "x.example.de")
