@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 
 SLICE_BYTES = 2 << 20
 U64 = np.uint64
-BASE = U64(0x9E3779B97F4A7C15)
-BASE_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _RNG = np.random.default_rng(20240607)
-BYTE_KEYS = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64) | U64(1)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
@@ -25,15 +22,20 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; it goes when the session ends.
 
-    Only where the session names no such folder (local tests) is a temporary one set.
+    Only a local session (tests) that names no such folder gets a temporary one; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/loom-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -43,11 +45,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys are hot from this share of the rows on, so that at most HOT of them are, or from HOT_LEAST rows.
+HOT, HOT_LEAST = 10_000, 500
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: Sequence[str], total: int, how: str = "left", size: str = "size") -> DataFrame:
+    """rows joined with a table of one row per key, without a task that gets all rows of a hot key.
+
+    size, a column of table that is not kept, counts a key's rows; total counts all. Hot keys are HOT at most and are
+    broadcast, the others meet in a shuffle.
+    """
+    on, hot = list(on), max(HOT_LEAST, total // HOT)
+    often = F.broadcast(table.where(F.col(size) >= hot).drop(size).withColumn("__hot", F.lit(True)))
+    met = rows.join(often, on, "left")
+    rest = met.where("__hot is null").select(*rows.columns).join(table.where(F.col(size) < hot).drop(size), on, how)
+    return met.where("__hot").drop("__hot").unionByName(rest)
+
+
+_STEP = 1 << 15
+
+
 def mix(x: np.ndarray) -> np.ndarray:
-    """The 64-bit finalizer of splitmix64, elementwise."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    """The 64-bit finalizer of splitmix64, elementwise, in pieces that fit a processor's cache."""
+    out = np.array(x, np.uint64, order="C")
+    flat = out.reshape(-1)
+    for i in range(0, len(flat), _STEP):
+        y = flat[i : i + _STEP]
+        y ^= y >> U64(30)
+        y *= U64(0xBF58476D1CE4E5B9)
+        y ^= y >> U64(27)
+        y *= U64(0x94D049BB133111EB)
+        y ^= y >> U64(31)
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -80,20 +109,6 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             i = j
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        m = max(n, SLICE_BYTES + (1 << 16))
-        for name, base in (("up", BASE), ("down", BASE_INV)):
-            p = np.full(m, base, np.uint64)
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
-            _POWERS[name] = p
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
 def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of bytes outside the space set, cut at document ends): starts, ends, first word of each document."""
     n = len(data)
@@ -109,41 +124,84 @@ def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> t
     return starts, ends, np.searchsorted(starts, at)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes, by one polynomial prefix sum."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_KEYS[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first byte lowest; zeros follow the last byte."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LANES = _RNG.integers(0, 1 << 64, (2, 2), dtype=np.uint64) | U64(1)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span: eight bytes after eight are taken in and mixed.
+
+    Spans of one length of up to eight bytes never share a hash. Lanes are independent hashes; both together are
+    128 bits. Where a shared hash would change a result, bytes are compared (same_spans) or both lanes are used.
+    """
+    size = ends - starts
+    seed, factor = _LANES[lane]
+    out = mix(size.astype(np.uint64) * factor + seed)
+    words, rows = loads(data), np.flatnonzero(size > 0)
+    at, left = starts[rows], size[rows]
+    while len(rows):
+        out[rows] = mix((out[rows] ^ (words[at] & _MASKS[np.minimum(left, 8)])) * factor)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def same_spans(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes of a from at on equal those of b from bt on, for each of some spans."""
+    same, x, y = np.ones(len(size), bool), loads(a), loads(b)
+    rows, k = np.flatnonzero(size > 0), 0
+    while len(rows):
+        left = size[rows] - k
+        same[rows[((x[at[rows] + k] ^ y[bt[rows] + k]) & _MASKS[np.minimum(left, 8)]) != 0]] = False
+        rows, k = rows[left > 8], k + 8
+    return same
+
+
+def gram_hashes(data: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of the `length` bytes (eight or more) from each place on: halves are mixed, then mixed together."""
+    n = len(data)
+    if n < length:
+        return np.zeros(0, np.uint64)
+    seed, factor = _LANES[lane]
+    have, out = 8, mix(loads(data)[: n - 7] ^ seed)
+    while have < length:
+        step = min(have, length - have)  # the last two parts may overlap
+        out = mix(out[:-step] * factor + out[step:])
+        have += step
+    return out
 
 
 SHINGLE = 5
 _KEYS = _RNG.integers(0, 1 << 64, SHINGLE, dtype=np.uint64) | U64(1)
 
 
-def shingle_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the five-word shingles of lower-cased texts and each document's first shingle.
+def shingle_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of the five-word shingles of lower-cased texts and each document's first shingle.
 
     A document of one to four words has its whole sequence as one shingle; one without words has none.
     """
     starts, ends, first = word_spans(data, at)
-    words = span_hashes(LOWER[data], starts, ends)
     counts = np.diff(first)
     sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, (counts > 0).astype(np.int64))
     begin = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(sizes, out=begin[1:])
     owner = np.repeat(np.arange(len(counts)), sizes)
     place = np.arange(begin[-1]) - begin[owner] + first[owner]
-    out = np.minimum(counts[owner], SHINGLE).astype(np.uint64)
-    padded = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
-    for k in range(SHINGLE):
-        part = padded[place + k] * _KEYS[k]
-        out += np.where(k < counts[owner], part, U64(0)) if (counts < SHINGLE).any() else part
-    return mix(out), begin
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+    low, short, both = LOWER[data], bool((counts < SHINGLE).any()), []
+    for lane in range(2):
+        padded = np.concatenate([span_hashes(low, starts, ends, lane), np.zeros(SHINGLE, np.uint64)])
+        out = np.minimum(counts[owner], SHINGLE).astype(np.uint64)
+        for k in range(SHINGLE):
+            part = padded[place + k] * _KEYS[k]
+            out += np.where(k < counts[owner], part, U64(0)) if short else part
+        both.append(mix(out))
+    return both[0], both[1], begin
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

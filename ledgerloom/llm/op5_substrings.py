@@ -4,13 +4,18 @@ Every byte covered by a SPAN-byte string that also starts elsewhere goes. Of all
 in each SPAN-byte window the GRAM-byte strings with the smallest hash. Equal windows have equal anchors at equal
 places, so it is enough to compare suffixes within an anchor's bucket, together with what precedes them.
 
-Initial buckets are the GRAM-byte strings at the anchors; single ones leave. Within a bucket, anchors with equal
+Initial buckets are the GRAM-byte strings at the anchors; single ones leave. Strings that fill more than a HOT-th of
+all anchors are known to repeat and skip that test, so that no task gets all places of one string. Within a bucket, anchors with equal
 surroundings (LEFT bytes before, SPAN after) form a class; a class of two or more repeats as a whole. Where a bucket
 has several classes, one text of each is fetched and refined: positions start in buckets of 25 bytes, are sorted by
 their own bucket and the bucket 25, 50 and 100 bytes on, and the pointers of each round serve the next, until
 buckets mean 200 bytes. A window whose bucket has two classes repeats. Buckets of more than BUCKET classes are
 first split by what the windows of each of some ranges have in common; parts that are still too large are refined
 window by window in a grouped aggregation, so that no task holds one.
+
+A bucket is named by one hash of its bytes and a class by that and a second, independent one over the surroundings,
+128 bits together, as is a window of a split bucket. Refinement compares bytes: its first pointers are hashes that are
+checked against the bytes they stand for.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, _powers, materialize, mix, span_hashes, text_slices
+from .common import HOT, HOT_LEAST, gram_hashes, materialize, mix, same_spans, span_hashes, spread_join, text_bytes, text_slices
 
 SPAN, GRAM = 200, 64
 LEFT = SPAN - GRAM
@@ -33,17 +38,8 @@ BUCKET = 512
 RANGE = 17
 #: Surroundings that a task refines at once.
 TOGETHER = 4096
-
-
-def gram_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """The hash of the `length` bytes from each place on."""
-    n = len(data)
-    if n < length:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_KEYS[data] * up[:n], out=total[1:])
-    return mix((total[length:] - total[:-length]) * down[: n - length + 1])
+#: Anchors of a task that are counted at once, and parts that the places of a hot string are dealt to.
+COUNTED, SPREAD = 1 << 22, 1024
 
 
 def _slide(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -80,40 +76,72 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("doc_id", "text").alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(h, c, k, p) of each anchor: bucket, class, row, and place, bytes before and bytes after in one number."""
+def hot_grams(docs: DataFrame) -> np.ndarray:
+    """The sorted hashes of the strings that more than one in HOT anchors have, so HOT of them at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        waiting = 0
+
+        def counted() -> pa.RecordBatch:
+            names, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            often = n > 2
+            return pa.RecordBatch.from_arrays([pa.array([None, *names[often].view(np.int64).tolist()], pa.int64()), pa.array([waiting, *n[often].tolist()], pa.int64())], ["h", "n"])
+
+        for _, data, at in text_slices(batches):
+            held.append(anchors(data, at)[1])
+            waiting += len(held[-1])
+            if waiting >= COUNTED:
+                yield counted()
+                held, waiting = [], 0
+        yield counted()
+
+    seen = materialize(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    total = seen.where("h is null").agg(F.max("n")).first()[0] or 0
+    return np.array(sorted(r["h"] for r in seen.where(F.col("h").isNotNull() & (F.col("n") > max(HOT_LEAST, total // HOT))).collect()), np.int64)
+
+
+def anchor_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(h, c, k, p, s) of each anchor: bucket, class, row, then place, bytes before and bytes after in one number, and the part of a hot string's places (0 if it is not hot)."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for rows, data, at in text_slices(batches):
             place, h = anchors(data, at)
             doc = np.searchsorted(at, place, side="right") - 1
             left = np.minimum(place - at[doc], LEFT)
             right = np.minimum(at[doc + 1] - place, SPAN)
-            c = mix(span_hashes(data, place - left, place + right) ^ left.astype(np.uint64))
+            c = mix(span_hashes(data, place - left, place + right, 1) ^ left.astype(np.uint64))
             p = ((place - at[doc]) << 16) | (left << 8) | right
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), rows.column("k").take(pa.array(doc)), pa.array(p)], ["h", "c", "k", "p"])
+            bucket = h.view(np.int64)
+            part = np.zeros(len(h), np.int64)
+            if len(known):
+                often = known[np.minimum(np.searchsorted(known, bucket), len(known) - 1)] == bucket
+                part[often] = 1 + (mix(doc[often].astype(np.uint64) ^ mix(p[often].astype(np.uint64))) % np.uint64(SPREAD)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(c.view(np.int64)), rows.column("k").take(pa.array(doc)), pa.array(p), pa.array(part)], ["h", "c", "k", "p", "s"])
 
-    return keyed(docs).select("k", "text").mapInArrow(run, "h long, c long, k long, p long")
+    return keyed(docs).select("k", "text").mapInArrow(run, "h long, c long, k long, p long, s long")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by h without those whose h comes once; holds a batch."""
+    """Rows sorted by s and h without those whose h comes once and is not hot (s is 0); holds a batch."""
     waiting, running = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
-        h = rows.column("h").to_numpy()
+        h, hot = rows.column("h").to_numpy(), rows.column("s").to_numpy() > 0
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         size = np.diff(np.concatenate([first, [len(h)]]))
-        keep = np.repeat(size > 1, size)
+        keep = np.repeat(size > 1, size) | hot
         if running is not None:
             keep |= h == running
         if keep[-1]:
             waiting, running = None, h[-1]
         else:
             waiting, running = rows.slice(len(h) - 1, 1), None
-        yield rows.filter(pa.array(keep))
+        yield rows.filter(pa.array(keep)).select(["h", "c", "k", "p"])
 
 
 _PARTS = {"place": "shiftright(p, 16)", "left": "shiftright(p, 8) & 255", "right": "p & 255"}
@@ -137,18 +165,26 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed(docs).join(wanted, "k").select("text", "met").mapInArrow(run, "h long, c long, left long, bytes binary, big boolean")
 
 
-def refine(texts: list[bytes], left: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _first_pointers(data: np.ndarray) -> np.ndarray:
+    """A number for the STEPS[0] bytes from each place on, the same for the same bytes only."""
+    n = len(data) - STEPS[0] + 1
+    _, first, pointer = np.unique(gram_hashes(data, STEPS[0]), return_index=True, return_inverse=True)
+    if not same_spans(data, np.arange(n), data, first[pointer], np.full(n, STEPS[0])).all():
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, STEPS[0]))
+        pointer = np.unique(windows.view(f"V{STEPS[0]}")[:, 0], return_inverse=True)[1]
+    return pointer.astype(np.int64)
+
+
+def refine(data: np.ndarray, size: np.ndarray, left: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each surrounding, how many bytes before and after its anchor repeat; (-1, -1) if no window does."""
-    size = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(size) - size
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    lo, hi = np.full(len(texts), -1, np.int64), np.full(len(texts), -1, np.int64)
+    lo, hi = np.full(len(size), -1, np.int64), np.full(len(size), -1, np.int64)
     windows = np.maximum(0, size - SPAN + 1)
-    owner = np.repeat(np.arange(len(texts)), windows)
+    owner = np.repeat(np.arange(len(size)), windows)
     if not len(owner):
         return lo, hi
     shift = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    pointer = np.unique(gram_hashes(data, STEPS[0]), return_inverse=True)[1].astype(np.int64)
+    pointer = _first_pointers(data)
     for step in STEPS[:-1]:
         pairs = (pointer[:-step] << 32) | pointer[step:]
         pointer = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
@@ -156,7 +192,7 @@ def refine(texts: list[bytes], left: np.ndarray, bucket: np.ndarray) -> tuple[np
     halves = np.unique((pointer[start] << 32) | pointer[start + STEPS[-1]], return_inverse=True)[1].astype(np.int64)
     before = left[owner] - shift  # windows repeat at equal places before anchors of one bucket
     place = bucket[owner] * (LEFT + 1) + before
-    order = np.lexsort((halves, place))
+    order = np.argsort((place << 32) | halves) if len(size) < 1 << 23 else np.lexsort((halves, place))
     a, b = place[order], halves[order]
     same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
     twice = np.zeros(len(order), bool)
@@ -169,22 +205,31 @@ def refine(texts: list[bytes], left: np.ndarray, bucket: np.ndarray) -> tuple[np
 
 
 def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket -> (h, c, lo, hi); holds whole buckets up to about TOGETHER rows and one bucket more."""
-    held: list[tuple] = []
+    """Rows sorted by bucket -> (h, c, lo, hi); holds a batch, the rest of a bucket, and refines about TOGETHER rows at once."""
+    numbers = ("bucket", "h", "c", "left")
 
-    def solve(rows: list[tuple]) -> pa.RecordBatch:
-        bucket, h, c, left = (np.array([r[k] for r in rows], np.int64) for k in range(4))
-        lo, hi = refine([r[4] for r in rows], left, np.unique(bucket, return_inverse=True)[1].astype(np.int64)) if rows else (h, h)
+    def solve(rows: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, h, c, left = (rows.column(n).to_numpy() for n in numbers)
+        data, at = text_bytes(rows.column("bytes"))
+        lo, hi = refine(data, np.diff(at), left, np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]])))
         found = np.flatnonzero(lo >= 0)
         return pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (h, c, lo, hi)], ["h", "c", "lo", "hi"])
 
+    rest = None
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("bucket", "h", "c", "left", "bytes")), strict=True):
-            if len(held) >= TOGETHER and row[0] != held[-1][0]:
-                yield solve(held)
-                held = []
-            held.append(row)
-    yield solve(held)
+        if not batch.num_rows:
+            continue
+        rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        bucket = rows.column("bucket").to_numpy()
+        edges = np.flatnonzero(bucket[1:] != bucket[:-1]) + 1  # the last bucket may go on
+        done = 0
+        while len(edges) and edges[-1] > done:
+            stop = int(edges[min(np.searchsorted(edges, done + TOGETHER), len(edges) - 1)])
+            yield solve(rows.slice(done, stop - done))
+            done = stop
+        rest = rows.slice(done)
+    if rest is not None:
+        yield solve(rest)
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +245,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 high = min(low + RANGE - 1, LEFT)
                 has = np.flatnonzero((left >= low) & (size - left >= SPAN - high))
                 anchor = begin[has] + left[has]
-                core = span_hashes(data, anchor - low, anchor - high + SPAN)
+                core = span_hashes(data, anchor - low, anchor - high + SPAN, 1)
                 bucket = mix(core ^ part.column("h").to_numpy()[has].view(np.uint64) ^ mix(np.array([low], np.uint64)))
                 before = np.minimum(left[has], high)
                 end = np.minimum(anchor - low + SPAN, begin[has] + size[has])
@@ -225,13 +270,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def covered(docs: DataFrame) -> DataFrame:
-    """(k, runs): for each row with repeats, the array of (s, e) byte ranges to remove, overlapping ones included."""
-    repeated = materialize(anchor_rows(docs).repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "h long, c long, k long, p long"))
+    """(k, runs): for each row with repeats, the set of (s, e) byte ranges to remove, overlapping ones included."""
+    rows = anchor_rows(docs, hot_grams(docs)).repartition("h", "s").sortWithinPartitions("s", "h")
+    repeated = materialize(rows.mapInArrow(_repeated, "h long, c long, k long, p long"))
     classes = repeated.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "p")).alias("eg")).select("h", "c", "n", "eg.k", "eg.p")
     classes = materialize(classes)
     several = classes.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    mixed = classes.join(several, "h").withColumn("big", F.col("m") > BUCKET)
-    wanted = mixed.groupBy("k").agg(F.collect_list(F.struct("h", "c", "p", "big")).alias("met"))  # as many as the text has anchors
+    mixed = spread_join(classes, several.withColumn("size", F.col("m")), ["h"], classes.count(), "inner").withColumn("big", F.col("m") > BUCKET)
+    wanted = mixed.groupBy("k").agg(F.collect_set(F.struct("h", "c", "p", "big")).alias("met"))  # as many as the text has anchors
     around = materialize(surroundings(docs, wanted))
     kind = "h long, c long, lo long, hi long"
     row = "bucket long, h long, c long, left long, bytes binary"
@@ -246,8 +292,10 @@ def covered(docs: DataFrame) -> DataFrame:
     large = each.join(twice, ["bucket", "before", "w"]).groupBy("h", "c").agg(F.max("before").alias("lo"), (SPAN - F.min("before")).alias("hi"))
     whole = classes.where("n > 1").select("h", "c", F.expr(_PARTS["left"]).alias("lo"), F.expr(_PARTS["right"]).alias("hi")).where(F.col("lo") + F.col("hi") >= SPAN)
     extent = whole.unionByName(small).unionByName(large).groupBy("h", "c").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-    runs = repeated.join(extent, ["h", "c"]).select("k", (F.expr(_PARTS["place"]) - F.col("lo")).alias("s"), (F.expr(_PARTS["place"]) + F.col("hi")).alias("e"))
-    return runs.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    extent = materialize(classes.select("h", "c", F.col("n").alias("size")).join(extent, ["h", "c"], "left"))
+    runs = spread_join(repeated, extent, ["h", "c"], repeated.count(), "inner").where("lo is not null")
+    runs = runs.select("k", (F.expr(_PARTS["place"]) - F.col("lo")).alias("s"), (F.expr(_PARTS["place"]) + F.col("hi")).alias("e"))
+    return runs.groupBy("k").agg(F.collect_set(F.struct("s", "e")).alias("runs"))  # a set, as rows that repeat share k
 
 
 def removal(length: int, runs: np.ndarray | None) -> np.ndarray:

@@ -7,9 +7,13 @@ coordinate-value pairs of each in any common order. In the order used here rare
 thousands of documents share, as in a common passage, is posted only by documents that consist of such.
 
 Documents with equal shingle sets form a class; classes are posted, not documents. All classes posted with a
-class's smallest fellow meet in that fellow's group; groups beyond GROUP_SETS or GROUP_SHINGLES are cut into
-blocks and every two blocks meet. There collisions are counted, pairs at or above MATCHES are retained, their full
-sets compared, and links leave as a spanning forest, never as all pairs.
+class's smallest fellow meet in that fellow's group. There collisions are counted, pairs at or above MATCHES are
+retained, their full sets compared, and links leave as a spanning forest, never as all pairs. Groups beyond GROUP_SETS
+or GROUP_SHINGLES are cut into blocks, each with the group's leader, so that near copies of one text are joined by
+then. Of such a group the classes outside its largest component go on to meet all others, block by block; classes
+already joined are not compared again. Only a group of many classes that do not link costs the square of its size.
+
+Shingles are compared by two independent hashes, 128 bits.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix, shingle_hashes, text_slices, whole_rows
+from .common import HOT, materialize, mix, shingle_hashes, spread_join, text_slices, whole_rows
 from .components import components
 
 COORDINATES, MATCHES = 48, 16
@@ -30,16 +34,21 @@ SIMILAR = (75, 100)
 GROUP_SETS, GROUP_SHINGLES = 2048, 1_500_000
 #: Pairs of coordinate and value are hot from this share of the rows on, so that COORDINATES * HOT of them at most
 #: are hot; those are broadcast (16 bytes each).
-HOT, HOT_LEAST, SEEN_LEAST = 10_000, 16, 3
+OFTEN_LEAST, SEEN_LEAST = 16, 3
 _RNG = np.random.default_rng(7_7)
 _FACTORS = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1)
 _PLACES = _RNG.integers(0, 1 << 64, COORDINATES, dtype=np.uint64)
 _CLASS = _RNG.integers(0, 1 << 64, 2, dtype=np.uint64)
 
 
-def distinct_sets(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct hashes of each document."""
-    return [np.unique(hashes[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+def distinct_sets(hashes: np.ndarray, twins: np.ndarray, first: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sorted distinct hashes of each document, and their twins (the second hashes)."""
+    sets, seconds = [], []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        names, place = np.unique(hashes[a:b], return_index=True)
+        sets.append(names)
+        seconds.append(twins[a:b][place])
+    return sets, seconds
 
 
 def minima(flat: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -74,12 +83,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in text_slices(batches):
-            sets = distinct_sets(*shingle_hashes(data, at))
+            sets, twins = distinct_sets(*shingle_hashes(data, at))
             n = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            flat, twin = (np.concatenate([np.zeros(0, np.uint64), *x]) for x in (sets, twins))
             full = n > 0
             begin = (np.cumsum(n) - n)[full]
-            sums = [np.add.reduceat(mix(flat ^ c), begin) for c in _CLASS] if len(begin) else [np.zeros(0, np.uint64)] * 2
+            sums = [np.add.reduceat(mix(x ^ c), begin) for x, c in zip((flat, twin), _CLASS, strict=True)] if len(begin) else [np.zeros(0, np.uint64)] * 2
             spread = np.cumsum(full) - 1
             take = pa.array(np.where(full, spread, 0), mask=~full)
             cls, sig = _fixed(16, np.stack([mix(s + n[full].astype(np.uint64)) for s in sums], axis=1)), _fixed(8 * COORDINATES, minima(flat, begin))
@@ -88,8 +97,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(*_key(), "text").mapInArrow(run, "id long, th long, n long, cls binary, sig binary")
 
 
-def hot_tokens(sigs: DataFrame, rows: int) -> dict[int, int]:
-    """Coordinate-value pairs that many rows share, with how often they were seen; at most COORDINATES * HOT."""
+def hot_tokens(classes: DataFrame, rows: int) -> dict[int, int]:
+    """Coordinate-value pairs that many classes share, with how often they were seen; at most COORDINATES * HOT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,13 +106,13 @@ def hot_tokens(sigs: DataFrame, rows: int) -> dict[int, int]:
             often = n >= SEEN_LEAST
             yield pa.RecordBatch.from_arrays([pa.array(seen[often].view(np.int64)), pa.array(n[often])], ["token", "n"])
 
-    seen = sigs.where("cls is not null").select("sig").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return {r["token"]: r["n"] for r in seen.where(F.col("n") >= max(HOT_LEAST, rows // HOT)).collect()}
+    seen = classes.select("sig").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return {r["token"]: r["n"] for r in seen.where(F.col("n") >= max(OFTEN_LEAST, rows // HOT)).collect()}
 
 
-def postings(sigs: DataFrame, hot: dict[int, int]) -> DataFrame:
-    """(token, hot, cls, n) for the PREFIX first tokens of each row, rare ones first."""
-    spark = sigs.sparkSession
+def postings(classes: DataFrame, hot: dict[int, int]) -> DataFrame:
+    """(token, hot, cls, n) for the PREFIX first tokens of each class, rare ones first."""
+    spark = classes.sparkSession
     names = np.array(sorted(hot), np.int64)
     shared = spark.sparkContext.broadcast((names, np.array([hot[i] for i in names.tolist()], np.int64)))
 
@@ -123,7 +132,7 @@ def postings(sigs: DataFrame, hot: dict[int, int]) -> DataFrame:
                 owner = pa.array(np.repeat(np.arange(batch.num_rows), PREFIX))
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), pa.array(count.ravel() > 0), batch.column("cls").take(owner), batch.column("n").take(owner)], ["token", "hot", "cls", "n"])
 
-    return sigs.where("cls is not null").select("sig", "cls", "n").mapInArrow(run, "token long, hot boolean, cls binary, n long")
+    return classes.select("sig", "cls", "n").mapInArrow(run, "token long, hot boolean, cls binary, n long")
 
 
 def _fellows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,54 +154,99 @@ def _fellows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def groups(posted: DataFrame) -> DataFrame:
-    """(leader, i, j, cls): the classes of each group and, where it is cut, of each two of its blocks."""
+    """(leader, cls, n): the classes of each group, the leader among them."""
     kind = "leader binary, cls binary, n long"
     cold = posted.where("not hot").select("token", "cls", "n").repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_fellows, kind)
-    warm = posted.where("hot").groupBy("token", "cls", "n").agg(F.lit(1).alias("one")).drop("one")
+    warm = posted.where("hot").select("token", "cls", "n")
     least = warm.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("least"))
     met = warm.join(F.broadcast(least), "token").where("cls <> least.cls")  # a row per hot token at most is broadcast
     met = met.select(F.col("least.cls").alias("leader"), "cls", "n", F.col("least.n").alias("m"))
     met = met.select("leader", "cls", "n").unionByName(met.select("leader", F.col("leader").alias("cls"), F.col("m").alias("n")))
-    members = materialize(cold.unionByName(met).distinct())
-    sizes = members.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    cut = F.greatest(F.ceil(F.col("sets") / GROUP_SETS), F.ceil(F.col("shingles") / GROUP_SHINGLES)).cast("long")
-    sized = members.join(sizes.select("leader", cut.alias("cut")), "leader")
-    own = F.pmod(F.xxhash64("cls"), F.col("cut"))
-    sized = sized.withColumn("own", own)
-    spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
-    return spread.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls")
+    return materialize(cold.unionByName(met).distinct())
+
+
+def _blocks(sets: Column, shingles: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(sets / GROUP_SETS), F.ceil(shingles / GROUP_SHINGLES)).cast("long")
+
+
+def _upto(n: Column | str) -> Column:
+    """0 to n - 1."""
+    n = F.col(n) if isinstance(n, str) else n
+    return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<long>"))
+
+
+def within_blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(leader, i, j, cls, part): each class in its block of the group (i = j), the leader in every block."""
+    sized = spread_join(members, sizes.select("leader", "cut", F.col("sets").alias("size")), ["leader"], members.count(), "inner")
+    own = F.when(F.col("cls") == F.col("leader"), _upto("cut")).otherwise(F.array(F.pmod(F.xxhash64("cls"), F.col("cut"))))
+    return sized.withColumn("i", F.explode(own)).select("leader", "i", F.col("i").alias("j"), "cls", F.col("cls").alias("part"))
+
+
+def between_blocks(members: DataFrame, sizes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(leader, i, j, cls, part) for groups of several blocks: who may still link, by what is joined (cls, component).
+
+    part is the component. Classes outside a group's largest component are dealt to blocks 0, 1, ... and meet in pairs
+    of these; each of them meets every block of the largest component, numbered from there on.
+    """
+    large = spread_join(members, sizes.where("cut > 1").select("leader", F.col("sets").alias("size")), ["leader"], members.count(), "inner")
+    named = large.join(joined, "cls", "left").withColumn("part", F.coalesce("component", "cls")).drop("component")
+    named = materialize(named)
+    parts = named.groupBy("leader", "part").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    top = F.max(F.struct("sets", "part", "shingles")).alias("top")
+    cuts = parts.groupBy("leader").agg(top, F.sum("sets").alias("size"), F.sum("shingles").alias("all"))
+    cuts = cuts.withColumn("rest", F.col("size") - F.col("top.sets")).where("rest > 0")
+    few = F.when(F.col("rest") > 0, _blocks(2 * F.col("rest"), 2 * (F.col("all") - F.col("top.shingles"))))
+    cuts = cuts.select("leader", "size", F.col("top.part").alias("most"), few.alias("few"), _blocks(2 * F.col("top.sets"), 2 * F.col("top.shingles")).alias("many"))
+    sized = spread_join(named, cuts, ["leader"], named.count(), "inner")
+    outside = F.col("part") != F.col("most")
+    own = F.pmod(F.xxhash64("cls"), F.when(outside, F.col("few")).otherwise(F.col("many")))
+    sized = sized.withColumn("own", F.when(outside, own).otherwise(F.col("few") + own))
+    met = sized.withColumn("other", F.explode(F.when(outside, _upto(F.col("few") + F.col("many"))).otherwise(_upto("few"))))
+    return met.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls", "part")
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(leader, i, j, cls, sig, shingles): the sets of the texts that wanted (id, th, cls, met) names, in each group of met."""
+    """(leader, i, j, cls, part, sig, shingles): the sets of the texts that wanted (id, th, cls, met) names, in each place of met.
+
+    shingles holds the sorted first hashes, then the second ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in text_slices(batches):
-            sets = distinct_sets(*shingle_hashes(data, at))
+            sets, twins = distinct_sets(*shingle_hashes(data, at))
             n = np.array([len(s) for s in sets], np.int64)
             sig = _fixed(8 * COORDINATES, minima(np.concatenate(sets), np.cumsum(n) - n))
             met = rows.column("met")
             owner = pa.array(np.repeat(np.arange(len(sets)), met.value_lengths().to_numpy()))
             places = met.flatten()
-            shingles = pa.array([s.tobytes() for s in sets], pa.large_binary())
-            whole = pa.Table.from_arrays([*(places.field(k) for k in range(3)), rows.column("cls").take(owner), sig.take(owner)], ["leader", "i", "j", "cls", "sig"])
+            shingles = pa.array([s.tobytes() + t.tobytes() for s, t in zip(sets, twins, strict=True)], pa.large_binary())
+            names = ["leader", "i", "j", "cls", "part", "sig"]
+            whole = pa.Table.from_arrays([*(places.field(k) for k in range(3)), rows.column("cls").take(owner), places.field(3), sig.take(owner)], names)
             for k in range(0, whole.num_rows, 256):  # a set in many groups is written out many times
                 part = whole.slice(k, 256).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*part.columns, shingles.take(owner.slice(k, 256)).cast(pa.binary())], ["leader", "i", "j", "cls", "sig", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns, shingles.take(owner.slice(k, 256)).cast(pa.binary())], [*names, "shingles"])
+
+    texts = docs.select(*_key(), "text").join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("cls", "met", "text")
+    return texts.mapInArrow(run, "leader binary, i long, j long, cls binary, part binary, sig binary, shingles binary")
 
-    texts = docs.select(*_key(), "text").join(wanted, ["id", "th"]).select("cls", "met", "text")
-    return texts.mapInArrow(run, "leader binary, i long, j long, cls binary, sig binary, shingles binary")
 
+def shared_counts(sets: list[np.ndarray], twins: list[np.ndarray] | None = None) -> np.ndarray:
+    """How many elements each two of some sets share, from the elements that several sets have.
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """How many elements each two of some sets share, from the elements that several sets have."""
+    With twins, an element is the same only if its twin is too.
+    """
     m = len(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     flat = np.concatenate(sets)
     order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
     new = np.ones(len(flat) + 1, bool)
-    np.not_equal(flat[1:], flat[:-1], out=new[1:-1])
+    np.not_equal(flat[order[1:]], flat[order[:-1]], out=new[1:-1])
+    if twins is not None:
+        twin = np.concatenate(twins)
+        if (~new[1:-1] & (twin[order[1:]] != twin[order[:-1]])).any():
+            order = np.lexsort((twin, flat))
+            new[1:-1] = (flat[order[1:]] != flat[order[:-1]]) | (twin[order[1:]] != twin[order[:-1]])
+    owner = owner[order]
     begin = np.flatnonzero(new)
     size = np.diff(begin)
     begin, size = begin[:-1][size > 1], size[size > 1]
@@ -227,31 +281,37 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def group_links(names: list[bytes], sigs: list[bytes], sets: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links among some classes."""
+def _apart(parts: list[bytes]) -> np.ndarray:
+    """Which two of some classes are not joined yet."""
+    part = np.unique(np.array([p.ljust(16) for p in parts]), return_inverse=True)[1]
+    return part[:, None] != part[None, :]
+
+
+def group_links(names: list[bytes], parts: list[bytes], sigs: list[bytes], sets: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links among some classes of different parts."""
     if len(names) < 2:
         return []
     met = shared_counts(list(tokens(np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, COORDINATES)))) >= MATCHES
-    np.fill_diagonal(met, False)
+    met &= _apart(parts)
     some = np.flatnonzero(met.any(1))
     if not len(some):
         return []
     chosen = [np.frombuffer(sets[i], np.uint64) for i in some.tolist()]
-    n = np.array([len(s) for s in chosen], np.int64)
-    both = shared_counts(chosen).astype(np.int64)
+    n = np.array([len(s) // 2 for s in chosen], np.int64)
+    both = shared_counts([s[: len(s) // 2] for s in chosen], [s[len(s) // 2 :] for s in chosen]).astype(np.int64)
     linked = met[np.ix_(some, some)] & (SIMILAR[1] * both >= SIMILAR[0] * (n[:, None] + n[None, :] - both))
     return [(names[some[a]], names[some[b]]) for a, b in enumerate(roots(linked).tolist()) if a != b]
 
 
-def retained(names: list[bytes], sigs: list[bytes], sizes: list[int]) -> list[bytes]:
-    """The classes that agree with another in MATCHES coordinates and might in size."""
+def retained(names: list[bytes], parts: list[bytes], sigs: list[bytes], sizes: list[int]) -> list[tuple[bytes, bytes]]:
+    """The classes that agree with one of another part in MATCHES coordinates and might in size."""
     if len(names) < 2:
         return []
     met = shared_counts(list(tokens(np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, COORDINATES)))) >= MATCHES
-    np.fill_diagonal(met, False)
+    met &= _apart(parts)
     n = np.array(sizes, np.int64)
     met &= SIMILAR[1] * np.minimum(n[:, None], n[None, :]) >= SIMILAR[0] * np.maximum(n[:, None], n[None, :])
-    return [names[k] for k in np.flatnonzero(met.any(1)).tolist()]
+    return [(names[k], parts[k]) for k in np.flatnonzero(met.any(1)).tolist()]
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], solve: Callable[..., list], pack: Callable[[list], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,35 +331,48 @@ def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], solve
 
 def _retained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pack(found: list) -> pa.RecordBatch:
-        cols = [[k[0] for k, _ in found], [k[1] for k, _ in found], [k[2] for k, _ in found], [c for _, c in found]]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["leader", "i", "j", "cls"])
+        cols = [[k[0] for k, _ in found], [k[1] for k, _ in found], [k[2] for k, _ in found], [c for _, (c, _) in found], [p for _, (_, p) in found]]
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["leader", "i", "j", "cls", "part"])
 
-    return _by_group(batches, ("cls", "sig", "n"), retained, pack)
+    return _by_group(batches, ("cls", "part", "sig", "n"), retained, pack)
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pack(found: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for _, (a, _) in found], pa.binary()), pa.array([b for _, (_, b) in found], pa.binary())], ["a", "b"])
 
-    return _by_group(batches, ("cls", "sig", "shingles"), group_links, pack)
+    return _by_group(batches, ("cls", "part", "sig", "shingles"), group_links, pack)
+
+
+def links(docs: DataFrame, one: DataFrame, placed: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of each place (leader, i, j) that placed (leader, i, j, cls, part) fills with classes of one."""
+    place = ("leader", "i", "j")
+    met = placed.join(one.select("cls", "sig", "n"), "cls").repartition(*place).sortWithinPartitions(*place)
+    met = materialize(met.select(*place, "cls", "part", "sig", "n").mapInArrow(_retained, "leader binary, i long, j long, cls binary, part binary"))
+    wanted = met.groupBy("cls").agg(F.collect_list(F.struct(*place, "part")).alias("met"))
+    wanted = materialize(wanted.join(one.select("cls", "first"), "cls").select("first.id", "first.th", "cls", "met"))
+    sets = set_rows(docs, wanted).repartition(*place).sortWithinPartitions(*place)
+    return materialize(sets.mapInArrow(_links, "a binary, b binary"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """id, th, n, root (16 bytes naming the component; null without shingles) of each row."""
     sigs = materialize(signatures(docs))
-    posted = postings(sigs, hot_tokens(sigs, sigs.count()))
-    place = ("leader", "i", "j")
-    met = materialize(groups(posted))
-    one = sigs.join(met.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n").alias("n"))
-    met = met.join(one, "cls").repartition(*place).sortWithinPartitions(*place)
-    met = materialize(met.select(*place, "cls", "sig", "n").mapInArrow(_retained, "leader binary, i long, j long, cls binary"))
-    wanted = met.groupBy("cls").agg(F.collect_list(F.struct(*place)).alias("met"))
-    first = sigs.where("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "th")).alias("one"))
-    wanted = materialize(wanted.join(first, "cls").select("one.id", "one.th", "cls", "met"))
-    placed = set_rows(docs, wanted).repartition(*place).sortWithinPartitions(*place)
-    linked = components(materialize(placed.mapInArrow(_links, "a binary, b binary")))
-    named = linked.select(F.col("node").alias("cls"), "component")
-    return sigs.select("id", "th", "n", "cls").join(named, "cls", "left").select("id", "th", "n", F.coalesce("component", "cls").alias("root"))
+    first = F.min(F.struct("id", "th")).alias("first")
+    one = materialize(sigs.where("cls is not null").groupBy("cls").agg(F.first("sig").alias("sig"), F.first("n").alias("n"), first, F.count("*").alias("copies")))
+    members = groups(postings(one, hot_tokens(one, one.count())))
+    sizes = members.groupBy("leader").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    sizes = materialize(sizes.select("leader", "sets", _blocks(F.col("sets"), F.col("shingles")).alias("cut")))
+    found = links(docs, one, within_blocks(members, sizes))
+    joined = components(found).select(F.col("node").alias("cls"), "component")
+    if not sizes.where("cut > 1").isEmpty():
+        joined = materialize(joined)
+        more = links(docs, one, between_blocks(members, sizes, joined))
+        joined = components(joined.select(F.col("cls").alias("a"), F.col("component").alias("b")).unionByName(more)).select(F.col("node").alias("cls"), "component")
+    named = one.select("cls", F.col("copies").alias("size")).join(joined, "cls")
+    found = spread_join(sigs.select("id", "th", "n", "cls"), named, ["cls"], sigs.count())
+    return found.select("id", "th", "n", F.coalesce("component", "cls").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -316,13 +389,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _named(found: DataFrame) -> DataFrame:
     real = F.when(F.col("id") != -(1 << 63), F.col("id"))
     found = materialize(found.withColumn("doc_id", real))
-    least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("id", "th")).alias("first"))
-    joined = found.join(least, "root", "left")
+    least = found.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(F.struct("id", "th")).alias("first"), F.count("*").alias("size"))
+    joined = spread_join(found, least, ["root"], found.count())
     return joined.withColumn("component_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least")))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are first, by id and text hash, in their component; repeated rows count once."""
+    """The rows of docs that are first, by id and text hash, in their component.
+
+    Rows alike in id and text count once, null ids come before others, rows without shingles (null, empty or blank
+    texts) are components of their own, other columns are kept as they are, and an empty table gives no rows.
+    """
     first = _named(classes(docs)).where("root is null or struct(id, th) = first").select("id", "th").distinct()
     stay = docs.select(*_key(), whole_rows(docs).alias("whole")).join(first, ["id", "th"], "left_semi")
     return stay.dropDuplicates(["id", "th"]).select("whole.*")

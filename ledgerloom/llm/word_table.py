@@ -1,8 +1,9 @@
 """Vectorized word lookup for the word-level BPE vocabularies.
 
-Texts of ASCII and Latin-1 letters are cut by byte classes in numpy, each word is hashed, and only words that a
-worker has not met yet are encoded one by one. Any other text (apostrophes, special tokens, other scripts,
-combining marks) goes through a general path, so the result never depends on which path was taken.
+Texts of ASCII and Latin-1 letters are cut by byte classes in numpy, each word is found by a hash and its bytes are
+compared with those of the word found; only words that a worker has not met yet are encoded one by one. Any other
+text (apostrophes, special tokens, other scripts, combining marks, or a word that shares its hash with another) goes
+through a general path, so the result never depends on which path was taken.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import BYTE_KEYS, mix, span_hashes  # noqa: F401
+from .common import same_spans, span_hashes
 
 #: Words a worker remembers, about 60 bytes each; beyond that it starts anew.
 MAX_WORDS = 1_500_000
@@ -65,9 +66,14 @@ class WordTable:
         self.sizes = np.zeros(0, np.int64)
         self.pool = np.zeros(1 << 16, np.int32)
         self.filled = 0
+        self.text = np.zeros(0, np.uint8)  # the words' bytes, and where each begins; the last entry is the end
+        self.word_at = np.zeros(1, np.int64)
 
-    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+    def _add(self, hashes: np.ndarray, raw: list[bytes]) -> None:
+        words = [w.decode() for w in raw]
         ids = self.encode_words(words)
+        self.text = np.concatenate([self.text, np.frombuffer(b"".join(raw), np.uint8)])
+        self.word_at = np.concatenate([self.word_at, self.word_at[-1] + np.cumsum([len(w) for w in raw])])
         sizes = np.array([len(i) for i in ids], np.int64)
         total = self.filled + int(sizes.sum())
         while total > len(self.pool):
@@ -86,20 +92,26 @@ class WordTable:
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents in one array, and each document's first place in it."""
         plain = plain_documents(data, at)
-        if plain.all():
-            return self._plain(data, at)
-        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(plain)
-        for i in np.flatnonzero(~plain).tolist():
-            parts[i] = np.asarray(self.encode_text(data[at[i] : at[i + 1]].tobytes().decode()), np.int32)
-        if plain.any():
-            chosen = np.flatnonzero(plain)
+        whole = bool(plain.all())
+        chosen = np.flatnonzero(plain)
+        if whole:
+            ids, first, sure = self._plain(data, at)
+            if sure.all():
+                return ids, first
+        elif len(chosen):
             sizes = (at[1:] - at[:-1])[chosen]
-            ids, first = self._plain(np.concatenate([data[at[i] : at[i + 1]] for i in chosen.tolist()]), np.concatenate([[0], np.cumsum(sizes)]))
-            for k, i in enumerate(chosen.tolist()):
+            ids, first, sure = self._plain(np.concatenate([data[at[i] : at[i + 1]] for i in chosen.tolist()]), np.concatenate([[0], np.cumsum(sizes)]))
+        parts: list[np.ndarray | None] = [None] * len(plain)
+        for k, i in enumerate(chosen.tolist()):
+            if sure[k]:
                 parts[i] = ids[first[k] : first[k + 1]]
-        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        for i, part in enumerate(parts):
+            if part is None:
+                parts[i] = np.asarray(self.encode_text(data[at[i] : at[i + 1]].tobytes().decode()), np.int32)
+        return np.concatenate([np.zeros(0, np.int32), *parts]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
-    def _plain(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids and first places, and for each document whether all its words have the bytes of the words found."""
         low = _LOWER[data]
         high = np.flatnonzero((data == 0xC3)) + 1
         low[high] = _LATIN_LOWER[data[high]]
@@ -123,12 +135,17 @@ class WordTable:
         if not known.all():
             new = first[~known]
             raw = low.tobytes()
-            self._add(uniq[~known], [raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self._add(uniq[~known], [raw[s:e] for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
         slot = self.slots[np.searchsorted(self.hashes, uniq)][back]
+        length = ends - starts
+        equal = self.word_at[slot + 1] - self.word_at[slot] == length
+        equal[equal] = same_spans(low, starts[equal], self.text, self.word_at[slot[equal]], length[equal])
+        sure = np.ones(len(at) - 1, bool)
+        sure[np.searchsorted(at, starts[~equal], side="right") - 1] = False
         sizes = self.sizes[slot]
         total = np.concatenate([[0], np.cumsum(sizes)])
         place = np.arange(total[-1]) + np.repeat(self.starts[slot] - total[:-1], sizes)
-        return self.pool[place], total[np.searchsorted(starts, at)]
+        return self.pool[place], total[np.searchsorted(starts, at)], sure
 
 
 def ragged(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
