@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import op1_token_planes, op2_quality, op3_bpe, op4_pivots, op5_substrings, op6_language, op7_minhash, op8_secrets, op9_caps, op10_mixing
 
@@ -37,7 +38,10 @@ def op5_substrings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op6_language.identify(table(spark, sf_dir, "documents")).drop("th")
+    """Documents and web pages; a page's doc_id is -1 - page_id, so that the two are kept apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    pages = op6_language.page_documents(table(spark, sf_dir, "pages"))
+    return op6_language.identify(docs.unionByName(pages.withColumn("doc_id", -1 - F.col("doc_id")))).drop("th")
 
 
 def op7_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,15 +78,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP4_SQL = """
 with v as (
-    select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
     from embeddings
     where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-    select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
-    from v q join v c on q.vec_id <> c.vec_id
+    select q.r as q_row, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+    from v q join v c on q.r <> c.r and len(q.v) = len(c.v)
     where q.vec_id % 100 = 0
 ), ranked as (
-    select *, row_number() over (partition by query_id order by score desc, vec_id) as r from scored
+    select *, row_number() over (partition by q_row order by score desc, vec_id) as r from scored
 )
 select query_id, cast(r as integer) as rank, vec_id, score from ranked where r <= 10
 """
