@@ -82,9 +82,13 @@ def phases(weights: Mapping[str, int], blocks: Mapping[str, int]) -> list[tuple[
     return out
 
 
+def _source(docs: DataFrame, source: str) -> Column:
+    return F.coalesce(F.col(f"`{source}`"), F.lit("")) if source in docs.columns else F.lit("")
+
+
 def source_shares(docs: DataFrame, power: float = 0.7, source: str = "source") -> DataFrame:
     """source and share of every source: its row count, flattened by a power below 1."""
-    n = docs.groupBy(F.coalesce(F.col(source), F.lit("")).alias("source")).count()
+    n = docs.groupBy(_source(docs, source).alias("source")).count()
     return n.select("source", F.pow(F.col("count").cast("double"), F.lit(power)).alias("share"))
 
 
@@ -163,9 +167,9 @@ def _placed(docs: DataFrame, whole: Column, shares: Mapping[str, float] | DataFr
     if wrong or given.count() > given.select("s").distinct().count():
         raise ValueError(f"shares must be finite, not negative, and one per source: {wrong}")
     mean = given.agg(F.avg("share")).first()[0] or 1.0
-    buckets = max(1, min(1 << 20, docs.count() // BUCKET_ROWS))
-    raw = F.coalesce(F.col(source), F.lit(""))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    buckets = max(1, min(1 << 31, docs.count() // BUCKET_ROWS))
+    raw = _source(docs, source)
+    key = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
     bucket = F.floor(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") * buckets / (1 << 32))
     known = docs.select(raw.alias("s"), bucket.alias("bucket")).groupBy("s", "bucket").agg(F.count("*").alias("n")).join(given, "s", "left")
     pool = F.when(F.col("share").isNotNull(), F.col("s")).otherwise(F.lit(OTHER))
@@ -193,15 +197,20 @@ def schedule(docs: DataFrame, shares: Mapping[str, float] | DataFrame, block_doc
 
     shares gives any number of sources a share, as a mapping or a table (source, share); rows of any other source,
     null included (as ''), share one pool (null in the result), weighted like the mean source. Sources with a share
-    of 0 come after all others. In a pool documents lie in order of md5(doc_id), then doc_id and text hash; null
-    ids count as '' there and repeated rows each have a place. An empty table gives no rows; other columns are not
-    read. Ranks are found per bucket of md5, so no pool is sorted in one task.
+    of 0 come after all others. In a pool documents lie in order of the md5 of doc_id and text hash; null and repeated
+    ids are ids like others and repeated rows each have a place. An empty table gives no rows; other columns are not
+    read, and without a source column all rows share the pool ''. Ranks are found per bucket of md5, so no pool is
+    sorted in one task, nor one id with many texts; only rows alike in id and text share a bucket.
     """
     return _placed(docs, F.col("doc_id"), shares, block_docs, source).withColumnRenamed("whole", "doc_id")
 
 
 def mix(docs: DataFrame, shares: Mapping[str, float] | DataFrame | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """The rows of docs, all columns, range-partitioned and sorted in the order of the schedule."""
+    """The rows of docs, all columns, range-partitioned and sorted in the order of the schedule.
+
+    Every row stays, nulls, repeated rows and sources without a share included (see schedule); a table without a
+    source column is one source; an empty table gives no rows.
+    """
     shares = source_shares(docs) if shares is None else shares
     placed = _placed(docs, whole_rows(docs), shares, block_docs, "source")
     return placed.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("whole.*")

@@ -20,7 +20,7 @@ from .common import materialize, only, span_hashes, text_slices, word_spans
 
 WORDS, DIMS, ONES, REACH = 1 << 14, 32, 4, 2
 SHARDS = 64
-#: Labelled rows the network is fitted on (about; chosen by a hash of doc_id), and the share of them for calibration.
+#: Labelled rows the network is fitted on at most (those with the least hash of doc_id), and the share for calibration.
 TRAIN_ROWS, CALIBRATION = 20_000, 0.15
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 3e-3, 1e-4
 
@@ -166,12 +166,10 @@ def remainder() -> Column:
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of about TRAIN_ROWS labelled rows that are not held out."""
+    """Features and labels of TRAIN_ROWS labelled rows at most, none of them held out."""
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and quality in (0, 1)").where(remainder() != 1).select("doc_id", F.col("quality").cast("double").alias("quality"))
-    n = usable.count()
-    share = int(min(1.0, TRAIN_ROWS / max(1, n)) * 1_000_000)
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    sample = usable.orderBy(F.xxhash64("doc_id"), "quality").limit(TRAIN_ROWS)
     shared = spark.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,8 +177,10 @@ def labelled_features(docs: DataFrame, labels: DataFrame, vectors: np.ndarray) -
             x = features(data, at, shared.value)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # TRAIN_ROWS or so
-    rows = sorted((r["doc_id"], bytes(r["x"]), r["quality"]) for r in joined.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality double, x binary").collect())
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # TRAIN_ROWS rows
+    made = joined.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality double, x binary")
+    chosen = made.orderBy(F.xxhash64("doc_id"), "quality", "x").limit(TRAIN_ROWS)  # documents may share an id
+    rows = sorted((r["doc_id"], bytes(r["x"]), r["quality"]) for r in chosen.collect())
     x = np.frombuffer(b"".join(r[1] for r in rows), np.float32).reshape(len(rows), 2 * DIMS + 1)
     return x, np.array([r[2] for r in rows])
 

@@ -109,9 +109,11 @@ def batch_spans(rows: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> Itera
     for i, text in enumerate(rows.column("text").to_pylist()):
         text = text or ""
         spans = keyword_spans(text)
-        for s, e in found.get(i, ()):
-            shift = len(data[at[i] : at[i] + s].tobytes().decode())
-            spans.append((shift, shift + e - s, "hex"))
+        runs = found.get(i, ())
+        begins = np.array([s for s, _ in runs], np.int64)
+        if runs and len(text) < at[i + 1] - at[i]:  # not all ASCII: count the bytes that begin a character
+            begins = np.concatenate([[0], np.cumsum((data[at[i] : at[i + 1]] & 0xC0) != 0x80)])[begins]
+        spans += [(b, b + e - s, "hex") for b, (s, e) in zip(begins.tolist(), runs, strict=True)]
         yield text, sorted(spans, key=lambda x: (x[0], order[x[2]], x[1]))
 
 
@@ -156,7 +158,11 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with secrets masked in text and n_chars, where there is such a column, counted anew; no row goes."""
+    """docs with secrets masked in text and n_chars, where there is such a column, counted anew; no row goes.
+
+    A null text stays null and keeps its n_chars; an empty one stays empty; repeated rows and ids are masked each on
+    their own, other columns are untouched, whatever their names, and an empty table gives no rows.
+    """
     schema = docs.schema
     names = docs.columns
     text_at = names.index("text")

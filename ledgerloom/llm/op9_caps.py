@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 from .components import components
 from .op7_minhash import roots, shared_counts
 from .vectors import matrices, packed, unpacked
@@ -80,11 +80,12 @@ def class_rows(vectors: DataFrame) -> DataFrame:
             kinds: list[str | None] = [None] * n
             labels = batch.column("label").to_pylist()
             for rows, values in matrices(batch.column("embedding")):
-                size = np.linalg.norm(values, axis=1)
-                for i, v, s in zip(rows.tolist(), values, size.tolist(), strict=True):
-                    if s > 0 and labels[i] is not None:
+                power = np.frexp(np.abs(values).max(1))[1]  # a power of two changes no cosine, and norms stay in range
+                scaled = np.ldexp(values, -power[:, None])
+                for i, v, x in zip(rows.tolist(), values, scaled, strict=True):
+                    if x.any() and labels[i] is not None:
                         kinds[i] = f"{values.shape[1]}:{labels[i]}"
-                        units[i] = v.tobytes()
+                        units[i] = x.tobytes()
                         names[i] = hashlib.blake2b(kinds[i].encode() + (v + 0.0).tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").cast(pa.int64()), pa.array(names, pa.binary()), pa.array(units, pa.binary()), pa.array(kinds, pa.string())], ["vec_id", "cls", "vec", "kind"])
 
@@ -233,7 +234,8 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row.
 
     A vector that is null, empty, zero or holds a null or a non-finite component, or whose label is null, links
-    with nothing; so do vectors of different lengths. Rows with null ids count as links of others; a component's
+    with nothing; so do vectors of different lengths. Components of any finite size count, those near the ends of
+    double precision too. Rows with null ids count as links of others; a component's
     id is its smallest id that is not null. Repeated ids keep a row each; other columns are not read; an empty
     table gives no rows.
     """
@@ -241,21 +243,22 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     classes = materialize(rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"), F.first("vec").alias("vec"), F.first("kind").alias("kind")))
     n = classes.count()
     posted = materialize(postings(classes, n))
-    sizes = posted.groupBy("kind", "filter").agg(F.count("*").alias("n")).where("n > 1").select("kind", "filter", F.ceil(F.col("n") / BLOCK).alias("cut"))
-    sized = posted.join(sizes, ["kind", "filter"]).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cut")))
+    sizes = posted.groupBy("kind", "filter").agg(F.count("*").alias("n")).where("n > 1").select("kind", "filter", F.ceil(F.col("n") / BLOCK).alias("cut"), F.col("n").alias("size"))
+    sized = spread_join(posted, sizes, ["kind", "filter"], posted.count(), "inner").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cut")))
     spread = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1)))
     place = ("kind", "filter", "i", "j")
     met = spread.select("kind", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls", "sketch")
     met = materialize(met.repartition(*place).sortWithinPartitions(*place).mapInArrow(_retained, "kind string, filter long, i long, j long, own long, cls binary"))
-    met = met.groupBy("cls").agg(F.collect_list(F.struct("filter", "i", "j", "own")).alias("met"))  # a class has a bounded number of filters
+    met = met.groupBy("cls").agg(F.collect_list(F.struct("filter", "i", "j", "own")).alias("met"))  # its filters times the blocks of each
     placed = placed_vectors(classes.join(met, "cls"), n)
     met = placed.repartition(*place).sortWithinPartitions(*place)
     links = materialize(met.mapInArrow(_links, "a binary, b binary, n long"))
     joined = components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("cls"), "component")
     counts = links.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     each = classes.select("cls", "copies").join(counts, "cls", "left").join(joined, "cls", "left")
-    each = each.select("cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("root"))
-    found = materialize(rows.select("vec_id", "cls").join(each, "cls", "left").select("vec_id", "n_links", "root"))
-    least = found.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"))
-    named = found.join(least, "root", "left").withColumn("component_id", F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least")))
+    each = each.select("cls", F.col("copies").alias("size"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("root"))
+    total = rows.count()
+    found = materialize(spread_join(rows.select("vec_id", "cls"), materialize(each), ["cls"], total).select("vec_id", "n_links", "root"))
+    least = found.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    named = spread_join(found, least, ["root"], total).withColumn("component_id", F.when(F.col("root").isNull(), F.col("vec_id")).otherwise(F.col("least")))
     return named.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
