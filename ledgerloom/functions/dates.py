@@ -21,3 +21,14 @@ def for_screen(c: Column) -> Column:
 def iso(c: Column) -> Column:
     """yyyy-mm-dd; null for what is no date."""
     return F.date_format(_parsed(c), "yyyy-MM-dd")
+
+
+def for_import(c: Column) -> Column:
+    """yyyy-mm-dd of a date in any of the forms; text that begins like an ISO date passes as it is, its first ten letters."""
+    t = F.trim(c)
+    return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(t, 1, 10)).otherwise(iso(c))
+
+
+def due(c: Column, invoice_date: Column) -> Column:
+    """The due date for an import, the invoice's date where there is none."""
+    return F.coalesce(for_import(c), for_import(invoice_date))

@@ -21,14 +21,16 @@ def loose_amount(c: Column) -> Column:
     """Amounts in either locale.
 
     With a comma, dots are thousands. Without one they are if every later group has three digits, and a single dot
-    only after three leading digits at most. '350.0,00' is 350.
+    only after three leading digits at most. One or two digits between a dot and a comma are the mistake of a reader
+    that put both: they fall away, so '350.0,00' is 350 and '12.5,75' is 12.75. Inner blanks and signs of money make
+    it no number.
     """
-    t = F.regexp_replace(F.trim(c), r"[\s$]", "")
-    mixed = t.rlike(r"^[+-]?\d+\.\d{1,2},0+$")
+    t = F.trim(c)
+    mixed = t.rlike(r"^[+-]?\d+\.\d{1,2},\d+$")
     comma = t.contains(",")
     plain = F.regexp_replace(t, r"\.", "")
     thousands = t.rlike(r"^[+-]?\d{1,3}\.\d{3}$") | t.rlike(r"^[+-]?\d+(\.\d{3}){2,}$")
-    text = F.when(mixed, F.regexp_replace(t, ",0+$", "")).when(comma, F.replace(plain, F.lit(","), F.lit("."))).when(thousands, plain).otherwise(t)
+    text = F.when(mixed, F.replace(F.regexp_replace(t, r"\.\d{1,2},", ","), F.lit(","), F.lit("."))).when(comma, F.replace(plain, F.lit(","), F.lit("."))).when(thousands, plain).otherwise(t)
     return _number(text)
 
 
@@ -53,13 +55,39 @@ def rate(c: Column) -> Column:
 
 
 def quantity_and_price(qty: Column, price: Column, net: Column) -> tuple[Column, Column]:
-    """A price that is there stays; else net over quantity; else one piece at the net price."""
+    """A price that is there stays; else net over quantity, to the cent (to six decimals below half a cent); else one piece at the net price."""
     has, some = F.coalesce(price, F.lit(0)) != 0, F.coalesce(qty, F.lit(0)) != 0
     paid = F.coalesce(net, F.lit(0)) != 0
-    new_price = F.when(has, price).when(some & paid, F.round(net / F.when(some, qty), 6)).when(paid, net).otherwise(price)
+    each = net / F.when(some, qty)
+    new_price = F.when(has, price).when(some & paid, F.when(F.abs(each) < F.lit("0.000000000001").cast("decimal(20,12)"), F.round(each, 6)).otherwise(F.round(each, 2))).when(paid, F.round(net, 2)).otherwise(price)
     new_qty = F.when(has, qty).when(some & paid, qty).when(paid, F.lit(1)).otherwise(qty)
     return new_qty.cast(MONEY), new_price.cast(MONEY)
 
 
+def number_or_zero(c: Column) -> Column:
+    """As a form reads a number: dots before a comma, or several dots, are thousands; anything that is no number is 0."""
+    t = F.trim(c)
+    several = (F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))) > 1
+    plain = F.when(t.contains(","), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(several | t.rlike(r"^[+-]?\d{1,3}\.\d{3}$"), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
+    return F.coalesce(_number(plain), F.lit(0).cast(MONEY))
+
+
+def money_or_blank(d: Column) -> Column:
+    """Two decimals; blank for null and for what is next to nothing."""
+    return F.when(d.isNull() | (F.abs(d) < F.lit("0.000000000001").cast("decimal(20,12)")), "").otherwise(F.round(d, 2).cast("decimal(20,2)").cast("string"))
+
+
+def display(d: Column, currency: bool = False) -> Column:
+    """1.234,50: dots for thousands and two decimals after a comma; with a sign of money, '$ 1.234,50'; blank for null."""
+    t = F.translate(F.format_number(d, 2), ",.", ".,")
+    return F.coalesce(F.concat(F.lit("$ "), t) if currency else t, F.lit(""))
+
+
+def percent(c: Column) -> Column:
+    """The number of a tax text in percent, wherever it stands: 'IVA 10,5%' is 10.5; null without one."""
+    t = F.replace(F.regexp_extract(c, r"(\d+(?:[.,]\d+)?)", 1), F.lit(","), F.lit("."))
+    return F.when(t != "", t).try_cast("decimal(8,4)")
+
+
 def near(a: Column, b: Column, tolerance: float) -> Column:
     return F.abs(a - b) <= F.lit(tolerance)

@@ -65,18 +65,61 @@ def unit(c: Column) -> Column:
     return F.when(t.isin("NAN", "NONE", "NULL"), "").otherwise(F.coalesce(table[t], t))
 
 
+#: Fixed value: a quantity and its unit in a description.
+QUANTITY = r"(?i)(\d+(?:[.,]\d+)?)\s*(kgs?|kilos?|grs?|g|l|lt|litros?|un|unid(?:ades?)?)\b"
+
+
 def quantity_and_unit(c: Column) -> tuple[Column, Column]:
     """The first quantity with a unit in a description: '12,5 kg' -> ('12.5', 'kg')."""
-    pattern = r"(?i)(\d+(?:[.,]\d+)?)\s*(kgs?|kilos?|grs?|g|l|lt|litros?|un|unid(?:ades?)?)\b"
+    pattern = QUANTITY
     t = normalize(c)
     return F.replace(F.regexp_extract(t, pattern, 1), F.lit(","), F.lit(".")), unit(F.regexp_extract(t, pattern, 2))
 
 
 def repair_scan(c: Column) -> Column:
-    """0, 1 and 5 read as O, I and S in words that are letters but for one character at most."""
-    words = F.split(label_key(c), " ")
-    fixed = F.transform(words, lambda w: F.when((F.length(w) >= 3) & (F.length(F.regexp_replace(w, "[^A-Z]", "")) >= F.greatest(F.lit(2), F.length(w) - 1)), F.translate(w, "015", "OIS")).otherwise(w))
-    return F.array_join(fixed, " ")
+    """0, 1 and 5 read as O, I and S in words that are letters of any script but for one character at most.
+
+    Words end at blanks, slashes and dashes, which stay.
+    """
+    parts = F.regexp_extract_all(label_key(c), F.lit(r"([^\s/\-]+|[\s/\-]+)"), F.lit(1))
+    letters = lambda w: F.length(F.regexp_replace(w, r"\P{L}", ""))
+    fixed = F.transform(parts, lambda w: F.when((F.length(w) >= 3) & (letters(w) >= F.greatest(F.lit(2), F.length(w) - 1)), F.translate(w, "015", "OIS")).otherwise(w))
+    return F.array_join(fixed, "")
+
+
+def ids_in(c: Column) -> Column:
+    """The whole numbers in a text, in order: '[63, 70]' -> [63, 70]; an empty list without any."""
+    return F.coalesce(F.transform(F.regexp_extract_all(c, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int")), F.array().cast("array<int>"))
+
+
+def reference(c: Column) -> tuple[Column, Column]:
+    """The id and the label of '[7, "Cash"]', '7', or 'false': null for what is not there."""
+    t = F.trim(c)
+    pair = F.from_json(F.when(t.startswith("["), t), "array<string>")
+    digits_only = F.when(t.rlike(r"^\d+$"), t)
+    return F.coalesce(F.get(pair, F.lit(0)), digits_only).try_cast("long"), F.nullif(normalize(F.get(pair, F.lit(1))), F.lit(""))
+
+
+def match_key(tax_id: Column, name: Column) -> Column:
+    """What names a supplier: 'cuit:' and its digits, else 'name:' and its name in capitals; null for neither."""
+    d, n = digits(tax_id), label_key(name)
+    return F.when(d != "", F.concat(F.lit("cuit:"), d)).when(n != "", F.concat(F.lit("name:"), n))
+
+
+#: States of a receipt and what the screen shows.
+RECEIPTS = {"pending": "No recepcionada", "partial": "Parcialmente recepcionada", "full": "Recepcionada"}
+
+
+def receipt_label(c: Column) -> Column:
+    """The label of a receipt's state; blank means received, an unknown state stays."""
+    table = F.create_map(*[F.lit(x) for pair in RECEIPTS.items() for x in pair])
+    return F.when(F.coalesce(c, F.lit("")) == "", RECEIPTS["full"]).otherwise(F.coalesce(table[c], c))
+
+
+def slot_name(n: Column, amount: bool = False) -> Column:
+    """The column of the n-th other tax or of its amount; the first has no number."""
+    number = F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise("")
+    return F.concat(F.lit("otros_impuestos"), number, F.lit("_monto" if amount else ""))
 
 
 def tokens(c: Column) -> Column:

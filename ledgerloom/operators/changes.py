@@ -64,14 +64,21 @@ def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def same_bill(bills: DataFrame, present: DataFrame) -> DataFrame:
     """bill and found: the newest present bill of the partner with the same document number, exactly or but for zeros.
 
-    bills: bill, partner, number; present: id, partner, number, ref. A match of ref comes before one of the number.
+    bills: bill, partner, number; present: id, partner, number, ref and name (may be null). A match of ref comes before
+    one of the number, or of a name that is the number, ends with it or holds it after a dash, zeros aside.
     """
 
     def bare(c: Column) -> Column:
         return F.array_join(F.transform(F.split(c, "-"), lambda x: F.regexp_replace(F.trim(x), "^0+(?=.)", "")), "-")
 
     p = present.select(F.col("id").alias("found"), "partner", F.col("number").alias("__n"), F.col("ref").alias("__r"))
-    rank = F.when(F.col("number") == F.col("__r"), 0).when(bare(F.col("number")) == bare(F.col("__n")), 1)
+    want = bare(F.col("number"))
+    named = F.lit(False)
+    if "name" in present.columns:
+        name = F.trim("__m")
+        p = p.join(present.select(F.col("id").alias("found"), F.col("name").alias("__m")), "found")
+        named = (name == F.col("number")) | name.endswith(F.col("number")) | name.contains(F.concat(F.lit("-"), want)) | name.endswith(want)
+    rank = F.when(F.col("number") == F.col("__r"), 0).when(F.coalesce(want == bare(F.col("__n")), F.lit(False)) | F.coalesce(want == bare(F.col("__r")), F.lit(False)) | F.coalesce(named, F.lit(False)), 1)
     return first_per_key(bills.join(p, "partner").withColumn("rank", rank).where("rank is not null"), ["bill"], ["rank", F.desc("found")]).select("bill", "found", "rank")
 
 

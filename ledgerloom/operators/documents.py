@@ -5,32 +5,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ITEM = "STRUCT<descripcion: STRING, cantidad: STRING, precio_unitario: STRING, subtotal_sin_iva: STRING, codigo: STRING>"
-INVOICE = f"STRUCT<numero_factura: STRING, fecha: STRING, proveedor: STRUCT<razon_social: STRING, cuit: STRING>, items: ARRAY<{ITEM}>>"
-PROCESS = f"STRUCT<facturas: ARRAY<STRUCT<json: STRUCT<factura: {INVOICE}>>>>"
+from ..functions import dates, numbers, text
+from .bills import ZERO_LABELS
+
+#: The keys of a document, in the order in which they are asked.
+SUBTOTALS = ("subtotal", "subtotal_sin_iva", "subtotal_sin_ivas", "base_imponible", "importe_neto", "total_sin_iva", "total_neto", "neto", "importe_total_neto", "monto_neto")
+VAT_TOTALS = ("iva_monto", "iva_total", "importe_iva", "total_iva", "monto_iva", "impuesto_iva")
+VAT_RATES = {"iva_21": "21", "iva_10_5": "10.5", "iva_27": "27", "iva_2_5": "2.5", "iva_5": "5"}
+PERCEPTIONS = ("percepcion_iibb", "percepcion_iva", "otros_tributos")
+
+_ITEM_KEYS = ("descripcion", "cantidad", "precio_unitario", "subtotal_sin_iva", "subtotal", "codigo", "unidad_medida", "alicuota_iva", "otros_impuestos", "otros_tributos")
+_HEADER_KEYS = ("numero_factura", "fecha", "fecha_de_vencimiento", "fecha_vencimiento", "tipo_comprobante", *SUBTOTALS, *VAT_TOTALS, *VAT_RATES, *PERCEPTIONS)
+ITEM = f"STRUCT<{', '.join(f'{k}: STRING' for k in _ITEM_KEYS)}>"
+INVOICE = f"STRUCT<{', '.join(f'{k}: STRING' for k in _HEADER_KEYS)}, proveedor: STRUCT<razon_social: STRING, nombre: STRING, cuit: STRING>, items: ARRAY<{ITEM}>>"
+PROCESS = f"STRUCT<facturas: ARRAY<STRUCT<json: STRUCT<factura: {INVOICE}>>>, _corrupt_record: STRING>"
 
 
 def decoded(c: Column) -> Column:
-    """A JSON document, or a JSON string that holds one; null if it is neither."""
-    inner = F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
+    """A JSON document, or a JSON string that holds one; null if it is neither. _corrupt_record tells of broken JSON."""
+    inner = F.when(F.trim(c).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")).otherwise(c)
     return F.from_json(F.when(F.trim(inner).startswith("{"), inner), PROCESS)
 
 
 def rejects(processes: DataFrame) -> DataFrame:
     """process and reason of the rows whose document cannot be used."""
     d = processes.withColumn("__d", decoded(F.col("json_data")))
-    reason = F.when(F.col("json_data").isNull(), "null").when(F.trim("json_data") == "", "blank").when(F.col("__d").isNull(), "not an object").when(F.col("__d.facturas").isNull(), "no invoices")
+    reason = F.when(F.col("json_data").isNull(), "null").when(F.trim("json_data") == "", "blank").when(F.col("__d").isNull() | F.col("__d._corrupt_record").isNotNull(), "not an object").when(F.col("__d.facturas").isNull(), "no invoices")
     return d.withColumn("reason", reason).where("reason is not null").select("process", "reason")
 
 
+def invoices(processes: DataFrame) -> DataFrame:
+    """process, invoice (0 on over usable invoices) and f, the document, of each invoice."""
+    d = processes.select("process", decoded(F.col("json_data")).alias("d")).where("d._corrupt_record is null")
+    usable = F.filter("d.facturas", lambda x: x["json"]["factura"].isNotNull())
+    return d.select("process", F.posexplode(usable).alias("invoice", "w")).select("process", "invoice", F.col("w.json.factura").alias("f"))
+
+
 def lines(processes: DataFrame) -> DataFrame:
-    """process, invoice (0 on over usable invoices), line (0 on), number, cuit, description, quantity and price.
+    """process, invoice, line (0 on), number, cuit, description, quantity, price and all other fields of each item.
 
     An invoice without items gives one blank line; wrappers without an invoice are skipped and not counted.
     """
-    usable = F.filter(decoded(F.col("json_data"))["facturas"], lambda x: x["json"]["factura"].isNotNull())
-    i = processes.select("process", F.posexplode(usable).alias("invoice", "w")).select("process", "invoice", F.col("w.json.factura").alias("f"))
     blank = F.array(F.lit(None).cast(ITEM))
     items = F.when(F.size("f.items") > 0, F.col("f.items")).otherwise(blank)
-    e = i.select("process", "invoice", F.col("f.numero_factura").alias("number"), F.col("f.proveedor.cuit").alias("cuit"), F.posexplode(items).alias("line", "item"))
-    return e.select("process", "invoice", "line", "number", "cuit", F.col("item.descripcion").alias("description"), F.col("item.cantidad").alias("quantity"), F.col("item.precio_unitario").alias("price"))
+    e = invoices(processes).select("process", "invoice", F.col("f.numero_factura").alias("number"), F.col("f.proveedor.cuit").alias("cuit"), F.posexplode(items).alias("line", "item"))
+    named = {"descripcion": "description", "cantidad": "quantity", "precio_unitario": "price", "codigo": "code", "unidad_medida": "unit", "alicuota_iva": "rate"}
+    return e.select("process", "invoice", "line", "number", "cuit", *[F.col(f"item.{k}").alias(named.get(k, k)) for k in _ITEM_KEYS])
+
+
+def tax_label(rate: Column, other: Column, kind: Column) -> tuple[Column, Column]:
+    """The tax label of a line and its other tax: a rate, 2.5 written as 2,5; else another tax that means no VAT; else, on invoices of class C, that there is none."""
+    t, o = text.normalize(rate), text.normalize(other)
+    dotted = F.replace(F.replace(t, F.lit(" "), F.lit("")), F.lit("."), F.lit(","))
+    shown = F.when(dotted.isin("2,5", "10,5"), dotted).otherwise(t)
+    moved = (t == "") & o.isin(*ZERO_LABELS)
+    label = F.when(t != "", shown).when(moved, o).when(kind == "FACTURAS C", "IVA No Corresponde").otherwise("")
+    return label, F.when(moved, "").otherwise(o)
+
+
+def headers(processes: DataFrame) -> DataFrame:
+    """process, invoice, number, kind, date, due, supplier, cuit, subtotal, vat (text), rates (rate to amount) and slots.
+
+    vat is the sum of the rates' positive amounts, else the first of the totals that is there. slots lists the positive
+    amounts of other taxes, in their order, as label and amount.
+    """
+    f = lambda k: F.col(f"f.{k}")
+    by_rate = F.filter(F.array(*[F.struct(F.lit(r).alias("key"), numbers.amount(f(k)).alias("value")) for k, r in VAT_RATES.items()]), lambda x: x["value"] > 0)
+    total = F.aggregate(by_rate, F.lit(0).cast("decimal(28,6)"), lambda a, x: (a + x["value"]).cast("decimal(28,6)"))
+    slots = F.filter(F.array(*[F.struct(F.lit(k).alias("label"), F.round(numbers.amount(f(k)), 2).cast("decimal(18,2)").alias("amount")) for k in PERCEPTIONS]), lambda x: x["amount"] > 0)
+    vat = F.when(F.size(by_rate) > 0, numbers.money_or_blank(total)).otherwise(text.first_filled(*[f(k) for k in VAT_TOTALS]))
+    return invoices(processes).select(
+        "process",
+        "invoice",
+        text.document_number(f("numero_factura")).alias("number"),
+        text.document_type(f("tipo_comprobante")).alias("kind"),
+        dates.for_screen(f("fecha")).alias("date"),
+        dates.for_screen(F.coalesce(F.nullif(f("fecha_de_vencimiento"), F.lit("")), f("fecha_vencimiento"))).alias("due"),
+        F.coalesce(F.nullif(text.normalize(f("proveedor.razon_social")), F.lit("")), text.normalize(f("proveedor.nombre"))).alias("supplier"),
+        text.normalize(f("proveedor.cuit")).alias("cuit"),
+        text.first_filled(*[f(k) for k in SUBTOTALS]).alias("subtotal"),
+        vat.alias("vat"),
+        F.map_from_entries(F.transform(by_rate, lambda x: F.struct(x["key"], numbers.money_or_blank(x["value"])))).alias("rates"),
+        slots.alias("slots"),
+    )
+
+
+def screen_lines(processes: DataFrame) -> DataFrame:
+    """process, invoice, line, number, supplier, description, quantity, price, label and other of each line, as a screen shows them.
+
+    Header fields are on the first line only; quantity and price are derived where the document has none.
+    """
+    li = lines(processes).drop("number", "cuit")
+    h = headers(processes).select("process", "invoice", "number", "supplier", "kind")
+    j = li.join(h, ["process", "invoice"])
+    net = F.coalesce(numbers.amount(F.col("subtotal_sin_iva")), numbers.amount(F.col("subtotal")))
+    qty, price = numbers.quantity_and_price(numbers.amount(F.col("quantity")), numbers.amount(F.col("price")), net)
+    label, other = tax_label(F.col("rate"), F.coalesce(F.nullif(F.col("otros_impuestos"), F.lit("")), F.col("otros_tributos")), F.col("kind"))
+    shown = lambda d: F.coalesce(numbers.for_screen(d), F.lit(""))
+    once = lambda c: F.when(F.col("line") == 0, F.col(c)).otherwise("")
+    return j.select("process", "invoice", "line", once("number").alias("number"), once("supplier").alias("supplier"), text.normalize(F.col("description")).alias("description"), shown(qty).alias("quantity"), shown(price).alias("price"), label.alias("label"), other.alias("other"))
+
+
+def description_lists(processes: DataFrame) -> DataFrame:
+    """process, labels: the sorted distinct descriptions of a process's lines, blank ones left out."""
+    t = text.normalize(F.col("description"))
+    return lines(processes).groupBy("process").agg(F.array_sort(F.collect_set(F.when(t != "", t))).alias("labels"))
+
+
+def rates_text(rates: Column) -> Column:
+    """A map of amounts by rate as JSON, and null for an empty one."""
+    return F.when(F.size(rates) > 0, F.to_json(rates))
+
+
+def rates_read(c: Column) -> Column:
+    """The positive amounts by rate of such a text; an empty map for anything else."""
+    read = F.transform_values(F.from_json(F.when(F.trim(c).startswith("{"), c), "map<string,string>"), lambda _, v: numbers.loose_amount(v))
+    return F.coalesce(F.map_filter(read, lambda k, v: (k != "_total") & (v > 0)), F.create_map().cast(f"map<string,{numbers.MONEY}>"))

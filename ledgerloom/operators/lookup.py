@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.files import cut
 from .order import first_per_key
 
 
@@ -23,24 +24,110 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - F.levenshtein(a, b) / longest), 4))
 
 
-def best_match(probe: DataFrame, key: str, name: str, registry: DataFrame, registry_id: str, registry_name: str, threshold: float, block: int = 3, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+def _grams(names: DataFrame, size: int, share: float, keep: Column) -> DataFrame:
+    """t and gram of the rarest grams of each text t that another text within reach must share one of.
+
+    A text of n letters keeps at least share * n of them, in order, in any text similar enough; so of its grams (each
+    counted with how often it came before) all but a few are shared, and one of the rarest ones is.
+    """
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (size - 1), F.lit(1))), lambda k: F.substr(F.col("t"), k, F.lit(size)))
+    each = names.where(keep).select("t", F.posexplode(runs).alias("k", "g"))
+    times = F.row_number().over(Window.partitionBy("t", "g").orderBy("k"))
+    each = each.select("t", F.concat_ws("#", "g", times.cast("string")).alias("gram"))
+    often = each.groupBy("gram").agg(F.count("*").alias("often"))
+    n = F.greatest(F.length("t") - (size - 1), F.lit(1))
+    least = F.greatest(F.lit(1), F.ceil(F.length("t") * share - (size - 1)))
+    nth = F.row_number().over(Window.partitionBy("t").orderBy("often", "gram"))
+    return each.join(often, "gram").withColumn("nth", nth).where(F.col("nth") <= n - least + 1).select("t", "gram")
+
+
+def close_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """q, r: all pairs of a text of left (q) and one of right (r) whose similarity may reach the threshold, without comparing all.
+
+    Texts of fewer letters than two grams' worth meet by single letters, longer ones by pairs of letters; none that
+    reaches the threshold is lost.
+    """
+    kept = threshold / 100
+    short = 1 if kept <= 0.5 else 2 / (2 * kept - 1)  # from this length on a pair of letters must be shared
+    left, right = cut(left), cut(right)
+    both = left.select(F.col("q").alias("t")).unionByName(right.select(F.col("r").alias("t"))).distinct()
+    met = None
+    for size, share, keep in ((1, kept, F.length("t") < short), (2, 2 * kept - 1, F.lit(kept > 0.5))):
+        if kept <= 0.5:
+            keep = F.lit(size == 1)
+        grams = cut(_grams(both, size, max(share, 0.0), keep))
+        a = left.join(grams.withColumnRenamed("t", "q"), "q")
+        b = right.join(grams.withColumnRenamed("t", "r"), "r")
+        pairs = a.join(b, "gram").select("q", "r").distinct()
+        met = pairs if met is None else met.unionByName(pairs).distinct()
+    return met
+
+
+#: Names of a registry that are sent to every task where a score has no bound that spares comparisons.
+REGISTRY_NAMES = 100_000
+
+
+def best_match(probe: DataFrame, key: str, name: str, registry: DataFrame, registry_id: str, registry_name: str, threshold: float, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
     """(key, id, score): for each probe the registry row with the most similar name, if the threshold is reached.
 
-    Distinct probe names are compared once, and only names that share their first `block` letters; a block of 0 compares
-    all (a registry is small, probes are not). With edit distance only names whose length allows the threshold meet.
-    Ties go to the smaller id.
+    Distinct names are compared once. With edit distance only names that share rare letters or pairs of letters, as many
+    as the threshold asks for, meet. Other scores allow no such bound: there a registry of up to REGISTRY_NAMES names is
+    sent to all tasks, a larger one is an error. Ties go to the smaller id.
     """
     names = probe.select(text.label_key(F.col(name)).alias("q")).where("q <> ''").distinct()
     targets = registry.select(F.col(registry_id).alias("id"), text.label_key(F.col(registry_name)).alias("r")).where("r <> ''")
-    near = F.lit(True) if score is not similarity else F.least(F.length("q"), F.length("r")) * 100 >= threshold * F.greatest(F.length("q"), F.length("r"))
-    met = names.join(targets, near & (F.substring("q", 1, block) == F.substring("r", 1, block)) if block else near)
+    targets = targets.groupBy("r").agg(F.min("id").alias("id"))
+    if score is similarity:
+        near = F.least(F.length("q"), F.length("r")) * 100 >= threshold * F.greatest(F.length("q"), F.length("r"))
+        met = close_pairs(names, targets.select("r"), threshold).where(near).join(targets, "r")
+    else:
+        if targets.count() > REGISTRY_NAMES:
+            raise ValueError("the registry has too many names for a score without a bound")
+        met = names.join(F.broadcast(targets), F.col("q").isNotNull())
     by = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     top = met.withColumn("score", score(F.col("q"), F.col("r"))).where(F.col("score") >= threshold).withColumn("n", F.row_number().over(by)).where("n = 1")
     return probe.select(F.col(key), text.label_key(F.col(name)).alias("q")).join(top.select("q", "id", "score"), "q").select(key, "id", "score")
 
 
+def by_name(probe: DataFrame, key: str, name: str, registry: DataFrame, threshold: float, fallback: str | None = None, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+    """(key, id): by equal name, else by the most similar one, else the row that is named as the fallback.
+
+    registry: id, name; the first of equal names, by id, wins. Probes without a name only have the fallback.
+    """
+    one = first_per_key(registry.select(text.label_key(F.col("name")).alias("__k"), F.col("id").alias("__exact")).where("__k <> ''"), ["__k"], ["__exact"])
+    p = probe.select(key, name, text.label_key(F.col(name)).alias("__k")).join(one, "__k", "left")
+    close = best_match(p.where("__exact is null and __k <> ''"), key, name, registry, "id", "name", threshold, score=score).select(key, F.col("id").alias("__near"))
+    p = p.join(close, key, "left")
+    if fallback:
+        p = p.join(F.broadcast(one.where(F.col("__k") == fallback.upper()).select(F.col("__exact").alias("__last"))), F.lit(True), "left")  # a row at most
+    return p.select(key, F.coalesce("__exact", "__near", *(["__last"] if fallback else [])).alias("id"))
+
+
+def cascade(probe: DataFrame, key: str, sources: list[DataFrame], threshold: float, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+    """(key, source, id, score): by tax id over all sources, in their order; else by name in the first source that reaches the threshold.
+
+    probe: key, cuit, name; sources: id, cuit, name. A tax id scores 100; the first row by id wins.
+    """
+    listed = None
+    for n, df in enumerate(sources):
+        one = df.select(F.lit(n).alias("source"), "id", text.digits(F.col("cuit")).alias("__d"), F.col("name").alias("__n"))
+        listed = one if listed is None else listed.unionByName(one)
+    exact = first_per_key(listed.where("__d <> ''"), ["__d"], ["source", "id"]).select("__d", "source", "id", F.lit(100.0).alias("score"))
+    p = probe.select(key, "name", text.digits(F.col("cuit")).alias("__d"))
+    found = p.join(exact, "__d").select(key, "source", "id", "score")
+    rest = p.join(exact.select("__d"), "__d", "left_anti")
+    for n, df in enumerate(sources):
+        close = best_match(rest, key, "name", df, "id", "name", threshold, score=score)
+        found = found.unionByName(close.select(key, F.lit(n).alias("source"), "id", "score"))
+        rest = rest.join(close.select(key), key, "left_anti")
+    return found
+
+
 def account(probe: DataFrame, label: str, accounts: DataFrame) -> DataFrame:
-    """Adds account_id: by full label; by code and by name, where the name wins a conflict. Last of equal ones wins."""
+    """Adds account_id: by full label; by code and by name, where the name wins a conflict. Last of equal ones wins.
+
+    What is not found so is left null; by_similar_name goes on from there.
+    """
     code, name = text.account_parts(F.col(label))
     p = probe.withColumn("__full", text.label_key(F.col(label))).withColumn("__code", code).withColumn("__name", F.upper(name))
     a = accounts.select("id", F.col("code").alias("c"), text.label_key(F.col("name")).alias("n")).withColumn("f", F.concat_ws(" ", "c", "n"))
@@ -76,15 +163,52 @@ def jurisdiction_tax(probe: DataFrame, label: str, taxes: DataFrame) -> DataFram
     return p.join(first_per_key(x, ["__k"], ["__r", "tax_id"]).drop("__r"), F.col("__s") == F.col("__k"), "left").drop("__s", "__k")
 
 
-def heads(nodes: DataFrame, key: str, parent: str, rounds: int = 5) -> DataFrame:
-    """key and head: the topmost row above each one; null where a circle or a chain of more than 2^rounds steps has none.
+def by_similar_name(probe: DataFrame, key: str, label: str, accounts: DataFrame, threshold: float = 65.0, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+    """(key, account_id): account, and for what it leaves open the most similar name, else the most similar code and name."""
+    _, name = text.account_parts(F.col(label))
+    found = account(probe, label, accounts).select(key, label, "account_id").withColumn("__name", name)
+    full = accounts.select("id", F.concat_ws(" ", "code", "name").alias("name"))
+    for registry, part in ((accounts.select("id", "name"), "__name"), (full, label)):
+        close = best_match(found.where("account_id is null"), key, part, registry, "id", "name", threshold, score=score).select(key, F.col("id").alias("__near"))
+        found = cut(found.join(close, key, "left").withColumn("account_id", F.coalesce("account_id", "__near")).drop("__near"))
+    return found.select(key, "account_id")
+
+
+def star(bills: DataFrame, partners: DataFrame, bill_accounts: DataFrame, order: list[Column | str], accounts: DataFrame, categories: DataFrame, no_category: str) -> DataFrame:
+    """partner, name, account, category: each partner's bill with the labels of its first account that is not null and of the partner's category.
+
+    bills: partner, bill; partners: partner, name, category; bill_accounts: bill, account; accounts: account, label;
+    categories: category, label.
+    """
+    first = first_per_key(bill_accounts.where("account is not null"), ["bill"], order).select("bill", "account")
+    j = bills.join(partners, "partner").join(first, "bill", "left").join(accounts.withColumnRenamed("label", "__a"), "account", "left").join(categories.withColumnRenamed("label", "__c"), "category", "left")
+    return j.select("partner", "name", F.col("__a").alias("account"), F.coalesce("__c", F.lit(no_category)).alias("category"))
+
+
+def heads(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """key and head: the topmost row above each one; null where a circle has none.
 
-    Each round follows twice as many steps, so the joins do not grow with the depth. A parent that is missing or null ends a chain.
+    Each round follows twice as many steps, until all chains have ended or are longer than the table, so a chain of n
+    steps takes about log2(n) joins. A parent that is missing or null ends a chain.
     """
     known = nodes.select(F.col(key).alias("__k"))
     up = nodes.select(F.col(key).alias("k"), F.col(parent).alias("__p")).join(known, F.col("__p") == F.col("__k"), "left")
-    up = up.select("k", F.coalesce("__k", "k").alias("h"), F.col("__k").isNull().alias("top"))
-    for _ in range(rounds):
+    up = cut(up.select("k", F.coalesce("__k", "k").alias("h"), F.col("__k").isNull().alias("top")))
+    steps, most = 1, up.count()
+    while steps < 2 * most and not up.where("not top").isEmpty():
         over = up.select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.col("top").alias("__t"))
-        up = up.join(over, F.col("h") == F.col("__k")).select("k", F.col("__h").alias("h"), F.col("__t").alias("top"))
+        done = up.where("top")
+        up = cut(up.where("not top").join(over, F.col("h") == F.col("__k")).select("k", F.col("__h").alias("h"), F.col("__t").alias("top")).unionByName(done))
+        steps *= 2
     return up.select(F.col("k").alias(key), F.when(F.col("top"), F.col("h")).alias("head"))
+
+
+def below(nodes: DataFrame, key: str, parent: str, roots: DataFrame, root: str) -> DataFrame:
+    """The keys of the roots and of all rows below them, by parents; circles are followed once."""
+    found = cut(nodes.select(F.col(key).alias("k")).join(roots.select(F.col(root).alias("k")).distinct(), "k", "left_semi"))
+    last = found
+    while not last.isEmpty():
+        child = nodes.select(F.col(key).alias("__c"), F.col(parent).alias("k")).join(last, "k").select(F.col("__c").alias("k")).distinct()
+        last = cut(child.join(found, "k", "left_anti"))
+        found = cut(found.unionByName(last))
+    return found.select(F.col("k").alias(key))

@@ -47,6 +47,19 @@ def islands(df: DataFrame, value: str, keys: list[str], order: list[Column | str
     return df.withColumn("__new", changed).withColumn(name, F.sum("__new").over(by)).drop("__new")
 
 
+def runs_by_number(df: DataFrame, number: str, keys: list[str], order: list[Column | str], name: str = "run") -> DataFrame:
+    """Numbers the runs of rows that begin where a document number is filled, from 1; rows before the first are run 1."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    begins = F.when((F.row_number().over(by) == 1) | filled(number).isNotNull(), 1).otherwise(0)
+    return df.withColumn("__new", begins).withColumn(name, F.sum("__new").over(by)).drop("__new")
+
+
+def invoice_key(index: Column, number: Column, pos: Column) -> Column:
+    """What groups a row: its invoice's index, else its document number, else its own place."""
+    n = F.when(F.trim(number) != "", F.trim(number))
+    return F.coalesce(F.concat(F.lit("idx:"), index.cast("string")), F.concat(F.lit("doc:"), n), F.concat(F.lit("row:"), pos.cast("string")))
+
+
 def one_to_one(df: DataFrame, target: str, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The second and later rows of a group that take the same target lose it."""
     by = Window.partitionBy(*keys, target).orderBy(*order)

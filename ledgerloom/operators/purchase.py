@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,19 +21,73 @@ def basket_rank(invoice_lines: DataFrame, order_lines: DataFrame, threshold: flo
     """invoice, order, matched, score, nth: orders of an invoice's partner by how many of its lines they have.
 
     invoice_lines: invoice, partner, line, name; order_lines: order, partner, po_line, name. For each line and order
-    the best order line counts if it reaches the threshold. Equal pairs of names are scored once.
+    the best order line counts if it reaches the threshold. An order's names are compared once with each name that its
+    partner's invoices have; the lines join what is left, the best score of an order and a name.
     """
     i = invoice_lines.withColumnRenamed("name", "q")
-    p = order_lines.withColumnRenamed("name", "r")
-    met = i.join(p, "partner")
-    scores = met.select("q", "r").distinct().withColumn("s", similarity(F.col("q"), F.col("r")))
-    best = met.join(scores, ["q", "r"]).groupBy("invoice", "order", "line").agg(F.max("s").alias("s"))
+    asked = i.select("partner", "q").distinct()
+    offered = order_lines.select("partner", "order", F.col("name").alias("r")).distinct()
+    best = asked.join(offered, "partner").groupBy("partner", "order", "q").agg(F.max(similarity(F.col("q"), F.col("r"))).alias("s"))
+    best = i.join(best, ["partner", "q"])
     hit = F.col("s") >= threshold
     each = best.groupBy("invoice", "order").agg(F.count(F.when(hit, 1)).alias("matched"), F.round(F.coalesce(F.sum(F.when(hit, F.col("s").cast("decimal(12,4)"))), F.lit(0)), 1).cast("double").alias("score"))
     by = Window.partitionBy("invoice").orderBy(F.desc("matched"), F.desc("score"), "order")
     return each.withColumn("nth", F.row_number().over(by))
 
 
+def selected_order(ranked: DataFrame, saved: DataFrame) -> DataFrame:
+    """invoice, order, kept: the saved choice if it is still among the candidates, else the best candidate.
+
+    ranked: invoice, order, nth (0 or 1 on, the best first); saved: invoice, order (null or no row: none).
+    """
+    s = saved.where("`order` is not null").select("invoice", F.col("order").alias("__s"))
+    j = ranked.join(s, "invoice", "left").withColumn("kept", F.coalesce(F.col("order") == F.col("__s"), F.lit(False)))
+    return first_per_key(j, ["invoice"], [F.desc("kept"), "nth"]).select("invoice", "order", "kept")
+
+
+def commanded(state: DataFrame, commands: DataFrame, fields: list[str]) -> DataFrame:
+    """The state of invoices' rows after the last command on each invoice; the fields of those it touches are cleared.
+
+    state: invoice, order, cleared fields and others; commands: invoice, seq, action (select, clear or rematch), order.
+    select sets the order; clear takes it away; rematch leaves it to be found again (order null, rematch true).
+    """
+    last = first_per_key(commands, ["invoice"], [F.desc("seq")]).select("invoice", F.col("action").alias("__a"), F.col("order").alias("__o"))
+    j = state.join(last, "invoice", "left")
+    touched = F.col("__a").isNotNull()
+    made = j.withColumns({c: F.when(~touched, F.col(c)) for c in fields})
+    order = F.when(F.col("__a") == "select", F.col("__o")).when(~touched, F.col("order"))
+    return made.withColumn("order", order).withColumn("rematch", F.coalesce(F.col("__a") == "rematch", F.lit(False))).drop("__a", "__o")
+
+
+def suggested(invoice_lines: DataFrame, pool: DataFrame, threshold: float, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+    """invoice, line, product, score: the best product among all order lines of the partner, for lines that matched none.
+
+    invoice_lines: invoice, line, partner, name; pool: partner, product, name. Each name of a partner is compared once;
+    ties go to the smaller product, lines below the threshold get none.
+    """
+    asked = invoice_lines.select("partner", F.col("name").alias("q")).distinct()
+    offered = pool.where("product is not null").groupBy("partner", F.col("name").alias("r")).agg(F.min("product").alias("product"))
+    met = asked.join(offered, "partner").withColumn("s", score(F.col("q"), F.col("r")))
+    best = met.groupBy("partner", "q").agg(F.min(F.struct((-F.col("s")).alias("s"), "product")).alias("b")).select("partner", F.col("q").alias("name"), "b.product", (-F.col("b.s")).alias("score"))
+    return invoice_lines.select("invoice", "line", "partner", "name").join(best.where(F.col("score") >= threshold), ["partner", "name"]).select("invoice", "line", "product", "score")
+
+
+def best_line_per_order_line(invoice_lines: DataFrame, order_lines: DataFrame, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+    """invoice, order, po_line, line, score: the invoice's line that fits an order's line best; the first of equals."""
+    i = invoice_lines.select("invoice", "partner", "line", F.col("name").alias("q"))
+    p = order_lines.select("order", "partner", "po_line", F.col("name").alias("r"))
+    scores = i.select("partner", "q").distinct().join(p.select("partner", "r").distinct(), "partner").withColumn("s", score(F.col("q"), F.col("r")))
+    met = i.join(scores, ["partner", "q"]).join(p, ["partner", "r"])
+    best = met.groupBy("invoice", "order", "po_line").agg(F.min(F.struct((-F.col("s")).alias("s"), "line")).alias("b"))
+    return best.select("invoice", "order", "po_line", "b.line", (-F.col("b.s")).alias("score"))
+
+
+def matching_summary(rows: DataFrame) -> DataFrame:
+    """partners, rows_total and rows_matched (rows: partner, is_content, po_line; only content rows count), in one row."""
+    c = F.col("is_content")
+    return rows.agg(F.countDistinct(F.when(c, F.col("partner"))).alias("partners"), F.count(F.when(c, 1)).alias("rows_total"), F.count(F.when(c & F.col("po_line").isNotNull(), 1)).alias("rows_matched"))
+
+
 def converted(qty: Column, from_factor: Column, to_factor: Column, from_category: Column, to_category: Column) -> Column:
     """A quantity in another unit of the same category; null where that makes no sense."""
     fits = (from_category == to_category) & (from_factor != 0) & (to_factor != 0)

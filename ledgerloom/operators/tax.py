@@ -7,7 +7,7 @@ manual. Stated maps: invoice, pct, amount, a row per rate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 D = "decimal(18,2)"
@@ -94,6 +94,74 @@ def breakdown(lines: DataFrame, headers: DataFrame) -> DataFrame:
     return _facts(lines, headers).select("invoice", F.explode(_split()).alias("x")).select("invoice", "x.pct", "x.amount")
 
 
+def stated_breakdown(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
+    """invoice, rate, amount, suggested, nth: tax by rate, the highest first, of the stated and the lines' rates.
+
+    With mode line, unless the header was edited, the lines' tax holds; else a stated amount, else the header's where there
+    is one rate in all, else the lines'. An invoice without rates has one row, _total, with the header's tax if it has any.
+    """
+    f = _with_stated(lines, headers, stated)
+    h = F.coalesce("header_vat", F.lit(0))
+    mine = F.transform("by_line", lambda x: F.struct(x["pct"].alias("pct"), F.when(F.col("mode") == "line", x["effective"]).otherwise(x["suggested"]).cast("decimal(28,6)").alias("suggested"), F.lit(None).cast(D).alias("amount")))
+    theirs = F.transform("stated", lambda x: F.struct(x["pct"].alias("pct"), F.lit(None).cast("decimal(28,6)").alias("suggested"), x["amount"].cast(D).alias("amount")))
+    none = F.array().cast("array<struct<pct: decimal(6,2), suggested: decimal(28,6), amount: decimal(18,2)>>")
+    both = f.select("invoice", "mode", "fixed", h.alias("h"), F.explode_outer(F.concat(F.coalesce(mine, none), F.coalesce(theirs, none))).alias("x"))
+    each = both.groupBy("invoice", "mode", "fixed", "h", F.col("x.pct").alias("pct")).agg(F.coalesce(F.sum("x.suggested"), F.lit(0)).cast("decimal(28,6)").alias("suggested"), F.coalesce(F.sum("x.amount"), F.lit(0)).cast(D).alias("stated"))
+    own = Window.partitionBy("invoice")
+    j = each.where("pct is not null or h > 0").withColumn("rates", F.count("pct").over(own)).withColumn("nth", F.row_number().over(own.orderBy(F.desc("pct"))) - 1)
+    amount = F.when(F.col("pct").isNull(), F.col("h")).when((F.col("mode") == "line") & ~F.col("fixed"), F.col("suggested")).when(F.col("stated") > 0, F.col("stated")).when((F.col("h") > 0) & (F.col("rates") == 1), F.col("h")).otherwise(F.col("suggested"))
+    rate = F.when(F.col("pct").isNull(), "_total").otherwise(F.regexp_replace(F.regexp_replace(F.col("pct").cast("string"), r"0+$", ""), r"\.$", ""))
+    suggested = F.when(F.col("pct").isNull(), F.col("h")).otherwise(F.col("suggested"))
+    return j.select("invoice", rate.alias("rate"), F.round(amount, 2).cast(D).alias("amount"), F.round(suggested, 2).cast(D).alias("suggested"), "nth")
+
+
+def others(slots: DataFrame) -> DataFrame:
+    """invoice, others: the sum of the amounts of other taxes over an invoice's rows (slots: invoice, amount)."""
+    return slots.groupBy("invoice").agg(F.coalesce(F.sum(F.col("amount").cast(D)), F.lit(0)).cast(D).alias("others"))
+
+
+def grand_totals(found: DataFrame, slots: DataFrame) -> DataFrame:
+    """The totals of invoices with others, the sum of their other taxes, counted into total and total_stated."""
+    j = found.join(others(slots), "invoice", "left").na.fill(0, ["others"])
+    return j.withColumns({c: (F.col(c) + F.col("others")).cast(D) for c in ("total", "total_stated")})
+
+
+def slot_ids(slots: DataFrame, label_ids: DataFrame, other_ids: DataFrame) -> DataFrame:
+    """invoice, pos, slot, tax_id, amount: the tax of each used slot.
+
+    By its label where that is known (label_ids: label, tax_id); slots whose label is blank or unknown take the row's other
+    taxes (other_ids: invoice, pos, ids) one after the other, and fall away when there are no more.
+    """
+    j = slots.where("amount > 0").join(label_ids.withColumnRenamed("tax_id", "__t"), "label", "left")
+    nth = F.count(F.when(F.col("__t").isNull(), 1)).over(Window.partitionBy("invoice", "pos").orderBy("slot"))
+    j = j.withColumn("__n", nth).join(other_ids.select("invoice", "pos", "ids"), ["invoice", "pos"], "left")
+    found = F.coalesce("__t", F.get("ids", (F.col("__n") - 1).cast("int")))
+    return j.withColumn("tax_id", found).where("tax_id is not null").select("invoice", "pos", "slot", "tax_id", "amount")
+
+
+def line_flags(lines: DataFrame) -> DataFrame:
+    """invoice, all_rated, all_zero: whether all content lines have a rate, or all say that there is no tax (zero); false without content."""
+    content = (F.col("qty") > 0) | (F.col("price") > 0)
+    both = {"all_rated": F.bool_and(F.when(content, F.col("pct") > 0)), "all_zero": F.bool_and(F.when(content, _flag(lines, "zero")))}
+    return lines.groupBy("invoice").agg(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in both.items()])
+
+
+def collapsed(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """invoice, qty, price, lines: an invoice of several lines as one piece, at the stated subtotal or else the sum of its lines."""
+    sums = lines.groupBy("invoice").agg(F.sum((F.coalesce("qty", F.lit(0)) * F.coalesce("price", F.lit(0))).cast("decimal(24,6)")).alias("bases"), F.count("*").alias("lines")).where("lines > 1")
+    j = sums.join(headers.select("invoice", "subtotal"), "invoice", "left")
+    return j.select("invoice", F.lit(1).alias("qty"), F.coalesce(F.col("subtotal").cast("decimal(24,6)"), F.round("bases", 6)).cast("decimal(24,6)").alias("price"), "lines")
+
+
+def cleared_footers(lines: DataFrame, headers: DataFrame) -> DataFrame:
+    """The headers; tax and edits of those whose content lines all say that there is none are taken away (zero of lines)."""
+    j = headers.join(line_flags(lines), "invoice", "left").withColumn("__z", F.coalesce("all_zero", F.lit(False)))
+    made = j.withColumn("vat", F.when(~F.col("__z"), F.col("vat")))
+    if "manual" in headers.columns:
+        made = made.withColumn("manual", F.col("manual") & ~F.col("__z"))
+    return made.select(*headers.columns, F.col("__z").alias("cleared"))
+
+
 def totals(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """invoice, mode, base, vat, total, total_stated and base_differs of each header."""
     j = _facts(lines, headers)
@@ -174,6 +242,11 @@ def slot_rows(rows: DataFrame, key: list[str], slots: str) -> DataFrame:
     return e.select(*key, (F.col("p") + 1).alias("slot"), F.col("x.label").alias("label"), F.col("x.amount").alias("amount")).where("amount > 0")
 
 
+def used_slots(slots: DataFrame) -> DataFrame:
+    """The numbers of slots that any row uses, in order."""
+    return slots.select("slot").distinct().orderBy("slot")
+
+
 def id_list(*ids: Column) -> Column:
     """Ids in order, each once, nulls left out, joined by commas."""
     return F.array_join(F.array_distinct(F.array_compact(F.concat(*ids))), ",")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -39,6 +39,26 @@ def violations(rows: DataFrame, keys: list[str], numeric: list[str], days: list[
     return found.select(*keys, "pos", "step", "x.rule", "x.field", "x.value")
 
 
+def import_errors(headers: DataFrame, lines: DataFrame) -> DataFrame:
+    """invoice, error, line: the first thing that keeps an invoice from being imported; line (1 on) for a missing account.
+
+    headers: invoice, partner, journal, number, date; lines: the content lines, invoice, pos, account. In order: partner,
+    journal, document number, date, any line, an account on every line.
+    """
+    place = F.row_number().over(Window.partitionBy("invoice").orderBy("pos"))
+    bad = lines.withColumn("__n", place).groupBy("invoice").agg(F.min(F.when(F.col("account").isNull(), F.col("__n"))).alias("__bad"), F.lit(True).alias("__any"))
+    j = headers.join(bad, "invoice", "left")
+    error = (
+        F.when(F.col("partner").isNull(), "no partner")
+        .when(F.col("journal").isNull(), "no journal")
+        .when(text.normalize(F.col("number")) == "", "no number")
+        .when(dates.for_import(F.col("date")).isNull(), "no date")
+        .when(F.col("__any").isNull(), "no lines")
+        .when(F.col("__bad").isNotNull(), "no account")
+    )
+    return j.withColumn("error", error).where("error is not null").select("invoice", "error", F.when(F.col("error") == "no account", F.col("__bad")).alias("line"))
+
+
 def first_violation(rows: DataFrame, keys: list[str], numeric: list[str], days: list[str]) -> DataFrame:
     """keys, pos, rule, field, value: of each group the one that users are told, by rule before row."""
     v = violations(rows, keys, numeric, days)

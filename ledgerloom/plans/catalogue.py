@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, similar, text
-from ..operators import changes, doctypes, documents, lookup, order, purchase, state, tax, taxids, validation
+from ..operators import bills, changes, doctypes, documents, lookup, order, purchase, registry, state, tax, taxids, validation
 from ..sources.files import scan, table
 from .proxies import LINE_ORDER, LINES_SQL, headers, lines
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
+from .registered import doubles, query
 
 #: Header sums and modes for the oracle; whole numbers of ten-thousandths keep sums exact.
 HEADERS_SQL = f"""with {LINES_SQL}, sums as (
@@ -41,28 +36,6 @@ HEADERS_SQL = f"""with {LINES_SQL}, sums as (
 )"""
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _doubles(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast("double") for n in names})
-
-
 # Taxes and totals
 
 
@@ -73,7 +46,7 @@ from (select m.*, cast(round(case when mode = 'header' and coalesce(sub, 0) > 0
   cast(case when mode = 'line' then round(e, 2) else coalesce(a, hv, 0) end as decimal(18,2)) as tv
   from m left join (select invoice, sum(amount) as a from split group by 1) x on m.invoice = x.invoice) m""")
 def invoice_totals(spark: SparkSession, d: str) -> DataFrame:
-    return _doubles(tax.totals(lines(spark, d), headers(spark, d)), "base", "vat", "total", "total_stated")
+    return doubles(tax.totals(lines(spark, d), headers(spark, d)), "base", "vat", "total", "total_stated")
 
 
 @query("tax_mode_counts", HEADERS_SQL + " select mode, count(*) as invoices from m group by mode")
@@ -83,7 +56,7 @@ def tax_mode_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("vat_breakdown_by_rate", HEADERS_SQL + " select invoice, cast(pct as double) as pct, cast(amount as double) as amount from split")
 def vat_breakdown_by_rate(spark: SparkSession, d: str) -> DataFrame:
-    return _doubles(tax.breakdown(lines(spark, d), headers(spark, d)), "pct", "amount")
+    return doubles(tax.breakdown(lines(spark, d), headers(spark, d)), "pct", "amount")
 
 
 @query("inflated_amount_repair", f"""with {LINES_SQL}, h as (select invoice, cast(round(max(price), 2) as decimal(18,2)) as sub from lines group by 1)
@@ -93,17 +66,18 @@ from (select l.*, sub, cast(sub * 1.001 + 0.02 as decimal(24,6)) as cap from lin
 def inflated_amount_repair(spark: SparkSession, d: str) -> DataFrame:
     li = lines(spark, d)
     made = tax.repair_inflated(li, li.groupBy("invoice").agg(F.max("price").cast("decimal(18,2)").alias("subtotal")))
-    return _doubles(made.select("invoice", "pos", "new_qty", "new_price"), "new_qty", "new_price")
+    return doubles(made.select("invoice", "pos", "new_qty", "new_price"), "new_qty", "new_price")
 
 
-@query("invoice_collapse", f"with {LINES_SQL} select invoice, 1 as qty, cast(sum(base) as double) as price, count(*) as collapsed from amounts group by invoice")
+@query("invoice_collapse", f"""with {LINES_SQL}, s as (select invoice, sum(base) as b, count(*) as n from amounts group by invoice having count(*) > 1)
+select invoice, 1 as qty, cast(case when invoice % 5 <> 0 then round(b, 2) else b end as double) as price, n as lines from s""")
 def invoice_collapse(spark: SparkSession, d: str) -> DataFrame:
-    made = tax.line_amounts(lines(spark, d)).groupBy("invoice").agg(F.lit(1).alias("qty"), F.sum("base").cast("double").alias("price"), F.count("*").alias("collapsed"))
-    return made
+    return doubles(tax.collapsed(lines(spark, d), headers(spark, d)), "price")
 
 
-@query("qty_price_derivation", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(case when l_linenumber % 3 = 2 then 1 else l_quantity end as double) as qty,
-  case when l_linenumber % 3 <> 1 then l_extendedprice else (2 * 10000 * cast(round(l_extendedprice * 100) as bigint) + cast(l_quantity as bigint)) // (2 * cast(l_quantity as bigint)) / 1000000.0 end as price from lineitem""")
+@query("qty_price_derivation", """with c as (select *, cast(round(l_extendedprice * 100) as bigint) as cents, cast(l_quantity as bigint) as q from lineitem)
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(case when l_linenumber % 3 = 2 then 1 else l_quantity end as double) as qty,
+  case when l_linenumber % 3 <> 1 then l_extendedprice else (2 * cents + q) // (2 * q) / 100.0 end as price from c""")
 def qty_price_derivation(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
     k = F.col("l_linenumber") % 3
@@ -114,11 +88,11 @@ def qty_price_derivation(spark: SparkSession, d: str) -> DataFrame:
 
 # Numbers, dates and texts
 
-_STYLES = """case l_orderkey % 3 when 0 then {v} when 1 then replace({v}, '.', ',')
-  else concat(cast(floor(l_extendedprice / 1000) as bigint), '.', lpad(cast(cast(floor(l_extendedprice) as bigint) % 1000 as string), 3, '0'), ',', substring({v}, length({v}) - 1, 2)) end"""
+_STYLES = """case l_orderkey % 5 when 0 then {v} when 1 then replace({v}, '.', ',') when 3 then concat(cast(floor(l_extendedprice) as bigint), '.7,', substring({v}, length({v}) - 1, 2))
+  when 4 then concat('$ ', {v}) else concat(cast(floor(l_extendedprice / 1000) as bigint), '.', lpad(cast(cast(floor(l_extendedprice) as bigint) % 1000 as string), 3, '0'), ',', substring({v}, length({v}) - 1, 2)) end"""
 
 
-@query("amount_parse_loose", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice as amount from lineitem")
+@query("amount_parse_loose", "select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_orderkey % 5 <> 4 then l_extendedprice end as amount from lineitem")
 def amount_parse_loose(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "lineitem")
     shown = F.expr(_STYLES.format(v="cast(cast(l_extendedprice as decimal(12,2)) as string)"))
@@ -181,10 +155,13 @@ def qty_um_from_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", qty.alias("qty"), unit.alias("unit"))
 
 
-@query("ocr_repair", "select p_partkey, upper(p_name) as name from part")
+#: A name with a slash before its third word and an accented one behind; one letter of each word may be read as a number.
+@query("ocr_repair", """select p_partkey, upper(split_part(p_name, ' ', 1)) || ' ' || upper(split_part(p_name, ' ', 2)) || '/' || upper(split_part(p_name, ' ', 3)) || '-CAFÉO' as name from part""")
 def ocr_repair(spark: SparkSession, d: str) -> DataFrame:
-    spoiled = F.array_join(F.transform(F.split(F.upper("p_name"), " "), lambda w: F.when((F.length(w) >= 4) & w.rlike("^[A-Z]+$"), F.regexp_replace(w, "^([^O]*)O([^O]*)$", "$10$2")).otherwise(w)), " ")
-    return table(spark, d, "part").select("p_partkey", text.repair_scan(spoiled).alias("name"))
+    words = [F.upper(F.coalesce(F.get(F.split("p_name", " "), F.lit(k)), F.lit(""))) for k in range(3)]
+    spoilt = [F.when((F.length(w) >= 4) & w.rlike("^[A-Z]+$"), F.regexp_replace(w, "^([^O]*)O([^O]*)$", "$10$2")).otherwise(w) for w in words]
+    shown = F.concat(spoilt[0], F.lit(" "), spoilt[1], F.lit("/"), spoilt[2], F.lit("-café0"))
+    return table(spark, d, "part").select("p_partkey", text.repair_scan(shown).alias("name"))
 
 
 @query("desc_tokens", "select p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(upper(p_name || '/' || p_type), '[\\s/\\-]+'), lambda w: length(w) >= 3))), ' ') as tokens from part")
@@ -280,7 +257,7 @@ select key, id, score from s where score >= 65 qualify row_number() over (partit
 def fuzzy_top1(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
     probe = n.select(F.col("n_nationkey").alias("key"), F.concat("n_name", F.lit("x")).alias("name"))
-    return lookup.best_match(probe, "key", "name", n, "n_nationkey", "n_name", 65.0, block=0)
+    return lookup.best_match(probe, "key", "name", n, "n_nationkey", "n_name", 65.0)
 
 
 @query("partner_hierarchy", "select c_custkey, r_name as head from customer join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey")
@@ -309,7 +286,7 @@ def _processes(spark: SparkSession, d: str) -> DataFrame:
 @query("process_json_lines", f"""with {LINES_SQL} select o_orderkey as process, 0 as invoice, cast(coalesce(pos, 0) as integer) as line, cast(o_orderkey as varchar) as number, cast(o_custkey as varchar) as cuit, l_returnflag as description,
   cast(qty as varchar) as quantity, cast(price as varchar) as price from orders left join lines on lines.invoice = o_orderkey where {_USED}""")
 def process_json_lines(spark: SparkSession, d: str) -> DataFrame:
-    return documents.lines(_processes(spark, d))
+    return documents.lines(_processes(spark, d)).select("process", "invoice", "line", "number", "cuit", "description", "quantity", "price")
 
 
 @query("json_rejects", "select o_orderkey as process, case when o_orderkey % 20 = 3 then 'blank' else 'not an object' end as reason from orders where o_orderkey % 10 = 3")
@@ -380,13 +357,13 @@ def tax_line_diff(spark: SparkSession, d: str) -> DataFrame:
     li = tax.line_amounts(lines(spark, d))
     want = li.groupBy("invoice", "pct").agg(F.sum("base").alias("amount"))
     have = li.groupBy("invoice", "pct").agg(F.sum(F.when(F.col("pos") == 0, F.col("base") - 1).otherwise(F.col("base"))).alias("amount"))
-    return _doubles(changes.differing(want, have, ["invoice", "pct"], "amount", "0.02"), "pct", "amount", "present")
+    return doubles(changes.differing(want, have, ["invoice", "pct"], "amount", "0.02"), "pct", "amount", "present")
 
 
 @query("missing_tax_lines", f"with {LINES_SQL} select distinct invoice, cast(pct as double) as pct from lines where (invoice, pct) not in (select (invoice, pct) from lines where pos < 2)")
 def missing_tax_lines(spark: SparkSession, d: str) -> DataFrame:
     li = lines(spark, d)
-    return _doubles(changes.missing(li.select("invoice", "pct").distinct(), li.where("pos < 2"), ["invoice", "pct"]), "pct")
+    return doubles(changes.missing(li.select("invoice", "pct").distinct(), li.where("pos < 2"), ["invoice", "pct"]), "pct")
 
 
 @query("anti_repair", "select o_orderkey, case when c_custkey is not null then o_custkey end as partner, c_custkey is null as cleared from orders left join (select c_custkey from customer where c_acctbal > 0) on c_custkey = o_custkey")
@@ -416,17 +393,21 @@ def merge_changes(spark: SparkSession, d: str) -> DataFrame:
     return changes.merged(a, b, "o_orderkey", ["price", "partner"])
 
 
-@query("origin_concat", f"with {LINES_SQL}, d as (select invoice, l_returnflag as f, min(pos) as p from lines group by 1, 2) select invoice, string_agg(f, ', ' order by p) as origin from d group by invoice")
+@query("origin_concat", f"with {LINES_SQL}, d as (select invoice, l_returnflag as f, min(pos) as p from lines where qty > 2 group by 1, 2), c as (select distinct invoice from lines where invoice % 9 = 4) select l.invoice, coalesce(max(case when c.invoice is not null then 'P' || c.invoice end), string_agg(f, ', ' order by p), '') as origin from (select distinct invoice from lines) l left join d on d.invoice = l.invoice left join c on c.invoice = l.invoice group by l.invoice")
 def origin_concat(spark: SparkSession, d: str) -> DataFrame:
-    seen = F.transform(F.array_sort(F.collect_list(F.struct("pos", "l_returnflag"))), lambda x: x["l_returnflag"])
-    return lines(spark, d).groupBy("invoice").agg(F.array_join(F.array_distinct(seen), ", ").alias("origin"))
+    named = F.when((F.col("invoice") % 9 == 4) & (F.col("pos") == 0), F.concat(F.lit("P"), F.col("invoice").cast("string"))).otherwise("")
+    return bills.origins(lines(spark, d).select("invoice", "pos", named.alias("chosen"), F.col("l_returnflag").alias("order_name"), (F.col("qty") > 2).alias("is_content")))
 
 
-@query("row_violations", f"with {LINES_SQL} select invoice, arg_min(e, pos) as error from (select invoice, pos, case when pct = 0 then 'no rate' when qty > 49 then 'quantity' when vat is not null then 'explicit tax' end as e from lines) where e is not null group by invoice")
+@query("row_violations", """select o_orderkey as invoice, case when o_orderkey % 7 = 0 then 'no partner' when o_orderkey % 11 = 0 then 'no journal' when o_orderkey % 13 = 0 then 'no number' when o_orderkey % 5 = 4 then 'no date' when n is null then 'no lines' when bad is not null then 'no account' end as error, case when o_orderkey % 7 > 0 and o_orderkey % 11 > 0 and o_orderkey % 13 > 0 and o_orderkey % 5 <> 4 and n is not null then bad end as line
+from orders left join (select l_orderkey, count(*) as n, min(case when l_returnflag = 'A' then r end) as bad from (select *, row_number() over (partition by l_orderkey order by """ + ", ".join(LINE_ORDER) + """) as r from lineitem) group by 1) on l_orderkey = o_orderkey
+where o_orderkey % 7 = 0 or o_orderkey % 11 = 0 or o_orderkey % 13 = 0 or o_orderkey % 5 = 4 or n is null or bad is not null""")
 def row_violations(spark: SparkSession, d: str) -> DataFrame:
-    rules = [("no rate", F.col("pct") == 0), ("quantity", F.col("qty") > 49), ("explicit tax", F.col("vat").isNotNull())]
-    found = lines(spark, d).withColumn("error", F.coalesce(*[F.when(bad, name) for name, bad in rules])).where("error is not null")
-    return found.groupBy("invoice").agg(F.min_by("error", "pos").alias("error"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("invoice"))
+    li = lines(spark, d).select("invoice", "pos", F.when(F.col("l_returnflag") != "A", 1).alias("account"))
+    k = F.col("invoice")
+    h = o.withColumns({"partner": F.when(k % 7 > 0, 1), "journal": F.when(k % 11 > 0, 1), "number": F.when(k % 13 > 0, "1-1").otherwise(" "), "date": F.when(k % 5 == 4, "31/02/2020").otherwise("1/2/2020")})
+    return validation.import_errors(h, li)
 
 
 # State
@@ -470,9 +451,10 @@ def autosave_sessions(spark: SparkSession, d: str) -> DataFrame:
 # Catalogues
 
 
-@query("catalog_clean", "select distinct p_name as name, p_brand as brand from part where trim(p_name) <> ''")
+@query("catalog_clean", "select min(p_partkey) as id, p_name as name, p_brand as brand, upper(p_name) as sort_key from part where trim(p_name) <> '' group by p_name, p_brand")
 def catalog_clean(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")).where("trim(name) <> ''").distinct()
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"))
+    return registry.cleaned(p, ["name", "brand"], "name", ["id"])
 
 
 @query("option_search", "select p_partkey, p_name from part where lower(p_name) like '%a%' order by p_partkey limit 50")
@@ -506,7 +488,7 @@ _SLOTS_SQL = """slots as (select o_orderkey as invoice, 1 as slot, 'P. IIBB CABA
 
 @query("other_tax_slots", f"with {_SLOTS_SQL} select invoice, slot, label, cast(amount as double) as amount from slots")
 def other_tax_slots(spark: SparkSession, d: str) -> DataFrame:
-    return _doubles(_slots(spark, d), "amount")
+    return doubles(_slots(spark, d), "amount")
 
 
 @query("used_slots", f"with {_SLOTS_SQL} select slot, count(*) as invoices, cast(sum(amount) as double) as amount from slots group by slot")
@@ -520,7 +502,7 @@ select invoice, tax_id, cast(sum(amount) as double) as amount from u group by 1,
 def expected_tax_by_id(spark: SparkSession, d: str) -> DataFrame:
     rates = spark.createDataFrame([("10.5", 62), ("21", 63), ("27", 65)], "pct string, tax_id int").withColumn("pct", F.col("pct").cast("decimal(6,2)"))
     labels = spark.createDataFrame([("P. IIBB CABA", 70), ("P. IVA", 63)], "label string, tax_id int")
-    return _doubles(tax.expected_by_id(lines(spark, d), headers(spark, d), _slots(spark, d), rates, labels), "amount")
+    return doubles(tax.expected_by_id(lines(spark, d), headers(spark, d), _slots(spark, d), rates, labels), "amount")
 
 
 @query("tax_id_list", "select o_orderkey, case when o_orderkey % 3 = 0 then '63,70' when o_orderkey % 3 = 1 then '62,63,70' else '63,62,70' end as ids from orders")
@@ -600,7 +582,7 @@ select invoice, cast(pct as double) as pct, cast(amount as double) as amount fro
   union all select invoice, case when n = 1 then opct else 21 end, hv from pick where how = 'header'
   union all select pick.invoice, own.pct, round(own.s, 2) from pick join own on own.invoice = pick.invoice where how = 'own' and own.pct is not null)""")
 def effective_tax_map(spark: SparkSession, d: str) -> DataFrame:
-    return _doubles(tax.effective_map(*_stated(spark, d)), "pct", "amount")
+    return doubles(tax.effective_map(*_stated(spark, d)), "pct", "amount")
 
 
 @query("footer_reconciled", HEADERS_SQL + _STATED_SQL + """, did as (select *, case when zero then 'clear' when fixed then 'keep' when (by_hand or mode = 'line') and n > 0 then 'lines' else 'keep' end as action from f)
@@ -609,7 +591,7 @@ def footer_reconciled(spark: SparkSession, d: str) -> DataFrame:
     li, h, stated = _stated(spark, d)
     li = li.withColumn("manual", (F.col("l_returnflag") == "A") & (F.col("pos") == 0))
     made = tax.reconciled(li, h, stated)
-    return _doubles(made.select("invoice", "action", "vat", F.size("rates").alias("rates")), "vat")
+    return doubles(made.select("invoice", "action", "vat", F.size("rates").alias("rates")), "vat")
 
 
 # Kinds of invoices and tax ids of tenants
@@ -678,7 +660,7 @@ _UNIT = "case l_linenumber % 5 when 0 then 'Kilos' when 1 then 'grs' when 2 then
 def unit_notes(spark: SparkSession, d: str) -> DataFrame:
     units = spark.createDataFrame([("kg", 1, "weight"), ("g", 1000, "weight"), ("L", 1, "volume"), ("Units", 1, "unit")], "unit string, factor long, category string").withColumn("factor", F.col("factor").cast("decimal(12,4)"))
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("decimal(12,2)").alias("qty"), F.expr(_UNIT).alias("unit"), F.lit("kg").alias("order_unit"))
-    return _doubles(purchase.scaled(li, units).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "note", "scaled", "factor"), "scaled", "factor")
+    return doubles(purchase.scaled(li, units).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "note", "scaled", "factor"), "scaled", "factor")
 
 
 @query("billed_quantity", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_linenumber % 4 when 0 then l_quantity when 1 then l_quantity + 1 when 2 then l_quantity when 3 then 500.0 end as qty from lineitem""")
@@ -712,7 +694,7 @@ def fuzzy_words_top1(spark: SparkSession, d: str) -> DataFrame:
     """Customers' segments and nations as typed, reversed, against a registry of nations."""
     n = table(spark, d, "nation")
     typed = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("key"), F.concat_ws(" ", "n_name", "c_mktsegment").alias("name"))
-    return lookup.best_match(typed, "key", "name", n, "n_nationkey", "n_name", 72.0, block=0, score=similar.name_score)
+    return lookup.best_match(typed, "key", "name", n, "n_nationkey", "n_name", 72.0, score=similar.name_score)
 
 
 # Checks before sending

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -14,6 +15,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to spark.checkpoint.dir and read again, so that plans of many rounds do not grow; survives lost executors.
+
+    Only a local session without such a folder gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def condition(field: str, operator: str, value: object) -> Column:
     """One of =, !=, in, not in, >, <, like (contained, case aside); a null field satisfies != and not in."""
     c = F.col(field)
@@ -29,10 +44,22 @@ def condition(field: str, operator: str, value: object) -> Column:
     return made[operator]()
 
 
-def scan(df: DataFrame, domain: Sequence[tuple[str, str, object]], fields: Sequence[str]) -> DataFrame:
-    """The fields of the rows that satisfy all conditions; filters and pruning reach the files."""
+def scan(df: DataFrame, domain: Sequence[tuple[str, str, object]], fields: Sequence[str], order: Sequence[str | Column] = (), limit: int | None = None) -> DataFrame:
+    """The fields of the rows that satisfy all conditions; filters and pruning reach the files.
+
+    With a limit the first rows in order, which must leave no ties.
+    """
     where = reduce(and_, [condition(*d) for d in domain], F.lit(True))
-    return df.where(where).select(*fields)
+    found = df.where(where)
+    if order:
+        found = found.orderBy(*order)
+    return (found if limit is None else found.limit(limit)).select(*fields)
+
+
+def point(df: DataFrame, keys: dict[str, object], order: Sequence[str | Column]) -> DataFrame:
+    """The one row with the given values of some columns, the first in order; no row without one. A value of None is no condition."""
+    given = [(k, "=", v) for k, v in keys.items() if v is not None]
+    return scan(df, given, df.columns, order, 1)
 
 
 def named_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
@@ -41,6 +68,18 @@ def named_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
     return next((have[c.lower()] for c in candidates if c.lower() in have), None)
 
 
-def write_csv(df: DataFrame, path: str, names: dict[str, str] | None = None) -> None:
-    """CSV files with a header, quotes doubled, columns renamed."""
-    df.withColumnsRenamed(names or {}).write.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+def slot_columns(slots: DataFrame, key: Sequence[str], used: Sequence[int], naming: Callable[[int, bool], str]) -> DataFrame:
+    """key and two columns, label and amount, for each used slot (slots: key, slot, label, amount), by number."""
+    columns = []
+    for n in sorted(used):
+        for what, amount in (("label", False), ("amount", True)):
+            columns.append(F.first(F.when(F.col("slot") == n, F.col(what)), ignorenulls=True).alias(naming(n, amount)))
+    return slots.groupBy(*key).agg(*columns)
+
+
+def write_csv(df: DataFrame, path: str, names: dict[str, str] | None = None, mark: bool = False) -> None:
+    """CSV files with a header, quotes doubled, columns renamed; with mark each file begins with a byte order mark."""
+    named = df.withColumnsRenamed(names or {})
+    if mark and named.columns:
+        named = named.withColumnRenamed(named.columns[0], "\ufeff" + named.columns[0])
+    named.write.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)

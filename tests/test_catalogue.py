@@ -8,7 +8,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import catalogue
+from ledgerloom import plans
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -25,12 +25,12 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_equals_sql(spark, con, name):
-    df = catalogue.queries()[name](spark, FOLDER)
+    df = plans.queries()[name](spark, FOLDER)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    cur = con.execute(catalogue.oracle_sql()[name])
+    cur = con.execute(plans.oracle_sql()[name])
     names = [x[0] for x in cur.description]
     assert sorted(names) == cols
     want = sorted((tuple(plain(r[names.index(c)]) for c in cols) for r in cur.fetchall()), key=repr)
@@ -39,4 +39,4 @@ def test_equals_sql(spark, con, name):
 
 def test_every_query_has_sql():
     """All but those that need a longest common subsequence, which DuckDB lacks: test_similar holds them to brute force."""
-    assert catalogue.queries().keys() - catalogue.oracle_sql().keys() == {"po_line_match", "fuzzy_words_top1"}
+    assert plans.queries().keys() - plans.oracle_sql().keys() == {"po_line_match", "fuzzy_words_top1"}

@@ -37,9 +37,11 @@ def test_tax_ids(spark):
 def test_heads(spark):
     rows = [(i, i - 1) for i in range(1, 40)] + [(0, None), (50, 51), (51, 50), (60, 999), (70, 70)]
     nodes = spark.createDataFrame(rows, "id long, up long")
-    got = {r["id"]: r["head"] for r in lookup.heads(nodes, "id", "up", rounds=6).collect()}
+    got = {r["id"]: r["head"] for r in lookup.heads(nodes, "id", "up").collect()}
     assert got == {**dict.fromkeys(range(40), 0), 50: None, 51: None, 60: 60, 70: None}
-    assert lookup.heads(nodes, "id", "up", rounds=2).where("id = 39").first()["head"] is None
+    chain = spark.range(1001).selectExpr("id", "if(id > 0, id - 1, null) as up")
+    assert lookup.heads(chain, "id", "up").where("head = 0").count() == 1001
+    assert {r["id"] for r in lookup.below(nodes, "id", "up", spark.createDataFrame([(37,), (50,)], "r long"), "r").collect()} == {37, 38, 39, 50, 51}
 
 
 def test_quantities_and_units(spark):

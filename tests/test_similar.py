@@ -8,7 +8,7 @@ from functools import cache
 import pytest
 
 from ledgerloom.functions import similar
-from ledgerloom.plans import catalogue
+from ledgerloom import plans
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -49,7 +49,7 @@ def test_scores(f, a, b, want):
 
 
 def test_registry_match_equals_brute_force(spark):
-    got = {r["key"]: (r["id"], r["score"]) for r in catalogue.queries()["fuzzy_words_top1"](spark, FOLDER).collect()}
+    got = {r["key"]: (r["id"], r["score"]) for r in plans.queries()["fuzzy_words_top1"](spark, FOLDER).collect()}
     n = spark.read.parquet(f"{FOLDER}/nation.parquet").collect()
     names = {r["n_nationkey"]: r["n_name"].upper() for r in n}
     want = {}
@@ -76,7 +76,7 @@ def test_line_fit(spark):
 
 
 def test_every_line_takes_one_order_line_of_its_partner(spark):
-    rows = catalogue.queries()["po_line_match"](spark, FOLDER).collect()
+    rows = plans.queries()["po_line_match"](spark, FOLDER).collect()
     partner = {r["o_orderkey"]: r["o_custkey"] for r in spark.read.parquet(f"{FOLDER}/orders.parquet").collect()}
     assert rows and len({(r["invoice"], r["line"]) for r in rows}) == len(rows)
     assert all(partner[r["invoice"]] == partner[r["order"]] and r["score"] >= 70 for r in rows)
