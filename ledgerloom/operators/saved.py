@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similar, text
+from ..sources.files import cut
 from . import lookup
 from .order import first_per_key, numbered
 
@@ -83,9 +84,10 @@ def remapped(headers: DataFrame, partners: DataFrame, registry: DataFrame, lists
     """partner, changed and the fields of lists of each saved invoice in another tenant's catalogue.
 
     headers: invoice, name, cuit, partner and a column per list; partners: id, name, cuit; registry: name, cuit and a name
-    per list (what the supplier's bills have); lists: id, name for each field. The partner is found by tax id, then by the
-    most similar name. A field is found by the registry's name where it has one or where the saved id is unknown; what is
-    not found stays, as does an invoice without name and tax id. changed says that the partner is another one.
+    per list (what the supplier's bills have); lists: id, name for each field, an account's name with its code. The
+    partner is found by tax id, then by the most similar name. A field is found by the registry's name for the supplier,
+    equal or similar; what is not found stays, as does an invoice without name and tax id. changed says that the partner
+    is another one.
     """
     p = partners.select(F.col("id").alias("__id"), text.digits(F.col("cuit")).alias("__d"), F.col("name").alias("__n"))
     by_doc = first_per_key(p.where("__d <> ''"), ["__d"], ["__id"]).select("__d", F.col("__id").alias("__by_doc"))
@@ -96,9 +98,20 @@ def remapped(headers: DataFrame, partners: DataFrame, registry: DataFrame, lists
     h = h.withColumn("changed", named & F.col("__new").isNotNull() & ~F.col("__new").eqNullSafe(F.col("partner"))).withColumn("partner", F.when(named, F.coalesce("__new", "partner")).otherwise(F.col("partner")))
     facts = first_per_key(registry.withColumn("__rd", text.digits(F.col("cuit"))).where("__rd <> ''"), ["__rd"], ["name"])
     h = h.join(facts.select(F.col("__rd").alias("__d"), *[F.col(c).alias(f"__{c}") for c in lists]), "__d", "left")
+    h = cut(h)
     for c, options in lists.items():
-        have = options.select(F.col("id").alias("__h")).distinct()
-        to = first_per_key(options.select(text.label_key(F.col("name")).alias("__k"), F.col("id").alias("__to")).where("__k <> ''"), ["__k"], ["__to"])
-        h = h.join(have, F.col(c) == F.col("__h"), "left").join(to, text.label_key(F.col(f"__{c}")) == F.col("__k"), "left")
-        h = h.withColumn(c, F.when(named, F.coalesce("__to", c)).otherwise(F.col(c))).drop("__h", "__k", "__to", f"__{c}")
+        to = lookup.by_name(h.select("invoice", f"__{c}").where(f"`__{c}` is not null"), "invoice", f"__{c}", options, fuzzy, score=score).select("invoice", F.col("id").alias("__to"))
+        h = h.join(to, "invoice", "left").withColumn(c, F.when(named, F.coalesce("__to", c)).otherwise(F.col(c))).drop("__to", f"__{c}")
     return h.drop("__d", "__by_doc", "__by_name", "__new")
+
+
+def with_headers(rows: DataFrame, headers: DataFrame, fields: list[str], cleared: list[str]) -> DataFrame:
+    """Rows with the partner of their remapped header on each, its fields on the first row, and cleared columns emptied where the partner changed.
+
+    rows: invoice, pos, partner, fields and cleared; headers: as remapped gives them.
+    """
+    new = headers.select("invoice", F.col("partner").alias("__p"), "changed", *[F.col(c).alias(f"__{c}") for c in fields])
+    first = numbered(rows, ["invoice"], ["pos"], "__n").join(new, "invoice", "left")
+    made = first.withColumns({c: F.when(F.col("__n") == 0, F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in fields})
+    made = made.withColumns({c: F.when(~F.coalesce("changed", F.lit(False)), F.col(c)) for c in cleared})
+    return made.withColumn("partner", F.coalesce("__p", "partner")).drop("__n", "__p", "changed", *[f"__{c}" for c in fields])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
@@ -16,17 +17,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir and read again, so that plans of many rounds do not grow; survives lost executors.
+    """df, written to a table in spark.checkpoint.dir and read again, so that plans of many rounds do not grow.
 
-    Only a local session without such a folder gets a temporary one.
+    Survives lost executors; the table goes when the session ends. Only a local session without such a folder gets a
+    temporary one.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+        folder = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(folder)
+        folder = context.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def condition(field: str, operator: str, value: object) -> Column:
