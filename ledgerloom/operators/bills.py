@@ -37,6 +37,16 @@ def content(name: Column, price: Column, qty: Column) -> Column:
     return (text.normalize(name) != "") | price.isNotNull() | qty.isNotNull()
 
 
+def content_for_orders(header_only: Column, name: Column, qty: Column) -> Column:
+    """Whether a line is matched against orders: a name or a quantity, and not a header alone."""
+    return ~F.coalesce(header_only, F.lit(False)) & ((text.normalize(name) != "") | qty.isNotNull())
+
+
+def content_on_screen(name: Column, price: Column, qty: Column) -> Column:
+    """Whether a screen counts a line: a name, or a price or quantity other than 0."""
+    return (text.normalize(name) != "") | (F.coalesce(price, F.lit(0)) != 0) | (F.coalesce(qty, F.lit(0)) != 0)
+
+
 def line_values(rows: DataFrame) -> DataFrame:
     """Adds the values to write: name, quantity, price, product_id, unit_id (only with a product) and account_id.
 

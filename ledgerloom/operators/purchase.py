@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,8 +12,10 @@ from .lookup import similarity
 from .order import first_per_key, numbered
 
 
-def recent_lines(orders: DataFrame, lines: DataFrame, keep: int = 12) -> DataFrame:
-    """Lines of the latest `keep` orders of each partner (orders: order, partner, date)."""
+def recent_lines(orders: DataFrame, lines: DataFrame, keep: int = 12, states: Sequence[str] | None = None) -> DataFrame:
+    """Lines of the latest `keep` orders of each partner (orders: order, partner, date; and state, if only some states count)."""
+    if states is not None:
+        orders = orders.where(F.col("state").isin(*states)).drop("state")
     return numbered(orders, ["partner"], [F.desc("date"), F.desc("order")], "nth").where(F.col("nth") < keep).drop("nth").join(lines, "order")
 
 
@@ -133,6 +135,29 @@ def scaled(lines: DataFrame, units: DataFrame) -> DataFrame:
     return made.withColumn("factor", F.when(F.col("qty").isNotNull(), factor).cast("decimal(20,6)")).drop("__u", "__a", "__af", "__ac", "__b", "__bf", "__bc")
 
 
+def product_units(lines: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds unit_id: the unit an invoice's spelling means among those of its product's category, else the product's own unit.
+
+    lines: row, unit (as spelt), product_unit (an id, may be null); units: id, name, category. Without a product's unit, or
+    with one that is unknown, the spelling decides alone; the first unit by id wins.
+    """
+    u = units.select("id", text.unit(F.col("name")).alias("__k"), "category").where("__k <> ''")
+    own = units.select(F.col("id").alias("product_unit"), F.col("category").alias("__pc"), F.lit(True).alias("__known"))
+    spelt = lines.withColumn("__u", text.unit(F.col("unit"))).join(own, "product_unit", "left")
+    anywhere = first_per_key(u, ["__k"], ["id"]).select(F.col("__k").alias("__u"), F.col("id").alias("__any"), F.col("category").alias("__ac"))
+    inside = first_per_key(u, ["__k", "category"], ["id"]).select(F.col("__k").alias("__u"), F.col("category").alias("__pc"), F.col("id").alias("__in"))
+    j = spelt.join(anywhere, "__u", "left").join(inside, ["__u", "__pc"], "left")
+    direct = F.when(F.col("__pc").isNull() | (F.col("__ac") == F.col("__pc")), F.col("__any"))
+    found = F.when(F.col("__known").isNull(), F.col("__any")).otherwise(F.coalesce(direct, "__in", "product_unit"))
+    return j.withColumn("unit_id", found).drop("__u", "__pc", "__known", "__any", "__ac", "__in")
+
+
+def with_purchase_data(rows: DataFrame) -> DataFrame:
+    """invoice, has: whether any row of an invoice has an order's name, line or candidate (rows: invoice, order_name, po_line, candidates)."""
+    some = (text.normalize(F.col("order_name")) != "") | F.col("po_line").isNotNull() | (F.coalesce("candidates", F.lit(0)) > 0)
+    return rows.groupBy("invoice").agg(F.bool_or(some).alias("has"))
+
+
 def line_fit(code: Column, description: Column, qty: Column, name: Column, ordered: Column) -> Column:
     """0 to 100: how well an order's line fits an invoice's line: by its code, else its words, else its letters and quantity.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import documents, lookup, order, registry, saved, tax
+from ..operators import bills, documents, lookup, order, purchase, registry, saved, screen, tax
 from ..sources.files import point, scan, slot_columns, table
 from .catalogue import _SLOTS_SQL, _slots
 from .proxies import LINES_SQL, lines
@@ -344,3 +344,56 @@ def csv_slots(spark: SparkSession, d: str) -> DataFrame:
     s = _slots(spark, d)
     naming = lambda n, amount: "otros_impuestos" + (f"_{n}" if n > 1 else "") + ("_monto" if amount else "")
     return slot_columns(doubles(s, "amount"), ["invoice"], [r["slot"] for r in tax.used_slots(s).collect()], naming)  # 20 slots at most
+
+
+# Screens
+
+
+@query("screen_columns", """select * from (values (0, 'l10n_latam_document_number', 'text', null, false, true, 'l10n_latam_document_number'), (1, 'CUIT', 'text', null, true, false, 'CUIT'), (2, 'partner_id', 'selection', 'proveedores', false, false, 'partner_id/.id'),
+  (3, 'l10n_latam_document_type_id', 'selection', 'document_types', false, false, 'l10n_latam_document_type_id/.id'), (4, 'invoice_date', 'text', null, false, true, 'invoice_date'), (5, 'invoice_date_due', 'text', null, false, true, 'invoice_date_due'), (6, 'invoice_line_ids/name', 'text', null, false, true, 'invoice_line_ids/name'),
+  (7, 'invoice_line_ids/product_id', 'selection', 'productos', false, false, 'invoice_line_ids/product_id/.id'), (8, 'journal_id', 'selection', 'journals', false, false, 'journal_id/.id'), (9, 'invoice_line_ids/account_id', 'selection', 'cuentas', false, false, 'invoice_line_ids/account_id/.id'),
+  (10, 'invoice_line_ids/quantity', 'numeric', null, false, false, 'invoice_line_ids/quantity'), (11, 'invoice_line_ids/price_unit', 'numeric', null, false, false, 'invoice_line_ids/price_unit'), (12, 'iva_monto', 'numeric', null, false, false, 'iva_monto'), (13, 'iva_pct', 'selection', 'iva_options', false, false, 'iva_pct'),
+  (14, 'otros_impuestos_monto', 'numeric', null, false, false, 'otros_impuestos_monto'), (15, 'otros_impuestos', 'selection', 'otros_impuestos_options', false, false, null), (16, '__qty_pedido', 'numeric', null, true, false, null), (17, '__qty_recibido', 'numeric', null, true, false, null),
+  (18, '__um_proveedor', 'text', null, true, false, null), (19, '__um_empresa', 'text', null, true, false, null), (20, '__oc_match_note', 'text', null, true, false, null)) t(nth, key, type, options, readonly, editable, file_name)""")
+def screen_columns(spark: SparkSession, d: str) -> DataFrame:
+    return screen.columns(spark, with_category=False).drop("label")
+
+
+@query("columns_by_mode", """select o_orderkey as invoice, key from orders, (values ('CUIT'), ('iva_monto'), ('__subtotal'), ('otros_impuestos_monto'), ('otros_impuestos_3_monto'), ('otros_impuestos_3')) t(key)
+where key in ('CUIT', 'otros_impuestos_3') or (key = 'iva_monto' and (o_orderkey % 3 = 0 or o_orderkey % 2 = 0)) or (key not in ('CUIT', 'iva_monto', 'otros_impuestos_3') and o_orderkey % 2 = 0)""")
+def columns_by_mode(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    modes = table(spark, d, "orders").select(k.alias("invoice"), F.when(k % 3 == 0, "line").when(k % 3 == 1, "header").otherwise("mixed").alias("mode"), (k % 2 == 0).alias("header_only"))
+    keys = spark.createDataFrame([(c,) for c in ("CUIT", "iva_monto", "__subtotal", "otros_impuestos_monto", "otros_impuestos_3_monto", "otros_impuestos_3")], "key string")
+    return screen.shown(keys, modes)
+
+
+@query("tax_names", """select o_orderkey, array_to_string(list_filter([case o_orderkey % 5 when 0 then 'IVA 10.5%' when 1 then 'IVA Exento' when 2 then 'IVA 21%' end, case when o_orderkey % 2 = 0 then 'P. IIBB' end, case when o_orderkey % 3 = 0 then 'P. IVA' end], lambda x: x is not null), ';') as names from orders""")
+def tax_names(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    label = F.when(k % 5 == 0, "10,5").when(k % 5 == 1, "IVA Exento").when(k % 5 == 2, "21").when(k % 5 == 3, "0").otherwise("")
+    others = F.array(F.when(k % 2 == 0, "P. IIBB").otherwise(""), F.when(k % 3 == 0, "P. IVA"), F.when(k % 2 == 0, "P. IIBB"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(screen.tax_names(label, others, bills.ZERO_LABELS), ";").alias("names"))
+
+
+@query("content_rules", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 4 > 0 as for_tax, l_linenumber % 3 > 0 and l_linenumber % 4 in (1, 3) as for_orders, l_linenumber % 4 in (1, 3) as on_screen from lineitem""")
+def content_rules(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("l_linenumber") % 4
+    name, price, qty = F.when(k == 1, "x").otherwise("  "), F.when(k == 2, F.lit(0)), F.when(k == 3, F.col("l_quantity"))
+    made = {"for_tax": bills.content(name, price, qty), "for_orders": bills.content_for_orders(F.col("l_linenumber") % 3 == 0, name, qty), "on_screen": bills.content_on_screen(name, price, qty)}
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[c.alias(n) for n, c in made.items()])
+
+
+@query("product_units", """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case l_linenumber % 4 when 0 then case when l_partkey % 3 = 1 then 4 else 1 end when 1 then case when l_partkey % 3 = 0 then 1 when l_partkey % 3 = 1 then 6 else 3 end when 2 then case when l_partkey % 3 = 0 then 1 when l_partkey % 3 = 1 then 4 end else case when l_partkey % 3 = 0 then 1 when l_partkey % 3 = 1 then 4 else 5 end end as unit_id from lineitem""")
+def product_units(spark: SparkSession, d: str) -> DataFrame:
+    """Spellings of kg, L (there in two categories), an unknown unit and one of another category, for products in kg, in pieces, and in nothing known."""
+    k, p = F.col("l_linenumber") % 4, F.col("l_partkey") % 3
+    units = spark.createDataFrame([(1, "kg", 1), (2, "g", 1), (3, "L", 2), (4, "Units", 3), (5, "pieza grande", 4), (6, "Litros", 3)], "id int, name string, category int")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(k == 0, "kilos").when(k == 1, "lts").when(k == 2, "odd").otherwise("pieza grande").alias("unit"), F.when(p == 0, 1).when(p == 1, 4).alias("product_unit"))
+    return purchase.product_units(rows, units).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "unit_id")
+
+
+@query("purchase_flags", f"with {LINES_SQL} select invoice, bool_or(l_returnflag = 'R' or pos = 3) as has from lines group by invoice")
+def purchase_flags(spark: SparkSession, d: str) -> DataFrame:
+    rows = lines(spark, d).select("invoice", F.when(F.col("l_returnflag") == "R", "P1").otherwise(" ").alias("order_name"), F.when(F.col("pos") == 3, 1).alias("po_line"), F.lit(0).alias("candidates"))
+    return purchase.with_purchase_data(rows)
