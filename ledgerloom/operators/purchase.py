@@ -184,15 +184,17 @@ def line_fit(code: Column, description: Column, qty: Column, name: Column, order
     )
 
 
-def best_order_line(invoice_lines: DataFrame, order_lines: DataFrame, threshold: float = 70.0, with_code: float = 75.0) -> DataFrame:
+def best_order_line(invoice_lines: DataFrame, order_lines: DataFrame, threshold: float = 70.0, with_code: float = 75.0, selected: DataFrame | None = None) -> DataFrame:
     """invoice, line, order, po_line, score: the best fitting line of the partner's orders, if it fits well enough.
 
     invoice_lines: invoice, partner, line, code, name, qty; order_lines: order, partner, po_line, name, qty. Ties go to the
-    smaller order and line. Names are compared once each; a line with a code needs with_code.
+    smaller order and line. Names are compared once each; a line with a code needs with_code. With selected (invoice,
+    order) only the selected order's lines are asked, and invoices without one have none.
     """
     i = invoice_lines.select("invoice", "partner", "line", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("name", F.lit("")).alias("q"), F.col("qty").alias("__q"))
     p = order_lines.select("order", "partner", "po_line", F.coalesce("name", F.lit("")).alias("r"), F.col("qty").alias("__r"))
-    met = i.join(p, "partner").withColumn("same", F.coalesce((F.col("__r") != 0) & (F.abs(F.col("__q") - F.col("__r")) <= 0.01), F.lit(False)))
+    met = i.join(p, "partner") if selected is None else i.join(selected.select("invoice", "order"), "invoice").join(p, ["partner", "order"])
+    met = met.withColumn("same", F.coalesce((F.col("__r") != 0) & (F.abs(F.col("__q") - F.col("__r")) <= 0.01), F.lit(False)))
     quantity = F.when(F.col("same"), 1).cast("decimal(4,2)")
     parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps few but costly pairs apart
     scores = met.select("code", "q", "r", "same").distinct().repartition(parts).withColumn("score", line_fit(F.col("code"), F.col("q"), quantity, F.col("r"), F.lit(1)))

@@ -163,7 +163,7 @@ def cleared_footers(lines: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def totals(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    """invoice, mode, base, vat, total, total_stated and base_differs of each header."""
+    """invoice, mode, base, vat, total, total_stated and the warnings base_differs and vat_differs of each header."""
     j = _facts(lines, headers)
     h = F.coalesce(F.col("header_vat"), F.lit(0))
     sub = F.coalesce(F.col("subtotal"), F.lit(0))
@@ -173,7 +173,7 @@ def totals(lines: DataFrame, headers: DataFrame) -> DataFrame:
     j = j.withColumn("base", F.round(base, 2).cast(D)).withColumn("tax", vat)
     stated = (F.when(sub > 0, sub).otherwise(F.col("bases")) + h).cast("decimal(24,4)")
     differs = (F.col("mode") != "header") & (sub > 0) & (F.abs(sub - F.col("bases")) > tolerance(sub))
-    return j.select("invoice", "mode", "base", F.col("tax").alias("vat"), (F.col("base") + F.col("tax")).cast(D).alias("total"), F.round(stated, 2).cast(D).alias("total_stated"), differs.alias("base_differs"))
+    return j.select("invoice", "mode", "base", F.col("tax").alias("vat"), (F.col("base") + F.col("tax")).cast(D).alias("total"), F.round(stated, 2).cast(D).alias("total_stated"), differs.alias("base_differs"), ((F.col("mode") == "mixed") & (F.abs(F.col("effective") - h) > tolerance(h))).alias("vat_differs"))
 
 
 def repair_inflated(lines: DataFrame, headers: DataFrame) -> DataFrame:

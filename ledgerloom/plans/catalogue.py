@@ -41,7 +41,7 @@ HEADERS_SQL = f"""with {LINES_SQL}, sums as (
 
 @query("invoice_totals", HEADERS_SQL + """ select m.invoice, m.mode, cast(tb as double) as base, cast(tv as double) as vat, cast(tb + tv as double) as total,
   cast(round(coalesce(case when sub > 0 then cast(sub as decimal(24,4)) end, bases) + coalesce(hv, 0), 2) as double) as total_stated,
-  m.mode <> 'header' and coalesce(sub, 0) > 0 and abs(sub - bases) > greatest(0.02, sub * 0.001) as base_differs
+  m.mode <> 'header' and coalesce(sub, 0) > 0 and abs(sub - bases) > greatest(0.02, sub * 0.001) as base_differs, mode = 'mixed' as vat_differs
 from (select m.*, cast(round(case when mode = 'header' and coalesce(sub, 0) > 0 then sub else bases end, 2) as decimal(18,2)) as tb,
   cast(case when mode = 'line' then round(e, 2) else coalesce(a, hv, 0) end as decimal(18,2)) as tv
   from m left join (select invoice, sum(amount) as a from split group by 1) x on m.invoice = x.invoice) m""")

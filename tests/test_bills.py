@@ -158,6 +158,9 @@ def test_order_lines_by_brute_force(spark):
         if -best[0] >= (75 if code else 70):
             want[n] = (best[1], best[2], round(-best[0], 4))
     assert got == want and len(want) > 8
+    chosen = spark.createDataFrame([(n, 10) for n in range(0, 24, 2)], "invoice int, `order` int")
+    inside = {r["invoice"]: r["order"] for r in purchase.best_order_line(invoices, orders, selected=chosen).collect()}
+    assert set(inside.values()) == {10} and all(n % 2 == 0 for n in inside) and all(n in inside for n, (o, _, _) in want.items() if o == 10 and n % 2 == 0)
 
 
 def test_taxes_of_lines(spark):
