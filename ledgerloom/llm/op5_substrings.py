@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, HOT_LEAST, gram_hashes, materialize, mix, same_spans, span_hashes, spread_join, text_bytes, text_slices
+from .common import HOT, HOT_LEAST, gram_hashes, loads, materialize, mix, span_hashes, spread_join, text_bytes, text_slices
 
 SPAN, GRAM = 200, 64
 LEFT = SPAN - GRAM
@@ -37,7 +37,7 @@ BUCKET = 512
 #: Windows in a range, where a large bucket is split.
 RANGE = 17
 #: Surroundings that a task refines at once.
-TOGETHER = 4096
+TOGETHER = 512
 #: Anchors of a task that are counted at once, and parts that the places of a hot string are dealt to.
 COUNTED, SPREAD = 1 << 22, 1024
 
@@ -165,14 +165,31 @@ def surroundings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return keyed(docs).join(wanted, "k").select("text", "met").mapInArrow(run, "h long, c long, left long, bytes binary, big boolean")
 
 
+def _numbers(keys: np.ndarray, top: int) -> np.ndarray:
+    """A number from 0 on for each key, in the order of keys, which are below top; key and place are sorted as one number where they fit."""
+    bits = max(1, (len(keys) - 1).bit_length())
+    if int(top - 1).bit_length() + bits > 64:
+        return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    order = np.sort((keys.astype(np.uint64) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64))
+    place = (order & np.uint64((1 << bits) - 1)).astype(np.int64)
+    order >>= np.uint64(bits)
+    out = np.zeros(len(keys), np.int64)
+    out[place[1:]] = np.cumsum(order[1:] != order[:-1])
+    return out
+
+
 def _first_pointers(data: np.ndarray) -> np.ndarray:
     """A number for the STEPS[0] bytes from each place on, the same for the same bytes only."""
     n = len(data) - STEPS[0] + 1
-    _, first, pointer = np.unique(gram_hashes(data, STEPS[0]), return_index=True, return_inverse=True)
-    if not same_spans(data, np.arange(n), data, first[pointer], np.full(n, STEPS[0])).all():
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, STEPS[0]))
-        pointer = np.unique(windows.view(f"V{STEPS[0]}")[:, 0], return_inverse=True)[1]
-    return pointer.astype(np.int64)
+    pointer = np.unique(gram_hashes(data, STEPS[0]), return_inverse=True)[1].astype(np.int64)
+    one = np.zeros(n, np.int64)
+    one[pointer] = np.arange(n)  # some place of each pointer
+    one, words = one[pointer], np.ascontiguousarray(loads(data))
+    for k in (*range(0, STEPS[0] - 8, 8), STEPS[0] - 8):
+        if (words[k : n + k] != words[one + k]).any():  # two strings share a hash
+            windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, STEPS[0]))
+            return np.unique(windows.view(f"V{STEPS[0]}")[:, 0], return_inverse=True)[1].astype(np.int64)
+    return pointer
 
 
 def refine(data: np.ndarray, size: np.ndarray, left: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,22 +202,20 @@ def refine(data: np.ndarray, size: np.ndarray, left: np.ndarray, bucket: np.ndar
         return lo, hi
     shift = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     pointer = _first_pointers(data)
+    top = len(data)
     for step in STEPS[:-1]:
-        pairs = (pointer[:-step] << 32) | pointer[step:]
-        pointer = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+        pointer = _numbers(pointer[:-step] * top + pointer[step:], top * top)
     start = begin[owner] + shift
-    halves = np.unique((pointer[start] << 32) | pointer[start + STEPS[-1]], return_inverse=True)[1].astype(np.int64)
+    halves = _numbers(pointer[start] * top + pointer[start + STEPS[-1]], top * top)
     before = left[owner] - shift  # windows repeat at equal places before anchors of one bucket
     place = bucket[owner] * (LEFT + 1) + before
-    order = np.argsort((place << 32) | halves) if len(size) < 1 << 23 else np.lexsort((halves, place))
-    a, b = place[order], halves[order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    hit = order[twice]
-    np.maximum.at(lo, owner[hit], before[hit])
-    np.maximum.at(hi, owner[hit], SPAN - before[hit])
+    found = _numbers(place * len(owner) + halves, (int(place.max()) + 1) * len(owner))
+    hit = np.flatnonzero(np.bincount(found)[found] > 1)
+    if len(hit):  # the rows of one surrounding lie together, the window farthest back first
+        row = owner[hit]
+        edge = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        lo[row[edge]] = np.maximum.reduceat(before[hit], edge)
+        hi[row[edge]] = SPAN - np.minimum.reduceat(before[hit], edge)
     return lo, hi
 
 
@@ -288,8 +303,9 @@ def covered(docs: DataFrame) -> DataFrame:
     together = plain.unionByName(split.where(F.col("n") <= BUCKET).drop("n"))
     small = together.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_refined, kind)
     each = split.where(F.col("n") > BUCKET).drop("n").mapInArrow(_windows, "bucket long, h long, c long, before long, w long")
-    twice = each.groupBy("bucket", "before", "w").agg(F.count("*").alias("n")).where("n > 1").select("bucket", "before", "w")
-    large = each.join(twice, ["bucket", "before", "w"]).groupBy("h", "c").agg(F.max("before").alias("lo"), (SPAN - F.min("before")).alias("hi"))
+    twice = each.groupBy("bucket", "before", "w").agg(F.count("*").alias("size")).where("size > 1")
+    windows = RANGE * split.where(F.col("n") > BUCKET).count()
+    large = spread_join(each, twice, ["bucket", "before", "w"], windows, "inner").groupBy("h", "c").agg(F.max("before").alias("lo"), (SPAN - F.min("before")).alias("hi"))
     whole = classes.where("n > 1").select("h", "c", F.expr(_PARTS["left"]).alias("lo"), F.expr(_PARTS["right"]).alias("hi")).where(F.col("lo") + F.col("hi") >= SPAN)
     extent = whole.unionByName(small).unionByName(large).groupBy("h", "c").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     extent = materialize(classes.select("h", "c", F.col("n").alias("size")).join(extent, ["h", "c"], "left"))
