@@ -18,27 +18,27 @@ _ITEM_KEYS = ("descripcion", "cantidad", "precio_unitario", "subtotal_sin_iva",
 _HEADER_KEYS = ("numero_factura", "fecha", "fecha_de_vencimiento", "fecha_vencimiento", "tipo_comprobante", *SUBTOTALS, *VAT_TOTALS, *VAT_RATES, *PERCEPTIONS)
 ITEM = f"STRUCT<{', '.join(f'{k}: STRING' for k in _ITEM_KEYS)}>"
 INVOICE = f"STRUCT<{', '.join(f'{k}: STRING' for k in _HEADER_KEYS)}, proveedor: STRUCT<razon_social: STRING, nombre: STRING, cuit: STRING>, items: ARRAY<{ITEM}>>"
-PROCESS = f"STRUCT<facturas: ARRAY<STRUCT<json: STRUCT<factura: {INVOICE}>>>, _corrupt_record: STRING>"
+PROCESS = f"STRUCT<facturas: ARRAY<STRUCT<json: STRUCT<factura: {INVOICE}>>>>"
+PROBE = "STRUCT<facturas: ARRAY<STRING>, _corrupt_record: STRING>"
 
 
-def decoded(c: Column) -> Column:
-    """A JSON document, or a JSON string that holds one; null if it is neither. _corrupt_record tells of broken JSON."""
+def decoded(c: Column, kind: str = PROCESS) -> Column:
+    """A JSON document, or a JSON string that holds one; null if it is neither, and without invoices if it is broken."""
     inner = F.when(F.trim(c).startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")).otherwise(c)
-    return F.from_json(F.when(F.trim(inner).startswith("{"), inner), PROCESS)
+    return F.from_json(F.when(F.trim(inner).startswith("{"), inner), kind)
 
 
 def rejects(processes: DataFrame) -> DataFrame:
     """process and reason of the rows whose document cannot be used."""
-    d = processes.withColumn("__d", decoded(F.col("json_data")))
+    d = processes.withColumn("__d", decoded(F.col("json_data"), PROBE))
     reason = F.when(F.col("json_data").isNull(), "null").when(F.trim("json_data") == "", "blank").when(F.col("__d").isNull() | F.col("__d._corrupt_record").isNotNull(), "not an object").when(F.col("__d.facturas").isNull(), "no invoices")
     return d.withColumn("reason", reason).where("reason is not null").select("process", "reason")
 
 
 def invoices(processes: DataFrame) -> DataFrame:
     """process, invoice (0 on over usable invoices) and f, the document, of each invoice."""
-    d = processes.select("process", decoded(F.col("json_data")).alias("d")).where("d._corrupt_record is null")
-    usable = F.filter("d.facturas", lambda x: x["json"]["factura"].isNotNull())
-    return d.select("process", F.posexplode(usable).alias("invoice", "w")).select("process", "invoice", F.col("w.json.factura").alias("f"))
+    usable = F.filter(decoded(F.col("json_data"))["facturas"], lambda x: x["json"]["factura"].isNotNull())
+    return processes.select("process", F.posexplode(usable).alias("invoice", "w")).select("process", "invoice", F.col("w.json.factura").alias("f"))
 
 
 def lines(processes: DataFrame) -> DataFrame:

@@ -63,25 +63,28 @@ def close_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     return met
 
 
-#: Names of a registry that are sent to every task where a score has no bound that spares comparisons.
-REGISTRY_NAMES = 100_000
+#: Names of a registry that are sent to every task: where all of them are compared by edit distance, and where a score has
+#: no bound that spares comparisons.
+FEW_NAMES, REGISTRY_NAMES = 2_000, 100_000
 
 
 def best_match(probe: DataFrame, key: str, name: str, registry: DataFrame, registry_id: str, registry_name: str, threshold: float, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
     """(key, id, score): for each probe the registry row with the most similar name, if the threshold is reached.
 
-    Distinct names are compared once. With edit distance only names that share rare letters or pairs of letters, as many
-    as the threshold asks for, meet. Other scores allow no such bound: there a registry of up to REGISTRY_NAMES names is
-    sent to all tasks, a larger one is an error. Ties go to the smaller id.
+    Distinct names are compared once. A registry of up to FEW_NAMES names is sent to all tasks. Of a larger one, with edit
+    distance, only names that share rare letters or pairs of letters, as many as the threshold asks for, meet. Other scores
+    allow no such bound: there a registry of up to REGISTRY_NAMES names is sent, a larger one is an error. Ties go to the
+    smaller id.
     """
     names = probe.select(text.label_key(F.col(name)).alias("q")).where("q <> ''").distinct()
     targets = registry.select(F.col(registry_id).alias("id"), text.label_key(F.col(registry_name)).alias("r")).where("r <> ''")
     targets = targets.groupBy("r").agg(F.min("id").alias("id"))
+    known = targets.count()
     if score is similarity:
         near = F.least(F.length("q"), F.length("r")) * 100 >= threshold * F.greatest(F.length("q"), F.length("r"))
-        met = close_pairs(names, targets.select("r"), threshold).where(near).join(targets, "r")
+        met = names.join(F.broadcast(targets), near) if known <= FEW_NAMES else close_pairs(names, targets.select("r"), threshold).where(near).join(targets, "r")
     else:
-        if targets.count() > REGISTRY_NAMES:
+        if known > REGISTRY_NAMES:
             raise ValueError("the registry has too many names for a score without a bound")
         met = names.join(F.broadcast(targets), F.col("q").isNotNull())
     by = Window.partitionBy("q").orderBy(F.desc("score"), "id")

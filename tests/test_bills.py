@@ -67,7 +67,9 @@ def test_close_pairs_lose_nothing(spark):
         assert good == {(r["q"], r["r"]) for r in both.collect()}
 
 
-def test_cascade_and_fallback(spark):
+@pytest.mark.parametrize("few", [2000, 0])
+def test_cascade_and_fallback(spark, monkeypatch, few):
+    monkeypatch.setattr(lookup, "FEW_NAMES", few)
     probe = spark.createDataFrame([(1, "30-1", "x"), (2, "", "perro grand"), (3, None, "gato"), (4, "9", None)], "key int, cuit string, name string")
     a = spark.createDataFrame([(10, "7", "perro grande"), (11, "", "casa")], "id int, cuit string, name string")
     b = spark.createDataFrame([(20, "301", "perro grand"), (21, "", "gatos")], "id int, cuit string, name string")
