@@ -20,19 +20,22 @@ def recent_lines(orders: DataFrame, lines: DataFrame, keep: int = 12, states: Se
 
 
 def basket_rank(invoice_lines: DataFrame, order_lines: DataFrame, threshold: float = 70.0) -> DataFrame:
-    """invoice, order, matched, score, nth: orders of an invoice's partner by how many of its lines they have.
+    """invoice, order, matched, score, mean, nth: orders of an invoice's partner by how many of its lines they have.
 
     invoice_lines: invoice, partner, line, name; order_lines: order, partner, po_line, name. For each line and order
-    the best order line counts if it reaches the threshold. An order's names are compared once with each name that its
-    partner's invoices have; the lines join what is left, the best score of an order and a name.
+    the best order line counts if it reaches the threshold; mean is the score over all the invoice's lines. An order's
+    names are compared once with each name that its partner's invoices have; the lines join what is left, the best score
+    of an order and a name. A null name counts as an empty one.
     """
-    i = invoice_lines.withColumnRenamed("name", "q")
+    i = invoice_lines.withColumn("q", F.coalesce("name", F.lit(""))).drop("name")
     asked = i.select("partner", "q").distinct()
-    offered = order_lines.select("partner", "order", F.col("name").alias("r")).distinct()
+    offered = order_lines.select("partner", "order", F.coalesce("name", F.lit("")).alias("r")).distinct()
     best = asked.join(offered, "partner").groupBy("partner", "order", "q").agg(F.max(similarity(F.col("q"), F.col("r"))).alias("s"))
     best = i.join(best, ["partner", "q"])
     hit = F.col("s") >= threshold
-    each = best.groupBy("invoice", "order").agg(F.count(F.when(hit, 1)).alias("matched"), F.round(F.coalesce(F.sum(F.when(hit, F.col("s").cast("decimal(12,4)"))), F.lit(0)), 1).cast("double").alias("score"))
+    total = F.coalesce(F.sum(F.when(hit, F.col("s").cast("decimal(12,4)"))), F.lit(0))
+    mean = F.round(total.cast("double") / F.count("*"), 1)
+    each = best.groupBy("invoice", "order").agg(F.count(F.when(hit, 1)).alias("matched"), F.round(total, 1).cast("double").alias("score"), mean.alias("mean"))
     by = Window.partitionBy("invoice").orderBy(F.desc("matched"), F.desc("score"), "order")
     return each.withColumn("nth", F.row_number().over(by))
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, similar, text
 from ..operators import bills, changes, doctypes, documents, lookup, order, purchase, registry, state, tax, taxids, validation
-from ..sources.files import scan, table
+from ..sources.files import read_csv, scan, scratch, table, write_csv
+from ..streaming.autosave import autosaves, to_table
 from .proxies import LINE_ORDER, LINES_SQL, headers, lines
 from .registered import doubles, query
 
@@ -315,7 +316,8 @@ _BASKET_SQL = """with n as (select l_orderkey as o, o_custkey as partner, o_orde
 last as (select o_orderkey from orders where o_orderstatus <> 'F' qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) <= 12),
 met as (select i.o as invoice, p.o as po, i.line, max(round(100.0 * (1 - levenshtein(i.name, p.name) / cast(greatest(length(i.name), length(p.name)) as double)), 4)) as s
   from n i join n p on i.partner = p.partner where i.st = 'F' and p.o in (select o_orderkey from last) group by 1, 2, 3),
-e as (select invoice, po, sum(case when s >= 70 then 1 else 0 end) as matched, cast(round(coalesce(sum(case when s >= 70 then cast(s as decimal(12,4)) end), 0), 1) as double) as score from met group by 1, 2)
+e as (select invoice, po, sum(case when s >= 70 then 1 else 0 end) as matched, cast(round(coalesce(sum(case when s >= 70 then cast(s as decimal(12,4)) end), 0), 1) as double) as score,
+  round(cast(coalesce(sum(case when s >= 70 then cast(s as decimal(12,4)) end), 0) as double) / count(*), 1) as mean from met group by 1, 2)
 """
 
 
@@ -328,7 +330,7 @@ def _baskets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return invoices, purchase.recent_lines(o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), li.withColumnRenamed("line", "po_line")).drop("date")
 
 
-@query("po_basket_rank", _BASKET_SQL + """select invoice, po as "order", cast(matched as bigint) as matched, score, row_number() over (partition by invoice order by matched desc, score desc, po) as nth from e""")
+@query("po_basket_rank", _BASKET_SQL + """select invoice, po as "order", cast(matched as bigint) as matched, score, mean, row_number() over (partition by invoice order by matched desc, score desc, po) as nth from e""")
 def po_basket_rank(spark: SparkSession, d: str) -> DataFrame:
     invoices, orders = _baskets(spark, d)
     return purchase.basket_rank(invoices.drop("qty"), orders.drop("qty"))
@@ -441,13 +443,27 @@ def insert_if_absent(spark: SparkSession, d: str) -> DataFrame:
     return state.insert_absent(table(spark, d, "customer").select(F.col("c_custkey").alias("id")), table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), ["id"])
 
 
-@query("autosave_sessions", """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 1 hour then 0 else 1 end as fresh from events),
+_SESSIONS_SQL = """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 1 hour then 0 else 1 end as fresh from events),
 s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as n from g)
-select user_id, max(ts) + interval 1 hour as saved_at, count(*) as edits, arg_max(value, (ts, event_id)) as value from s group by user_id, n""")
+select user_id, max(ts) + interval 1 hour as saved_at, count(*) as edits, arg_max(value, (ts, event_id)) as value from s group by user_id, n"""
+
+
+@query("autosave_sessions", _SESSIONS_SQL)
 def autosave_sessions(spark: SparkSession, d: str) -> DataFrame:
     return state.quiet_sessions(_events(spark, d), "user_id", "ts", "1 hour", "value", "event_id")
 
 
+@query("autosave_stream", f"select * from ({_SESSIONS_SQL}) where saved_at <= (select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)")
+def autosave_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The sessions that the watermark, an hour behind the last event, has closed once the stream has read all there is."""
+    kept = scratch(spark, "stream")
+    known = table(spark, d, "events").schema
+    stream = spark.readStream.schema(known).parquet(f"{d}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    saved = autosaves(stream, "user_id", "ts", "1 hour", "1 hour", "value", "event_id")
+    to_table(saved, f"{kept}/rows", f"{kept}/log").awaitTermination()
+    return spark.read.schema(saved.schema).parquet(f"{kept}/rows").withColumn("saved_at", F.col("saved_at").cast(known["ts"].dataType))
+
+
 # Catalogues
 
 
@@ -467,6 +483,21 @@ def count_distinct_registry(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").agg(F.count("*").alias("n"), F.countDistinct(F.trim("p_name")).alias("names"), F.countDistinct("p_brand").alias("brands"))
 
 
+_CSV_ROWS = f"with {LINES_SQL} select case when pos = 0 then cast(invoice as varchar) else '' end as numero, cast(qty as varchar) as cantidad, cast(price as varchar) as precio, '\"' || l_returnflag || ', ' || chr(10) || pos as detalle, invoice from lines"
+
+
+@query("csv_written", _CSV_ROWS)
+def csv_written(spark: SparkSession, d: str) -> DataFrame:
+    """Lines written as CSV files with renamed columns, a byte order mark, quotes and line breaks, and read again."""
+    kept = scratch(spark, "csv")
+    detail = F.concat(F.lit('"'), "l_returnflag", F.lit(", \n"), F.col("pos").cast("string"))
+    number = F.when(F.col("pos") == 0, F.col("invoice").cast("string")).otherwise("")
+    rows = lines(spark, d).select(number.alias("number"), numbers.for_csv(F.col("qty"), True).alias("quantity"), numbers.for_csv(F.col("price"), True).alias("price"), detail.alias("detail"), "invoice")
+    names = {"number": "numero", "quantity": "cantidad", "price": "precio", "detail": "detalle"}
+    write_csv(rows, kept, names, mark=True)
+    return read_csv(spark, kept, "numero string, cantidad string, precio string, detalle string, invoice long")
+
+
 @query("csv_projection", f"with {LINES_SQL} select case when pos = 0 then cast(invoice as varchar) else '' end as number, cast(qty as varchar) as quantity, cast(price as varchar) as price, invoice, pos from lines")
 def csv_projection(spark: SparkSession, d: str) -> DataFrame:
     return lines(spark, d).select(F.when(F.col("pos") == 0, F.col("invoice").cast("string")).otherwise("").alias("number"), F.col("qty").cast("string").alias("quantity"), numbers.for_csv(F.col("price"), True).alias("price"), "invoice", "pos")

@@ -16,13 +16,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to a table in spark.checkpoint.dir and read again, so that plans of many rounds do not grow.
+def scratch(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in spark.checkpoint.dir, which goes when the session ends.
 
-    Survives lost executors; the table goes when the session ends. Only a local session without such a folder gets a
-    temporary one.
+    Only a local session without such a setting gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
@@ -31,11 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
         folder = context.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to a table in scratch and read again, so that plans of many rounds do not grow; survives lost executors."""
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def condition(field: str, operator: str, value: object) -> Column:
@@ -87,8 +91,13 @@ def slot_columns(slots: DataFrame, key: Sequence[str], used: Sequence[int], nami
 
 
 def write_csv(df: DataFrame, path: str, names: dict[str, str] | None = None, mark: bool = False) -> None:
-    """CSV files with a header, quotes doubled, columns renamed; with mark each file begins with a byte order mark."""
+    """CSV files with a header, quotes doubled, blanks kept, columns renamed; with mark each file begins with a byte order mark."""
     named = df.withColumnsRenamed(names or {})
     if mark and named.columns:
         named = named.withColumnRenamed(named.columns[0], "\ufeff" + named.columns[0])
-    named.write.option("header", True).option("escape", '"').option("lineSep", "\r\n").csv(path)
+    named.write.option("header", True).option("escape", '"').option("lineSep", "\r\n").options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What write_csv wrote, by the columns' places; texts may hold line breaks, and empty ones are not null."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\u0000").csv(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, numbers, text
 from ledgerloom.operators import changes, documents, lookup, order, purchase, state, tax
-from ledgerloom.sources.files import named_column, scan, write_csv
+from ledgerloom.sources.files import named_column, read_csv, scan, write_csv
 from ledgerloom.streaming.autosave import autosaves, to_table
 
 
@@ -106,3 +106,18 @@ def test_autosave_stream_equals_batch(spark, tmp_path):
     to_table(autosaves(stream, "k", "ts", "1 hour", "1 hour", "v", "n"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     got = {(r["k"], r["edits"], r["v"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r["k"], r["edits"], r["v"]) for r in state.quiet_sessions(rows, "k", "ts", "1 hour", "v", "n").where("k = 1").collect()}
+
+
+def test_csv_is_read_as_written(spark, tmp_path):
+    rows = [(1, "", None), (2, None, 'a"b'), (3, "x, y\nz", "\\"), (None, '""', " s ")]
+    df = spark.createDataFrame(rows, "id int, t string, u string")
+    write_csv(df, str(tmp_path / "c"), {"t": "text"}, mark=True)
+    got = read_csv(spark, str(tmp_path / "c"), "id int, t string, u string")
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_basket_rank_means(spark):
+    mine = spark.createDataFrame([(1, 7, 0, "PAPER"), (1, 7, 1, "PEN"), (1, 7, 2, None)], "invoice int, partner int, line int, name string")
+    theirs = spark.createDataFrame([(10, 7, 1, "PAPER"), (10, 7, 2, "PEN"), (20, 7, 1, "PENS"), (30, 8, 1, "PEN")], "order int, partner int, po_line int, name string")
+    got = {tuple(r) for r in purchase.basket_rank(mine, theirs).select("invoice", "order", "matched", "score", "mean", "nth").collect()}
+    assert got == {(1, 10, 2, 200.0, 66.7, 1), (1, 20, 1, 75.0, 25.0, 2)}
