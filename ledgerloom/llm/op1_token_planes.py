@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, only, shared_dir, text_slices
-from .word_table import WordTable
+from .word_table import WordTable, lower_words
 
 MAGIC = b"LOOMBP01"
 BLOCK_IDS = 1 << 16
@@ -150,7 +150,7 @@ def library_table(path: str) -> WordTable:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        _TABLES[path] = WordTable(lambda words: [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int32))
+        _TABLES[path] = WordTable(lambda words: [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)], lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int32), lower_words([t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]))
     return _TABLES[path]
 
 

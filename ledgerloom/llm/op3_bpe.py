@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import only, text_slices
-from .word_table import WordTable, ragged
+from .word_table import WordTable, lower_words, ragged
 
 # str.split() cuts at Unicode white space, as the tokenizer does, but also at these four control characters.
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -49,7 +50,7 @@ class Bpe:
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.cut = regex.compile(steps[0]["pattern"]["Regex"])
+        self.cut, self.newer = regex.compile(steps[0]["pattern"]["Regex"]), Tokenizer.from_file(path).pre_tokenizer
         self.suffix = model["end_of_word_suffix"] or ""
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.specials.items()}
         symbols = _byte_symbols()
@@ -77,9 +78,15 @@ class Bpe:
             elif part[:-1].isalpha() and part[-1] in ".,!?;:":
                 out += (part[:-1], part[-1])
             else:
-                out += self.cut.findall(part)
+                out += self._cut(part)
         return out
 
+    def _cut(self, part: str) -> list[str]:
+        """The words of a normalized part; where it has characters newer than Python's tables, the library tells which are letters."""
+        if any(unicodedata.category(c) == "Cn" for c in part):
+            return [part[a:b] for _, (a, b) in self.newer.pre_tokenize_str(part)]
+        return self.cut.findall(part)
+
     def merge(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word (no specials), by merge rounds over all words at once."""
         raw = [w.encode() for w in words]
@@ -159,7 +166,7 @@ def loaded(path: str) -> tuple[Bpe, WordTable, Digests]:
     """The encoder of this worker process for a file, read once."""
     if path not in _LOADED:
         bpe = Bpe(path)
-        _LOADED[path] = bpe, WordTable(bpe.merge, bpe.encode), Digests(bpe.names)
+        _LOADED[path] = bpe, WordTable(bpe.merge, bpe.encode, lower_words([s.encode() for s in bpe.specials])), Digests(bpe.names)
     return _LOADED[path]
 
 

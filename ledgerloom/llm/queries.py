@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_token_planes, op2_quality, op3_bpe, op4_pivots, op5_substrings, op6_language, op7_minhash, op8_secrets, op9_caps, op10_mixing
+from . import op1_token_planes, op2_quality, op3_bpe, op4_pivots, op5_substrings, op6_language, op7_minhash, op8_secrets, op9_caps, op10_mixing, op11_audit, op12_runs, op13_packing
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,18 @@ def op10_mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mixing.schedule(docs, op10_mixing.source_shares(docs))
 
 
+def op11_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_runs.find_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_packing.pack_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_planes": op1_token_planes_query,
@@ -73,6 +86,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets_query,
         "op9_caps": op9_caps_query,
         "op10_mixing": op10_mixing_query,
+        "op11_audit": op11_audit_query,
+        "op12_runs": op12_runs_query,
+        "op13_packing": op13_packing_query,
     }
 
 
@@ -196,6 +212,41 @@ select vec_id, coalesce(n_links, 0) as n_links, component_id, coalesce(vec_id =
 """
 
 
+OP11_SQL = """
+with d as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+        list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w
+    from documents
+), f as (
+    select doc_id, part, len(w) < 100 as a, 100 * len(list_distinct(w)) < 80 * len(w) as b,
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) as c,
+        regexp_matches(text, '[#$%&*|]') as d, coalesce(doc_id > min(doc_id) over (partition by text), false) as e
+    from d
+), told as (
+    select part, concat(case when a then 'A' else '' end, case when b then 'B' else '' end, case when c then 'C' else '' end, case when d then 'D' else '' end, case when e then 'E' else '' end) as fails,
+        count(*) as n, count(*) filter (g.doc_id is not null) as good, count(*) filter (t.doc_id is not null) as toxic
+    from f left join (select distinct doc_id from labels where quality = 1) g on g.doc_id = f.doc_id left join (select distinct doc_id from labels where toxic = 1) t on t.doc_id = f.doc_id
+    group by all
+), letters as (
+    select unnest(['A', 'B', 'C', 'D', 'E']) as x
+), orders as (
+    select v.x || w.x || p.x || q.x || r.x as filter_order from letters v, letters w, letters p, letters q, letters r
+    where len(list_distinct([v.x, w.x, p.x, q.x, r.x])) = 5
+), steps as (
+    select filter_order, cast(step as integer) as step, filter_order[step] as letter, filter_order[1 : step - 1] as earlier from orders, range(1, 6) s(step)
+), met as (
+    select part, filter_order, step, letter, n, good, toxic, contains(fails, letter) as failing, regexp_matches(fails, '[' || earlier || '-]') as gone, fails = letter as alone from told, steps
+), sums as (
+    select part, filter_order, step, letter, sum(n) filter (not failing and not gone) as kept, sum(n) filter (failing and not gone) as removed, sum(n) filter (failing and gone) as redundant,
+        sum(n) filter (alone) as unique_fails, sum(good) filter (failing and not gone) as good_lost, sum(toxic) filter (failing and not gone) as toxic_lost
+    from met group by all
+)
+select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+    coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, letter), 0)::bigint as shapley
+from sums
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others have none: tokens, training and schedules are no SQL, and are held to brute force in the tests."""
-    return {"op4_pivots": OP4_SQL, "op5_substrings": OP5_SQL, "op7_minhash": OP7_SQL, "op8_secrets": OP8_SQL, "op9_caps": OP9_SQL}
+    return {"op4_pivots": OP4_SQL, "op5_substrings": OP5_SQL, "op7_minhash": OP7_SQL, "op8_secrets": OP8_SQL, "op9_caps": OP9_SQL, "op11_audit": OP11_SQL}

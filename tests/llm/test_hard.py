@@ -82,7 +82,7 @@ def test_words_that_weak_hashes_confuse(spark):
 def test_words_are_told_apart_without_a_hash(spark, monkeypatch):
     monkeypatch.setattr(word_table, "span_hashes", lambda data, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
     bpe = op3.Bpe(PATH)
-    table = word_table.WordTable(bpe.merge, bpe.encode)
+    table = word_table.WordTable(bpe.merge, bpe.encode, word_table.lower_words([s.encode() for s in bpe.specials]))
     texts = [t or "" for _, t in cases.texts() if len(t or "") < 3000]
     for part in (texts[:20], texts[20:], texts):
         data, at = common.text_bytes(pa.array(part))
