@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from .order import first_per_key, numbered
 
 
@@ -61,25 +62,39 @@ def key_sets(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, side.alias("side"))
 
 
-def same_bill(bills: DataFrame, present: DataFrame) -> DataFrame:
-    """bill and found: the newest present bill of the partner with the same document number, exactly or but for zeros.
+def bare(c: Column) -> Column:
+    """A document number or name without the zeros that lead its parts; a part of zeros alone is one zero."""
+    return F.array_join(F.transform(F.split(text.normalize(c), "-"), lambda x: F.regexp_replace(x, "^0+(?=.)", "")), "-")
 
-    bills: bill, partner, number; present: id, partner, number, ref and name (may be null). A match of ref comes before
-    one of the number, or of a name that is the number, ends with it or holds it after a dash, zeros aside.
-    """
 
-    def bare(c: Column) -> Column:
-        return F.array_join(F.transform(F.split(c, "-"), lambda x: F.regexp_replace(F.trim(x), "^0+(?=.)", "")), "-")
+def _name_keys(name: Column, longest: Column) -> Column:
+    """All ends of a name, and all stretches after a dash, of up to `longest` letters: the numbers that the name may stand for."""
+    n = F.length(name)
+    ends = F.transform(F.sequence(F.lit(1), F.least(n, longest)), lambda k: F.substr(name, n - k + 1, k))
+    dashes = F.filter(F.sequence(F.lit(1), n), lambda p: F.substr(name, p, F.lit(1)) == "-")
+    after = F.flatten(F.transform(dashes, lambda p: F.transform(F.sequence(F.lit(1), F.least(n - p, longest)), lambda k: F.substr(name, p + 1, k))))
+    return F.when(n > 0, F.array_distinct(F.concat(ends, F.filter(after, lambda x: x != ""))))
+
 
-    p = present.select(F.col("id").alias("found"), "partner", F.col("number").alias("__n"), F.col("ref").alias("__r"))
-    want = bare(F.col("number"))
-    named = F.lit(False)
+def same_bill(bills: DataFrame, present: DataFrame) -> DataFrame:
+    """bill, found and rank: the newest present bill of the partner with the same document number, exactly or but for zeros.
+
+    bills: bill, partner, number; present: id, partner, number, ref and name (each may be null, name may be missing). A ref
+    that is the number as it is comes first (rank 0); else (1) number or ref but for zeros, or a name that ends with the
+    number or holds it after a dash, zeros aside. A present bill has a key for each number it may stand for, and of each
+    key only the newest bill is kept, so a partner's bills never meet each other but by an equal key.
+    """
+    want = bills.where(text.normalize(F.col("number")) != "").select("bill", "partner", text.normalize(F.col("number")).alias("__n"), bare(F.col("number")).alias("__k"))
+    longest = want.agg(F.coalesce(F.max(F.length("__k")), F.lit(0)).alias("__most"))  # one row
+    p = present.join(F.broadcast(longest), F.lit(True))
+    keys = F.array(bare(F.col("number")), bare(F.col("ref")))
     if "name" in present.columns:
-        name = F.trim("__m")
-        p = p.join(present.select(F.col("id").alias("found"), F.col("name").alias("__m")), "found")
-        named = (name == F.col("number")) | name.endswith(F.col("number")) | name.contains(F.concat(F.lit("-"), want)) | name.endswith(want)
-    rank = F.when(F.col("number") == F.col("__r"), 0).when(F.coalesce(want == bare(F.col("__n")), F.lit(False)) | F.coalesce(want == bare(F.col("__r")), F.lit(False)) | F.coalesce(named, F.lit(False)), 1)
-    return first_per_key(bills.join(p, "partner").withColumn("rank", rank).where("rank is not null"), ["bill"], ["rank", F.desc("found")]).select("bill", "found", "rank")
+        keys = F.concat(keys, F.coalesce(_name_keys(bare(F.col("name")), F.col("__most")), F.array().cast("array<string>")))
+    loose = p.select("id", "partner", F.explode(F.array_distinct(keys)).alias("__k")).where("__k <> ''").groupBy("partner", "__k").agg(F.max("id").alias("__loose"))
+    exact = present.select("partner", text.normalize(F.col("ref")).alias("__n"), "id").where("__n <> ''").groupBy("partner", "__n").agg(F.max("id").alias("__exact"))
+    j = want.join(exact, ["partner", "__n"], "left").join(loose, ["partner", "__k"], "left")
+    found = F.coalesce("__exact", "__loose")
+    return j.where(found.isNotNull()).select("bill", found.alias("found"), F.when(F.col("__exact").isNotNull(), 0).otherwise(1).alias("rank"))
 
 
 def missing_maturity(move_lines: DataFrame, accounts: DataFrame) -> DataFrame:

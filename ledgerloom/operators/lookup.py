@@ -7,8 +7,9 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import similar, text
 from ..sources.files import cut
+from . import nearest
 from .order import first_per_key
 
 
@@ -24,75 +25,35 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longest == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - F.levenshtein(a, b) / longest), 4))
 
 
-def _grams(names: DataFrame, size: int, share: float, keep: Column) -> DataFrame:
-    """t and gram of the rarest grams of each text t that another text within reach must share one of.
+#: Names of a registry that are sent to every task, where all of them are compared by edit distance.
+FEW_NAMES = 2_000
+#: How alike two names are: by edit distance (similarity), or one of functions.similar.
+Scorer = Callable[[Column, Column], Column]
 
-    A text of n letters keeps at least share * n of them, in order, in any text similar enough; so of its grams (each
-    counted with how often it came before) all but a few are shared, and one of the rarest ones is.
-    """
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (size - 1), F.lit(1))), lambda k: F.substr(F.col("t"), k, F.lit(size)))
-    each = names.where(keep).select("t", F.posexplode(runs).alias("k", "g"))
-    times = F.row_number().over(Window.partitionBy("t", "g").orderBy("k"))
-    each = each.select("t", F.concat_ws("#", "g", times.cast("string")).alias("gram"))
-    often = each.groupBy("gram").agg(F.count("*").alias("often"))
-    n = F.greatest(F.length("t") - (size - 1), F.lit(1))
-    least = F.greatest(F.lit(1), F.ceil(F.length("t") * share - (size - 1)))
-    nth = F.row_number().over(Window.partitionBy("t").orderBy("often", "gram"))
-    return each.join(often, "gram").withColumn("nth", nth).where(F.col("nth") <= n - least + 1).select("t", "gram")
-
-
-def close_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """q, r: all pairs of a text of left (q) and one of right (r) whose similarity may reach the threshold, without comparing all.
-
-    Texts of fewer letters than two grams' worth meet by single letters, longer ones by pairs of letters; none that
-    reaches the threshold is lost.
-    """
-    kept = threshold / 100
-    short = 1 if kept <= 0.5 else 2 / (2 * kept - 1)  # from this length on a pair of letters must be shared
-    left, right = cut(left), cut(right)
-    both = left.select(F.col("q").alias("t")).unionByName(right.select(F.col("r").alias("t"))).distinct()
-    met = None
-    for size, share, keep in ((1, kept, F.length("t") < short), (2, 2 * kept - 1, F.lit(kept > 0.5))):
-        if kept <= 0.5:
-            keep = F.lit(size == 1)
-        grams = cut(_grams(both, size, max(share, 0.0), keep))
-        a = left.join(grams.withColumnRenamed("t", "q"), "q")
-        b = right.join(grams.withColumnRenamed("t", "r"), "r")
-        pairs = a.join(b, "gram").select("q", "r").distinct()
-        met = pairs if met is None else met.unionByName(pairs).distinct()
-    return met
-
-
-#: Names of a registry that are sent to every task: where all of them are compared by edit distance, and where a score has
-#: no bound that spares comparisons.
-FEW_NAMES, REGISTRY_NAMES = 2_000, 100_000
-
-
-def best_match(probe: DataFrame, key: str, name: str, registry: DataFrame, registry_id: str, registry_name: str, threshold: float, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+
+def best_match(probe: DataFrame, key: str, name: str, registry: DataFrame, registry_id: str, registry_name: str, threshold: float, score: Scorer = similarity) -> DataFrame:
     """(key, id, score): for each probe the registry row with the most similar name, if the threshold is reached.
 
-    Distinct names are compared once. A registry of up to FEW_NAMES names is sent to all tasks. Of a larger one, with edit
-    distance, only names that share rare letters or pairs of letters, as many as the threshold asks for, meet. Other scores
-    allow no such bound: there a registry of up to REGISTRY_NAMES names is sent, a larger one is an error. Ties go to the
-    smaller id.
+    Distinct names are compared once, and registries may be of any size: all scores are searched in blocks by their bounds
+    (see nearest), but for edit distance in a registry of up to FEW_NAMES names, which is sent to all tasks. Ties go to
+    the smaller id.
     """
     names = probe.select(text.label_key(F.col(name)).alias("q")).where("q <> ''").distinct()
     targets = registry.select(F.col(registry_id).alias("id"), text.label_key(F.col(registry_name)).alias("r")).where("r <> ''")
     targets = targets.groupBy("r").agg(F.min("id").alias("id"))
-    known = targets.count()
-    if score is similarity:
-        near = F.least(F.length("q"), F.length("r")) * 100 >= threshold * F.greatest(F.length("q"), F.length("r"))
-        met = names.join(F.broadcast(targets), near) if known <= FEW_NAMES else close_pairs(names, targets.select("r"), threshold).where(near).join(targets, "r")
+    if score is similarity and targets.count() > FEW_NAMES:
+        score = similar.edits
+    if isinstance(score, similar.Score):
+        top = nearest.best_names(names, targets, score, threshold)
     else:
-        if known > REGISTRY_NAMES:
-            raise ValueError("the registry has too many names for a score without a bound")
-        met = names.join(F.broadcast(targets), F.col("q").isNotNull())
-    by = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = met.withColumn("score", score(F.col("q"), F.col("r"))).where(F.col("score") >= threshold).withColumn("n", F.row_number().over(by)).where("n = 1")
+        near = F.least(F.length("q"), F.length("r")) * 100 >= threshold * F.greatest(F.length("q"), F.length("r"))
+        met = names.join(F.broadcast(targets), near)
+        by = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+        top = met.withColumn("score", score(F.col("q"), F.col("r"))).where(F.col("score") >= threshold).withColumn("n", F.row_number().over(by)).where("n = 1")
     return probe.select(F.col(key), text.label_key(F.col(name)).alias("q")).join(top.select("q", "id", "score"), "q").select(key, "id", "score")
 
 
-def by_name(probe: DataFrame, key: str, name: str, registry: DataFrame, threshold: float, fallback: str | None = None, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+def by_name(probe: DataFrame, key: str, name: str, registry: DataFrame, threshold: float, fallback: str | None = None, score: Scorer = similarity) -> DataFrame:
     """(key, id): by equal name, else by the most similar one, else the row that is named as the fallback.
 
     registry: id, name; the first of equal names, by id, wins. Probes without a name only have the fallback.
@@ -106,7 +67,7 @@ def by_name(probe: DataFrame, key: str, name: str, registry: DataFrame, threshol
     return p.select(key, F.coalesce("__exact", "__near", *(["__last"] if fallback else [])).alias("id"))
 
 
-def cascade(probe: DataFrame, key: str, sources: list[DataFrame], threshold: float, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+def cascade(probe: DataFrame, key: str, sources: list[DataFrame], threshold: float, score: Scorer = similarity) -> DataFrame:
     """(key, source, id, score): by tax id over all sources, in their order; else by name in the first source that reaches the threshold.
 
     probe: key, cuit, name; sources: id, cuit, name. A tax id scores 100; the first row by id wins.
@@ -166,7 +127,7 @@ def jurisdiction_tax(probe: DataFrame, label: str, taxes: DataFrame) -> DataFram
     return p.join(first_per_key(x, ["__k"], ["__r", "tax_id"]).drop("__r"), F.col("__s") == F.col("__k"), "left").drop("__s", "__k")
 
 
-def by_similar_name(probe: DataFrame, key: str, label: str, accounts: DataFrame, threshold: float = 65.0, score: Callable[[Column, Column], Column] = similarity) -> DataFrame:
+def by_similar_name(probe: DataFrame, key: str, label: str, accounts: DataFrame, threshold: float = 65.0, score: Scorer = similarity) -> DataFrame:
     """(key, account_id): account, and for what it leaves open the most similar name, else the most similar code and name."""
     _, name = text.account_parts(F.col(label))
     found = account(probe, label, accounts).select(key, label, "account_id").withColumn("__name", name)
@@ -207,11 +168,19 @@ def heads(nodes: DataFrame, key: str, parent: str) -> DataFrame:
 
 
 def below(nodes: DataFrame, key: str, parent: str, roots: DataFrame, root: str) -> DataFrame:
-    """The keys of the roots and of all rows below them, by parents; circles are followed once."""
-    found = cut(nodes.select(F.col(key).alias("k")).join(roots.select(F.col(root).alias("k")).distinct(), "k", "left_semi"))
-    last = found
-    while not last.isEmpty():
-        child = nodes.select(F.col(key).alias("__c"), F.col(parent).alias("k")).join(last, "k").select(F.col("__c").alias("k")).distinct()
-        last = cut(child.join(found, "k", "left_anti"))
-        found = cut(found.unionByName(last))
-    return found.select(F.col("k").alias(key))
+    """The keys of the roots and of all rows below them, by parents; roots that are no rows are left out.
+
+    Each row asks the row above, then the one two above, four above and so on, whether a root was met on the way, so
+    a chain of n steps takes about log2(n) joins. A circle without a root ends when that is longer than the table.
+    """
+    marked = roots.select(F.col(root).alias("k")).distinct().withColumn("__m", F.lit(True))
+    up = nodes.select(F.col(key).alias("k"), F.col(parent).alias("u")).join(marked, "k", "left")
+    up = cut(up.select("k", F.when(F.col("__m").isNull(), F.col("u")).alias("u"), F.col("__m").isNotNull().alias("hit")))
+    steps, most = 1, up.count()
+    while steps < 2 * most and not up.where("u is not null").isEmpty():
+        over = up.select(F.col("k").alias("u"), F.col("u").alias("__u"), F.col("hit").alias("__h"))
+        done = up.where("u is null")
+        moved = up.where("u is not null").join(over, "u", "left").withColumn("__h", F.coalesce("__h", F.lit(False)))
+        up = cut(moved.select("k", F.when(~F.col("__h"), F.col("__u")).alias("u"), F.col("__h").alias("hit")).unionByName(done))
+        steps *= 2
+    return up.where("hit").select(F.col("k").alias(key)).distinct()

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
+from ..sources.files import cut
+
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "pos", start: int = 0) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + start)
@@ -16,18 +19,68 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column | str]) ->
 
 
 def filled(c: str) -> Column:
-    return F.when(F.trim(F.col(c)) != "", F.col(c))
+    """The column, null where it has nothing but white space."""
+    return F.when(normalize(F.col(c)) != "", F.col(c))
 
 
 def fill_from_previous(df: DataFrame, columns: list[str], group: str, number: str, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """Blanks take the value of the row before, if it has the same group or this row has no document number."""
+    """Blanks take the value of the row before, as it is when that one has been filled, if both belong together.
+
+    They do if they have the same group, or if this row has no document number and the one before has one by then;
+    as numbers are handed down (number should be one of the columns), that is so once any row before has one. Each
+    group of keys is one window; fill_chained has no such bound.
+    """
     by = Window.partitionBy(*keys).orderBy(*order)
-    joined = F.coalesce((F.lag(group).over(by) == F.col(group)) | (filled(number).isNull() & F.lag(filled(number)).over(by).isNotNull()), F.lit(False))
+    named = F.coalesce(F.max(filled(number).isNotNull()).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    joined = F.coalesce(F.lag(group).over(by) == F.col(group), F.lit(False)) | (filled(number).isNull() & named)
     runs = df.withColumn("__new", F.when(joined, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(by))
     inside = Window.partitionBy(*keys, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return runs.withColumns({c: F.coalesce(F.last(filled(c), ignorenulls=True).over(inside), F.lit("")) for c in columns}).drop("__new", "__run")
 
 
+def fill_chained(df: DataFrame, columns: list[str], group: str, number: str, keys: list[str], order: list[Column | str], ranges: int | None = None) -> DataFrame:
+    """fill_from_previous for processes of any length: a parallel scan over ranges of rows.
+
+    Rows are dealt to ranges by keys and order, so that a long process lies in many. A range is summed up by its last
+    group and whether it has a number; with what lies before, each row knows whether it begins a run. The ranges are summed
+    up again, by whether a run begins in them and what is filled at their end; put together in order, these give what
+    every range starts with. Order columns must be columns of df.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = [*keys, "__range"]
+    rows = cut(df.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()))
+    by = Window.partitionBy(*at).orderBy(*order)
+    before = Window.partitionBy(*keys).orderBy("__range")
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last("__g").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ends = rows.select(*at, *[c for c in dict.fromkeys(map(str, _names(order))) if c not in at], F.col(group).alias("__g"), filled(number).isNotNull().alias("__b"))
+    ends = ends.withColumn("__last", last).groupBy(*at).agg(F.first("__last").alias("__last"), F.max("__b").alias("__any"))
+    ends = ends.select(*at, F.lag("__last").over(before).alias("__group"), F.coalesce(F.max("__any").over(earlier), F.lit(False)).alias("__named"))
+    told = rows.join(ends, at)
+    first = F.row_number().over(by) == 1
+    previous = F.when(first, F.col("__group")).otherwise(F.lag(group).over(by))
+    named = F.col("__named") | F.coalesce(F.max(filled(number).isNotNull()).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    joined = F.coalesce(previous == F.col(group), F.lit(False)) | (filled(number).isNull() & named)
+    told = told.withColumn("__new", F.when(joined, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(by)).drop("__group", "__named", "__new")
+    inside = Window.partitionBy(*at, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    told = cut(told.withColumns({f"__{i}": F.last(filled(c), ignorenulls=True).over(inside) for i, c in enumerate(columns)}))
+    closing = first_per_key(told, at, [F.desc(c) if isinstance(c, str) else c.desc() for c in order])
+    closing = closing.select(*at, (F.col("__run") > 0).alias("__begins"), *[F.col(f"__{i}") for i in range(len(columns))])
+    closing = closing.withColumn("__part", F.sum(F.col("__begins").cast("int")).over(before))
+    chain = Window.partitionBy(*keys, "__part").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
+    state = closing.select(*at, *[F.last(f"__{i}", ignorenulls=True).over(chain).alias(f"__s{i}") for i in range(len(columns))])
+    carry = state.select(*at, *[F.lag(f"__s{i}").over(before).alias(f"__c{i}") for i in range(len(columns))])
+    out = told.join(carry, at, "left")
+    values = {c: F.coalesce(F.col(f"__{i}"), F.when(F.col("__run") == 0, F.col(f"__c{i}")), F.lit("")) for i, c in enumerate(columns)}
+    return out.withColumns(values).select(*df.columns)
+
+
+def _names(order: list[Column | str]) -> list[str]:
+    if not all(isinstance(c, str) for c in order):
+        raise TypeError("the order of a chained fill is a list of column names")
+    return list(order)
+
+
 def fill_from_first(df: DataFrame, columns: list[str], keys: list[str], order: list[Column | str]) -> DataFrame:
     """Blanks take the value of the group's first row."""
     by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -56,7 +109,7 @@ def runs_by_number(df: DataFrame, number: str, keys: list[str], order: list[Colu
 
 def invoice_key(index: Column, number: Column, pos: Column) -> Column:
     """What groups a row: its invoice's index, else its document number, else its own place."""
-    n = F.when(F.trim(number) != "", F.trim(number))
+    n = F.when(normalize(number) != "", normalize(number))
     return F.coalesce(F.concat(F.lit("idx:"), index.cast("string")), F.concat(F.lit("doc:"), n), F.concat(F.lit("row:"), pos.cast("string")))
 
 

@@ -1,4 +1,4 @@
 """Queries over the test tables, with their SQL."""
 
-from . import billing, catalogue, registries  # noqa: F401  they register their queries
+from . import billing, catalogue, registries, scopes  # noqa: F401  they register their queries
 from .registered import oracle_sql, queries  # noqa: F401
