@@ -175,6 +175,19 @@ def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["row", "query_id", "vec_id", "score", "scored"])
 
 
+def _pool(rows: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """POOL rows of each length, or all: those with the least hashes among about twice as many, drawn by their hashes.
+
+    Only what was drawn is shuffled and ranked. A hash is of the row's number too, so that copies of a vector are drawn
+    no more often than other rows.
+    """
+    spot = F.pmod(F.xxhash64("v", "row"), F.lit(1 << 40)) / float(1 << 40)
+    sized = spread_join(rows, counts.withColumn("share", 2.0 * POOL / F.col("size")), ["dims"], total, "inner")
+    drawn = sized.where(spot < F.col("share")).withColumn("spot", spot).select(*rows.columns, "spot")
+    nth = F.row_number().over(Window.partitionBy("dims").orderBy("spot", "row"))
+    return drawn.withColumn("nth", nth).where(F.col("nth") <= POOL).select(*rows.columns)
+
+
 def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, evaluated: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose vec_id is divisible by step.
 
@@ -188,7 +201,7 @@ def nearest(vectors: DataFrame, k: int = K, step: int = QUERY_STEP, evaluated: b
     slab_rows = F.least(F.lit(SLAB[1]), F.greatest(F.lit(SLAB[0]), F.floor(F.col("n") / 64)))
     counts = materialize(counts.select("dims", F.col("n").alias("size"), F.ceil(F.col("n") / slab_rows).cast("long").alias("slabs")))
     total = rows.count()
-    pool = rows.withColumn("nth", F.row_number().over(Window.partitionBy("dims").orderBy(F.xxhash64("v"), "row"))).where(F.col("nth") <= POOL).drop("nth")
+    pool = _pool(rows, counts, total)
     pivots = pool.repartition("dims").sortWithinPartitions("dims").mapInArrow(_chosen, "row long, vec_id long, dims long, v binary")
 
     def spread(df: DataFrame, kind: int) -> DataFrame:

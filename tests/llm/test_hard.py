@@ -170,6 +170,16 @@ def test_op4_lengths_and_repeated_ids(spark):
     assert op4.whole(np.array([1e300, -1e300, 1.5])).tolist() == [2**63 - 1, -(2**63), 1536]
 
 
+def test_op4_pool_is_drawn_before_it_is_ranked(spark, monkeypatch):
+    """Few rows are ranked, a vector's copies among them as rarely as others, and all if there are few."""
+    monkeypatch.setattr(op4, "POOL", 50)
+    rows = spark.range(20_000).select(F.col("id").alias("row"), F.col("id").alias("vec_id"), F.when(F.col("id") < 20, 3).otherwise(4).cast("long").alias("dims"), F.when(F.col("id") % 2 == 0, F.lit(b"same")).otherwise(F.col("id").cast("string").cast("binary")).alias("v"))
+    counts = rows.groupBy("dims").agg(F.count("*").alias("size"))
+    got = op4._pool(rows, counts, 20_000).collect()
+    assert sum(r["dims"] == 3 for r in got) == 20 and 45 <= sum(r["dims"] == 4 for r in got) <= 50
+    assert 10 <= sum(bytes(r["v"]) == b"same" for r in got if r["dims"] == 4) <= 40
+
+
 def test_op4_spares_products(spark):
     """Clustered vectors: most candidates are never multiplied."""
     rng = np.random.default_rng(8)
