@@ -197,13 +197,8 @@ def _with_stated(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> Dat
 RATES = "array<struct<pct: decimal(6,2), amount: decimal(18,2)>>"
 
 
-def effective_map(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
-    """invoice, pct, amount: the tax by rate that holds for an invoice.
-
-    The stated map, but one stated rate gives way to a header that differs; else the header under the lines' one rate or
-    21; else the lines' suggested tax. Invoices whose lines are all exempt or not taxed have none.
-    """
-    f = _with_stated(lines, headers, stated)
+def _holding() -> Column:
+    """The list of pct and amount that effective_map tells, from the facts of _with_stated."""
     h, s, by_line = F.coalesce("header_vat", F.lit(0)), F.col("stated"), F.col("by_line")
     total = F.aggregate(s, F.lit(0).cast("decimal(28,2)"), lambda a, x: (a + x["amount"]).cast("decimal(28,2)"))
     differs = (h > 0) & (F.abs(total - h) > tolerance(total)) & F.col("mode").isin("header", "mixed") & (F.size(s) == 1)
@@ -217,7 +212,17 @@ def effective_map(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> Da
         .when(F.size(by_line) > 0, suggested)
         .when(h > 0, one(usual))
     )
-    return f.select("invoice", F.explode(rates.cast(RATES)).alias("r")).select("invoice", "r.pct", "r.amount")
+    return rates.cast(RATES)
+
+
+def effective_map(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
+    """invoice, pct, amount: the tax by rate that holds for an invoice.
+
+    The stated map, but one stated rate gives way to a header that differs; else the header under the lines' one rate or
+    21; else the lines' suggested tax. Invoices whose lines are all exempt or not taxed have none.
+    """
+    f = _with_stated(lines, headers, stated)
+    return f.select("invoice", F.explode(_holding()).alias("r")).select("invoice", "r.pct", "r.amount")
 
 
 def reconciled(lines: DataFrame, headers: DataFrame, stated: DataFrame) -> DataFrame:
@@ -262,3 +267,26 @@ def expected_by_id(lines: DataFrame, headers: DataFrame, slots: DataFrame, rate_
     by_slot = slots.join(label_ids, "label").select("invoice", "tax_id", F.col("amount").cast(D).alias("amount"))
     both = by_rate.unionByName(by_slot).groupBy("invoice", "tax_id").agg(F.sum("amount").alias("amount"))
     return both.where("amount > 0")
+
+
+def expected_taxes(lines: DataFrame, headers: DataFrame, stated: DataFrame, slots: DataFrame, rate_ids: DataFrame, label_ids: DataFrame, other_ids: DataFrame) -> DataFrame:
+    """invoice, tax_id, amount: the tax that an invoice is to have under each tax id, to the cent, positive ones.
+
+    With mode line, unless the header was edited, the lines' effective tax by rate; else the map that holds (effective_map).
+    To this come the slots: by label, and where that is blank or unknown by the row's other taxes in turn (slot_ids).
+    rate_ids: pct, tax_id; a rate without an id falls away. Invoices without a content line have none.
+    """
+    f = _with_stated(lines, headers, stated).where("filled > 0")
+    wide = "array<struct<pct: decimal(6,2), amount: decimal(28,6)>>"
+    by_line = F.transform("by_line", lambda x: F.struct(x["pct"].alias("pct"), x["effective"].alias("amount"))).cast(wide)
+    rates = F.when((F.col("mode") == "line") & ~F.col("fixed"), by_line).otherwise(_holding().cast(wide))
+    by_rate = f.select("invoice", F.explode(rates).alias("r")).select("invoice", "r.pct", "r.amount").where("amount > 0")
+    by_rate = by_rate.join(rate_ids.select(F.col("pct").cast("decimal(6,2)").alias("pct"), "tax_id"), "pct").select("invoice", "tax_id", "amount")
+    by_slot = slot_ids(slots, label_ids, other_ids).join(f.select("invoice"), "invoice", "left_semi")
+    both = by_rate.unionByName(by_slot.select("invoice", "tax_id", F.col("amount").cast("decimal(28,6)").alias("amount")))
+    return both.groupBy("invoice", "tax_id").agg(F.round(F.sum("amount"), 2).cast(D).alias("amount")).where("amount > 0")
+
+
+def process_total(totals: DataFrame, process: DataFrame) -> DataFrame:
+    """process, invoices, total: the sum of the invoices' totals (totals: invoice, total; process: invoice, process)."""
+    return process.join(totals.select("invoice", "total"), "invoice").groupBy("process").agg(F.count("*").alias("invoices"), F.sum("total").alias("total"))

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similar
-from ..operators import changes, conditions, lookup, order, purchase, rematch
+from ..operators import changes, conditions, lookup, order, purchase, rematch, sync, tax
 from ..sources.files import cut, scratch, table
 from ..sources.paged import read_pages, write_pages
 from ..streaming import writes
-from .catalogue import _baskets
-from .proxies import LINES_SQL, lines
-from .registered import query
+from .catalogue import _SLOTS_SQL, _STATED_SQL, HEADERS_SQL, _baskets, _slots, _stated
+from .proxies import LINES_SQL, headers, lines
+from .registered import doubles, query
 
 #: A registry of offers: part, brand and the supplier's nation, each with its smallest line; and what was typed for parts.
 _OFFERS_SQL = """with offers as (select upper(p_name || ' ' || p_brand || ' ' || n_name) as r, min(l_orderkey * 10 + l_linenumber) as id from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1),
@@ -154,3 +154,103 @@ def paged_orders(spark: SparkSession, d: str) -> DataFrame:
     write_pages(o, path, "o_orderkey", 500)
     some = read_pages(spark, path, 700, 2500).withColumn("part", F.lit("range"))
     return some.unionByName(read_pages(spark, path, descending=True, limit=150).withColumn("part", F.lit("last")))
+
+
+# Taxes and plans of whole imports
+
+
+#: A stated map for some invoices, header amounts edited on some, and a slot with an unknown label that takes tax 81.
+_EXPECTED_SQL = HEADERS_SQL + _STATED_SQL + f""", {_SLOTS_SQL}, pick as (select *, case when zero then 'none' when sn > 0 then case when hv > 0 and abs(total - hv) > greatest(0.02, total * 0.001) and mode <> 'line' and sn = 1 then 'one' else 'stated' end
+  when mode = 'header' and hv > 0 then 'header' when n > 0 then 'own' when hv > 0 then 'header' else 'none' end as how from f where filled > 0),
+held as (select invoice, spct as pct, hv as amount from pick where how = 'one' union all select pick.invoice, st.pct, st.amount from pick join st on st.invoice = pick.invoice where how = 'stated'
+  union all select invoice, case when n = 1 then opct else 21 end, hv from pick where how = 'header' union all select pick.invoice, own.pct, round(own.s, 2) from pick join own on own.invoice = pick.invoice where how = 'own' and own.pct is not null),
+due as (select p.invoice, own.pct, own.e as amount from pick p join own on own.invoice = p.invoice where p.mode = 'line' and not p.fixed and own.pct is not null
+  union all select h.invoice, h.pct, h.amount from held h join pick p on p.invoice = h.invoice where p.mode <> 'line' or p.fixed),
+ids as (select invoice, case pct when 10.5 then 62 when 21 then 63 when 27 then 65 end as tax_id, cast(amount as decimal(28,6)) as amount from due where amount > 0
+  union all select s.invoice, case label when 'P. IIBB CABA' then 70 when 'P. IVA' then 63 else 81 end, cast(s.amount as decimal(28,6)) from slots s join pick on pick.invoice = s.invoice),
+expected as (select invoice, tax_id, cast(round(sum(amount), 2) as decimal(18,2)) as amount from ids group by all having sum(amount) > 0)"""
+
+
+def _expected(spark: SparkSession, d: str) -> DataFrame:
+    rates = spark.createDataFrame([("10.5", 62), ("21", 63), ("27", 65)], "pct string, tax_id int")
+    labels = spark.createDataFrame([("P. IIBB CABA", 70), ("P. IVA", 63)], "label string, tax_id int")
+    s = _slots(spark, d).withColumn("pos", F.lit(0))
+    own = s.select("invoice", "pos").distinct().withColumn("ids", F.array(F.lit(81)))
+    return tax.expected_taxes(*_stated(spark, d), s, rates, labels, own)
+
+
+@query("expected_taxes", _EXPECTED_SQL + " select invoice, tax_id, cast(amount as double) as amount from expected where amount > 0")
+def expected_taxes(spark: SparkSession, d: str) -> DataFrame:
+    return doubles(_expected(spark, d), "amount")
+
+
+@query("process_totals", HEADERS_SQL + """, t as (select m.invoice, cast(round(case when mode = 'header' and coalesce(sub, 0) > 0 then sub else bases end, 2) as decimal(18,2)) + cast(case when mode = 'line' then round(e, 2) else coalesce(a, hv, 0) end as decimal(18,2)) as total from m left join (select invoice, sum(amount) as a from split group by 1) x on m.invoice = x.invoice)
+select o_custkey as process, count(*) as invoices, cast(sum(total) as double) as total from t join orders on o_orderkey = invoice group by 1""")
+def process_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Each partner's invoices as a process."""
+    of = table(spark, d, "orders").select(F.col("o_orderkey").alias("invoice"), F.col("o_custkey").alias("process"))
+    return doubles(tax.process_total(tax.totals(lines(spark, d), headers(spark, d)), of), "total")
+
+
+def _import(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, sync.State]:
+    """Rows of an import, the taxes they are to have, and bills that differ from them in places."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("invoice"), "o_custkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"))
+    li = lines(spark, d).join(o, "invoice")
+    first = lambda c: F.when(F.col("pos") == 0, c).otherwise(F.lit("") if not isinstance(c, str) else c)
+    rows = li.select(
+        "invoice", "pos", F.col("o_custkey").alias("partner"), F.lit(3).cast("long").alias("journal"), first(F.concat(F.lit("1-"), F.col("invoice").cast("string"))).alias("number"), first(F.col("day")).alias("date"), F.lit("").alias("due"),
+        F.col("l_returnflag").alias("name"), "qty", "price", F.col("l_partkey").alias("product"), F.lit(None).cast("long").alias("unit"), F.col("l_suppkey").alias("account"), F.col("l_partkey").alias("po_line"),
+        F.when(F.col("l_partkey") % 2 == 0, F.concat(F.lit("P"), F.col("o_custkey").cast("string"))).alias("order_name"), F.lit("").alias("chosen"), ((F.col("pos") == 0) & (F.col("invoice") % 3 == 0)).alias("overwrite"), F.lit(True).alias("is_content"),
+    )
+    k = F.col("invoice") % 4
+    have = o.select("invoice", F.col("o_custkey").alias("partner"), F.when(k == 0, 2).otherwise(3).cast("long").alias("journal"), F.when(k != 1, F.concat(F.lit("1-"), F.col("invoice").cast("string"))).alias("number"), F.col("iso").alias("date"), F.when(k == 2, "2030-01-01").otherwise(F.col("iso")).alias("due"), F.lit(None).cast("string").alias("origin"))
+    kept = li.select(
+        "invoice", (F.col("invoice") * 100 + F.col("pos")).alias("id"), (10 + F.col("pos")).alias("sequence"), F.when(F.col("pos") % 2 == 0, F.col("l_returnflag")).otherwise("old").alias("name"),
+        (F.col("qty") + F.when(F.col("pos") % 3 == 0, 1).otherwise(0)).cast("decimal(20,6)").alias("qty"), F.col("price").cast("decimal(20,6)").alias("price"), F.when(F.col("l_partkey") % 5 > 0, F.col("l_partkey")).alias("product"), F.col("l_suppkey").alias("account"), F.when(F.col("pos") % 2 == 1, F.col("l_partkey")).alias("po_line"),
+    )
+    expected = cut(_expected(spark, d))
+    off = F.when(F.col("tax_id") == 63, F.col("amount") - 1).otherwise(F.col("amount")).cast("decimal(18,2)")
+    taxes = expected.where("(invoice + tax_id) % 4 <> 0").select("invoice", (F.col("invoice") * 100 + F.col("tax_id")).alias("id"), "tax_id", off.alias("amount"))
+    orders = table(spark, d, "part").where("p_size % 5 > 0").select(F.col("p_partkey").alias("po_line"), F.col("p_retailprice").cast("decimal(12,2)").alias("price"))
+    return rows, expected, sync.State(have, kept, taxes, orders)
+
+
+#: A line's link is its part, if orders have it and no earlier line of the invoice took it.
+_IMPORT_SQL = _EXPECTED_SQL + """, r as (select l.*, o_custkey, strftime(o_orderdate, '%Y-%m-%d') as iso, p_partkey is not null as known, row_number() over (partition by invoice, l_partkey order by pos) as nth from lines l join orders on o_orderkey = invoice left join part on p_partkey = l_partkey and p_size % 5 > 0),
+org as (select invoice, max(case when l_partkey % 2 = 0 then 'P' || o_custkey end) as origin from r group by 1),
+w as (select *, case when known and nth = 1 then l_partkey end as link from r),
+paid as (select link, arg_max(price, invoice * 100 + pos) as price, arg_max(invoice, invoice * 100 + pos) as inv from w where link is not null and invoice % 3 = 0 group by 1),
+last as (select link, max(invoice) as inv from w where link is not null group by 1),
+c as (select distinct h.invoice, 0 as step, 'bill' as target, field, value from (select distinct invoice, o_custkey, iso from r) h join org using (invoice), lateral (values ('journal', case when h.invoice % 4 = 0 then '3' end), ('number', case when h.invoice % 4 = 1 then '1-' || h.invoice end), ('due', case when h.invoice % 4 = 2 then iso end), ('origin', nullif(coalesce(origin, ''), ''))) f(field, value) where value is not null
+  union all select invoice, 2, cast(invoice * 100 + pos as varchar), 'name', l_returnflag from r where pos % 2 = 1
+  union all select invoice, 2, cast(invoice * 100 + pos as varchar), 'qty', cast(cast(qty as decimal(20,6)) as varchar) from r where pos % 3 = 0
+  union all select invoice, 2, cast(invoice * 100 + pos as varchar), 'product', cast(l_partkey as varchar) from r where l_partkey % 5 = 0 and l_partkey > 0
+  union all select invoice, 3, cast(invoice * 100 + pos as varchar), 'po_line', coalesce(cast(link as varchar), '') from w where link is distinct from case when pos % 2 = 1 then l_partkey end
+  union all select last.inv, 5, cast(paid.link as varchar), 'price', cast(cast(paid.price as decimal(20,6)) as varchar) from paid join last using (link) join part on p_partkey = paid.link where abs(cast(p_retailprice as decimal(12,2)) - paid.price) > 0.001
+  union all select invoice, 6, cast(invoice * 100 + tax_id as varchar), 'amount', cast(amount as varchar) from expected where amount > 0 and tax_id = 63 and (invoice + 63) % 4 <> 0)"""
+
+_HEADER = ["partner", "journal", "number", "date", "due"]
+
+
+@query("sync_plan", _IMPORT_SQL + " select invoice, step, target, field, value, row_number() over (partition by invoice order by step, target, field) - 1 as nth from c")
+def sync_plan(spark: SparkSession, d: str) -> DataFrame:
+    """All that must be written to bring the bills to the import, composed from its rows."""
+    rows, expected, state = _import(spark, d)
+    return sync.composed(rows, expected, state, _HEADER)
+
+
+@query("sync_replayed", _IMPORT_SQL + " select invoice, invoice * 100 + pos as id, l_returnflag as name, cast(qty as double) as qty, cast(price as double) as price, nullif(l_partkey, 0) as product, l_suppkey as account, link as po_line from w")
+def sync_replayed(spark: SparkSession, d: str) -> DataFrame:
+    """The bills' lines after the plan: those of the import."""
+    rows, expected, state = _import(spark, d)
+    after = sync.replayed(state, cut(sync.composed(rows, expected, state, _HEADER)))
+    return doubles(after.lines.drop("sequence"), "qty", "price")
+
+
+@query("sync_left", _IMPORT_SQL + " select count(*) as planned, 0 as left_over from c")
+def sync_left(spark: SparkSession, d: str) -> DataFrame:
+    """How many writes the plan has, and how many a second plan finds after it: none."""
+    rows, expected, state = _import(spark, d)
+    plan = cut(sync.composed(rows, expected, state, _HEADER))
+    again = sync.composed(rows, expected, sync.replayed(state, plan), _HEADER)
+    return plan.agg(F.count("*").alias("planned")).join(again.agg(F.count("*").cast("int").alias("left_over")), F.lit(True))
