@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 MONEY = "decimal(20,6)"
 
 
+def _bare(c: Column) -> Column:
+    """Without white space of any kind around it."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def _number(t: Column) -> Column:
-    return F.when(t.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), t).try_cast(MONEY)
+    return F.when(t.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?$"), t).try_cast(MONEY)
 
 
 def amount(c: Column) -> Column:
     """A comma is the decimal point; null if the rest is no number."""
-    return _number(F.replace(F.trim(c), F.lit(","), F.lit(".")))
+    return _number(F.replace(_bare(c), F.lit(","), F.lit(".")))
 
 
 def loose_amount(c: Column) -> Column:
@@ -25,7 +30,7 @@ def loose_amount(c: Column) -> Column:
     that put both: they fall away, so '350.0,00' is 350 and '12.5,75' is 12.75. Inner blanks and signs of money make
     it no number.
     """
-    t = F.trim(c)
+    t = _bare(c)
     mixed = t.rlike(r"^[+-]?\d+\.\d{1,2},\d+$")
     comma = t.contains(",")
     plain = F.regexp_replace(t, r"\.", "")
@@ -66,7 +71,7 @@ def quantity_and_price(qty: Column, price: Column, net: Column) -> tuple[Column,
 
 def number_or_zero(c: Column) -> Column:
     """As a form reads a number: dots before a comma, or several dots, are thousands; anything that is no number is 0."""
-    t = F.trim(c)
+    t = _bare(c)
     several = (F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))) > 1
     plain = F.when(t.contains(","), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(several | t.rlike(r"^[+-]?\d{1,3}\.\d{3}$"), F.replace(t, F.lit("."), F.lit(""))).otherwise(t)
     return F.coalesce(_number(plain), F.lit(0).cast(MONEY))

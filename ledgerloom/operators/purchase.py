@@ -40,6 +40,33 @@ def basket_rank(invoice_lines: DataFrame, order_lines: DataFrame, threshold: flo
     return each.withColumn("nth", F.row_number().over(by))
 
 
+def fitted_rank(invoice_lines: DataFrame, order_lines: DataFrame, threshold: float = 70.0, with_code: float = 75.0) -> DataFrame:
+    """invoice, order, matched, score, mean, nth: orders of an invoice's partner by how well their lines fit (line_fit).
+
+    invoice_lines: invoice, partner, line, code, name, qty; order_lines: order, partner, po_line, name, qty. A line counts
+    with its best order line if that reaches the threshold, with_code for a line with a code; mean is the score over all
+    the invoice's lines. Every order of the partner is listed. Each distinct code and name is scored once with each distinct
+    name of an order, whosever they are, and of each order's names only the best per line meets the lines again. Two
+    scores are kept a pair, for an equal quantity and for another one.
+    """
+    i = invoice_lines.select("invoice", "partner", "line", F.coalesce("code", F.lit("")).alias("code"), F.coalesce("name", F.lit("")).alias("q"), F.coalesce("qty", F.lit(0)).alias("__q"))
+    p = order_lines.select("order", "partner", F.coalesce("name", F.lit("")).alias("r"), F.coalesce("qty", F.lit(0)).alias("__r")).distinct()
+    asked = i.select("partner", "code", "q").distinct().join(p.select("partner", "r").distinct(), "partner").select("code", "q", "r").distinct()
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number keeps few but costly pairs apart
+    scored = asked.repartition(parts).withColumn("s", line_fit(F.col("code"), F.col("q"), F.lit(None).cast("decimal(4,2)"), F.col("r"), F.lit(1)))
+    enough = F.when(F.trim("code") != "", with_code).otherwise(threshold)
+    # An equal quantity alone gives 55, which never is enough: where it could, the pair has that score at least.
+    least = F.lit(55.0) if min(threshold, with_code) <= 55 else F.lit(0.0)
+    met = i.join(p, "partner").join(scored, ["code", "q", "r"])
+    same = (F.col("__r") != 0) & (F.abs(F.col("__q") - F.col("__r")) <= 0.01) & (text.normalize(F.col("r")) != "")
+    best = met.groupBy("invoice", "order", "line", "code").agg(F.max(F.when(same, F.greatest("s", least)).otherwise(F.col("s"))).alias("s"))
+    hit = F.col("s") >= enough
+    total = F.coalesce(F.sum(F.when(hit, F.col("s").cast("decimal(12,4)"))), F.lit(0))
+    each = best.groupBy("invoice", "order").agg(F.count(F.when(hit, 1)).alias("matched"), F.round(total, 1).cast("double").alias("score"), F.round(total.cast("double") / F.count("*"), 1).alias("mean"))
+    by = Window.partitionBy("invoice").orderBy(F.desc("matched"), F.desc("score"), "order")
+    return each.withColumn("nth", F.row_number().over(by))
+
+
 def selected_order(ranked: DataFrame, saved: DataFrame) -> DataFrame:
     """invoice, order, kept: the saved choice if it is still among the candidates, else the best candidate.
 

@@ -23,7 +23,7 @@ def violations(rows: DataFrame, keys: list[str], numeric: list[str], days: list[
     """
 
     def there(c: str) -> Column:
-        return F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+        return text.normalize(F.col(c)) != ""
 
     content = there("name")
     for c in numeric:

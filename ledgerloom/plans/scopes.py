@@ -146,6 +146,14 @@ def rematched_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rematch.stored(spark, path)
 
 
+@query("po_fitted_rank")
+def po_fitted_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of each invoice's partner by the score of their lines; names as a scanner reads them, codes on some lines."""
+    invoices, orders = _baskets(spark, d)
+    code = F.when(F.col("line") % 5 == 0, F.col("name")).otherwise("")
+    return purchase.fitted_rank(invoices.withColumn("code", code).withColumn("name", F.translate("name", "OI", "01")), orders)
+
+
 @query("paged_orders", "(select o_orderkey, o_custkey, o_totalprice, 'range' as part from orders where o_orderkey >= 700 and o_orderkey < 2500) union all (select o_orderkey, o_custkey, o_totalprice, 'last' from orders order by o_orderkey desc limit 150)")
 def paged_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders written as pages by key, of which a range and the last ones are read."""

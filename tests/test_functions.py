@@ -121,3 +121,10 @@ def test_basket_rank_means(spark):
     theirs = spark.createDataFrame([(10, 7, 1, "PAPER"), (10, 7, 2, "PEN"), (20, 7, 1, "PENS"), (30, 8, 1, "PEN")], "order int, partner int, po_line int, name string")
     got = {tuple(r) for r in purchase.basket_rank(mine, theirs).select("invoice", "order", "matched", "score", "mean", "nth").collect()}
     assert got == {(1, 10, 2, 200.0, 66.7, 1), (1, 20, 1, 75.0, 25.0, 2)}
+
+
+def test_numbers_with_white_space_and_exponents(spark):
+    rows = [("\t12,5", 12.5, 12.5), (" 7\r\n", 7.0, 7.0), ("1e3", 1000.0, 1000.0), ("2,5E-1", 0.25, 0.25), ("1 2", None, None), ("", None, None), ("e3", None, None), (" 1.657.755 ", None, 1657755.0), ("1e999", None, None)]
+    df = spark.createDataFrame([(t,) for t, _, _ in rows], "t string")
+    got = df.select(numbers.amount(F.col("t")).cast("double").alias("a"), numbers.loose_amount(F.col("t")).cast("double").alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(a, b) for _, a, b in rows]

@@ -258,3 +258,83 @@ def test_pages_open_only_what_is_needed(spark):
     assert sorted(r["x"] for r in paged.read_pages(spark, path).where("id in (4, 1000) or x = 60").collect()) == [12, 60, 3000]
     reader = paged.PagedSource({"path": path, "limit": "150"}).reader(df.schema)
     assert len(reader.partitions()) == 2
+
+
+def fit_by_hand(code, q, r):
+    """line_fit without quantities, by the plain scores."""
+    clean = lambda t: " ".join(t.split()).upper()
+    if not clean(r):
+        return 0.0
+    k, n = clean(code), clean(r)
+    if k and k not in ("1", "NO DISPONIBLE", "NONE", "NULL") and (k in n or n in k):
+        return 100.0 if k == n else 92.0
+    d = clean(q)
+    seen = d.translate(str.maketrans("015", "OIS"))
+    first, second = (round(similar.token_set_ratio(t, n), 4) for t in (d, seen))
+    if first >= 80 or second >= 80:
+        return first if first >= 80 else second
+    return max(first, second, *(round(similar.partial_ratio(t, n), 4) for t in (d, seen)))
+
+
+def test_orders_are_ranked_by_the_score_of_their_lines(spark):
+    from ledgerloom.operators import purchase
+
+    r = random.Random(9)
+    names = ["ACERO VERDE", "VERDE ACERO 12", "TORNILLO ROJO", "T0RNILLO", "PINTURA", "PINTURAS AZULES", "CABLE"]
+    i = [(v, v % 2, line, r.choice(["", "", "CABLE"]), r.choice(names), 3.0) for v in range(8) for line in range(r.randrange(1, 5))]
+    o = [(100 + k, k % 2, n, r.choice([*names, ""]), r.choice([3.0, 4.0])) for k in range(10) for n in range(r.randrange(1, 4))]
+    got = purchase.fitted_rank(spark.createDataFrame(i, "invoice long, partner long, line int, code string, name string, qty double"), spark.createDataFrame(o, "order long, partner long, po_line int, name string, qty double"))
+    from ledgerloom.functions import text
+
+    words = {(a, b): f for a, b, f in _holds(spark, text, [x[4] for x in i], [x[3] for x in o])}
+    want = set()
+    for v in {x[0] for x in i}:
+        mine, rows = [x for x in i if x[0] == v], []
+        for order_ in {x[0] for x in o if x[1] == v % 2}:
+            best = [max(max(fit_by_hand(x[3], x[4], y[3]), 75.0 if y[3] and words[x[4], y[3]] and fit_by_hand(x[3], x[4], y[3]) < 75 else 0.0) for y in o if y[0] == order_) for x in mine]
+            good = [s for s, x in zip(best, mine, strict=True) if s >= (75 if x[3] else 70)]
+            rows.append((-len(good), -round(sum(good), 1), order_))
+        want |= {(v, x[2], -x[0], -x[1], n) for n, x in enumerate(sorted(rows), 1)}
+    assert {(x["invoice"], x["order"], x["matched"], x["score"], x["nth"]) for x in got.collect()} == want
+
+
+def _holds(spark, text, queries, names):
+    """Whether any word of a name (read as letters) holds one of the other, for all pairs."""
+    rows = spark.createDataFrame([(a, b) for a in set(queries) for b in set(names)], "q string, r string")
+    words = [text.tokens(text.repair_scan(F.col("q"))), text.tokens(text.label_key(F.col("r")))]
+    return [tuple(x) for x in rows.select("q", "r", F.exists(words[0], lambda a: F.exists(words[1], lambda b: a.contains(b) | b.contains(a)))).collect()]
+
+
+def test_plan_reaches_the_wanted_state(spark):
+    from ledgerloom.operators import sync
+
+    rows = spark.createDataFrame(
+        [
+            (1, 0, 7, 3, "1-1", "2/1/2024", "", "bolt", 2, 10, 5, None, 40, 900, "P7", "", True, True),
+            (1, 1, None, None, "", "", "", "nut", -1, None, None, None, 41, 900, "P8", "", False, True),
+            (1, 2, None, None, "", "", "", " ", None, 3, 6, None, None, 999, "", "", False, True),
+            (2, 0, 8, 3, "", "", "", "pin", 1, 1, None, None, 40, None, "", "", False, True),
+        ],
+        "invoice long, pos int, partner long, journal long, number string, date string, due string, name string, qty int, price int, product long, unit long, account long, po_line long, order_name string, chosen string, overwrite boolean, is_content boolean",
+    )
+    state = sync.State(
+        spark.createDataFrame([(1, 7, 2, None, "2024-01-02", None, "old"), (2, 8, 3, "kept", None, None, "old")], "invoice long, partner long, journal long, number string, date string, due string, origin string"),
+        spark.createDataFrame([(1, 12, 1, "bolt", 2, 9, None, 40, None), (1, 11, 2, "nut", 1, 0, 77, 40, 900), (1, 13, 3, "x", 1, 3, 6, None, 999), (2, 21, 1, "pin", 1, 1, None, 40, None)], "invoice long, id long, sequence int, name string, qty int, price int, product long, account long, po_line long"),
+        spark.createDataFrame([(1, 31, 63, 5), (1, 32, 70, 4)], "invoice long, id long, tax_id int, amount int"),
+        spark.createDataFrame([(900, 3)], "po_line long, price int"),
+    )
+    money = lambda df, *names: df.withColumns({c: F.col(c).cast("decimal(20,6)") for c in names})
+    state = sync.State(state.bills, money(state.lines, "qty", "price"), money(state.taxes, "amount"), money(state.orders, "price"))
+    expected = spark.createDataFrame([(1, 63, 9), (1, 70, 4), (1, 81, 2)], "invoice long, tax_id int, amount int")
+    plan, left = sync.pending(rows, expected, state, ["partner", "journal", "number", "date", "due"])
+    got = {(r["invoice"], r["step"], r["target"], r["field"], r["value"].rstrip("0").rstrip(".") if "." in r["value"] else r["value"]) for r in plan.collect()}
+    assert got == {
+        (1, 0, "bill", "journal", "3"), (1, 0, "bill", "number", "1-1"), (1, 0, "bill", "due", "2024-01-02"), (1, 0, "bill", "origin", "P7, P8"), (2, 0, "bill", "origin", ""),
+        (1, 2, "12", "price", "10"), (1, 2, "12", "product", "5"), (1, 2, "11", "account", "41"), (1, 2, "13", "name", "Línea importada"),
+        (1, 3, "12", "po_line", "900"), (1, 3, "11", "po_line", ""), (1, 3, "13", "po_line", ""), (1, 5, "900", "price", "10"), (1, 6, "31", "amount", "9"),
+    }
+    assert left.count() == 0
+    after = sync.replayed(state, plan)
+    assert {tuple(r) for r in after.lines.select("id", "price", "po_line").collect()} == {(12, 10, 900), (11, 0, None), (13, 3, None), (21, 1, None)}
+    assert after.orders.first()["price"] == 10 and {r["amount"] for r in after.taxes.collect()} == {9, 4}
+    assert sync.replayed(state, plan.where("false")).lines.collect() == state.lines.collect()
