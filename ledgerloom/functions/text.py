@@ -116,6 +116,20 @@ def receipt_label(c: Column) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", RECEIPTS["full"]).otherwise(F.coalesce(table[c], c))
 
 
+#: What users and forms write for yes.
+YES = ("1", "true", "yes", "si", "sí", "on")
+
+
+def truthy(c: Column) -> Column:
+    """Whether a text or a boolean says yes; blank and null do not."""
+    return F.lower(normalize(c.cast("string"))).isin(*YES)
+
+
+def deliver_to(address: Column, picking: Column) -> Column:
+    """Where an order is delivered: the label of its address, else of its picking type, as [id, label] texts; blank without one."""
+    return F.coalesce(*[F.nullif(normalize(reference(c)[1]), F.lit("")) for c in (address, picking)], F.lit(""))
+
+
 def slot_name(n: Column, amount: bool = False) -> Column:
     """The column of the n-th other tax or of its amount; the first has no number."""
     number = F.when(n > 1, F.concat(F.lit("_"), n.cast("string"))).otherwise("")

@@ -163,6 +163,16 @@ def cleared_footers(lines: DataFrame, headers: DataFrame) -> DataFrame:
     return made.select(*headers.columns, F.col("__z").alias("cleared"))
 
 
+def cleared_lines(lines: DataFrame) -> DataFrame:
+    """The lines; where all content lines of an invoice say that there is no tax, those that say so lose their own tax and edit mark."""
+    flags = line_flags(lines).select("invoice", F.col("all_zero").alias("__z"))
+    gone = F.col("__z") & _flag(lines, "zero")
+    made = lines.join(flags, "invoice").withColumn("vat", F.when(~gone, F.col("vat")))
+    if "manual" in lines.columns:
+        made = made.withColumn("manual", F.col("manual") & ~gone)
+    return made.select(*lines.columns)
+
+
 def totals(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """invoice, mode, base, vat, total, total_stated and the warnings base_differs and vat_differs of each header."""
     j = _facts(lines, headers)

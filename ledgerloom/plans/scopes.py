@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import similar
-from ..operators import changes, conditions, lookup, order, purchase, rematch, sync, tax
+from ..functions import similar, text
+from ..operators import changes, conditions, lookup, order, purchase, rematch, sync, tax, taxids
 from ..sources.files import cut, scratch, table
 from ..sources.paged import read_pages, write_pages
 from ..streaming import writes
@@ -192,6 +192,21 @@ def expected_taxes(spark: SparkSession, d: str) -> DataFrame:
     return doubles(_expected(spark, d), "amount")
 
 
+@query("cleared_lines", f"""with {LINES_SQL}, z as (select invoice from lines group by 1 having bool_and(pct = 0)) select l.invoice, l.pos, cast(case when z.invoice is null then vat end as double) as vat, z.invoice is null and l.pos = 0 as manual from lines l left join z on z.invoice = l.invoice""")
+def cleared_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = lines(spark, d).withColumns({"zero": F.col("pct") == 0, "manual": F.col("pos") == 0})
+    return doubles(tax.cleared_lines(rows).select("invoice", "pos", "vat", "manual"), "vat")
+
+
+@query("flags_and_places", """select c_custkey, c_custkey % 8 < 6 as yes, case c_custkey % 4 when 0 then c_name when 1 then c_mktsegment else '' end as place from customer""")
+def flags_and_places(spark: SparkSession, d: str) -> DataFrame:
+    said = F.element_at(F.array(*[F.lit(x) for x in ("1", " TRUE", "yes\t", "Si", "SÍ", "on", "no", None)]), (F.col("c_custkey") % 8 + 1).cast("int"))
+    pair = lambda c: F.to_json(F.array(F.lit("7"), c))
+    k = F.col("c_custkey") % 4
+    place = text.deliver_to(F.when(k == 0, pair(F.col("c_name"))).otherwise("false"), F.when(k < 2, pair(F.col("c_mktsegment"))).when(k == 2, "9"))
+    return table(spark, d, "customer").select("c_custkey", F.coalesce(text.truthy(said), F.lit(False)).alias("yes"), place.alias("place"))
+
+
 @query("process_totals", HEADERS_SQL + """, t as (select m.invoice, cast(round(case when mode = 'header' and coalesce(sub, 0) > 0 then sub else bases end, 2) as decimal(18,2)) + cast(case when mode = 'line' then round(e, 2) else coalesce(a, hv, 0) end as decimal(18,2)) as total from m left join (select invoice, sum(amount) as a from split group by 1) x on m.invoice = x.invoice)
 select o_custkey as process, count(*) as invoices, cast(sum(total) as double) as total from t join orders on o_orderkey = invoice group by 1""")
 def process_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +215,18 @@ def process_totals(spark: SparkSession, d: str) -> DataFrame:
     return doubles(tax.process_total(tax.totals(lines(spark, d), headers(spark, d)), of), "total")
 
 
+@query("tax_options_of_nations", """with l as (select s_suppkey as pos, n_nationkey as id, 'Tax ' || n_name || case when s_suppkey % 3 = 0 then ' Sufrida' else ' SUFRIDA' end as label from supplier join nation on n_nationkey = s_nationkey where s_suppkey % 5 > 0 and n_nationkey % 4 > 0),
+k as (select id, label, pos from l qualify row_number() over (partition by id order by case when label like '%Sufrida' then 0 else 1 end, case when label like '%Sufrida' then -pos else pos end) = 1)
+select id, label, pos from k union all select n_nationkey, 'Tax ' || n_name || ' sufrida', null from nation where n_nationkey not in (select id from k)""")
+def tax_options_of_nations(spark: SparkSession, d: str) -> DataFrame:
+    """A tax for each nation, and labels that the suppliers of most nations give theirs."""
+    n = table(spark, d, "nation")
+    kind = F.when(F.col("s_suppkey") % 3 == 0, " Sufrida").otherwise(" SUFRIDA")
+    given = table(spark, d, "supplier").where("s_suppkey % 5 > 0").join(n.where("n_nationkey % 4 > 0"), F.col("n_nationkey") == F.col("s_nationkey"))
+    labels = given.select(F.col("s_suppkey").alias("pos"), F.concat(F.lit("Tax "), "n_name", kind).alias("label"))
+    return taxids.options(labels, n.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Tax "), "n_name", F.lit(" sufrida")).alias("name")))
+
+
 def _import(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, sync.State]:
     """Rows of an import, the taxes they are to have, and bills that differ from them in places."""
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("invoice"), "o_custkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"))
