@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similar, text
 from ..sources.files import cut
-from . import lookup
+from . import doctypes, lookup
 from .order import first_per_key, numbered
 
 #: Fixed value: the format of an envelope.
@@ -105,6 +105,34 @@ def remapped(headers: DataFrame, partners: DataFrame, registry: DataFrame, lists
     return h.drop("__d", "__by_doc", "__by_name", "__new")
 
 
+def remapped_accounts(headers: DataFrame, accounts: DataFrame, threshold: float = 65.0, score: Callable[[Column, Column], Column] = similar.weighted) -> DataFrame:
+    """invoice and account of each saved invoice in another tenant's accounts.
+
+    headers: invoice, account, label (the account's code and name that the registry has for the supplier, null or blank
+    for none); accounts: id, code, name. An account is found by its label (lookup.by_similar_name: in full, by name, by
+    code, by the most similar name, then code and name); what is not found stays as it is.
+    """
+    asked = headers.where(text.normalize(F.col("label")) != "").select("invoice", "label")
+    found = lookup.by_similar_name(asked, "invoice", "label", accounts, threshold, score).select("invoice", F.col("account_id").alias("__to"))
+    return headers.join(found, "invoice", "left").select("invoice", F.coalesce("__to", "account").alias("account"))
+
+
+#: Tax labels, in capitals, of invoices that are of kind C.
+WITHOUT_TAX = ("IVA NO CORRESPONDE", "0", "0%")
+
+
+def remapped_kinds(headers: DataFrame, kinds: DataFrame, order: list[str]) -> DataFrame:
+    """invoice and kind: a saved kind that the catalogue lacks becomes its FACTURAS C where the first line has no tax, else it stays.
+
+    headers: invoice, kind, rate (the first line's tax label); kinds: id, name, code, in order. No kind stays none.
+    """
+    known = kinds.select(F.col("id").alias("__v")).distinct()
+    c = doctypes.by_label(kinds.withColumn("__all", F.lit(0)), ["__all"], order).where("label = 'FACTURAS C'").select(F.col("id").alias("__c"))  # a row at most
+    j = headers.join(known, F.col("kind") == F.col("__v"), "left").join(F.broadcast(c), F.lit(True), "left")
+    stale = F.col("kind").isNotNull() & F.col("__v").isNull() & F.upper(F.trim("rate")).isin(*WITHOUT_TAX)
+    return j.select("invoice", F.when(F.coalesce(stale, F.lit(False)), F.coalesce("__c", "kind")).otherwise(F.col("kind")).alias("kind"))
+
+
 def with_headers(rows: DataFrame, headers: DataFrame, fields: list[str], cleared: list[str]) -> DataFrame:
     """Rows with the partner of their remapped header on each, its fields on the first row, and cleared columns emptied where the partner changed.
 

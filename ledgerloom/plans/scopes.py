@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similar, text
-from ..operators import changes, conditions, lookup, order, purchase, rematch, sync, tax, taxids
+from ..operators import changes, conditions, lookup, order, purchase, rematch, saved, sync, tax, taxids
 from ..sources.files import cut, scratch, table
 from ..sources.paged import read_pages, write_pages
 from ..streaming import writes
@@ -289,3 +289,27 @@ def sync_left(spark: SparkSession, d: str) -> DataFrame:
     plan = cut(sync.composed(rows, expected, state, _HEADER))
     again = sync.composed(rows, expected, sync.replayed(state, plan), _HEADER)
     return plan.agg(F.count("*").alias("planned")).join(again.agg(F.count("*").cast("int").alias("left_over")), F.lit(True))
+
+
+# Saved rows in another tenant's catalogue
+
+
+@query("remapped_accounts", """select c_custkey as invoice, case when c_custkey % 4 < 3 then n_nationkey + 100 else 7 end as account from customer join nation on n_nationkey = c_nationkey""")
+def remapped_accounts(spark: SparkSession, d: str) -> DataFrame:
+    """Accounts named after nations; labels in full, with another code, mistyped, and none."""
+    n = table(spark, d, "nation")
+    accounts = n.select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.concat(F.lit("5.1."), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"))
+    k = F.col("c_custkey") % 4
+    label = F.when(k == 0, F.concat(F.lit("5.1."), F.col("n_nationkey").cast("string"), F.lit(" "), F.lower("n_name"))).when(k == 1, F.concat(F.lit("5.1.99 "), "n_name")).when(k == 2, F.concat("n_name", F.lit("x"))).otherwise(" ")
+    headers = table(spark, d, "customer").join(n, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("invoice"), F.lit(7).cast("long").alias("account"), label.alias("label"))
+    return saved.remapped_accounts(headers, accounts, 65.0, lookup.similarity)
+
+
+@query("remapped_kinds", """select c_custkey as invoice, case when c_custkey % 9 = 8 then null when c_custkey % 9 >= 5 and c_custkey % 3 <> 1 then 1 else c_custkey % 9 end as kind from customer""")
+def remapped_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds by region, of which one is FACTURAS C; saved kinds of which some are not there."""
+    r = F.col("r_regionkey")
+    kinds = table(spark, d, "region").select(r.cast("long").alias("id"), F.when(r == 0, "FACTURAS A").when(r == 1, "Facturas c").otherwise(F.col("r_name")).alias("name"), F.lit("").alias("code"), r.alias("pos"))
+    k = F.col("c_custkey")
+    rate = F.when(k % 3 == 0, "IVA no corresponde ").when(k % 3 == 1, "21").otherwise("0%")
+    return saved.remapped_kinds(table(spark, d, "customer").select(k.alias("invoice"), F.when(k % 9 < 8, k % 9).alias("kind"), rate.alias("rate")), kinds, ["pos"])
