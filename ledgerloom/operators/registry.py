@@ -59,11 +59,26 @@ def sample_values(df: DataFrame, column: str, limit: int, order: Sequence[str])
 
 
 def cleaned(df: DataFrame, keys: Sequence[str], name: str, order: Sequence[str | Column]) -> DataFrame:
-    """Rows with a name, one for each set of keys (the first in order), with nth, their place by name in capitals, then keys."""
+    """Rows with a name, one for each set of keys (the first in order), with sort_key, their name in capitals."""
     once = first_per_key(df.where(_named(name)), list(keys), list(order))
     return once.withColumn("sort_key", text.label_key(F.col(name)))
 
 
+def catalogue(lists: Mapping[str, tuple[DataFrame, Sequence[str], Sequence[str | Column]]]) -> DataFrame:
+    """kind, id (as text), name and sort_key of several lists at once, each cleaned by its own keys and order (lists: id, name)."""
+    made = None
+    for kind, (df, keys, order) in lists.items():
+        one = cleaned(df, keys, "name", order).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), text.normalize(F.col("name")).alias("name"), "sort_key")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def names_or_registry(column: str, registry: DataFrame, *sources: DataFrame) -> DataFrame:
+    """The names of the first source that has any; without one, the distinct names of the registry."""
+    own = [s.where(_named(column)).select(text.normalize(F.col(column)).alias(column)).distinct() for s in (*sources, registry)]
+    return first_filled_source(*own)
+
+
 def first_filled_source(*sources: DataFrame) -> DataFrame:
     """The rows of the first source that has any."""
     both = sources[0].withColumn("__s", F.lit(0))

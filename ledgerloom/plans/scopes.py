@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import similar, text
-from ..operators import changes, conditions, lookup, order, purchase, rematch, saved, sync, tax, taxids
+from ..operators import changes, conditions, lookup, order, purchase, registry, rematch, saved, sync, tax, taxids
 from ..sources.files import cut, scratch, table
 from ..sources.paged import read_pages, write_pages
 from ..streaming import writes
@@ -313,3 +313,45 @@ def remapped_kinds(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     rate = F.when(k % 3 == 0, "IVA no corresponde ").when(k % 3 == 1, "21").otherwise("0%")
     return saved.remapped_kinds(table(spark, d, "customer").select(k.alias("invoice"), F.when(k % 9 < 8, k % 9).alias("kind"), rate.alias("rate")), kinds, ["pos"])
+
+
+# Lists of a catalogue
+
+
+@query("catalogue_lists", """select 'partners' as kind, cast(s_suppkey as varchar) as id, s_name as name, upper(s_name) as sort_key from supplier
+union all select 'journals', cast(r_regionkey as varchar), r_name, upper(r_name) from region union all select 'categories', cast(n_nationkey as varchar), n_name, upper(n_name) from nation
+union all select 'accounts', cast(min(p_partkey) as varchar), p_brand, upper(p_brand) from part group by p_brand
+union all select 'kinds', cast(min(o_orderkey) as varchar), o_orderpriority, upper(o_orderpriority) from orders group by o_orderpriority
+union all select 'products', cast(min(p_partkey) as varchar), p_name, upper(p_name) from part where p_partkey % 10 > 0 group by p_name, p_type""")
+def catalogue_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Six lists, of which some have a name more than once and products of blank name."""
+    part, orders = table(spark, d, "part"), table(spark, d, "orders")
+    one = lambda name, key, label: table(spark, d, name).select(F.col(key).alias("id"), F.col(label).alias("name"))
+    products = part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 10 == 0, " ").otherwise(F.concat(F.lit(" "), "p_name")).alias("name"), "p_type")
+    return registry.catalogue(
+        {
+            "partners": (one("supplier", "s_suppkey", "s_name"), ["id"], ["name"]),
+            "journals": (one("region", "r_regionkey", "r_name"), ["id"], ["name"]),
+            "categories": (one("nation", "n_nationkey", "n_name"), ["id"], ["name"]),
+            "accounts": (part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")), ["name"], ["id"]),
+            "kinds": (orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name")), ["name"], ["id"]),
+            "products": (products, ["name", "p_type"], ["id"]),
+        }
+    )
+
+
+@query("names_or_registry", "select distinct 'empty' as asked, p_brand as name from part union all select distinct 'filled', n_name from nation where n_regionkey = 1")
+def names_or_registry(spark: SparkSession, d: str) -> DataFrame:
+    """With two sources that have no names, and with one that has some."""
+    n, brands = table(spark, d, "nation").select(F.col("n_name").alias("name"), "n_regionkey"), table(spark, d, "part").select(F.col("p_brand").alias("name"))
+    blank = n.withColumn("name", F.lit("  "))
+    empty = registry.names_or_registry("name", brands, n.where("n_regionkey > 90"), blank).withColumn("asked", F.lit("empty"))
+    return empty.unionByName(registry.names_or_registry("name", brands, blank, n.where("n_regionkey = 1"), n).withColumn("asked", F.lit("filled")))
+
+
+@query("filtered_arms", "select 'some' as asked, s_suppkey from supplier where s_nationkey = 3 or not exists (select 1 from supplier where s_nationkey = 3) union all select 'none', s_suppkey from supplier")
+def filtered_arms(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of a nation, if it has any, and of a nation that is not there, which leaves all."""
+    s = table(spark, d, "supplier")
+    arms = [registry.filtered_or_all(s, F.col("s_nationkey") == k).select(F.lit(name).alias("asked"), "s_suppkey") for name, k in (("some", 3), ("none", 99))]
+    return arms[0].unionByName(arms[1])
