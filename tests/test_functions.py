@@ -61,7 +61,7 @@ def test_invoice_modes_and_totals(spark):
 def test_order(spark):
     df = spark.createDataFrame([("a", 1, "n", "x"), ("a", 2, "", ""), ("b", 3, "", ""), ("c", 4, "m", "")], "g string, pos int, number string, v string").withColumn("all", F.lit(1))
     prev = {r["pos"]: r["v"] for r in order.fill_from_previous(df, ["v"], "g", "number", ["all"], ["pos"]).collect()}
-    assert prev == {1: "x", 2: "x", 3: "", 4: ""}
+    assert prev == {1: "x", 2: "x", 3: "x", 4: ""}
     assert {r["pos"]: r["v"] for r in order.fill_from_first(df, ["v"], ["g"], ["pos"]).collect()} == {1: "x", 2: "x", 3: "", 4: ""}
     assert {r["pos"]: r["v"] for r in order.spread_first_filled(df, ["v"], ["all"], ["pos"]).collect()} == dict.fromkeys((1, 2, 3, 4), "x")
 
