@@ -7,8 +7,9 @@ coordinate-value pairs of each in any common order. In the order used here rare
 thousands of documents share, as in a common passage, is posted only by documents that consist of such.
 
 Documents with equal shingle sets form a class; classes are posted, not documents. All classes posted with a
-class's smallest fellow meet in that fellow's group. There collisions are counted, pairs at or above MATCHES are
-retained, their full sets compared, and links leave as a spanning forest, never as all pairs. Groups beyond GROUP_SETS
+class's smallest fellow meet in that fellow's group. There the posting lists of each class are merged, skipping what
+cannot reach MATCHES, until a fellow at or above it is found; classes with one are retained, their full sets compared,
+and links leave as a spanning forest, never as all pairs. Groups beyond GROUP_SETS
 or GROUP_SHINGLES are cut into blocks, each with the group's leader, so that near copies of one text are joined by
 then. Of such a group the classes outside its largest component go on to meet all others, block by block; classes
 already joined are not compared again. Only a group of many classes that do not link costs the square of its size.
@@ -206,7 +207,7 @@ def between_blocks(members: DataFrame, sizes: DataFrame, joined: DataFrame) -> D
 
 
 def set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(leader, i, j, cls, part, sig, shingles): the sets of the texts that wanted (id, th, cls, met) names, in each place of met.
+    """(leader, i, j, cls, part, shingles): the sets of the texts that wanted (id, th, cls, met) names, in each place of met.
 
     shingles holds the sorted first hashes, then the second ones.
     """
@@ -214,20 +215,67 @@ def set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in text_slices(batches):
             sets, twins = distinct_sets(*shingle_hashes(data, at))
-            n = np.array([len(s) for s in sets], np.int64)
-            sig = _fixed(8 * COORDINATES, minima(np.concatenate(sets), np.cumsum(n) - n))
             met = rows.column("met")
             owner = pa.array(np.repeat(np.arange(len(sets)), met.value_lengths().to_numpy()))
             places = met.flatten()
             shingles = pa.array([s.tobytes() + t.tobytes() for s, t in zip(sets, twins, strict=True)], pa.large_binary())
-            names = ["leader", "i", "j", "cls", "part", "sig"]
-            whole = pa.Table.from_arrays([*(places.field(k) for k in range(3)), rows.column("cls").take(owner), places.field(3), sig.take(owner)], names)
+            names = ["leader", "i", "j", "cls", "part"]
+            whole = pa.Table.from_arrays([*(places.field(k) for k in range(3)), rows.column("cls").take(owner), places.field(3)], names)
             for k in range(0, whole.num_rows, 256):  # a set in many groups is written out many times
                 part = whole.slice(k, 256).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([*part.columns, shingles.take(owner.slice(k, 256)).cast(pa.binary())], [*names, "shingles"])
 
     texts = docs.select(*_key(), "text").join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("cls", "met", "text")
-    return texts.mapInArrow(run, "leader binary, i long, j long, cls binary, part binary, sig binary, shingles binary")
+    return texts.mapInArrow(run, "leader binary, i long, j long, cls binary, part binary, shingles binary")
+
+
+def collisions(tokens: np.ndarray, part: np.ndarray, queries: np.ndarray, open_: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y), x of queries, of rows of different parts that share MATCHES tokens or more, by skip merging.
+
+    part is sorted. Each query merges the posting lists of its tokens, all queries step together: no row before the
+    MATCHES-th smallest head of a query's lists can be in MATCHES of them, so lists that lag behind it skip there by
+    binary search. Rows of the query's own part are skipped as a whole. A query leaves when fewer than MATCHES of its
+    lists have rows left, or when the caller closes it in open_.
+    """
+    m = len(tokens)
+    flat = tokens.ravel()
+    order = np.argsort(flat, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], flat[order[1:]] != flat[order[:-1]]]))
+    size = np.diff(np.concatenate([new, [len(flat)]]))
+    several = size > 1
+    number = np.repeat(np.where(several, np.cumsum(several) - 1, several.sum()), size)  # the list of each token; single ones have none
+    lists = number * (m + 1) + order // COORDINATES
+    lists = np.concatenate([lists[np.repeat(several, size)], [np.iinfo(np.int64).max]])
+    base = np.empty(len(flat), np.int64)
+    base[order] = number * (m + 1)
+    base = base.reshape(m, COORDINATES)[queries]
+    beyond = np.searchsorted(part, part, side="right")
+    x, head, target = queries, np.full(base.shape, -1, np.int64), np.zeros(len(queries), np.int64)
+
+    def skip() -> None:
+        late = head < target[:, None]
+        start = base[late]
+        head[late] = np.minimum(lists[np.searchsorted(lists, start + np.broadcast_to(target[:, None], head.shape)[late])] - start, m)
+
+    while True:
+        skip()
+        target = np.partition(head, MATCHES - 1, axis=1)[:, MATCHES - 1]
+        stay = (target < m) & open_[x]
+        if not stay.any():
+            return
+        if not stay.all():
+            x, head, base, target = x[stay], head[stay], base[stay], target[stay]
+        skip()
+        own = part[target] == part[x]
+        hit = ~own & ((head == target[:, None]).sum(axis=1) >= MATCHES)
+        if hit.any():
+            yield x[hit], target[hit]
+        target = np.where(own, beyond[target], target + 1)
+
+
+def _numbered(parts: list[bytes]) -> np.ndarray:
+    """A number for each different part."""
+    return np.unique(np.array([p.ljust(16) for p in parts]), return_inverse=True)[1]
 
 
 def shared_counts(sets: list[np.ndarray], twins: list[np.ndarray] | None = None) -> np.ndarray:
@@ -281,37 +329,28 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _apart(parts: list[bytes]) -> np.ndarray:
-    """Which two of some classes are not joined yet."""
-    part = np.unique(np.array([p.ljust(16) for p in parts]), return_inverse=True)[1]
-    return part[:, None] != part[None, :]
-
-
-def group_links(names: list[bytes], parts: list[bytes], sigs: list[bytes], sets: list[bytes]) -> list[tuple[bytes, bytes]]:
-    """A spanning forest of the links among some classes of different parts."""
+def group_links(names: list[bytes], parts: list[bytes], sets: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links among some retained classes of different parts, by their full sets."""
     if len(names) < 2:
         return []
-    met = shared_counts(list(tokens(np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, COORDINATES)))) >= MATCHES
-    met &= _apart(parts)
-    some = np.flatnonzero(met.any(1))
-    if not len(some):
-        return []
-    chosen = [np.frombuffer(sets[i], np.uint64) for i in some.tolist()]
+    chosen, part = [np.frombuffer(s, np.uint64) for s in sets], _numbered(parts)
     n = np.array([len(s) // 2 for s in chosen], np.int64)
     both = shared_counts([s[: len(s) // 2] for s in chosen], [s[len(s) // 2 :] for s in chosen]).astype(np.int64)
-    linked = met[np.ix_(some, some)] & (SIMILAR[1] * both >= SIMILAR[0] * (n[:, None] + n[None, :] - both))
-    return [(names[some[a]], names[some[b]]) for a, b in enumerate(roots(linked).tolist()) if a != b]
+    linked = (part[:, None] != part[None, :]) & (SIMILAR[1] * both >= SIMILAR[0] * (n[:, None] + n[None, :] - both))
+    return [(names[a], names[b]) for a, b in enumerate(roots(linked).tolist()) if a != b]
 
 
 def retained(names: list[bytes], parts: list[bytes], sigs: list[bytes], sizes: list[int]) -> list[tuple[bytes, bytes]]:
-    """The classes that agree with one of another part in MATCHES coordinates and might in size."""
+    """The classes that agree with one of another part in MATCHES coordinates and might in size; the merge of a class ends with its first such fellow."""
     if len(names) < 2:
         return []
-    met = shared_counts(list(tokens(np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, COORDINATES)))) >= MATCHES
-    met &= _apart(parts)
-    n = np.array(sizes, np.int64)
-    met &= SIMILAR[1] * np.minimum(n[:, None], n[None, :]) >= SIMILAR[0] * np.maximum(n[:, None], n[None, :])
-    return [(names[k], parts[k]) for k in np.flatnonzero(met.any(1)).tolist()]
+    found, part = tokens(np.frombuffer(b"".join(sigs), np.uint64).reshape(-1, COORDINATES)), _numbered(parts)
+    order = np.argsort(part, kind="stable")
+    n, open_ = np.array(sizes, np.int64)[order], np.ones(len(names), bool)
+    for x, y in collisions(found[order], part[order], np.arange(len(names)), open_):
+        fit = SIMILAR[1] * np.minimum(n[x], n[y]) >= SIMILAR[0] * np.maximum(n[x], n[y])
+        open_[x[fit]] = open_[y[fit]] = False
+    return [(names[k], parts[k]) for k in np.sort(order[~open_]).tolist()]
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], solve: Callable[..., list], pack: Callable[[list], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +381,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pack(found: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([a for _, (a, _) in found], pa.binary()), pa.array([b for _, (_, b) in found], pa.binary())], ["a", "b"])
 
-    return _by_group(batches, ("cls", "part", "sig", "shingles"), group_links, pack)
+    return _by_group(batches, ("cls", "part", "shingles"), group_links, pack)
 
 
 def links(docs: DataFrame, one: DataFrame, placed: DataFrame) -> DataFrame:

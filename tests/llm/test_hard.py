@@ -113,6 +113,49 @@ def test_shared_counts_need_both_hashes():
     assert op7.shared_counts(sets, [np.array([7, 8, 9], np.uint64), np.array([7, 5, 9], np.uint64)])[0, 1] == 1
 
 
+@pytest.mark.parametrize(("rows", "values", "parts"), [(2, 2, 2), (40, 2, 40), (60, 3, 7), (300, 40, 300), (50, 1, 5), (30, 2, 1)])
+def test_skip_merging_finds_every_pair(rows, values, parts):
+    """Pairs of different parts that share MATCHES tokens, by hand; lists of few and of many rows, and rows that are alike."""
+    rng = np.random.default_rng(rows)
+    tokens = (rng.integers(0, values, (rows, op7.COORDINATES)) + 1000 * np.arange(op7.COORDINATES)).astype(np.uint64)
+    tokens[rows // 2 :] = np.where(rng.random((rows - rows // 2, 1)) < 0.5, tokens[: rows - rows // 2], tokens[rows // 2 :])
+    part = np.sort(rng.integers(0, parts, rows))
+    queries = rng.permutation(rows)[: rows // 2 + 1]
+    got = [pair for xs, ys in op7.collisions(tokens, part, queries, np.ones(rows, bool)) for pair in zip(xs.tolist(), ys.tolist(), strict=True)]
+    want = {(x, y) for x in queries.tolist() for y in range(rows) if part[x] != part[y] and (tokens[x] == tokens[y]).sum() >= op7.MATCHES}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+@pytest.mark.parametrize("few", [1, 5, 60])
+def test_links_of_a_group_join_what_is_linked(few):
+    """Components by a group's forest and by all pairs; classes that are retained are those with a fellow."""
+    rng = np.random.default_rng(few)
+    seeds = [rng.integers(0, 1 << 60, 60, dtype=np.uint64) for _ in range(few)]
+    sets = []
+    for i in range(120):
+        s = seeds[i % few].copy()
+        change = int(rng.integers(0, 14))
+        s[:change] = rng.integers(0, 1 << 60, change, dtype=np.uint64)
+        sets.append(np.sort(s))
+    names = [b"%016d" % i for i in range(120)]
+    parts = [names[i if i % 3 else 0] for i in range(120)]
+    sigs = [r.tobytes() for r in op7.minima(np.concatenate(sets), np.arange(120) * 60)]
+    met = [(a, b) for a in range(120) for b in range(120) if parts[a] != parts[b] and sum(x == y for x, y in zip(*(np.frombuffer(sigs[k], np.uint64) for k in (a, b)), strict=True)) >= op7.MATCHES]
+    assert {n for n, _ in op7.retained(names, parts, sigs, [60] * 120)} == {names[a] for a, _ in met}
+
+    def joined(links):
+        label = {p: p for p in names}
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
+        return label
+
+    inside = list(zip(names, parts, strict=True))
+    near = [(names[a], names[b]) for a in range(120) for b in range(120) if parts[a] != parts[b] and len(both := np.intersect1d(sets[a], sets[b])) * 100 >= 75 * (120 - len(both))]
+    found = op7.group_links(names, parts, [s.tobytes() + (s + np.uint64(1)).tobytes() for s in sets])
+    assert joined(inside + found) == joined(inside + near)
+
+
 def test_long_texts(spark):
     """Texts beyond a slice of bytes, and words beyond any table's."""
     rng = random.Random(9)
