@@ -4,17 +4,18 @@ Source s has an integer weight a_s, all weights add up to a period W. Its block
 floor(k W / a_s) and due at ceil((k + 1) W / a_s). Earliest deadline first among the released blocks fills one
 slot at a time, so that after t slots source s has had t a_s / W blocks, give or take less than one. When a source
 runs dry, the rest go on with the same weights among themselves, and releases and deadlines follow. `block_slots`
-makes the whole schedule for any number of sources; `phases` tells a small one by its repeating periods.
+makes any range of the schedule for any number of sources, so that tasks fill ranges apart; `phases` tells a small one by its repeating periods.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from fractions import Fraction
-from itertools import islice
+from functools import partial
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -27,6 +28,8 @@ OTHER = "\x00other"
 BLOCK_DOCS = 32
 #: Rows of a rank bucket: within a source, documents are ranked bucket by bucket.
 BUCKET_ROWS = 4096
+#: Slots in a range, at least, in all and for each source; and tasks that fill ranges at a time.
+RANGE_SLOTS, SOURCE_SLOTS, RANGE_TASKS = 1 << 20, 16, 4096
 
 
 def period_slots(weights: Mapping[str, int]) -> dict[str, list[int]]:
@@ -92,8 +95,8 @@ def source_shares(docs: DataFrame, power: float = 0.7, source: str = "source") -
     return n.select("source", F.pow(F.col("count").cast("double"), F.lit(power)).alias("share"))
 
 
-def block_slots(weights: Sequence[int], blocks: Sequence[int]) -> Iterator[tuple[int, int]]:
-    """(source, block) of slot 0, 1, ...; holds a few numbers per source and does a few heap steps per slot.
+class Blocks:
+    """The blocks of some sources with their releases and deadlines; holds a few numbers per source.
 
     Level v is the share of a block per weight that every live source has had: source s has had min(v weights[s],
     blocks[s]) blocks by then, which is its target, and the targets add up to the slot G(v). Block k of s may lie
@@ -101,57 +104,117 @@ def block_slots(weights: Sequence[int], blocks: Sequence[int]) -> Iterator[tuple
     target at every slot, also when others have run dry. Unit jobs with whole releases and deadlines that a
     fluid schedule can meet are met by taking the earliest deadline among the released ones.
     """
-    alive = sorted((s for s in range(len(weights)) if blocks[s] > 0), key=lambda s: Fraction(blocks[s], weights[s]))
-    dry = [0]  # blocks of the sources that have run dry before each turn, and the weight of the others
-    live = [sum(weights[s] for s in alive)]
-    for s in alive:
-        dry.append(dry[-1] + blocks[s])
-        live.append(live[-1] - weights[s])
-    turns = [blocks[s] / weights[s] for s in alive]
-
-    def at(k: int, w: int) -> tuple[int, int]:
+
+    def __init__(self, weights: Sequence[int], blocks: Sequence[int]):
+        self.weights, self.blocks = weights, blocks
+        self.alive = sorted((s for s in range(len(weights)) if blocks[s] > 0), key=lambda s: Fraction(blocks[s], weights[s]))
+        self.dry = [0]  # blocks of the sources that have run dry before each turn, and the weight of the others
+        self.live = [sum(weights[s] for s in self.alive)]
+        for s in self.alive:
+            self.dry.append(self.dry[-1] + blocks[s])
+            self.live.append(self.live[-1] - weights[s])
+        self.turns = [blocks[s] / weights[s] for s in self.alive]
+        self.total = self.dry[-1]
+
+    def at(self, k: int, w: int) -> tuple[int, int]:
         """Floor and ceiling of G(k / w)."""
-        i = bisect_right(turns, k / w)
+        alive, blocks, weights = self.alive, self.blocks, self.weights
+        i = bisect_right(self.turns, k / w)
         while i and blocks[alive[i - 1]] * w > k * weights[alive[i - 1]]:  # the quotients are rounded
             i -= 1
         while i < len(alive) and blocks[alive[i]] * w <= k * weights[alive[i]]:
             i += 1
-        whole, part = divmod(k * live[i], w)
-        return dry[i] + whole, dry[i] + whole + (part > 0)
-
-    waiting = [(0, at(1, weights[s])[1], s, 0, at(1, weights[s])[0]) for s in alive]  # release, deadline, source, block, next release
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    for slot in range(dry[-1]):
-        while waiting and waiting[0][0] <= slot:
-            _, due, s, k, then = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, k))
-            if k + 1 < blocks[s]:
-                free, due = at(k + 2, weights[s])
-                heapq.heappush(waiting, (then, due, s, k + 1, free))
-        _, s, k = heapq.heappop(ready)
+        whole, part = divmod(k * self.live[i], w)
+        return self.dry[i] + whole, self.dry[i] + whole + (part > 0)
+
+    def released(self, s: int, slot: int) -> int:
+        """How many blocks of s are released before a slot."""
+        return bisect_left(range(self.blocks[s]), slot, key=lambda k: self.at(k, self.weights[s])[0])
+
+    def due(self, s: int, slot: int) -> int:
+        """How many blocks of s have deadlines up to a slot."""
+        return bisect_right(range(self.blocks[s]), slot, key=lambda k: self.at(k + 1, self.weights[s])[1])
+
+    def fill(self, first: Mapping[int, int], begin: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(slot, source, block) from slot begin to before end, each source from block first on, earliest deadline first."""
+        at, weights, blocks = self.at, self.weights, self.blocks
+        waiting = []  # release, deadline, source, block, next release
+        for s, k in first.items():
+            if k < blocks[s]:
+                then, due = at(k + 1, weights[s])
+                waiting.append((at(k, weights[s])[0], due, s, k, then))
+        heapq.heapify(waiting)
+        ready: list[tuple[int, int, int]] = []
+        for slot in range(begin, end):
+            while waiting and waiting[0][0] <= slot:
+                _, due, s, k, then = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, s, k))
+                if k + 1 < blocks[s]:
+                    free, due = at(k + 2, weights[s])
+                    heapq.heappush(waiting, (then, due, s, k + 1, free))
+            if ready:
+                _, s, k = heapq.heappop(ready)
+                yield slot, s, k
+
+    def before(self, slot: int) -> dict[int, int]:
+        """How many blocks each source has had before a slot, without the schedule up to there.
+
+        Blocks due by then have been had, and of each source one block at most is under way: released, but not due.
+        Which of these were had follows from the slots since the one where the slowest of their sources had a whole
+        block less: of the jobs that are released since, those that earliest deadline first finds a slot for, in order
+        of their deadlines, as many as there are slots left. A limit that reaches further back than that never binds:
+        every source under way has then had a block in between, so as many slots are left there as blocks are under way.
+        """
+        had = {s: self.due(s, slot) for s in self.alive}
+        under = [s for s, n in had.items() if self.released(s, slot) > n]
+        left = slot - sum(had.values())
+        if not left:
+            return had
+        since = min(self.at(had[s] - 1, self.weights[s])[0] if had[s] else 0 for s in under)
+        first = {s: self.released(s, since) for s in self.alive}
+        found = [(self.at(k + 1, self.weights[s])[1], s) for _, s, k in self.fill(first, since, slot) if k == had[s]]
+        for _, s in sorted(found)[:left]:
+            had[s] += 1
+        return had
+
+
+def block_slots(weights: Sequence[int], blocks: Sequence[int], begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """(source, block) of the slots from begin to before end (the last, if None)."""
+    made = Blocks(weights, blocks)
+    for _, s, k in made.fill(made.before(begin), begin, made.total if end is None else min(end, made.total)):
         yield s, k
 
 
 def _slots(targets: DataFrame) -> DataFrame:
     """pool, block and slot of every block of targets (pool, share, blocks).
 
-    One task makes them, as each slot depends on those before; it reads a row per source, holds a few numbers per
-    source and sends blocks off as they come. Sources with a share of 0 come after all others, as equals.
+    Slots are cut into ranges; a task that fills one finds out from the targets alone what every source had before.
+    A range has a row per source and SOURCE_SLOTS times as many slots at least, so these rows stay fewer than blocks.
+    Sources with a share of 0 come after all others, as equals.
     """
+    out, offset = None, 0
+    for part in (targets.where("share > 0"), targets.where("share = 0").withColumn("share", F.lit(1.0))):
+        total, sources = part.agg(F.coalesce(F.sum("blocks"), F.lit(0)), F.count("*")).first()
+        width = max(RANGE_SLOTS, SOURCE_SLOTS * sources)
+        ranges = max(1, -(-total // width))
+        dealt = part.select(F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range"), "pool", "share", "blocks")
+        dealt = dealt.repartition(min(ranges, RANGE_TASKS), "range").sortWithinPartitions("range", "pool")
+        made = dealt.mapInArrow(partial(_fill_ranges, width, offset), "pool string, block long, slot long")
+        out, offset = made if out is None else out.unionByName(made), offset + total
+    return out
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("pool", "share", "blocks")), strict=True))
-        slot = 0
-        for part in ([r for r in rows if r[1] > 0], [(p, 1.0, n) for p, share, n in rows if share == 0]):
-            names = pa.array([p for p, _, _ in part], pa.string())
-            made = block_slots(exact_weights([share for _, share, _ in part]), [n for _, _, n in part])
-            while chunk := list(islice(made, 1 << 16)):
-                place = pa.array([s for s, _ in chunk], pa.int64())
-                yield pa.RecordBatch.from_arrays([names.take(place), pa.array([k for _, k in chunk], pa.int64()), pa.array(range(slot, slot + len(chunk)), pa.int64())], ["pool", "block", "slot"])
-                slot += len(chunk)
-
-    return targets.select("pool", "share", "blocks").coalesce(1).mapInArrow(run, "pool string, block long, slot long")
+def _fill_ranges(width: int, offset: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (range, pool) -> the blocks of each range's slots; holds a row per source."""
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("range", "pool", "share", "blocks")), strict=True))
+    for number, same in groupby(rows, key=lambda r: r[0]):
+        _, pools, shares, blocks = zip(*same, strict=True)
+        names, slot = pa.array(pools, pa.string()), number * width
+        made = block_slots(exact_weights(shares), blocks, slot, slot + width)
+        while chunk := list(islice(made, 1 << 16)):
+            place = pa.array([s for s, _ in chunk], pa.int64())
+            yield pa.RecordBatch.from_arrays([names.take(place), pa.array([k for _, k in chunk], pa.int64()), pa.array(range(offset + slot, offset + slot + len(chunk)), pa.int64())], ["pool", "block", "slot"])
+            slot += len(chunk)
 
 
 def _table(spark: SparkSession, shares: Mapping[str, float] | DataFrame) -> DataFrame:

@@ -413,6 +413,44 @@ def test_op10_placement_by_brute_force(spark, monkeypatch):
     assert Counter((r["doc_id"], r["pool"], r["block"], r["slot"], r["place"]) for r in got) == want
 
 
+@pytest.mark.parametrize("kind", ["even", "skewed", "one slow", "many", "alike", "floats"])
+def test_op10_any_range_of_the_schedule_by_itself(kind):
+    """What every source had before any slot, and any range of slots, as in the schedule made from its start."""
+    rng = random.Random(kind)
+    for _ in range(12):
+        n = {"many": 40, "one slow": 4}.get(kind, rng.randint(1, 7))
+        weights = [rng.randint(1, 9) for _ in range(n)]
+        blocks = [rng.randint(0, 60) for _ in range(n)]
+        if kind == "skewed":
+            weights = [rng.choice([1, 2, 50, 300]) for _ in range(n)]
+        elif kind == "one slow":
+            weights, blocks[0], blocks[1] = [1, *(rng.randint(100, 200) for _ in range(3))], 2, 150
+        elif kind == "alike":
+            weights = [3] * n
+        elif kind == "floats":
+            weights = op10.exact_weights([rng.random() ** 3 for _ in range(n)])
+        whole = list(op10.block_slots(weights, blocks))
+        assert len(whole) == sum(blocks)
+        made, had = op10.Blocks(weights, blocks), Counter()
+        for slot in range(len(whole) + 1):
+            assert {s: k for s, k in made.before(slot).items() if k} == dict(had), (weights, blocks, slot)
+            if slot < len(whole):
+                had[whole[slot][0]] += 1
+        cut = rng.randint(0, len(whole))
+        assert list(op10.block_slots(weights, blocks, cut, cut + 9)) == whole[cut : cut + 9]
+
+
+def test_op10_ranges_in_many_tasks(spark, monkeypatch):
+    """The schedule does not depend on the ranges it is cut into; sources without a share come last."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "cast(id as string) text", "concat('s', pow(id, 2) % 11 % 5) source")
+    shares = {"s0.0": 1.5, "s1.0": 0.2, "s3.0": 7.25, "s4.0": 0.0}
+    want = sorted(map(tuple, op10.schedule(docs, shares, 4).collect()))
+    monkeypatch.setattr(op10, "RANGE_SLOTS", 50)
+    monkeypatch.setattr(op10, "SOURCE_SLOTS", 1)
+    assert sorted(map(tuple, op10.schedule(docs, shares, 4).collect())) == want
+    assert len(want) == 3000
+
+
 def test_op10_a_hot_id_spreads(spark):
     docs = spark.createDataFrame([(None if i % 2 else 1, f"t{i}", "s") for i in range(3000)], "doc_id long, text string, source string")
     got = op10.schedule(docs, {"s": 1.0}, 8).collect()
