@@ -186,12 +186,14 @@ def change_plan(parts: dict[str, DataFrame]) -> DataFrame:
         if step in parts:
             one = parts[step].select("invoice", F.lit(n).alias("step"), F.col("target").cast("string").alias("target"), "field", F.col("value").cast("string").alias("value"))
             made = one if made is None else made.unionByName(one)
-    once = made.groupBy("invoice", "step", "target", "field").agg(F.min("value").alias("value"))
+    # One shuffle and one sort: changes are all but distinct, and the sort that finds the least value has the plan's order.
+    one = Window.partitionBy("invoice", "step", "target", "field").orderBy(F.asc_nulls_last("value"))
+    once = made.repartition("invoice").withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
     nth = F.row_number().over(Window.partitionBy("invoice").orderBy("step", "target", "field")) - 1
     return once.withColumn("nth", nth)
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:
     """invoice and, for each step, how many targets it changes."""
-    each = {step: F.countDistinct(F.when(F.col("step") == n, F.col("target"))).alias(step.replace(" ", "_")) for n, step in enumerate(STEPS)}
-    return plan.groupBy("invoice").agg(*each.values())
+    targets = plan.select("invoice", "step", "target").distinct()  # once each, so that a row need not be copied for every step
+    return targets.groupBy("invoice").agg(*[F.count(F.when(F.col("step") == n, F.col("target"))).alias(step.replace(" ", "_")) for n, step in enumerate(STEPS)])

@@ -26,3 +26,13 @@ def test_money_texts_of_nothing(spark, tmp_path):
     want = con.execute(plans.oracle_sql()["money_texts"]).fetchall()
     got = [tuple(r) for r in plans.queries()["money_texts"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_summary_counts_without_copies(spark):
+    """A plan's rows meet in one shuffle, and are not copied for each step that is counted; null targets do not count."""
+    some = spark.createDataFrame([(1, "a", "x", "2"), (1, "a", "x", "1"), (1, "a", "y", None), (1, None, "y", "3"), (2, "b", "x", None)], "invoice int, target string, field string, value string")
+    plan = bills.change_plan({"header": some, "link": some.where("invoice = 1")})
+    assert sorted(map(tuple, plan.where("invoice = 1 and step = 0").select("nth", "target", "field", "value").collect())) == [(0, None, "y", "3"), (1, "a", "x", "1"), (2, "a", "y", None)]
+    made = bills.plan_summary(plan)
+    assert sorted((r.invoice, r.header, r.link, r.content) for r in made.collect()) == [(1, 1, 1, 0), (2, 1, 0, 0)]
+    assert "Expand" not in plan_of(made) and plan_of(made).count("Exchange hashpartitioning") <= 1
