@@ -42,6 +42,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int = 10_000) -> Callable[[DataFrame], DataFrame]:
+    """What a join does with a table made from df: it is broadcast if df has `rows` rows at most, else left as it is.
+
+    A shuffle by few keys would gather all rows of a key in one task, and Spark does not know the size of every table.
+    """
+    return F.broadcast if df.limit(rows + 1).count() <= rows else lambda x: x
+
+
 def condition(field: str, operator: str, value: object) -> Column:
     """One of =, !=, in, not in, >, <, like (contained, case aside); a null field satisfies != and not in."""
     c = F.col(field)

@@ -36,3 +36,8 @@ def test_summary_counts_without_copies(spark):
     made = bills.plan_summary(plan)
     assert sorted((r.invoice, r.header, r.link, r.content) for r in made.collect()) == [(1, 1, 1, 0), (2, 1, 0, 0)]
     assert "Expand" not in plan_of(made) and plan_of(made).count("Exchange hashpartitioning") <= 1
+
+
+def test_few_units_are_not_shuffled_by(spark):
+    """Lines do not gather by the handful of spellings and units there are."""
+    assert "hashpartitioning(product_unit" not in (p := plan_of(plans.queries()["product_units"](spark, SMALL))) and "hashpartitioning(__u" not in p
