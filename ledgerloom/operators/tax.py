@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import few
+
 D = "decimal(18,2)"
 
 
@@ -133,7 +135,7 @@ def slot_ids(slots: DataFrame, label_ids: DataFrame, other_ids: DataFrame) -> Da
     By its label where that is known (label_ids: label, tax_id); slots whose label is blank or unknown take the row's other
     taxes (other_ids: invoice, pos, ids) one after the other, and fall away when there are no more.
     """
-    j = slots.where("amount > 0").join(label_ids.withColumnRenamed("tax_id", "__t"), "label", "left")
+    j = slots.where("amount > 0").join(few(label_ids)(label_ids.withColumnRenamed("tax_id", "__t")), "label", "left")
     nth = F.count(F.when(F.col("__t").isNull(), 1)).over(Window.partitionBy("invoice", "pos").orderBy("slot"))
     j = j.withColumn("__n", nth).join(other_ids.select("invoice", "pos", "ids"), ["invoice", "pos"], "left")
     found = F.coalesce("__t", F.get("ids", (F.col("__n") - 1).cast("int")))
@@ -273,8 +275,8 @@ def expected_by_id(lines: DataFrame, headers: DataFrame, slots: DataFrame, rate_
 
     rate_ids: pct, tax_id; label_ids: label, tax_id; slots: invoice, label, amount. Unknown labels fall away.
     """
-    by_rate = breakdown(lines, headers).join(rate_ids, "pct").select("invoice", "tax_id", "amount")
-    by_slot = slots.join(label_ids, "label").select("invoice", "tax_id", F.col("amount").cast(D).alias("amount"))
+    by_rate = breakdown(lines, headers).join(few(rate_ids)(rate_ids), "pct").select("invoice", "tax_id", "amount")
+    by_slot = slots.join(few(label_ids)(label_ids), "label").select("invoice", "tax_id", F.col("amount").cast(D).alias("amount"))
     both = by_rate.unionByName(by_slot).groupBy("invoice", "tax_id").agg(F.sum("amount").alias("amount"))
     return both.where("amount > 0")
 
@@ -286,14 +288,17 @@ def expected_taxes(lines: DataFrame, headers: DataFrame, stated: DataFrame, slot
     To this come the slots: by label, and where that is blank or unknown by the row's other taxes in turn (slot_ids).
     rate_ids: pct, tax_id; a rate without an id falls away. Invoices without a content line have none.
     """
-    f = _with_stated(lines, headers, stated).where("filled > 0")
+    by_slot = slot_ids(slots, label_ids, other_ids).groupBy("invoice").agg(F.collect_list(F.struct(F.lit(None).cast("decimal(6,2)").alias("pct"), F.col("amount").cast("decimal(28,6)").alias("amount"), F.col("tax_id").cast("long").alias("tax_id"))).alias("slots"))
+    f = _with_stated(lines, headers, stated).where("filled > 0").join(by_slot, "invoice", "left")
     wide = "array<struct<pct: decimal(6,2), amount: decimal(28,6)>>"
     by_line = F.transform("by_line", lambda x: F.struct(x["pct"].alias("pct"), x["effective"].alias("amount"))).cast(wide)
     rates = F.when((F.col("mode") == "line") & ~F.col("fixed"), by_line).otherwise(_holding().cast(wide))
-    by_rate = f.select("invoice", F.explode(rates).alias("r")).select("invoice", "r.pct", "r.amount").where("amount > 0")
-    by_rate = by_rate.join(rate_ids.select(F.col("pct").cast("decimal(6,2)").alias("pct"), "tax_id"), "pct").select("invoice", "tax_id", "amount")
-    by_slot = slot_ids(slots, label_ids, other_ids).join(f.select("invoice"), "invoice", "left_semi")
-    both = by_rate.unionByName(by_slot.select("invoice", "tax_id", F.col("amount").cast("decimal(28,6)").alias("amount")))
+    rates = F.transform(rates, lambda x: F.struct(x["pct"].alias("pct"), x["amount"].alias("amount"), F.lit(None).cast("long").alias("tax_id")))
+    # Both kinds come from the one row of an invoice, so that its facts are found once and nothing is shuffled after them.
+    none = F.array().cast("array<struct<pct: decimal(6,2), amount: decimal(28,6), tax_id: bigint>>")
+    both = f.select("invoice", F.explode(F.concat(F.coalesce(rates, none), F.coalesce("slots", none))).alias("r")).select("invoice", "r.pct", "r.amount", F.col("r.tax_id").alias("__t")).where("amount > 0")
+    known = rate_ids.select(F.col("pct").cast("decimal(6,2)").alias("pct"), "tax_id")
+    both = both.join(few(rate_ids)(known), "pct", "left").withColumn("tax_id", F.coalesce(F.col("__t").cast(dict(known.dtypes)["tax_id"]), "tax_id")).where("tax_id is not null")
     return both.groupBy("invoice", "tax_id").agg(F.round(F.sum("amount"), 2).cast(D).alias("amount")).where("amount > 0")
 
 

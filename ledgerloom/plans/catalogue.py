@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, similar, text
 from ..operators import bills, changes, doctypes, documents, lookup, order, purchase, registry, state, tax, taxids, validation
-from ..sources.files import read_csv, scan, scratch, table, write_csv
+from ..sources.files import cut, read_csv, scan, scratch, table, write_csv
 from ..streaming.autosave import autosaves, to_table
 from .proxies import LINE_ORDER, LINES_SQL, headers, lines
 from .registered import doubles, query
@@ -597,8 +597,8 @@ f as (select m.*, sg.n as sn, sg.total, sg.pct as spct, coalesce(og.n, 0) as n,
 def _stated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     li = lines(spark, d)
     li = li.withColumn("zero", F.col("pct") == 0)
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("invoice"), "o_orderstatus", "o_orderpriority")
-    h = headers(spark, d).join(o, "invoice").withColumn("manual", F.col("o_orderpriority") == "1-URGENT")
+    # Written once: stated maps come from the headers, which come from the lines, and neither is to be made twice in one task.
+    h = cut(headers(spark, d, "o_orderstatus", "o_orderpriority")).withColumn("manual", F.col("o_orderpriority") == "1-URGENT")
     main = F.when(F.col("o_orderstatus") == "F", F.col("vat") + F.col("invoice") % 2).otherwise(F.col("vat"))
     entry = lambda pct, amount: F.struct(F.lit(pct).cast("decimal(6,2)").alias("pct"), amount.cast("decimal(18,2)").alias("amount"))
     entries = F.array(entry("21", main), entry("10.5", F.when(F.col("o_orderstatus") == "P", F.lit(1))))

@@ -38,12 +38,12 @@ LINES_SQL = f"""lines as (
 )"""
 
 
-def headers(spark: SparkSession, d: str) -> DataFrame:
-    """invoice, vat (exact, 0.05 % off, 5 % off or null) and subtotal (missing for every fifth order)."""
+def headers(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """invoice, vat (exact, 0.05 % off, 5 % off or null) and subtotal (missing for every fifth order); more columns of the order."""
     base = F.col("qty") * F.col("price")
     sums = lines(spark, d).groupBy("invoice").agg(F.sum((base * F.col("pct")).cast("decimal(26,6)")).alias("v"), F.sum(base.cast("decimal(24,4)")).alias("b"))
     k = F.col("o_orderkey") % 4
     off = F.when(k == 0, "1").when(k == 1, "1.0005").when(k == 2, "1.05").cast("decimal(6,4)")
-    j = table(spark, d, "orders").select("o_orderkey").join(sums, F.col("o_orderkey") == F.col("invoice"), "left")
+    j = table(spark, d, "orders").select("o_orderkey", *more).join(sums, F.col("o_orderkey") == F.col("invoice"), "left")
     vat = F.round(F.col("v") * off / 100, 2).cast("decimal(18,2)")
-    return j.select(F.col("o_orderkey").alias("invoice"), vat.alias("vat"), F.when(F.col("o_orderkey") % 5 != 0, F.round("b", 2).cast("decimal(18,2)")).alias("subtotal"))
+    return j.select(F.col("o_orderkey").alias("invoice"), vat.alias("vat"), F.when(F.col("o_orderkey") % 5 != 0, F.round("b", 2).cast("decimal(18,2)")).alias("subtotal"), *more)

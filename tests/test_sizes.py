@@ -33,11 +33,18 @@ def test_summary_counts_without_copies(spark):
     some = spark.createDataFrame([(1, "a", "x", "2"), (1, "a", "x", "1"), (1, "a", "y", None), (1, None, "y", "3"), (2, "b", "x", None)], "invoice int, target string, field string, value string")
     plan = bills.change_plan({"header": some, "link": some.where("invoice = 1")})
     assert sorted(map(tuple, plan.where("invoice = 1 and step = 0").select("nth", "target", "field", "value").collect())) == [(0, None, "y", "3"), (1, "a", "x", "1"), (2, "a", "y", None)]
-    made = bills.plan_summary(plan)
+    planned = plan_of(made := bills.plan_summary(plan))
+    assert "Expand" not in planned and planned.count("Exchange hashpartitioning") <= 1
     assert sorted((r.invoice, r.header, r.link, r.content) for r in made.collect()) == [(1, 1, 1, 0), (2, 1, 0, 0)]
-    assert "Expand" not in plan_of(made) and plan_of(made).count("Exchange hashpartitioning") <= 1
 
 
 def test_few_units_are_not_shuffled_by(spark):
     """Lines do not gather by the handful of spellings and units there are."""
     assert "hashpartitioning(product_unit" not in (p := plan_of(plans.queries()["product_units"](spark, SMALL))) and "hashpartitioning(__u" not in p
+
+
+@pytest.mark.parametrize("name", ["expected_taxes", "expected_tax_by_id"])
+def test_taxes_are_not_shuffled_by_rate(spark, name):
+    """Tax ids of three rates are broadcast."""
+    p = plan_of(plans.queries()[name](spark, SMALL))
+    assert "hashpartitioning(pct" not in p and "hashpartitioning(label" not in p
