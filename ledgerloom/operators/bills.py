@@ -178,13 +178,14 @@ def prepared(rows: DataFrame, order_lines: DataFrame, header: list[str]) -> tupl
 def change_plan(parts: dict[str, DataFrame]) -> DataFrame:
     """invoice, step, nth, target, field, value: all changes in the order in which they must be written.
 
-    parts: a table (invoice, target, field, value) for any of STEPS. Of several values for one field of a target within a
-    step one row remains, the least value.
+    parts: a table (invoice, target, field, value) for any of STEPS; one that has a column step may hold several. Of several
+    values for one field of a target within a step one row remains, the least value.
     """
     made = None
     for n, step in enumerate(STEPS):
         if step in parts:
-            one = parts[step].select("invoice", F.lit(n).alias("step"), F.col("target").cast("string").alias("target"), "field", F.col("value").cast("string").alias("value"))
+            number = F.array_position(F.array(*map(F.lit, STEPS)), F.col("step")).cast("int") - 1 if "step" in parts[step].columns else F.lit(n)
+            one = parts[step].select("invoice", number.alias("step"), F.col("target").cast("string").alias("target"), "field", F.col("value").cast("string").alias("value"))
             made = one if made is None else made.unionByName(one)
     # One shuffle and one sort: changes are all but distinct, and the sort that finds the least value has the plan's order.
     one = Window.partitionBy("invoice", "step", "target", "field").orderBy(F.asc_nulls_last("value"))

@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates, text
+from ..sources.files import cut
 from . import bills
-from .order import numbered
 
 #: Header and line fields that are written, and the type they have.
 HEADER = {"partner": "long", "journal": "long", "number": "string", "date": "string", "due": "string", "origin": "string"}
@@ -31,38 +32,48 @@ class State:
     orders: DataFrame
 
 
-def _differing(wanted: DataFrame, present: DataFrame, on: Sequence[str], fields: dict[str, str], target: Column, clears: bool) -> DataFrame:
-    """invoice, target, field, value: fields whose wanted value is another one; a null is one only if clears."""
-    kept = present.select(*on, *[F.col(c).alias(f"__{c}") for c in fields])
+def _changes(step: str, target: Column, fields: dict[str, tuple[Column, Column, str, bool]]) -> Column:
+    """A list of step, target, field and value: fields (wanted, present, type, clears) whose wanted value is another one; a null is one only if clears."""
     each = []
-    for c, kind in fields.items():
-        new, old = F.col(c).cast(kind), F.col(f"__{c}").cast(kind)
+    for name, (want, have, kind, clears) in fields.items():
+        new, old = want.cast(kind), have.cast(kind)
         value = F.when(~new.eqNullSafe(old) & (F.lit(clears) | new.isNotNull()), F.coalesce(new.cast("string"), F.lit("")))
-        each.append(F.struct(F.lit(c).alias("field"), value.alias("value")))
-    j = wanted.join(kept, list(on))
-    return j.select("invoice", target.cast("string").alias("target"), F.explode(F.array(*each)).alias("x")).select("invoice", "target", "x.field", "x.value").where("value is not null")
+        each.append(F.struct(F.lit(step).alias("step"), target.cast("string").alias("target"), F.lit(name).alias("field"), value.alias("value")))
+    return F.filter(F.array(*each), lambda x: x["value"].isNotNull())
 
 
-def composed(rows: DataFrame, expected: DataFrame, state: State, header: list[str]) -> DataFrame:
+def readied(rows: DataFrame, state: State, header: list[str]) -> DataFrame:
+    """The rows of an import as a plan takes them (bills.prepared), written once: the same for every plan on these bills, as none adds or deletes an order's line."""
+    return cut(bills.prepared(rows, state.orders, header)[0])
+
+
+def composed(rows: DataFrame, expected: DataFrame, state: State, header: list[str], ready: DataFrame | None = None) -> DataFrame:
     """The plan (see bills.change_plan) that brings the state to what the rows of an import say.
 
     rows: invoice, pos, the header fields, name, qty, price, product, unit, account, po_line, order_name, chosen, overwrite,
     is_content. expected: invoice, tax_id, amount. Rows are prepared first (headers handed down, dead and doubled links to
     order lines cleared) and meet the bill's product lines place by place. A wanted null leaves a header or line as it is, but
     clears the origin and a link to an order line. Values are texts, '' for null. Of taxes only lines that are there are written;
-    bills.missing_taxes tells what to do about others.
+    bills.missing_taxes tells what to do about others. With ready (see readied) rows are not prepared again.
     """
-    ready, _ = bills.prepared(rows, state.orders, header)
-    heads = bills.header_values(ready).join(bills.origins(ready), "invoice")
-    heads = heads.withColumn("origin", F.nullif(F.col("origin"), F.lit("")))
-    plain = {c: kind for c, kind in HEADER.items() if c != "origin"}
-    named = [_differing(heads, state.bills, ["invoice"], fields, F.lit("bill"), clears) for fields, clears in ((plain, False), ({"origin": HEADER["origin"]}, True))]
-    parts = {"header": named[0].unionByName(named[1])}
-    values = bills.line_values(ready).select("invoice", "pos", F.col("new_name").alias("name"), F.col("new_qty").alias("qty"), F.col("new_price").alias("price"), F.col("product_id").alias("product"), F.col("account_id").alias("account"), "po_line")
-    there = numbered(state.lines, ["invoice"], ["sequence", "id"], "nth")
-    met = numbered(values, ["invoice"], ["pos"], "nth").join(there.select("invoice", "nth", "id"), ["invoice", "nth"])
-    parts["content"] = _differing(met, state.lines, ["invoice", "id"], LINE, F.col("id"), False)
-    parts["link"] = _differing(met, state.lines, ["invoice", "id"], {"po_line": "long"}, F.col("id"), True)
+    ready = readied(rows, state, header) if ready is None else ready
+    # A bill's wanted and present lines meet as two sorted lists in one row, so that all its changes leave one task.
+    values = bills.line_values(ready).select("invoice", "pos", "partner", "journal", "number", "date", "due", F.col("new_name").alias("name"), F.col("new_qty").alias("qty"), F.col("new_price").alias("price"), F.col("product_id").alias("product"), F.col("account_id").alias("account"), "po_line")
+    wanted = values.groupBy("invoice").agg(F.array_sort(F.collect_list(F.struct(*values.columns[1:]))).alias("w"))
+    fields = [*LINE, "po_line"]
+    there = state.lines.groupBy("invoice").agg(F.array_sort(F.collect_list(F.struct("sequence", "id", *fields))).alias("t"))
+    have = state.bills.select("invoice", *[F.col(c).alias(f"__{c}") for c in HEADER], F.lit(True).alias("__there"))
+    bill = wanted.join(bills.origins(ready), "invoice").join(there, "invoice", "left").join(have, "invoice", "left")
+    bill = bill.withColumn("origin", F.nullif(F.col("origin"), F.lit("")))
+    each = bill.select("invoice", "origin", "__there", *[f"__{c}" for c in HEADER], F.posexplode(F.arrays_zip("w", F.coalesce("t", F.array().cast(dict(there.dtypes)["t"])).alias("t"))).alias("nth", "x"))
+    each = each.select("*", "x.w", "x.t").where("w is not null")
+    w, t = F.col("w"), F.col("t")
+    head = {"partner": w["partner"], "journal": w["journal"], "number": F.nullif(text.normalize(w["number"]), F.lit("")), "date": dates.for_import(w["date"]), "due": dates.due(w["due"], w["date"]), "origin": F.col("origin")}
+    on_bill = _changes("header", F.lit("bill"), {c: (head[c], F.col(f"__{c}"), kind, c == "origin") for c, kind in HEADER.items()})
+    on_line = F.concat(_changes("content", t["id"], {c: (w[c], t[c], kind, False) for c, kind in LINE.items()}), _changes("link", t["id"], {"po_line": (w["po_line"], t["po_line"], "long", True)}))
+    none = F.array().cast("array<struct<step: string, target: string, field: string, value: string>>")
+    made = F.concat(F.when((F.col("nth") == 0) & F.col("__there"), on_bill).otherwise(none), F.when(t.isNotNull(), on_line).otherwise(none))
+    parts = {"header": each.select("invoice", F.explode(made).alias("c")).select("invoice", "c.*")}
     prices = bills.order_prices(ready, state.orders).where("note = ''")
     asked = ready.where("po_line is not null").groupBy("po_line").agg(F.max("invoice").alias("invoice"))
     parts["order price"] = prices.join(asked, "po_line").select("invoice", F.col("po_line").alias("target"), F.lit("price").alias("field"), F.col("price").cast("decimal(20,6)").alias("value"))
@@ -95,5 +106,6 @@ def replayed(state: State, plan: DataFrame) -> State:
 
 def pending(rows: DataFrame, expected: DataFrame, state: State, header: list[str]) -> tuple[DataFrame, DataFrame]:
     """A plan, and the plan that would be left after it, which a right one leaves empty."""
-    plan = composed(rows, expected, state, header)
-    return plan, composed(rows, expected, replayed(state, plan), header)
+    ready = readied(rows, state, header)
+    plan = composed(rows, expected, state, header, ready)
+    return plan, composed(rows, expected, replayed(state, plan), header, ready)

@@ -64,3 +64,9 @@ def test_orders_fit_by_names_not_by_quantities(spark):
     assert sorted((r.invoice, r["order"], r.matched, r.score) for r in ranked.collect()) == sorted([(1, 4, 30, 3000.0), (1, 5, 30, 3000.0), (1, 6, 0, 0.0), (2, 4, 1, 100.0), (2, 5, 1, 100.0), (2, 6, 0, 0.0), (3, 4, 0, 0.0), (3, 5, 0, 0.0), (3, 6, 0, 0.0)])
     for made in (got, ranked):
         assert "hashpartitioning(code" not in (s := plan_of(made)) and "hashpartitioning(q" not in s
+
+
+def test_a_sync_plan_reads_its_rows_once(spark):
+    """Lines are read by a plan for what is there only; the import's rows come from their written table (13 scans and 28 shuffles before)."""
+    p = plan_of(plans.queries()["sync_plan"](spark, SMALL))
+    assert p.count("lineitem.parquet") <= 2 and p.count("Exchange hashpartitioning") <= 10
