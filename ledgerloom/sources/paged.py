@@ -30,12 +30,13 @@ def _store(path: str) -> tuple[pafs.FileSystem, str]:
 def write_pages(df: DataFrame, path: str, key: str, rows: int) -> int:
     """Writes df (key: whole numbers, none null or twice) as pages of about `rows` rows; the number of pages.
 
-    Pages are ranges of the key, cut by a sample of it. The list of pages, some dozen bytes each, is made on the driver.
+    A task writes 200 pages or so, a range of the key cut by a sample of it, as each task reports to the driver at some
+    length. The list of pages, some dozen bytes each, is made on the driver.
     """
     spark = df.sparkSession
     pages = max(1, -(-df.count() // rows))
-    df.repartitionByRange(pages, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
-    files = spark.read.parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col(key).alias("k"))
+    df.repartitionByRange(-(-pages // 200), key).sortWithinPartitions(key).write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+    files = spark.read.schema(df.schema).parquet(path).select(F.col("_metadata.file_name").alias("file"), F.col(key).alias("k"))
     listed = [r.asDict() for r in files.groupBy("file").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("*").alias("rows")).collect()]
     text = json.dumps({"key": key, "schema": df.schema.jsonValue(), "pages": sorted(listed, key=lambda p: p["low"])})
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MANIFEST}")

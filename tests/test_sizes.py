@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import plans
-from ledgerloom.operators import bills, purchase, tax
+from ledgerloom.operators import bills, purchase
+from ledgerloom.sources import paged
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -70,3 +71,10 @@ def test_a_sync_plan_reads_its_rows_once(spark):
     """Lines are read by a plan for what is there only; the import's rows come from their written table (13 scans and 28 shuffles before)."""
     p = plan_of(plans.queries()["sync_plan"](spark, SMALL))
     assert p.count("lineitem.parquet") <= 2 and p.count("Exchange hashpartitioning") <= 10
+
+
+def test_pages_need_few_tasks(spark, tmp_path):
+    """A task writes many pages."""
+    assert paged.write_pages(spark.range(1000).repartition(3), path := f"{tmp_path}/pages", "id", 10) == 100
+    assert len({f.name.split("-")[1] for f in (tmp_path / "pages").glob("part-*")}) == 1
+    assert [r.id for r in paged.read_pages(spark, path, 95, 205).orderBy("id").collect()] == list(range(95, 205))
