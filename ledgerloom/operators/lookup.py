@@ -21,8 +21,18 @@ def exact(probe: DataFrame, registry: DataFrame, on: str, take: Mapping[str, str
 
 def similarity(a: Column, b: Column) -> Column:
     """0 to 100: how few edits turn one text into the other."""
+    return alike(apart(a, b))
+
+
+def apart(a: Column, b: Column) -> Column:
+    """1 to 0: the edits that turn one text into the other, over the length of the longer one. The least makes the best score (alike)."""
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(0.0)).otherwise(F.round(100.0 * (1 - F.levenshtein(a, b) / longest), 4))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(F.levenshtein(a, b) / longest)
+
+
+def alike(part: Column) -> Column:
+    """The similarity of texts that are so far apart."""
+    return F.round(100.0 * (1 - part), 4)
 
 
 #: Names of a registry that are sent to every task, where all of them are compared by edit distance.

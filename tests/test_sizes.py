@@ -78,3 +78,15 @@ def test_pages_need_few_tasks(spark, tmp_path):
     assert paged.write_pages(spark.range(1000).repartition(3), path := f"{tmp_path}/pages", "id", 10) == 100
     assert len({f.name.split("-")[1] for f in (tmp_path / "pages").glob("part-*")}) == 1
     assert [r.id for r in paged.read_pages(spark, path, 95, 205).orderBy("id").collect()] == list(range(95, 205))
+
+
+def test_orders_are_ranked_without_a_table_of_pairs(spark):
+    """An invoice and an order meet as one row each: nothing but the rank is shuffled, sorted or hashed after they met (two groupings before)."""
+    i = spark.createDataFrame([(1, 7, 0, "NUT"), (1, 7, 1, "NUT"), (1, 7, 2, None), (1, 7, 3, "ABCDEFGHIJ"), (2, 7, 0, "BOLT"), (3, None, 0, "NUT"), (4, 8, 0, "NUT")], "invoice int, partner int, line int, name string")
+    p = spark.createDataFrame([(5, 7, 0, "NUT"), (5, 7, 1, "ABCDEFG"), (6, 7, 0, None), (6, 7, 1, "BOLT"), (6, 7, 2, "BOLT"), (9, None, 0, "NUT")], "order int, partner int, po_line int, name string")
+    ranked = purchase.basket_rank(i, p)
+    want = [(1, 5, 3, 270.0, 67.5, 1), (1, 6, 0, 0.0, 0.0, 2), (2, 6, 1, 100.0, 100.0, 1), (2, 5, 0, 0.0, 0.0, 2)]
+    assert sorted((r.invoice, r["order"], r.matched, r.score, r["mean"], r.nth) for r in ranked.collect()) == sorted(want)
+    s = plan_of(purchase.basket_rank(i, p))
+    above = s[: s.index("Join")]  # the plan is printed from its end
+    assert "Aggregate" not in above and above.count("Exchange") == 1
