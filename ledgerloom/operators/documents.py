@@ -46,11 +46,24 @@ def lines(processes: DataFrame) -> DataFrame:
 
     An invoice without items gives one blank line; wrappers without an invoice are skipped and not counted.
     """
-    blank = F.array(F.lit(None).cast(ITEM))
-    items = F.when(F.size("f.items") > 0, F.col("f.items")).otherwise(blank)
-    e = invoices(processes).select("process", "invoice", F.col("f.numero_factura").alias("number"), F.col("f.proveedor.cuit").alias("cuit"), F.posexplode(items).alias("line", "item"))
+    e = invoices(processes).select("process", "invoice", F.col("f.numero_factura").alias("number"), F.col("f.proveedor.cuit").alias("cuit"), F.posexplode(_items()).alias("line", "item"))
+    return e.select("process", "invoice", "line", "number", "cuit", *_fields())
+
+
+def _items() -> Column:
+    """The items of f, one that is null if there is none."""
+    return F.when(F.size("f.items") > 0, F.col("f.items")).otherwise(F.array(F.lit(None).cast(ITEM)))
+
+
+def _fields() -> list[Column]:
+    """The fields of an item by their names in a line."""
     named = {"descripcion": "description", "cantidad": "quantity", "precio_unitario": "price", "codigo": "code", "unidad_medida": "unit", "alicuota_iva": "rate"}
-    return e.select("process", "invoice", "line", "number", "cuit", *[F.col(f"item.{k}").alias(named.get(k, k)) for k in _ITEM_KEYS])
+    return [F.col(f"item.{k}").alias(named.get(k, k)) for k in _ITEM_KEYS]
+
+
+def _number_kind_supplier() -> list[Column]:
+    supplier = F.coalesce(F.nullif(text.normalize(F.col("f.proveedor.razon_social")), F.lit("")), text.normalize(F.col("f.proveedor.nombre")))
+    return [text.document_number(F.col("f.numero_factura")).alias("number"), text.document_type(F.col("f.tipo_comprobante")).alias("kind"), supplier.alias("supplier")]
 
 
 def tax_label(rate: Column, other: Column, kind: Column) -> tuple[Column, Column]:
@@ -74,14 +87,15 @@ def headers(processes: DataFrame) -> DataFrame:
     total = F.aggregate(by_rate, F.lit(0).cast("decimal(28,6)"), lambda a, x: (a + x["value"]).cast("decimal(28,6)"))
     slots = F.filter(F.array(*[F.struct(F.lit(k).alias("label"), F.round(numbers.amount(f(k)), 2).cast("decimal(18,2)").alias("amount")) for k in PERCEPTIONS]), lambda x: x["amount"] > 0)
     vat = F.when(F.size(by_rate) > 0, numbers.money_or_blank(total)).otherwise(text.first_filled(*[f(k) for k in VAT_TOTALS]))
+    number, kind, supplier = _number_kind_supplier()
     return invoices(processes).select(
         "process",
         "invoice",
-        text.document_number(f("numero_factura")).alias("number"),
-        text.document_type(f("tipo_comprobante")).alias("kind"),
+        number,
+        kind,
         dates.for_screen(f("fecha")).alias("date"),
         dates.for_screen(F.coalesce(F.nullif(f("fecha_de_vencimiento"), F.lit("")), f("fecha_vencimiento"))).alias("due"),
-        F.coalesce(F.nullif(text.normalize(f("proveedor.razon_social")), F.lit("")), text.normalize(f("proveedor.nombre"))).alias("supplier"),
+        supplier,
         text.normalize(f("proveedor.cuit")).alias("cuit"),
         text.first_filled(*[f(k) for k in SUBTOTALS]).alias("subtotal"),
         vat.alias("vat"),
@@ -93,13 +107,15 @@ def headers(processes: DataFrame) -> DataFrame:
 def screen_lines(processes: DataFrame) -> DataFrame:
     """process, invoice, line, number, supplier, description, quantity, price, label and other of each line, as a screen shows them.
 
-    Header fields are on the first line only; quantity and price are derived where the document has none.
+    Header fields are on the first line only; quantity and price are derived where the document has none. A document
+    is read once, and its lines take its header with them.
     """
-    li = lines(processes).drop("number", "cuit")
-    h = headers(processes).select("process", "invoice", "number", "supplier", "kind")
-    j = li.join(h, ["process", "invoice"])
+    h = invoices(processes).select("process", "invoice", *_number_kind_supplier(), _items().alias("items"))
+    j = h.select("process", "invoice", "number", "kind", "supplier", F.posexplode("items").alias("line", "item"))
+    j = j.select("process", "invoice", "line", "number", "kind", "supplier", *_fields())
     net = F.coalesce(numbers.amount(F.col("subtotal_sin_iva")), numbers.amount(F.col("subtotal")))
-    qty, price = numbers.quantity_and_price(numbers.amount(F.col("quantity")), numbers.amount(F.col("price")), net)
+    j = j.withColumns({"__q": numbers.amount(F.col("quantity")), "__p": numbers.amount(F.col("price")), "__n": net})
+    qty, price = numbers.quantity_and_price(F.col("__q"), F.col("__p"), F.col("__n"))
     label, other = tax_label(F.col("rate"), F.coalesce(F.nullif(F.col("otros_impuestos"), F.lit("")), F.col("otros_tributos")), F.col("kind"))
     shown = lambda d: F.coalesce(numbers.for_screen(d), F.lit(""))
     once = lambda c: F.when(F.col("line") == 0, F.col(c)).otherwise("")

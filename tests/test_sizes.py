@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import plans
-from ledgerloom.operators import bills, purchase
+from ledgerloom.functions import similar
+from ledgerloom.operators import bills, documents, order, purchase
+from ledgerloom.plans import catalogue, scopes
 from ledgerloom.sources import paged
 
 SMALL = "/root/testdata/sf0.001"
@@ -90,3 +92,14 @@ def test_orders_are_ranked_without_a_table_of_pairs(spark):
     s = plan_of(purchase.basket_rank(i, p))
     above = s[: s.index("Join")]  # the plan is printed from its end
     assert "Aggregate" not in above and above.count("Exchange") == 1
+
+
+def test_screen_lines_read_a_document_once(spark):
+    """Lines take their document's header with them: nothing is parsed twice or joined, and documents of one process stay apart."""
+    made = '{"facturas": [{"json": {"factura": {"numero_factura": "1-2", "tipo_comprobante": "C", "proveedor": {"nombre": "Dos"}, "items": [{"descripcion": "a", "cantidad": "2", "subtotal": "5"}, {"descripcion": "b", "precio_unitario": "1,5"}]}}}]}'
+    df = spark.createDataFrame([(1, made), (1, made), (2, None)], "process int, json_data string")
+    p = plan_of(documents.screen_lines(df))
+    assert p.count("from_json") == 1 and "Join" not in p
+    first, second = (0, "00001-00000002", "Dos", "a", "2", "2,5", "IVA No Corresponde"), (1, "", "", "b", "", "1,5", "IVA No Corresponde")
+    got = documents.screen_lines(df).select("line", "number", "supplier", "description", "quantity", "price", "label").collect()
+    assert sorted(map(tuple, got)) == sorted([first, first, second, second])
