@@ -323,9 +323,9 @@ e as (select invoice, po, sum(case when s >= 70 then 1 else 0 end) as matched, c
 
 def _baskets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("partner"), F.col("o_orderdate").alias("date"), "o_orderstatus")
-    li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("name")), F.col("p_partkey") == F.col("l_partkey"))
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", F.upper("p_name").alias("name"), F.upper("p_brand").alias("brand")), F.col("p_partkey") == F.col("l_partkey"))
     li = order.numbered(li, ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"], "line", 1)
-    li = li.select(F.col("l_orderkey").alias("order"), "line", "name", F.col("l_quantity").alias("qty"))
+    li = li.select(F.col("l_orderkey").alias("order"), "line", "name", "brand", F.col("l_quantity").alias("qty"))
     invoices = o.where("o_orderstatus = 'F'").select("order", "partner").join(li, "order").withColumnRenamed("order", "invoice")
     return invoices, purchase.recent_lines(o.where("o_orderstatus <> 'F'").drop("o_orderstatus"), li.withColumnRenamed("line", "po_line")).drop("date")
 

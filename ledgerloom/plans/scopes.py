@@ -125,8 +125,7 @@ select invoice, po as "order", cast(matched as bigint) as matched, score, row_nu
 def rematched_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates are stored once; then three commands change lines of some invoices, and only those are ranked again."""
     invoices, orders = _baskets(spark, d)
-    brands = order.numbered(table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")), ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"], "line", 1)
-    invoices, orders = cut(invoices.join(brands.select(F.col("l_orderkey").alias("invoice"), "line", F.upper("p_brand").alias("brand")), ["invoice", "line"])), cut(orders.drop("qty"))
+    invoices, orders = cut(invoices), cut(orders.select("partner", "order", "name"))
     k = F.col("invoice") % 7
     path = f"{scratch(spark, 'candidates')}/table"
 

@@ -103,3 +103,12 @@ def test_screen_lines_read_a_document_once(spark):
     first, second = (0, "00001-00000002", "Dos", "a", "2", "2,5", "IVA No Corresponde"), (1, "", "", "b", "", "1,5", "IVA No Corresponde")
     got = documents.screen_lines(df).select("line", "number", "supplier", "description", "quantity", "price", "label").collect()
     assert sorted(map(tuple, got)) == sorted([first, first, second, second])
+
+
+def test_rematching_reads_lines_once(spark, monkeypatch):
+    """Names and brands come from one reading of the lines (two before)."""
+    read = []
+    for m in (catalogue, scopes):
+        monkeypatch.setattr(m, "table", lambda s, d, name, of=m.table: (read.append(name), of(s, d, name))[1])
+    plans.queries()["rematched_candidates"](spark, SMALL)
+    assert read.count("lineitem") == 1
