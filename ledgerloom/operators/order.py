@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize
 from ..sources.files import cut
 
+#: Rows of a range of a chained fill, of which a task holds a few.
+RANGE = 100_000
+
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str = "pos", start: int = 0) -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1 + start)
@@ -44,19 +47,18 @@ def fill_chained(df: DataFrame, columns: list[str], group: str, number: str, key
     Rows are dealt to ranges by keys and order, so that a long process lies in many. A range is summed up by its last
     group and whether it has a number; with what lies before, each row knows whether it begins a run. The ranges are summed
     up again, by whether a run begins in them and what is filled at their end; put together in order, these give what
-    every range starts with. Order columns must be columns of df.
+    every range starts with. Order columns must be columns of df. Without a number given, ranges have RANGE rows or fewer.
     """
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE))
     at = [*keys, "__range"]
     rows = cut(df.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()))
     by = Window.partitionBy(*at).orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("__range")
     earlier = before.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last("__g").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ends = rows.select(*at, *[c for c in dict.fromkeys(map(str, _names(order))) if c not in at], F.col(group).alias("__g"), filled(number).isNotNull().alias("__b"))
-    ends = ends.withColumn("__last", last).groupBy(*at).agg(F.first("__last").alias("__last"), F.max("__b").alias("__any"))
-    ends = ends.select(*at, F.lag("__last").over(before).alias("__group"), F.coalesce(F.max("__any").over(earlier), F.lit(False)).alias("__named"))
-    told = rows.join(ends, at)
+    place = F.struct(*_names(order))
+    ends = rows.groupBy(*at).agg(F.max_by(F.col(group), place).alias("__last"), F.max(filled(number).isNotNull()).alias("__any"))
+    ends = cut(ends.select(*at, F.lag("__last").over(before).alias("__group"), F.coalesce(F.max("__any").over(earlier), F.lit(False)).alias("__named")))
+    told = rows.repartition(n, *at).join(ends, at)  # as many parts as ranges, which Spark does not join to larger ones
     first = F.row_number().over(by) == 1
     previous = F.when(first, F.col("__group")).otherwise(F.lag(group).over(by))
     named = F.col("__named") | F.coalesce(F.max(filled(number).isNotNull()).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
@@ -64,12 +66,12 @@ def fill_chained(df: DataFrame, columns: list[str], group: str, number: str, key
     told = told.withColumn("__new", F.when(joined, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(by)).drop("__group", "__named", "__new")
     inside = Window.partitionBy(*at, "__run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     told = cut(told.withColumns({f"__{i}": F.last(filled(c), ignorenulls=True).over(inside) for i, c in enumerate(columns)}))
-    closing = first_per_key(told, at, [F.desc(c) if isinstance(c, str) else c.desc() for c in order])
-    closing = closing.select(*at, (F.col("__run") > 0).alias("__begins"), *[F.col(f"__{i}") for i in range(len(columns))])
+    state = F.max_by(F.struct((F.col("__run") > 0).alias("__begins"), *[f"__{i}" for i in range(len(columns))]), place)
+    closing = told.groupBy(*at).agg(state.alias("__state")).select(*at, "__state.*")
     closing = closing.withColumn("__part", F.sum(F.col("__begins").cast("int")).over(before))
     chain = Window.partitionBy(*keys, "__part").orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
     state = closing.select(*at, *[F.last(f"__{i}", ignorenulls=True).over(chain).alias(f"__s{i}") for i in range(len(columns))])
-    carry = state.select(*at, *[F.lag(f"__s{i}").over(before).alias(f"__c{i}") for i in range(len(columns))])
+    carry = cut(state.select(*at, *[F.lag(f"__s{i}").over(before).alias(f"__c{i}") for i in range(len(columns))]))
     out = told.join(carry, at, "left")
     values = {c: F.coalesce(F.col(f"__{i}"), F.when(F.col("__run") == 0, F.col(f"__c{i}")), F.lit("")) for i, c in enumerate(columns)}
     return out.withColumns(values).select(*df.columns)

@@ -112,3 +112,16 @@ def test_rematching_reads_lines_once(spark, monkeypatch):
         monkeypatch.setattr(m, "table", lambda s, d, name, of=m.table: (read.append(name), of(s, d, name))[1])
     plans.queries()["rematched_candidates"](spark, SMALL)
     assert read.count("lineitem") == 1
+
+
+def test_ranges_of_a_chained_fill_grow_in_number(spark, monkeypatch):
+    """A range has a bound, however many rows there are."""
+    made, kept = [], order.cut
+    monkeypatch.setattr(order, "RANGE", 50)
+    monkeypatch.setattr(order, "cut", lambda df: (made.append(kept(df)), made[-1])[1])
+    k = F.col("id")
+    df = spark.range(1000).select((k % 2).alias("process"), k.alias("pos"), F.when(k % 7 > 0, F.floor(k / 9)).alias("idx"), F.when(k % 31 == 0, F.concat(F.lit("n"), k)).otherwise(" ").alias("number"), F.when(k % 5 == 0, k.cast("string")).alias("partner"))
+    got = order.fill_chained(df, ["number", "partner"], "idx", "number", ["process"], ["pos"])
+    want = order.fill_from_previous(df, ["number", "partner"], "idx", "number", ["process"], ["pos"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert made[0].groupBy("process", "__range").count().agg(F.max("count")).first()[0] <= 100  # ranges are dealt by a sample
