@@ -108,18 +108,29 @@ def screen_lines(processes: DataFrame) -> DataFrame:
     """process, invoice, line, number, supplier, description, quantity, price, label and other of each line, as a screen shows them.
 
     Header fields are on the first line only; quantity and price are derived where the document has none. A document
-    is read once, and its lines take its header with them.
+    is read once, and its lines take its header with them. Lines are made inside their document's row: as columns of
+    exploded rows they are one method too long for the JVM to compile.
     """
-    h = invoices(processes).select("process", "invoice", *_number_kind_supplier(), _items().alias("items"))
-    j = h.select("process", "invoice", "number", "kind", "supplier", F.posexplode("items").alias("line", "item"))
-    j = j.select("process", "invoice", "line", "number", "kind", "supplier", *_fields())
-    net = F.coalesce(numbers.amount(F.col("subtotal_sin_iva")), numbers.amount(F.col("subtotal")))
-    j = j.withColumns({"__q": numbers.amount(F.col("quantity")), "__p": numbers.amount(F.col("price")), "__n": net})
-    qty, price = numbers.quantity_and_price(F.col("__q"), F.col("__p"), F.col("__n"))
-    label, other = tax_label(F.col("rate"), F.coalesce(F.nullif(F.col("otros_impuestos"), F.lit("")), F.col("otros_tributos")), F.col("kind"))
     shown = lambda d: F.coalesce(numbers.for_screen(d), F.lit(""))
-    once = lambda c: F.when(F.col("line") == 0, F.col(c)).otherwise("")
-    return j.select("process", "invoice", "line", once("number").alias("number"), once("supplier").alias("supplier"), text.normalize(F.col("description")).alias("description"), shown(qty).alias("quantity"), shown(price).alias("price"), label.alias("label"), other.alias("other"))
+
+    def read(x: Column) -> Column:
+        net = F.coalesce(numbers.amount(x["subtotal_sin_iva"]), numbers.amount(x["subtotal"]))
+        other = F.coalesce(F.nullif(x["otros_impuestos"], F.lit("")), x["otros_tributos"])
+        return F.struct(x["descripcion"].alias("description"), numbers.amount(x["cantidad"]).alias("q"), numbers.amount(x["precio_unitario"]).alias("p"), net.alias("n"), x["alicuota_iva"].alias("rate"), other.alias("other"))
+
+    def derived(x: Column) -> Column:
+        qty, price = numbers.quantity_and_price(x["q"], x["p"], x["n"])
+        return F.struct(text.normalize(x["description"]).alias("description"), qty.alias("q"), price.alias("p"), text.normalize(x["rate"]).alias("rate"), text.normalize(x["other"]).alias("other"))
+
+    number, kind, supplier = _number_kind_supplier()
+
+    def made(x: Column, n: Column) -> Column:
+        label, other = tax_label(x["rate"], x["other"], kind)
+        once = lambda c: F.when(n == 0, c).otherwise("")
+        return F.struct(once(number).alias("number"), once(supplier).alias("supplier"), x["description"].alias("description"), shown(x["q"]).alias("quantity"), shown(x["p"]).alias("price"), label.alias("label"), other.alias("other"))
+
+    items = F.transform(F.transform(F.transform(_items(), read), derived), made)
+    return invoices(processes).select("process", "invoice", F.posexplode(items).alias("line", "item")).select("process", "invoice", "line", "item.*")
 
 
 def description_lists(processes: DataFrame) -> DataFrame:
