@@ -65,12 +65,16 @@ def line_values(rows: DataFrame) -> DataFrame:
     )
 
 
-def origins(rows: DataFrame) -> DataFrame:
-    """invoice, origin: the chosen order's name (chosen), else the distinct names (order_name) of content rows, in order."""
+def origin() -> Column:
+    """Of a group's rows: the chosen order's name (chosen), else the distinct names (order_name) of content rows, in order (of pos)."""
     named = F.when(F.col("is_content") & (text.normalize(F.col("order_name")) != ""), F.struct("pos", text.normalize(F.col("order_name")).alias("n")))
     chosen = F.min(F.when(text.normalize(F.col("chosen")) != "", F.struct("pos", text.normalize(F.col("chosen")).alias("n"))))["n"]
-    listed = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["n"])), ", ")
-    return rows.groupBy("invoice").agg(F.coalesce(chosen, listed).alias("origin"))
+    return F.coalesce(chosen, F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(named)), lambda x: x["n"])), ", "))
+
+
+def origins(rows: DataFrame) -> DataFrame:
+    """invoice, origin (see origin)."""
+    return rows.groupBy("invoice").agg(origin().alias("origin"))
 
 
 def header_values(rows: DataFrame) -> DataFrame:

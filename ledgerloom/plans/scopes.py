@@ -277,7 +277,7 @@ def sync_plan(spark: SparkSession, d: str) -> DataFrame:
 def sync_replayed(spark: SparkSession, d: str) -> DataFrame:
     """The bills' lines after the plan: those of the import."""
     rows, expected, state = _import(spark, d)
-    after = sync.replayed(state, cut(sync.composed(rows, expected, state, _HEADER)))
+    after = sync.replayed(state, sync.composed(rows, expected, state, _HEADER, sync.links(rows, state, _HEADER)))
     return doubles(after.lines.drop("sequence"), "qty", "price")
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import plans
 from ledgerloom.functions import similar
-from ledgerloom.operators import bills, documents, order, purchase
+from ledgerloom.operators import bills, documents, order, purchase, sync
 from ledgerloom.plans import catalogue, scopes
 from ledgerloom.sources import paged
 
@@ -164,3 +166,31 @@ def test_lines_fit_orders_without_a_table_of_pairs(spark, monkeypatch):
             assert sorted((r.invoice, r["order"], r.matched, r.score, r["mean"], r.nth) for r in ranked.collect()) == want
             above = (s := plan_of(purchase.fitted_rank(i, p, *limits)))[: s.index("Join")]  # the plan is printed from its end
             assert "Aggregate" not in above and above.count("Exchange") == 1
+
+
+def test_a_plan_and_its_proof_stay_in_a_bills_row(spark):
+    """Rows go to their bill once and only links to orders go further; the proof in a bill's row is that of tables, on odd rows too (a second shuffle of the rows and of all changes before)."""
+    rows = spark.createDataFrame(
+        [
+            (1, 0, 7, "1-1", " bolt ", 2, "10.126", 5, 900, True), (1, 1, None, "", "nut", -1, None, None, 900, False), (1, 2, None, "", " ", None, "3", 6, 999, False), (1, 3, None, "", "a", 1, "1", 6, 901, False),
+            (2, 0, None, None, None, 1, "1", None, 901, False), (2, 1, 8, "x", "pin", 1, "2.5", None, None, False), (None, 0, 9, "y", "lost", 1, "1", None, 900, True), (4, 0, 7, "4", "new", 1, "1", None, None, False),
+        ],
+        "invoice long, pos int, partner long, number string, name string, qty int, price string, product long, po_line long, overwrite boolean",
+    ).withColumns({"price": F.col("price").cast("decimal(12,3)"), "journal": F.lit(3).cast("long"), "date": F.lit("2/1/2024"), "due": F.lit(""), "unit": F.lit(None).cast("long"), "account": F.lit(40).cast("long"), "order_name": F.lit("P7"), "chosen": F.lit(""), "is_content": F.lit(True)})
+    line = "invoice long, id long, sequence int, name string, qty decimal(20,6), price decimal(20,2), product long, account long, po_line long"
+    d = lambda x: None if x is None else Decimal(x)
+    state = sync.State(
+        spark.createDataFrame([(1, 7, 2, None, "2024-01-02", None, "old"), (2, None, None, "kept", None, None, None), (3, 1, 1, "1", None, None, None)], "invoice long, partner long, journal long, number string, date string, due string, origin string"),
+        spark.createDataFrame([(1, 12, 1, "bolt", d("2"), d("9"), None, 40, None), (1, 12, 2, "nut", d("1"), d("0"), 77, 40, 900), (1, None, 3, "x", d("1"), d("3"), 6, None, 999), (2, 21, 1, "pin", d("1"), d("1"), None, 40, None), (3, 31, 1, "far", d("1"), d("1"), None, 1, 1)], line),
+        spark.createDataFrame([(1, 31, 63, d("5")), (1, 32, 63, d("9")), (1, None, 70, d("4")), (5, 51, 63, d("1"))], "invoice long, id long, tax_id int, amount decimal(18,2)"),
+        spark.createDataFrame([(900, d("3")), (901, d("1"))], "po_line long, price decimal(12,2)"),
+    )
+    expected = spark.createDataFrame([(1, 63, d("9")), (1, 70, d("6")), (1, 81, d("2")), (5, 63, d("2"))], "invoice long, tax_id int, amount decimal(18,2)")
+    header = ["partner", "journal", "number", "date", "due"]
+    told = lambda df: sorted(map(repr, (tuple(r) for r in df.select("invoice", "step", "nth", "target", "field", "value").collect())))
+    plan, left = sync.pending(rows, expected, state, header)
+    assert told(plan) == told(sync.composed(rows, expected, state, header, sync.links(rows, state, header)))
+    assert told(left) == told(sync.composed(rows, expected, sync.replayed(state, plan), header)) and left.where("target <> 'bill'").count() > 0
+    assert {(r.invoice, r.target, r.field, r.value) for r in plan.where("step >= 5").collect()} == {(1, "900", "price", "10.126000"), (1, "31", "amount", "9.00"), (5, "51", "amount", "2.00")}
+    s = plan_of(sync.proved(rows.repartition("invoice"), expected, state, header))
+    assert "hashpartitioning(invoice#" in s and "__target" not in s and "posexplode" not in s
